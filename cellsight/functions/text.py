@@ -13,11 +13,15 @@ RELEASE_ID = r"^[0-9]{4}-[0-9]{2}-[0-9]{2}T[0-9]{6}Z(?:-[a-z0-9][a-z0-9-]*)?$"
 PUNCTUATION = r"""['"(),.;:/\\-]"""
 
 
-@F.pandas_udf("string")
-def _nfkd(values: pd.Series) -> pd.Series:
+def _decomposed(values: pd.Series) -> pd.Series:
     return values.map(lambda text: unicodedata.normalize("NFKD", text), na_action="ignore")
 
 
+def _nfkd(text: Column) -> Column:
+    # Spark has no Unicode normalisation; built per call because it needs a running session.
+    return F.pandas_udf(_decomposed, "string")(text)
+
+
 def index_name(name: Column) -> Column:
     """Index form: compatibility decomposition, lower case, trimmed, single spaces.
 

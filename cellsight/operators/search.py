@@ -56,11 +56,11 @@ def district_boxes(areas: DataFrame, names: tuple[str, str] = ("district_en", "d
 
 
 def search_index(places: DataFrame) -> DataFrame:
-    """Normalised names, aliases and tokens. Persist this; searches then only scan it."""
+    """Normalised names and aliases, and name tokens. Persist this; searches then only scan it."""
     return (
-        places.withColumn("name_norm", query_name(index_name(F.col("name"))))
+        places.withColumn("name_norm", index_name(F.col("name")))
         .withColumn("aliases_norm", F.transform(F.coalesce("aliases", F.array().cast("array<string>")), query_name))
-        .withColumn("tokens", F.flatten(F.array(tokens(F.col("name_norm")), F.flatten(F.transform("aliases_norm", tokens)))))
+        .withColumn("tokens", tokens(F.col("name_norm")))
     )
 
 
