@@ -88,6 +88,16 @@ def catalogue_items(documents: DataFrame, body: str = "body") -> DataFrame:
 LINK_ATTRIBUTE = r"""(?i)\s(?:href|button-url|src)\s*=\s*(?:"([^"]+)"|'([^']+)')"""
 
 
+START_TAG = r"<[a-zA-Z][^>]*>"
+ENTITIES = (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&amp;", "&"))
+
+
+def _unescape(text: Column) -> Column:
+    for entity, char in ENTITIES:
+        text = F.replace(text, F.lit(entity), F.lit(char))
+    return text
+
+
 def absolute_url(base: Column, link: Column) -> Column:
     """Join a link to its page: full link, protocol-relative, host-absolute, query/fragment, or relative."""
     scheme = F.regexp_extract(base, r"^([a-zA-Z][a-zA-Z0-9+.-]*):", 1)
@@ -106,9 +116,11 @@ def absolute_url(base: Column, link: Column) -> Column:
 
 def harvest_links(pages: DataFrame, ident: str = "page_id", url: str = "url", html: str = "html") -> DataFrame:
     """(page, url, position) of every distinct link in order of first appearance, over whole pages."""
-    double, single = (F.regexp_extract_all(html, F.lit(LINK_ATTRIBUTE), F.lit(i)) for i in (1, 2))
+    tags = F.array_join(F.regexp_extract_all(html, F.lit(START_TAG), F.lit(0)), "\n")
+    double, single = (F.regexp_extract_all(tags, F.lit(LINK_ATTRIBUTE), F.lit(i)) for i in (1, 2))
     links = F.zip_with(double, single, lambda d, s: F.when(F.length(d) > 0, d).otherwise(s))
-    rows = pages.select(ident, F.col(url).alias("_base"), F.posexplode(links).alias("position", "link"))
+    rows = pages.select(ident, F.col(url).alias("_base"), F.posexplode(links).alias("position", "raw"))
+    rows = rows.withColumn("link", _unescape(F.col("raw")))
     full = rows.select(ident, "position", absolute_url(F.col("_base"), F.col("link")).alias("link_url"))
     return full.groupBy(ident, "link_url").agg(F.min("position").alias("position"))
 
