@@ -93,7 +93,7 @@ def age_days_fractional(observed: Column, as_of: Column) -> Column:
 
 def rate_to_depth(rate: Column, month: Column) -> Column:
     """Mean rate in m/s to a monthly depth in millimetres."""
-    return rate * (F.dayofmonth(F.last_day(month)) * 86400 * 1000)
+    return rate * (F.dayofmonth(F.last_day(month)) * F.lit(86400e3))
 
 
 def observation_window(start_fields: list[Column], end_fields: list[Column], fallback: Column) -> Column:

@@ -130,12 +130,12 @@ def clear_sky_median(scenes: DataFrame, keys: Sequence[str]) -> DataFrame:
     return scenes.where(usable).groupBy(*keys, "row", "col").agg(F.percentile(index, F.lit(0.5)).alias("composite"), F.count(F.lit(1)).alias("observations"))
 
 
-STATISTICS = "struct<mean:double,sampleCount:bigint,noDataCount:bigint,percentiles:map<string,double>>"
+STATISTICS = "mean double, sampleCount bigint, noDataCount bigint, percentiles map<string,double>"
 
 
 def statistics_evidence(responses: DataFrame, body: str = "stats", minimum: float = 70.0) -> DataFrame:
     """Provider statistics JSON to an evidence row; missing counts mean nothing is valid."""
-    parsed = responses.withColumn("_s", F.from_json(body, STATISTICS.replace("struct<", "", 1)[:-1]))
+    parsed = responses.withColumn("_s", F.from_json(body, STATISTICS))
     total = F.coalesce(F.col("_s.sampleCount"), F.lit(0).cast("long"))
     valid = F.greatest(F.lit(0).cast("long"), total - F.coalesce(F.col("_s.noDataCount"), total))
     median = F.coalesce(F.col("_s.percentiles")["50.0"], F.col("_s.percentiles")["50"])

@@ -194,22 +194,26 @@ def quality_of(valid: Column, coverage: Column, minimum: float = 90.0) -> Column
 def zonal_stats(
     pairs: DataFrame,
     keys: Sequence[str],
-    means: dict[str, tuple[Column, int]],
+    means: dict[str, tuple[Column, str | None, int]],
     valid: Column,
     *,
-    median_of: tuple[str, Column, int] | None = None,
+    median_of: tuple[str, Column, str | None, int] | None = None,
     flags: Column | None = None,
     gate_rounded: bool = True,
     minimum: float = 90.0,
 ) -> DataFrame:
     """Means under one shared validity mask, counts, coverage and quality per group.
 
+    ``means`` is {name: (stored value, decoding, digits)}. The stored integers are averaged and
+    the mean is decoded: their sums are exact, so the result does not depend on how the cells
+    are spread over tasks.
     ``gate_rounded`` tells whether the coverage gate sees the rounded figure (vegetation, newer
     thermal, water use) or the unrounded one (soil water, older thermal).
     """
     tagged = pairs.withColumn("_ok", F.coalesce(valid, F.lit(False)))
     aggs = [F.count_if("_ok").alias("valid_pixel_count"), F.count(F.lit(1)).alias("grid_cell_count")]
-    aggs += [py_round(F.avg(F.when(F.col("_ok"), value)), digits).alias(name) for name, (value, digits) in means.items()]
+    mean = lambda value, band: decode(F.avg(F.when(F.col("_ok"), value)), band)
+    aggs += [py_round(mean(value, band), digits).alias(name) for name, (value, band, digits) in means.items()]
     if flags is not None:
         aggs.append(F.count_if(F.col("_ok") & (flags != 0)).alias("qflag_nonzero_count"))
     stats = tagged.groupBy(*keys).agg(*aggs)
@@ -218,25 +222,26 @@ def zonal_stats(
     gate = F.col("coverage_pct") if gate_rounded else raw
     stats = stats.withColumn("quality_status", quality_of(F.col("valid_pixel_count"), gate, minimum))
     if median_of is not None:
-        name, value, digits = median_of
+        name, value, band, digits = median_of
         medians = exact_quantiles(tagged.where("_ok").select(*keys, value.alias("_m")), keys, "_m", [0.5], [name])
-        stats = stats.join(medians.withColumn(name, py_round(F.col(name), digits)), list(keys), "left")
+        stats = stats.join(medians.withColumn(name, py_round(decode(F.col(name), band), digits)), list(keys), "left")
     return stats
 
 
-# ---- provider decoding: (scale, offset) from stored integers to physical units, fixed values
+# ---- provider decoding: (divisor, offset) from stored integers to physical units, fixed values
 DECODE = {
-    "ndvi": (1 / 250.0, -0.08),
-    "swi": (1 / 2.0, 0.0),
-    "lst": (1 / 100.0, 0.0),
-    "fobs": (1 / 100.0, 0.0),
+    "ndvi": (250.0, -0.08),
+    "swi": (2.0, 0.0),
+    "lst": (100.0, 0.0),
+    "fobs": (100.0, 0.0),
 }
-# Decoding divides, so that results agree to the last bit with the provider's definition.
-DIVISOR = {"ndvi": 250.0, "swi": 2.0, "lst": 100.0, "fobs": 100.0}
 
 
-def decode(raw: Column, band: str) -> Column:
-    return raw.cast("double") / DIVISOR[band] + DECODE[band][1]
+def decode(raw: Column, band: str | None) -> Column:
+    if band is None:
+        return raw.cast("double")
+    divisor, offset = DECODE[band]
+    return raw.cast("double") / divisor + offset
 
 
 def valid_cell(raw: Column, mask: Column | None = None, nodata: float | None = None) -> Column:
@@ -255,31 +260,30 @@ def bands_wide(cells: DataFrame, bands: Sequence[str]) -> DataFrame:
 
 def ndvi_stats(pairs: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Vegetation summary over bands ndvi, qflag, data_mask."""
-    value = decode(F.col("ndvi"), "ndvi")
     return zonal_stats(
-        pairs, keys, {"ndvi_mean": (value, 4)}, valid_cell(F.col("ndvi"), F.col("data_mask")),
-        median_of=("ndvi_median", value, 4), flags=F.col("qflag"),
+        pairs, keys, {"ndvi_mean": (F.col("ndvi"), "ndvi", 4)}, valid_cell(F.col("ndvi"), F.col("data_mask")),
+        median_of=("ndvi_median", F.col("ndvi"), "ndvi", 4), flags=F.col("qflag"),
     )
 
 
 def swi_stats(pairs: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Soil-water summary; the 40-day band decides validity."""
-    means = {f"{b}_mean": (decode(F.col(b), "swi"), 3) for b in ("swi010", "swi040", "swi100", "qflag040")}
+    means = {f"{b}_mean": (F.col(b), "swi", 3) for b in ("swi010", "swi040", "swi100", "qflag040")}
     return zonal_stats(pairs, keys, means, valid_cell(F.col("swi040"), F.col("data_mask")), gate_rounded=False)
 
 
 def lst_v2_stats(pairs: DataFrame, keys: Sequence[str]) -> DataFrame:
     means = {
-        "lst_c_mean": (decode(F.col("lst"), "lst"), 2),
-        "errorbar_c_mean": (decode(F.col("errorbar"), "lst"), 2),
-        "ppp_mean": (F.col("ppp").cast("double"), 2),
-        "qflag_mean": (F.col("qflag").cast("double"), 2),
+        "lst_c_mean": (F.col("lst"), "lst", 2),
+        "errorbar_c_mean": (F.col("errorbar"), "lst", 2),
+        "ppp_mean": (F.col("ppp"), None, 2),
+        "qflag_mean": (F.col("qflag"), None, 2),
     }
     return zonal_stats(pairs, keys, means, valid_cell(F.col("lst"), F.col("data_mask")), gate_rounded=False)
 
 
 def lst_v3_stats(pairs: DataFrame, keys: Sequence[str]) -> DataFrame:
-    means = {"lst_c_mean": (decode(F.col("lst"), "lst"), 2), "fobs_mean": (decode(F.col("fobs"), "fobs"), 3)}
+    means = {"lst_c_mean": (F.col("lst"), "lst", 2), "fobs_mean": (F.col("fobs"), "fobs", 3)}
     return zonal_stats(pairs, keys, means, valid_cell(F.col("lst"), F.col("data_mask")))
 
 
@@ -295,10 +299,10 @@ def paired_stats(first: DataFrame, second: DataFrame, keys: Sequence[str], names
     return both.withColumn("quality_status", F.when(present, "ok").otherwise("insufficient_grid_coverage")).drop("va", "vb", "ca", "cb")
 
 
-def band_mean(pairs: DataFrame, keys: Sequence[str], value: Column, valid: Column, digits: int = 3) -> DataFrame:
-    """mean / valid / cells of one raster, the input of ``paired_stats``."""
+def band_mean(pairs: DataFrame, keys: Sequence[str], value: Column, valid: Column, scale: float = 1.0, digits: int = 3) -> DataFrame:
+    """mean / valid / cells of one raster with the grid's own scale, the input of ``paired_stats``."""
     return pairs.groupBy(*keys).agg(
-        py_round(F.avg(F.when(valid, value)), digits).alias("mean"), F.count_if(valid).alias("valid"), F.count(F.lit(1)).alias("cells")
+        py_round(F.avg(F.when(valid, value)) * scale, digits).alias("mean"), F.count_if(valid).alias("valid"), F.count(F.lit(1)).alias("cells")
     )
 
 
