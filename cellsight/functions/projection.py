@@ -54,36 +54,56 @@ def _point(x: Column, y: Column) -> Column:
     return F.struct(x.alias("x"), y.alias("y"))
 
 
+def _with(values: dict[str, Column], then) -> Column:
+    """Bind intermediate values once: without it the nested series repeat them thousands of times."""
+    bound = F.transform(F.array(F.struct(*[v.alias(k) for k, v in values.items()])), then)
+    return F.get(bound, F.lit(0))
+
+
 def utm_forward(lon: Column, lat: Column, central: float = CENTRAL_37N, ell: Ellipsoid = WGS84) -> Column:
     """Northern-hemisphere UTM easting/northing in metres."""
     n, radius, alpha, _, _ = _series(ell)
     k = 2 * math.sqrt(n) / (1 + n)
-    sin_lat = F.sin(F.radians(lat))
-    t = F.sinh(F.atanh(sin_lat) - k * F.atanh(k * sin_lat))
-    dlon = F.radians(lon - central)
-    xi = F.atan2(t, F.cos(dlon))
-    eta = F.atanh(F.sin(dlon) / F.sqrt(1 + t * t))
-    east, north = eta, xi
-    for j, a in enumerate(alpha, start=1):
-        east = east + a * F.cos(2 * j * xi) * F.sinh(2 * j * eta)
-        north = north + a * F.sin(2 * j * xi) * F.cosh(2 * j * eta)
-    return _point(FALSE_EAST + SCALE * radius * east, SCALE * radius * north)
+
+    def sums(c: Column) -> Column:
+        xi, eta = c["xi"], c["eta"]
+        east, north = eta, xi
+        for j, a in enumerate(alpha, start=1):
+            east = east + a * F.cos(2 * j * xi) * F.sinh(2 * j * eta)
+            north = north + a * F.sin(2 * j * xi) * F.cosh(2 * j * eta)
+        return _point(FALSE_EAST + SCALE * radius * east, SCALE * radius * north)
+
+    def sphere(c: Column) -> Column:
+        xi = F.atan2(c["t"], F.cos(c["d"]))
+        return _with({"xi": xi, "eta": F.atanh(F.sin(c["d"]) / F.sqrt(1 + c["t"] * c["t"]))}, sums)
+
+    def conformal(c: Column) -> Column:
+        return _with({"t": F.sinh(F.atanh(c["s"]) - k * F.atanh(k * c["s"])), "d": c["d"]}, sphere)
+
+    return _with({"s": F.sin(F.radians(lat)), "d": F.radians(lon - central)}, conformal)
 
 
 def utm_inverse(x: Column, y: Column, central: float = CENTRAL_37N, ell: Ellipsoid = WGS84) -> Column:
     _, radius, _, beta, delta = _series(ell)
-    xi = y / (SCALE * radius)
-    eta = (x - FALSE_EAST) / (SCALE * radius)
-    xi1, eta1 = xi, eta
-    for j, b in enumerate(beta, start=1):
-        xi1 = xi1 - b * F.sin(2 * j * xi) * F.cosh(2 * j * eta)
-        eta1 = eta1 - b * F.cos(2 * j * xi) * F.sinh(2 * j * eta)
-    chi = F.asin(F.sin(xi1) / F.cosh(eta1))
-    lat = chi
-    for j, d in enumerate(delta, start=1):
-        lat = lat + d * F.sin(2 * j * chi)
-    lon = central + F.degrees(F.atan2(F.sinh(eta1), F.cos(xi1)))
-    return _point(lon, F.degrees(lat))
+
+    def latitude(c: Column) -> Column:
+        lat = c["chi"]
+        for j, d in enumerate(delta, start=1):
+            lat = lat + d * F.sin(2 * j * c["chi"])
+        return _point(central + F.degrees(c["lam"]), F.degrees(lat))
+
+    def angles(c: Column) -> Column:
+        chi = F.asin(F.sin(c["xi"]) / F.cosh(c["eta"]))
+        return _with({"chi": chi, "lam": F.atan2(F.sinh(c["eta"]), F.cos(c["xi"]))}, latitude)
+
+    def series(c: Column) -> Column:
+        xi, eta = c["xi"], c["eta"]
+        for j, b in enumerate(beta, start=1):
+            xi = xi - b * F.sin(2 * j * c["xi"]) * F.cosh(2 * j * c["eta"])
+            eta = eta - b * F.cos(2 * j * c["xi"]) * F.sinh(2 * j * c["eta"])
+        return _with({"xi": xi, "eta": eta}, angles)
+
+    return _with({"xi": y / (SCALE * radius), "eta": (x - FALSE_EAST) / (SCALE * radius)}, series)
 
 
 _E = math.sqrt(WGS84_E2)
@@ -113,17 +133,24 @@ def equal_area_inverse(x: Column, y: Column) -> Column:
 def datum_to_wgs84(lon: Column, lat: Column, ell: Ellipsoid = ADINDAN) -> Column:
     """Three-parameter geocentric shift; metre-level like the published parameters."""
     e2 = ell.f * (2 - ell.f)
-    phi, lam = F.radians(lat), F.radians(lon)
-    nu = ell.a / F.sqrt(1 - e2 * F.pow(F.sin(phi), 2))
-    gx = nu * F.cos(phi) * F.cos(lam) + ell.shift[0]
-    gy = nu * F.cos(phi) * F.sin(lam) + ell.shift[1]
-    gz = nu * (1 - e2) * F.sin(phi) + ell.shift[2]
-    p = F.sqrt(gx * gx + gy * gy)
     b = WGS84_A * (1 - WGS84_F)
     ep2 = WGS84_E2 / (1 - WGS84_E2)
-    theta = F.atan2(gz * WGS84_A, p * b)
-    out = F.atan2(gz + ep2 * b * F.pow(F.sin(theta), 3), p - WGS84_E2 * WGS84_A * F.pow(F.cos(theta), 3))
-    return _point(F.degrees(F.atan2(gy, gx)), F.degrees(out))
+
+    def back(c: Column) -> Column:
+        theta = F.atan2(c["z"] * WGS84_A, c["p"] * b)
+        out = F.atan2(c["z"] + ep2 * b * F.pow(F.sin(theta), 3), c["p"] - WGS84_E2 * WGS84_A * F.pow(F.cos(theta), 3))
+        return _point(F.degrees(F.atan2(c["y"], c["x"])), F.degrees(out))
+
+    def planar(c: Column) -> Column:
+        return _with({"x": c["x"], "y": c["y"], "z": c["z"], "p": F.sqrt(c["x"] * c["x"] + c["y"] * c["y"])}, back)
+
+    def geocentric(c: Column) -> Column:
+        nu = ell.a / F.sqrt(1 - e2 * F.pow(F.sin(c["phi"]), 2))
+        x = nu * F.cos(c["phi"]) * F.cos(c["lam"]) + ell.shift[0]
+        y = nu * F.cos(c["phi"]) * F.sin(c["lam"]) + ell.shift[1]
+        return _with({"x": x, "y": y, "z": nu * (1 - e2) * F.sin(c["phi"]) + ell.shift[2]}, planar)
+
+    return _with({"phi": F.radians(lat), "lam": F.radians(lon)}, geocentric)
 
 
 def to_lonlat(x: Column, y: Column, crs: int) -> Column:
@@ -135,8 +162,7 @@ def to_lonlat(x: Column, y: Column, crs: int) -> Column:
     if crs == 6933:
         return equal_area_inverse(x, y)
     if crs == 20137:
-        geographic = utm_inverse(x, y, ell=ADINDAN)
-        return datum_to_wgs84(geographic["x"], geographic["y"])
+        return _with({"g": utm_inverse(x, y, ell=ADINDAN)}, lambda c: datum_to_wgs84(c["g"]["x"], c["g"]["y"]))
     raise ValueError(f"no transformation from EPSG:{crs}")
 
 

@@ -1,0 +1,461 @@
+"""Vector, nearest-feature and layer-audit queries."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from cellsight.functions import geometry as G
+from cellsight.functions import projection as P
+from cellsight.functions.text import area_identity
+from cellsight.operators import layers as L
+from cellsight.operators import vector as V
+from cellsight.operators.nearest import nearest_segment
+from cellsight.operators.runs import identity_census, key_occurrences
+from cellsight.operators.search import district_boxes
+from cellsight.registry import query
+from cellsight.registry.inputs import AREAS_SQL, CROSSED, EDGES_SQL, ROADS_SQL, shape_rings, with_
+
+SIZE = 4.0
+POLY = (AREAS_SQL, EDGES_SQL)
+BOX_SQL = "box AS (SELECT area_id, min(least(x1, x2)) AS xmin, min(least(y1, y2)) AS ymin, max(greatest(x1, x2)) AS xmax, max(greatest(y1, y2)) AS ymax FROM edges GROUP BY 1)"
+
+
+@query(
+    "geometry_measures",
+    with_(
+        *POLY, BOX_SQL,
+        """rings AS (SELECT area_id, ring, abs(sum(x1 * y2 - x2 * y1)) / 2 AS a, sum(sqrt((x2 - x1) * (x2 - x1) + (y2 - y1) * (y2 - y1))) AS len, count(*) AS n FROM edges GROUP BY 1, 2)""",
+        """sums AS (SELECT area_id, sum(CASE WHEN ring = 0 THEN a ELSE -a END) AS area, sum(len) AS len, CAST(sum(n) AS INTEGER) AS n FROM rings GROUP BY 1)""",
+        then="SELECT area_id, xmin, ymin, xmax, ymax, (xmin + xmax) / 2 AS cx, (ymin + ymax) / 2 AS cy, area AS planar_area, round(len, 9) AS planar_length, n AS vertices FROM box JOIN sums USING (area_id)",
+    ),
+)
+def geometry_measures(t):
+    a = t.areas()
+    b = G.envelope(F.col("rings"))
+    c = G.envelope_centre(b)
+    return a.select(
+        "area_id", b["xmin"].alias("xmin"), b["ymin"].alias("ymin"), b["xmax"].alias("xmax"), b["ymax"].alias("ymax"), c["x"].alias("cx"), c["y"].alias("cy"),
+        G.planar_area(F.col("rings")).alias("planar_area"), F.round(G.planar_length(F.col("rings")), 9).alias("planar_length"), G.vertex_count(F.col("rings")).alias("vertices"),
+    )
+
+
+# lon/lat of a road end for the geodesic queries
+GEO_SQL = "geo AS (SELECT line_id, 36.5 + x1 * 0.01 AS lon1, 12.3 + y1 * 0.01 AS lat1, 36.5 + x2 * 0.01 AS lon2, 12.3 + y2 * 0.01 AS lat2 FROM roads)"
+
+
+def geo_roads(t):
+    return t.roads().select(
+        "line_id", (36.5 + F.col("x1") * 0.01).alias("lon1"), (12.3 + F.col("y1") * 0.01).alias("lat1"), (36.5 + F.col("x2") * 0.01).alias("lon2"), (12.3 + F.col("y2") * 0.01).alias("lat2")
+    )
+
+
+@query(
+    "geodesic_length",
+    with_(
+        ROADS_SQL, GEO_SQL,
+        then="""SELECT line_id, round(2 * 6371008.8 * asin(sqrt(power(sin(radians(lat2 - lat1) / 2), 2) + cos(radians(lat1)) * cos(radians(lat2)) * power(sin(radians(lon2 - lon1) / 2), 2))), 4) AS length_m FROM geo""",
+    ),
+)
+def geodesic_length(t):
+    line = G.ring_from_xy((F.col("lon1"), F.col("lat1")), (F.col("lon2"), F.col("lat2")))
+    return geo_roads(t).select("line_id", F.round(G.geodesic_length_m(F.array(line)), 4).alias("length_m"))
+
+
+Q = "((1 - e2) * ({s} / (1 - e2 * {s} * {s}) - ln((1 - e * {s}) / (1 + e * {s})) / (2 * e)))"
+
+
+@query(
+    "geodesic_area",
+    with_(
+        *POLY,
+        "k AS (SELECT 6378137.0::DOUBLE AS a, 0.0066943799901413165::DOUBLE AS e2, sqrt(0.0066943799901413165::DOUBLE) AS e)",
+        f"""pe AS (SELECT area_id, ring, radians(36.5 + x1 * 0.01) * a AS x1, radians(36.5 + x2 * 0.01) * a AS x2,
+          {Q.format(s='sin(radians(12.3 + y1 * 0.01))')} * a / 2 AS y1, {Q.format(s='sin(radians(12.3 + y2 * 0.01))')} * a / 2 AS y2 FROM edges CROSS JOIN k)""",
+        "rs AS (SELECT area_id, ring, abs(sum((x1 - 4063000) * (y2 - 1350000) - (x2 - 4063000) * (y1 - 1350000))) / 2 AS m2 FROM pe GROUP BY 1, 2)",
+        then="SELECT area_id, round(sum(CASE WHEN ring = 0 THEN m2 ELSE -m2 END) / 1e6, 5) AS area_km2 FROM rs GROUP BY 1",
+    ),
+)
+def geodesic_area(t):
+    rings = P.rings_to(F.col("rings"), lambda x, y: F.struct((36.5 + x * 0.01).alias("x"), (12.3 + y * 0.01).alias("y")))
+    return t.areas().select("area_id", F.round(G.geodesic_area_km2(rings), 5).alias("area_km2"))
+
+
+def _krueger_sql() -> str:
+    n, radius, alpha, _, _ = P._series(P.WGS84)
+    k = 2 * n**0.5 / (1 + n)
+    east = " + ".join(["eta"] + [f"{a!r}::DOUBLE * cos({2 * j} * xi) * sinh({2 * j} * eta)" for j, a in enumerate(alpha, 1)])
+    north = " + ".join(["xi"] + [f"{a!r}::DOUBLE * sin({2 * j} * xi) * cosh({2 * j} * eta)" for j, a in enumerate(alpha, 1)])
+    return f"""u1 AS (SELECT line_id, lon1, lat1, sinh(atanh(sin(radians(lat1))) - {k!r}::DOUBLE * atanh({k!r}::DOUBLE * sin(radians(lat1)))) AS tt, radians(lon1 - 39) AS dl FROM geo),
+u2 AS (SELECT *, atan2(tt, cos(dl)) AS xi, atanh(sin(dl) / sqrt(1 + tt * tt)) AS eta FROM u1),
+utm AS (SELECT line_id, lon1, lat1, 500000 + 0.9996 * {radius!r}::DOUBLE * ({east}) AS utm_x, 0.9996 * {radius!r}::DOUBLE * ({north}) AS utm_y FROM u2)"""
+
+
+@query(
+    "reproject_points",
+    with_(
+        ROADS_SQL, GEO_SQL, _krueger_sql(),
+        "k AS (SELECT 6378137.0::DOUBLE AS a, 0.0066943799901413165::DOUBLE AS e2, sqrt(0.0066943799901413165::DOUBLE) AS e, cos(radians(30)) / sqrt(1 - 0.0066943799901413165::DOUBLE * sin(radians(30)) * sin(radians(30))) AS k0)",
+        then=f"""SELECT line_id, round(utm_x, 3) AS utm_x, round(utm_y, 3) AS utm_y, round(radians(lon1) * a * k0, 3) AS ea_x, round({Q.format(s='sin(radians(lat1))')} * a / (2 * k0), 3) AS ea_y,
+          round(lon1, 6) AS back_lon, round(lat1, 6) AS back_lat FROM utm CROSS JOIN k""",
+    ),
+)
+def reproject_points(t):
+    """Lon/lat to UTM and equal-area, and back from UTM."""
+    g = geo_roads(t).withColumn("u", P.utm_forward(F.col("lon1"), F.col("lat1"))).withColumn("e", P.equal_area_forward(F.col("lon1"), F.col("lat1")))
+    back = P.utm_inverse(F.col("u.x"), F.col("u.y"))
+    r = lambda c, n: F.round(c, n)
+    return g.select(
+        "line_id", r(F.col("u.x"), 3).alias("utm_x"), r(F.col("u.y"), 3).alias("utm_y"), r(F.col("e.x"), 3).alias("ea_x"), r(F.col("e.y"), 3).alias("ea_y"),
+        r(back["x"], 6).alias("back_lon"), r(back["y"], 6).alias("back_lat"),
+    )
+
+
+@query(
+    "padded_extent",
+    with_(*POLY, BOX_SQL, then="SELECT min(xmin) - 0.05 AS xmin, min(ymin) - 0.05 AS ymin, max(xmax) + 0.05 AS xmax, max(ymax) + 0.05 AS ymax FROM box"),
+)
+def padded_extent(t):
+    return V.extent(t.areas(), 0.05)
+
+
+@query(
+    "district_boxes",
+    with_(*POLY, BOX_SQL, then="SELECT district_en, district_key, min(xmin) AS xmin, min(ymin) AS ymin, max(xmax) AS xmax, max(ymax) AS ymax FROM box JOIN areas USING (area_id) GROUP BY 1, 2"),
+)
+def district_boxes_query(t):
+    b = G.envelope(F.col("rings"))
+    boxes = t.areas().select("district_en", "district_key", b["xmin"].alias("xmin"), b["ymin"].alias("ymin"), b["xmax"].alias("xmax"), b["ymax"].alias("ymax"))
+    return district_boxes(boxes, ("district_en", "district_key"))
+
+
+POINTS_SQL = """mid AS (SELECT area_id, (ymin + ymax) / 2 AS cy, ymax FROM box),
+above AS (SELECT m.area_id, cy, coalesce(min(CASE WHEN y1 > cy THEN y1 END), max(ymax)) AS up FROM mid m JOIN edges e ON e.area_id = m.area_id GROUP BY 1, 2),
+line AS (SELECT area_id, (cy + up) / 2 AS y0 FROM above),
+crossx AS (SELECT l.area_id, y0, x1 + (y0 - y1) * (x2 - x1) / (y2 - y1) AS x FROM line l JOIN edges e ON e.area_id = l.area_id AND least(y1, y2) <= y0 AND y0 < greatest(y1, y2)),
+pr AS (SELECT *, lead(x) OVER w AS xn, row_number() OVER w AS k FROM crossx WINDOW w AS (PARTITION BY area_id ORDER BY x)),
+wide AS (SELECT *, row_number() OVER (PARTITION BY area_id ORDER BY xn - x DESC, x) AS rn FROM pr WHERE k % 2 = 1 AND xn IS NOT NULL),
+points AS (SELECT area_id, (x + xn) / 2 AS px, y0 AS py FROM wide WHERE rn = 1)"""
+
+
+@query("interior_points", with_(*POLY, BOX_SQL, POINTS_SQL, then="SELECT area_id, round(px, 9) AS px, round(py, 9) AS py FROM points"))
+def interior_points(t):
+    return V.interior_point(t.areas()).select("area_id", F.round("px", 9).alias("px"), F.round("py", 9).alias("py"))
+
+
+@query(
+    "nearest_road",
+    with_(
+        *POLY, BOX_SQL, POINTS_SQL, ROADS_SQL,
+        """official AS (SELECT * FROM roads WHERE upper(trim(owner)) IN ('MACHINERY', 'BUILDING', 'FURNITURE'))""",
+        """d AS (SELECT area_id, line_id, px, py, x1, y1, x2 - x1 AS dx, y2 - y1 AS dy, greatest(0, least(1, ((px - x1) * (x2 - x1) + (py - y1) * (y2 - y1)) / ((x2 - x1) * (x2 - x1) + (y2 - y1) * (y2 - y1)))) AS tt FROM points CROSS JOIN official)""",
+        then="SELECT area_id, round(min(sqrt(power(px - (x1 + tt * dx), 2) + power(py - (y1 + tt * dy), 2))), 8) AS distance FROM d GROUP BY 1",
+    ),
+)
+def nearest_road(t):
+    """Distance from each area's interior point to the nearest road of an official owner."""
+    from cellsight.operators.runs import owner_in
+
+    official = t.roads().where(owner_in(F.col("owner"), ["MACHINERY", "BUILDING", "FURNITURE"]))
+    return nearest_segment(V.interior_point(t.areas()), official, 0.5).select("area_id", F.round("distance", 8).alias("distance"))
+
+
+MEET = """((({dx}) * (q.y1 - p.y1) - ({dy}) * (q.x1 - p.x1)) * (({dx}) * (q.y2 - p.y1) - ({dy}) * (q.x2 - p.x1)) {op} 0
+ AND (({ex}) * (p.y1 - q.y1) - ({ey}) * (p.x1 - q.x1)) * (({ex}) * (p.y2 - q.y1) - ({ey}) * (p.x2 - q.x1)) {op} 0)"""
+MEETS = MEET.format(dx="p.x2 - p.x1", dy="p.y2 - p.y1", ex="q.x2 - q.x1", ey="q.y2 - q.y1", op="<=") + """
+ AND least(p.x1, p.x2) <= greatest(q.x1, q.x2) AND least(q.x1, q.x2) <= greatest(p.x1, p.x2) AND least(p.y1, p.y2) <= greatest(q.y1, q.y2) AND least(q.y1, q.y2) <= greatest(p.y1, p.y2)"""
+CROSSES = MEET.format(dx="p.x2 - p.x1", dy="p.y2 - p.y1", ex="q.x2 - q.x1", ey="q.y2 - q.y1", op="<")
+PIP = "y1 <> y2 AND least(y1, y2) <= {y} AND {y} < greatest(y1, y2) AND x1 + ({y} - y1) * ((x2 - x1) / (y2 - y1)) > {x}"
+STARTS_SQL = "starts AS (SELECT line_id, x1 AS sx, y1 AS sy FROM roads)"
+
+
+@query(
+    "areas_meet_roads",
+    with_(
+        *POLY, ROADS_SQL, STARTS_SQL,
+        then=f"""SELECT DISTINCT p.area_id, q.line_id FROM edges p JOIN roads q ON {MEETS}
+        UNION SELECT area_id, line_id FROM starts JOIN edges ON {PIP.format(x='sx', y='sy')} GROUP BY area_id, line_id HAVING count(*) % 2 = 1""",
+    ),
+)
+def areas_meet_roads(t):
+    return V.intersecting(t.areas(), t.road_features(), SIZE)
+
+
+@query(
+    "areas_overlap",
+    with_(
+        *POLY,
+        "l AS (SELECT * FROM edges WHERE area_key % 4 < 2)",
+        "r AS (SELECT area_id AS other_id, ring, seq, x1, y1, x2, y2 FROM edges WHERE area_key % 4 >= 2)",
+        f"""lv AS (SELECT area_id, x1 AS sx, y1 AS sy FROM l WHERE ring = 0 AND seq = 0), rv AS (SELECT other_id, x1 AS sx, y1 AS sy FROM r WHERE ring = 0 AND seq = 0)""",
+        then=f"""SELECT DISTINCT p.area_id, q.other_id FROM l p JOIN r q ON {MEETS}
+        UNION SELECT area_id, other_id FROM lv JOIN r ON {PIP.format(x='sx', y='sy')} GROUP BY 1, 2 HAVING count(*) % 2 = 1
+        UNION SELECT area_id, other_id FROM rv JOIN l ON {PIP.format(x='sx', y='sy')} GROUP BY 1, 2 HAVING count(*) % 2 = 1""",
+    ),
+)
+def areas_overlap(t):
+    left = t.areas().where("area_key % 4 < 2")
+    right = t.areas().where("area_key % 4 >= 2").withColumnRenamed("area_id", "other_id")
+    return V.polygons_overlap(left, right, SIZE, "area_id", "other_id")
+
+
+@query(
+    "road_starts_in_areas",
+    with_(*POLY, ROADS_SQL, STARTS_SQL, then=f"SELECT line_id, area_id FROM starts JOIN edges ON {PIP.format(x='sx', y='sy')} GROUP BY 1, 2 HAVING count(*) % 2 = 1"),
+)
+def road_starts_in_areas(t):
+    starts = t.roads().select("line_id", F.col("x1").alias("px"), F.col("y1").alias("py"))
+    return V.points_in_areas(starts, t.areas(), SIZE, "line_id", "area_id")
+
+
+REGION_SQL = "region AS (SELECT area_id AS region_id, x1, y1, x2, y2 FROM edges WHERE area_key % 4 = 2)"
+
+
+@query(
+    "road_length_inside",
+    with_(
+        *POLY, ROADS_SQL, REGION_SQL,
+        f"""hits AS (SELECT p.line_id, ((q.x1 - p.x1) * (q.y2 - q.y1) - (q.y1 - p.y1) * (q.x2 - q.x1)) / nullif((p.x2 - p.x1) * (q.y2 - q.y1) - (p.y2 - p.y1) * (q.x2 - q.x1), 0) AS tt FROM roads p JOIN region q ON {MEETS})""",
+        """cuts AS (SELECT line_id, tt FROM hits WHERE tt > 0 AND tt < 1 UNION SELECT line_id, 0 FROM roads UNION SELECT line_id, 1 FROM roads)""",
+        """pieces AS (SELECT *, lead(tt) OVER (PARTITION BY line_id ORDER BY tt) AS t2 FROM cuts)""",
+        """mids AS (SELECT p.line_id, tt, t2, r.x1 + (tt + t2) / 2 * (r.x2 - r.x1) AS sx, r.y1 + (tt + t2) / 2 * (r.y2 - r.y1) AS sy, sqrt(power(r.x2 - r.x1, 2) + power(r.y2 - r.y1, 2)) AS len FROM pieces p JOIN roads r USING (line_id) WHERE t2 IS NOT NULL)""",
+        f"""ins AS (SELECT DISTINCT line_id, tt, t2, len FROM (SELECT line_id, tt, t2, len, region_id FROM mids JOIN region ON {PIP.format(x='sx', y='sy')} GROUP BY ALL HAVING count(*) % 2 = 1) z)""",
+        then="SELECT line_id, round(sum((t2 - tt) * len), 8) AS inside FROM ins GROUP BY 1",
+    ),
+)
+def road_length_inside(t):
+    region = t.areas().where("area_key % 4 = 2").withColumnRenamed("area_id", "region_id")
+    return V.length_inside(t.road_features(), region, SIZE).select("line_id", F.round("inside", 8).alias("inside"))
+
+
+@query("polygon_area_inside")
+def polygon_area_inside(t):
+    """Area of the box and triangle polygons inside the L-shaped regions (no SQL twin; brute force in the tests)."""
+    region = t.areas().where("area_key % 4 = 2").withColumnRenamed("area_id", "region_id")
+    return V.area_inside(t.areas().where("area_key % 4 < 2"), region, SIZE).select("area_id", F.round("inside", 8).alias("inside"))
+
+
+@query(
+    "ring_problems",
+    with_(
+        AREAS_SQL.replace("s_suppkey % 4 AS shape", "CASE WHEN s_suppkey % 11 = 0 THEN 4 ELSE s_suppkey % 4 END AS shape"),
+        EDGES_SQL.replace(") AS shapes(", ", " + ", ".join(f"(4,0,{i},{a[0]},{a[1]},{b[0]},{b[1]})" for i, (a, b) in enumerate(zip(CROSSED[0], CROSSED[0][1:]))) + ") AS shapes("),
+        f"""bad AS (SELECT DISTINCT p.area_id FROM edges p JOIN edges q ON p.area_id = q.area_id AND (p.ring, p.seq) < (q.ring, q.seq) WHERE {CROSSES})""",
+        then="SELECT a.area_id, b.area_id IS NULL AS is_valid, CASE WHEN b.area_id IS NOT NULL THEN 'Self-intersection[' || (x0 + 2.5) || ' ' || (y0 + 2.5) || ']' END AS reason FROM areas a LEFT JOIN bad b ON b.area_id = a.area_id",
+    ),
+)
+def ring_problems(t):
+    a = t.areas()
+    key = F.col("area_key")
+    crossed = shape_rings(F.lit(0), (key % 10) * 5, F.floor(key / 10) * 4, (CROSSED,))
+    mixed = a.withColumn("rings", F.when(key % 11 == 0, crossed).otherwise(F.col("rings")))
+    return V.ring_problems(mixed, SIZE).select("area_id", "is_valid", V.invalid_reason().alias("reason"))
+
+
+@query(
+    "vertex_statistics",
+    with_(
+        *POLY,
+        "n AS (SELECT area_id, count(*) AS n FROM edges GROUP BY 1)",
+        then="SELECT count(*) AS feature_count, 0 AS degenerate_count, min(n) AS minimum_vertices, quantile_cont(n, 0.5) AS median_vertices, max(n) AS maximum_vertices, 4 AS floor_vertices, count(*) FILTER (WHERE n <= 4) AS floor_feature_count FROM n",
+    ),
+)
+def vertex_statistics(t):
+    return V.vertex_statistics(t.areas())
+
+
+@query(
+    "low_vertex_findings",
+    with_(
+        *POLY,
+        "low AS (SELECT area_id, area_key FROM edges GROUP BY 1, 2 HAVING count(*) <= 4 OR area_key % 7 = 0)",
+        then="""SELECT area_id, 'identity_missing' AS finding FROM areas WHERE area_key % 20 = 0
+        UNION ALL SELECT area_id, 'new_floor_feature' FROM low WHERE area_key % 20 <> 0 AND area_key % 3 <> 0""",
+    ),
+)
+def low_vertex_findings(t):
+    before = t.areas()
+    key = F.col("area_key")
+    triangle = shape_rings(F.lit(1), F.lit(0), F.lit(0))
+    after = before.where(key % 20 != 0).withColumn("rings", F.when(key % 7 == 0, triangle).otherwise(F.col("rings")))
+    return V.low_vertex_findings(before, after, before.where(key % 3 == 0).select("area_id"))
+
+
+@query(
+    "display_coordinates",
+    with_(
+        *POLY,
+        then="SELECT area_id, round(sum(round_even(x1 / 7.0, 5)), 4) AS x_sum, round(sum(round_even(y1 / 3.0, 5)), 4) AS y_sum FROM edges GROUP BY 1",
+    ),
+)
+def display_coordinates(t):
+    scaled = P.rings_to(F.col("rings"), lambda x, y: F.struct((x / 7.0).alias("x"), (y / 3.0).alias("y")))
+    shown = G.display_copy(scaled)
+    firsts = F.flatten(F.transform(shown, lambda r: F.slice(r, 1, F.size(r) - 1)))
+    total = lambda c: F.round(F.aggregate(firsts, F.lit(0.0), lambda acc, p: acc + p[c]), 4)
+    return t.areas().select("area_id", total("x").alias("x_sum"), total("y").alias("y_sum"))
+
+
+FINGERPRINT_SQL = """ringtext AS (SELECT area_id, ring, '[' || string_agg('{"x":' || x1 || ',"y":' || y1 || '}', ',' ORDER BY seq) || ',' || min(CASE WHEN seq = 0 THEN '{"x":' || x1 || ',"y":' || y1 || '}' END) || ']' AS txt FROM edges GROUP BY 1, 2),
+prints AS (SELECT area_id, md5('[' || string_agg(txt, ',' ORDER BY ring) || ']') AS fp FROM ringtext GROUP BY 1)"""
+
+
+@query(
+    "area_identities",
+    with_(
+        *POLY, FINGERPRINT_SQL,
+        "occ AS (SELECT source_key, count(*) AS n FROM areas GROUP BY 1)",
+        then="""SELECT 'area-v1-' || md5(concat_ws('|', 'areas', coalesce(a.source_key, ''), upper(trim(name_en)), upper(trim(district_en)), fp)) AS identity, fp AS geometry_fingerprint, n AS source_key_occurrences, n > 1 AS review_required
+        FROM areas a JOIN prints USING (area_id) JOIN occ o ON o.source_key IS NOT DISTINCT FROM a.source_key""",
+    ),
+)
+def area_identities(t):
+    return identities(t).select("identity", "geometry_fingerprint", "source_key_occurrences", "review_required")
+
+
+def identities(t):
+    counted = key_occurrences(t.areas(), "source_key", "source_key_occurrences").withColumn("geometry_fingerprint", G.fingerprint(F.col("rings")))
+    named = area_identity("area-v1-", "areas", F.col("source_key"), F.col("name_en"), F.col("district_en"), F.col("geometry_fingerprint"))
+    return counted.withColumn("identity", named).withColumn("review_required", F.col("source_key_occurrences") > 1)
+
+
+@query(
+    "identity_census",
+    with_(
+        AREAS_SQL,
+        "occ AS (SELECT count(*) OVER (PARTITION BY source_key) AS n FROM areas)",
+        then="SELECT count(*) AS identities, count(*) FILTER (WHERE n > 1) AS review_required, 'areas-v1' AS boundary_set_version FROM occ",
+    ),
+)
+def identity_census_query(t):
+    return identity_census(identities(t).withColumn("boundary_set_version", F.lit("areas-v1")))
+
+
+# ---- vector layers: one layer per 60th customer key, coordinates and declared CRS by layer number
+
+FEATURES_SQL = """feats AS (
+  SELECT 'layer-' || (c_custkey % 60) AS layer, c_custkey % 60 AS l, (c_custkey % 60) % 6 AS kind, c_custkey, c_acctbal,
+    CASE WHEN c_custkey % 2 = 0 OR (c_custkey % 60) % 5 > 0 THEN 'Point' ELSE 'MultiPoint' END AS geom_type,
+    CASE (c_custkey % 60) % 6 WHEN 0 THEN 36 + (c_custkey * 7) % 50 * 0.05 WHEN 2 THEN 36 + (c_custkey * 7) % 50 * 0.05 WHEN 4 THEN 1e9 + c_custkey ELSE 400000 + (c_custkey * 7) % 50 * 1000 END AS x,
+    CASE (c_custkey % 60) % 6 WHEN 0 THEN 12 + c_custkey % 40 * 0.05 WHEN 2 THEN 12 + c_custkey % 40 * 0.05 WHEN 4 THEN 1e9 + c_custkey ELSE 1400000 + c_custkey % 40 * 1000 END AS y,
+    CASE (c_custkey % 60) % 6 WHEN 0 THEN 4326 WHEN 1 THEN 32637 WHEN 3 THEN 4326 WHEN 5 THEN 20137 END AS crs
+  FROM customer)"""
+LAYERS_SQL = """layers AS (
+  SELECT layer, any_value(l) AS l, any_value(kind) AS kind, count(*) AS feature_count, string_agg(DISTINCT geom_type, '|' ORDER BY geom_type) AS geom_types, max(crs) AS crs,
+    min(x) AS xmin, min(y) AS ymin, max(x) AS xmax, max(y) AS ymax, avg(CASE WHEN c_acctbal > -900 THEN 1.0 ELSE 0.0 END) AS valid_geom_ratio, any_value(l) % 17 <> 0 AS read_ok
+  FROM feats GROUP BY 1),
+flagged AS (SELECT *, CASE WHEN xmin > xmax OR ymin > ymax THEN 'INVERTED_BOUNDS' WHEN xmin = xmax AND ymin = ymax THEN 'ZERO_EXTENT'
+    WHEN crs = 4326 AND NOT (xmin >= -180 AND xmax <= 180 AND ymin >= -90 AND ymax <= 90) THEN 'OUT_OF_RANGE_FOR_4326' WHEN crs = 4326 THEN NULL
+    WHEN crs IS NULL AND xmin >= -180 AND xmax <= 180 AND ymin >= -90 AND ymax <= 90 THEN 'CRS_MISSING_BUT_BOUNDS_LOOK_GEOGRAPHIC'
+    WHEN greatest(abs(xmin), abs(ymin), abs(xmax), abs(ymax)) > 1e8 THEN 'ABSURD_MAGNITUDE_BOUNDS' END AS bounds_flag FROM layers),
+resolved AS (SELECT f.*, CASE WHEN n_nationkey IS NOT NULL AND kind = 3 THEN 32637 WHEN crs IS NOT NULL THEN crs WHEN kind = 2 THEN 4326 END AS assigned_crs
+  FROM flagged f LEFT JOIN nation ON layer = 'layer-' || n_nationkey),
+decided AS (SELECT *, CASE WHEN NOT read_ok THEN 'READ_FAILED' WHEN assigned_crs IS NULL THEN 'CRS_MISSING_NO_OVERRIDE' WHEN kind = 3 AND assigned_crs = 4326 THEN 'CRS_CLAIMS_4326_BUT_OUT_OF_RANGE'
+    WHEN valid_geom_ratio < 0.98 THEN 'GEOM_INVALID_POST_REPAIR' END AS reason FROM resolved)"""
+
+
+def layer_features(t):
+    c = t.raw("customer")
+    k = F.col("c_custkey")
+    n = k % 60
+    kind = n % 6
+    geographic = kind.isin(0, 2)
+    x = F.when(geographic, 36 + (k * 7) % 50 * 0.05).when(kind == 4, 1e9 + k).otherwise(400000 + (k * 7) % 50 * 1000)
+    y = F.when(geographic, 12 + k % 40 * 0.05).when(kind == 4, 1e9 + k).otherwise(1400000 + k % 40 * 1000)
+    crs = F.when(kind.isin(0, 3), 4326).when(kind == 1, 32637).when(kind == 5, 20137)
+    return c.select(
+        F.concat(F.lit("layer-"), n).alias("layer"),
+        F.concat(F.lit("f-"), k).alias("feature_id"),
+        F.when((k % 2 == 0) | (n % 5 > 0), "Point").otherwise("MultiPoint").alias("geom_type"),
+        crs.alias("crs"),
+        F.array(G.ring_from_xy((x, y))).alias("rings"),
+        F.create_map(F.lit("name"), F.col("c_name"), F.lit("rank"), k.cast("string"), F.lit("balance"), F.col("c_acctbal").cast("decimal(12,2)").cast("string")).alias("attrs"),
+        (F.col("c_acctbal") > -900).alias("valid"),
+        (n % 17 != 0).alias("readable"),
+    )
+
+
+def audited_layers(t):
+    features = layer_features(t)
+    extra = features.groupBy("layer").agg(F.avg(F.col("valid").cast("double")).alias("valid_geom_ratio"), F.bool_and("readable").alias("read_ok"))
+    inventory = L.layer_inventory(features).join(extra, "layer")
+    return inventory.withColumn("bounds_flag", L.bounds_flag(F.col("crs")))
+
+
+def resolved_layers(t):
+    overrides = t.raw("nation").select(F.concat(F.lit("layer-"), "n_nationkey").alias("layer"), F.lit("EPSG:32637").alias("epsg")).where("CAST(substring(layer, 7) AS INT) % 6 = 3")
+    resolved = L.resolve_crs(audited_layers(t), overrides)
+    corner = lambda px, py: F.when(F.col("assigned_crs") == 4326, F.struct(F.col(px).alias("x"), F.col(py).alias("y"))).otherwise(
+        F.coalesce(*[F.when(F.col("assigned_crs") == code, P.to_lonlat(F.col(px), F.col(py), code)) for code in (32637, 20137)])
+    )
+    low, high = corner("xmin", "ymin"), corner("xmax", "ymax")
+    for c, v in (("post_xmin", low["x"]), ("post_ymin", low["y"]), ("post_xmax", high["x"]), ("post_ymax", high["y"])):
+        resolved = resolved.withColumn(c, v)
+    return resolved
+
+
+@query(
+    "layer_inventory",
+    with_(FEATURES_SQL, LAYERS_SQL, then="SELECT layer, feature_count, geom_types, crs, xmin, ymin, xmax, ymax, 'balance|name|rank' AS fields, bounds_flag FROM flagged"),
+)
+def layer_inventory(t):
+    out = audited_layers(t)
+    return out.select("layer", "feature_count", "geom_types", "crs", "xmin", "ymin", "xmax", "ymax", F.array_join("fields", "|").alias("fields"), "bounds_flag")
+
+
+@query("layer_fields", with_(FEATURES_SQL, then="SELECT DISTINCT layer, fname AS field_name, ftype AS field_type FROM feats CROSS JOIN (VALUES ('name', 'String'), ('rank', 'Integer'), ('balance', 'Real')) v(fname, ftype)"))
+def layer_fields(t):
+    return L.field_rows(layer_features(t))
+
+
+@query(
+    "normalisation_decision",
+    with_(FEATURES_SQL, LAYERS_SQL, then="SELECT layer, assigned_crs, reason, CASE WHEN reason IS NULL THEN 'GOLD' ELSE 'QUARANTINE' END AS status FROM decided"),
+)
+def normalisation_decision(t):
+    return L.normalisation_decision(resolved_layers(t)).select("layer", "assigned_crs", "reason", "status")
+
+
+@query("inventory_report", with_(FEATURES_SQL, LAYERS_SQL, then="SELECT count(*) AS layers, count(*) FILTER (WHERE read_ok) AS read_ok, count(*) FILTER (WHERE NOT read_ok) AS failed, count(*) FILTER (WHERE crs IS NULL) AS missing_crs, count(bounds_flag) AS bounds_flagged FROM flagged"))
+def inventory_report(t):
+    return L.inventory_report(audited_layers(t))
+
+
+@query("top_bounds_flags", with_(FEATURES_SQL, LAYERS_SQL, then="SELECT bounds_flag, count(*) AS layers FROM flagged WHERE bounds_flag IS NOT NULL GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 10"))
+def top_bounds_flags(t):
+    return L.top_values(audited_layers(t), "bounds_flag")
+
+
+@query(
+    "suspicious_layers",
+    with_(
+        FEATURES_SQL, LAYERS_SQL,
+        then="SELECT layer, kind IN (0, 2) AS looks_like_degrees, kind IN (0, 2) AS looks_like_country, crs IS NULL OR kind = 3 AS suspicious FROM flagged",
+    ),
+)
+def suspicious_layers(t):
+    return L.screen(audited_layers(t)).orderBy(F.desc("suspicious"), "layer").select("layer", "looks_like_degrees", "looks_like_country", "suspicious")
+
+
+@query("verified_layers", with_(FEATURES_SQL, LAYERS_SQL, then="SELECT verification, count(*) AS layers, CAST(sum(feature_count) AS BIGINT) AS features FROM (SELECT *, CASE WHEN crs IS NULL OR crs <> 4326 THEN 'ERROR' WHEN feature_count = 0 THEN 'WARN' ELSE 'OK' END AS verification FROM flagged) v GROUP BY 1"))
+def verified_layers(t):
+    return L.verify_normalised(audited_layers(t)).groupBy("verification").agg(F.count(F.lit(1)).alias("layers"), F.sum("feature_count").alias("features"))
+
+
+@query(
+    "layer_classes",
+    with_(
+        *POLY, ROADS_SQL, REGION_SQL,
+        "starts AS (SELECT line_id, 'layer-' || (CAST(substr(line_id, 6) AS BIGINT) % 40) AS layer, x1 AS sx, y1 AS sy FROM roads)",
+        f"ins AS (SELECT DISTINCT line_id FROM (SELECT line_id, region_id FROM starts JOIN region ON {PIP.format(x='sx', y='sy')} GROUP BY 1, 2 HAVING count(*) % 2 = 1) z)",
+        "sh AS (SELECT layer, CAST(count(*) AS DOUBLE) AS total, CAST(count(i.line_id) AS DOUBLE) AS inside FROM starts s LEFT JOIN ins i USING (line_id) GROUP BY 1)",
+        then="""SELECT layer, total, inside, inside / total AS inside_ratio, CASE WHEN layer IN ('layer-1', 'layer-2') THEN 'regional' WHEN layer = 'layer-0' THEN 'national' WHEN inside / total >= 0.2 THEN 'regional' ELSE 'national' END AS class FROM sh""",
+    ),
+)
+def layer_classes(t):
+    """Share of each layer's points inside the region; forced classes first."""
+    region = t.areas().where("area_key % 4 = 2").withColumnRenamed("area_id", "region_id")
+    starts = t.roads().select(F.concat(F.lit("layer-"), F.substring("line_id", 6, 20).cast("long") % 40).alias("layer"), F.col("line_id").alias("point_id"), F.col("x1").alias("px"), F.col("y1").alias("py"))
+    inside = V.clip_points(starts, region, SIZE).select("point_id", F.lit(1.0).alias("hit"))
+    shares = starts.join(inside, "point_id", "left").groupBy("layer").agg(F.count(F.lit(1)).cast("double").alias("total"), F.coalesce(F.sum("hit"), F.lit(0.0)).alias("inside"))
+    forced = t.raw("nation").where("n_nationkey < 3").select(F.concat(F.lit("layer-"), "n_nationkey").alias("layer"), F.when(F.col("n_nationkey") == 0, "national").otherwise("regional").alias("forced_class"))
+    return V.classify_layers(shares, forced, 0.2)
