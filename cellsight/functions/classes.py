@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # Upper limits of the first nine of ten display classes per indicator.
@@ -163,23 +163,32 @@ def _month_label(value: Column) -> Column:
     return F.when(value.isNull(), "unspecified").when(iso != "", F.date_format(F.to_date(F.concat(iso, F.lit("-01"))), "MMM yyyy")).otherwise(value)
 
 
-def provider_context(properties: Column) -> Column:
-    """struct(value, label, scenario, period) read from open provider properties."""
-    value = json_first(properties, PHASE_FIELDS)
+def provider_context(features: DataFrame, properties: str = "properties") -> DataFrame:
+    """Add value, label, scenario and period read from open provider properties.
+
+    The properties are parsed in one select and classified in the next, so no JSON path is
+    evaluated more than once per row.
+    """
+    parsed = features.withColumns(
+        {
+            "_v": json_first(F.col(properties), PHASE_FIELDS),
+            "_s": json_first(F.col(properties), SCENARIO_FIELDS),
+            "_from": json_first(F.col(properties), PERIOD_START_FIELDS),
+            "_to": json_first(F.col(properties), PERIOD_END_FIELDS),
+        }
+    ).withColumns({"_first": _month_label(F.col("_from")), "_last": _month_label(F.col("_to"))})
     label = F.coalesce(
-        *[F.when(value == key, text) for key, text in PHASE_LABELS.items()],
-        F.when(value.isNotNull(), "Provider classification"),
+        *[F.when(F.col("_v") == key, text) for key, text in PHASE_LABELS.items()],
+        F.when(F.col("_v").isNotNull(), "Provider classification"),
         F.lit("Classification not supplied"),
     )
-    scenario = json_first(properties, SCENARIO_FIELDS)
-    named = F.coalesce(*[F.when(scenario == key, text) for key, text in SCENARIO_LABELS.items()], scenario, F.lit("Assessment type not supplied"))
-    start, end = json_first(properties, PERIOD_START_FIELDS), json_first(properties, PERIOD_END_FIELDS)
-    first, last = _month_label(start), _month_label(end)
-    same_year = F.substring(start, 1, 4) == F.substring(end, 1, 4)
+    named = F.coalesce(*[F.when(F.col("_s") == key, text) for key, text in SCENARIO_LABELS.items()], F.col("_s"), F.lit("Assessment type not supplied"))
+    same_year = F.substring("_from", 1, 4) == F.substring("_to", 1, 4)
     period = (
-        F.when(start.isNull() & end.isNull(), "Period not supplied")
-        .when(first == last, first)
-        .when(same_year, F.concat_ws("\u2013", F.regexp_replace(first, r" \d{4}$", ""), last))
-        .otherwise(F.concat_ws("\u2013", first, last))
+        F.when(F.col("_from").isNull() & F.col("_to").isNull(), "Period not supplied")
+        .when(F.col("_first") == F.col("_last"), F.col("_first"))
+        .when(same_year, F.concat_ws("\u2013", F.regexp_replace("_first", r" \d{4}$", ""), "_last"))
+        .otherwise(F.concat_ws("\u2013", "_first", "_last"))
     )
-    return F.struct(F.coalesce(value, F.lit("")).alias("value"), label.alias("label"), named.alias("scenario"), period.alias("period"))
+    out = parsed.withColumns({"value": F.coalesce("_v", F.lit("")), "label": label, "scenario": named, "period": period})
+    return out.drop("_v", "_s", "_from", "_to", "_first", "_last")

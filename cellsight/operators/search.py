@@ -11,7 +11,7 @@ from cellsight.functions.text import PUNCTUATION, index_name, query_name, tokens
 
 
 def _like(name: Column, pattern: str) -> Column:
-    return F.coalesce(F.lower(name).like(F.lit(pattern)), F.lit(False))
+    return F.coalesce(F.lower(name).like(pattern), F.lit(False))
 
 
 def name_rank(query: str, *names: Column) -> Column:

@@ -66,7 +66,7 @@ def alarm(facts: DataFrame, cadence: DataFrame, as_of: Column, keys: Sequence[st
 
     A release has one fact per contract source, so the gathered list holds at most seven texts.
     """
-    expected = F.array_sort(cadence.agg(F.collect_set("source_key").alias("k")).scalar())
+    expected = cadence.agg(F.array_sort(F.collect_set("source_key")).alias("k")).scalar()
     text = F.concat(
         F.col("source_key"), F.lit(" (as of "), F.coalesce(F.col("source_observation_end").cast("string"), F.lit("unknown")),
         F.lit("; stale after "), F.coalesce(F.col("stale_after").cast("string"), F.lit("unknown")), F.lit(")"),

@@ -1,0 +1,77 @@
+"""Streaming queries: the events table as a file stream, read to its end, results read back."""
+
+from __future__ import annotations
+
+import uuid
+
+from pyspark.sql import functions as F
+
+from cellsight.registry import query
+from cellsight.session import shared_dir
+from cellsight.streaming import accumulate, alerts, ingest
+
+EVENT = "event_id bigint, ts timestamp, user_id bigint, event_type string, value double, props string"
+
+
+def events(t):
+    return t.spark.readStream.schema(EVENT).option("pathGlobFilter", "events.parquet").parquet(t.folder)
+
+
+def finished(stream, t, name):
+    """Run to the end of the available files into a fresh folder of the shared directory."""
+    base = f"{shared_dir(t.spark)}/streams/{name}-{uuid.uuid4().hex}"
+    running = stream.writeStream.format("parquet").option("checkpointLocation", f"{base}/state").outputMode("append").trigger(availableNow=True).start(f"{base}/rows")
+    running.awaitTermination()
+    return t.spark.read.schema(stream.schema).parquet(f"{base}/rows")
+
+
+@query(
+    "stream_daily_pentads",
+    """WITH d AS (SELECT event_type, date_trunc('day', ts) AS day, sum(value) AS total, count(value) AS n FROM events GROUP BY 1, 2), closed AS (SELECT * FROM d WHERE day + INTERVAL 1 DAY <= (SELECT max(ts) - INTERVAL 2 DAY FROM events))
+    SELECT event_type, (year(day) * 12 + month(day) - 1) * 6 + least((day(day) - 1) // 5 + 1, 6) AS pentad_ordinal, round(sum(total), 6) AS total, CAST(sum(n) AS BIGINT) AS observations FROM closed GROUP BY 1, 2""",
+)
+def stream_daily_pentads(t):
+    """Days that the watermark has closed, summed to calendar pentads."""
+    days = finished(accumulate.pentad_sums(events(t), ["event_type"], "ts", "value", "2 days"), t, "days")
+    out = accumulate.pentads_of_days(days, ["event_type"])
+    return out.withColumn("total", F.round("total", 6))
+
+
+@query(
+    "stream_tumbling_sums",
+    """WITH w AS (SELECT event_type, CAST(floor(epoch_us(ts) / 432000000000) AS BIGINT) AS b, sum(value) AS total, count(value) AS n FROM events GROUP BY 1, 2)
+    SELECT event_type, strftime(make_timestamp(b * 432000000000), '%Y-%m-%d') AS window_start, round(total, 6) AS total, n AS observations FROM w WHERE make_timestamp((b + 1) * 432000000000) <= (SELECT max(ts) - INTERVAL 2 DAY FROM events)""",
+)
+def stream_tumbling_sums(t):
+    out = finished(accumulate.tumbling_sums(events(t), ["event_type"], "ts", "value", "5 days", "2 days"), t, "windows")
+    return out.select("event_type", F.date_format("window_start", "yyyy-MM-dd").alias("window_start"), F.round("total", 6).alias("total"), "observations")
+
+
+@query("stream_idempotent_ingest", "SELECT strftime(ts, '%Y-%m-%d') AS run_id, 'area-' || user_id AS area_id, max_by(value, (ts, event_id)) AS value FROM events GROUP BY 1, 2")
+def stream_idempotent_ingest(t):
+    """Upsert of the stream by (day, area), applied twice: the second pass changes nothing."""
+    base = f"{shared_dir(t.spark)}/streams/ingest-{uuid.uuid4().hex}"
+    rows = lambda: events(t).select(
+        F.date_format("ts", "yyyy-MM-dd").alias("run_id"), F.concat(F.lit("area-"), "user_id").alias("area_id"), "value", F.col("ts").alias("loaded_at"), "event_id"
+    )
+    for attempt in (1, 2):
+        ingest.ingest(rows(), f"{base}/rows", f"{base}/state{attempt}", order=("loaded_at", "event_id")).awaitTermination()
+    return t.spark.read.parquet(f"{base}/rows").select(F.col("run_id").cast("string").alias("run_id"), "area_id", "value")
+
+
+@query("stream_alerts")
+def stream_alerts(t):
+    """Change-only alerts per source with a one-day stale limit (state operator: no SQL twin)."""
+    observed = events(t).select(F.concat(F.lit("source-"), F.col("user_id")).alias("source_key"), F.col("ts").alias("observation_end"))
+    return finished(alerts.alert_stream(observed, F.lit(1), "1 hour"), t, "alerts")
+
+
+@query(
+    "state_changes",
+    """WITH c AS (SELECT user_id, ts, event_id, CASE WHEN value > 20 THEN 'stale' ELSE 'current' END AS state FROM events), p AS (SELECT *, lag(state) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS prev FROM c)
+    SELECT user_id, event_id, state FROM p WHERE prev IS NULL OR prev <> state""",
+)
+def state_changes(t):
+    """Batch twin of the alert: checks whose state differs from the one before."""
+    checks = t.raw("events").withColumn("state", F.when(F.col("value") > 20, "stale").otherwise("current")).withColumn("at", F.struct("ts", "event_id"))
+    return alerts.state_changes(checks, ["user_id"], "at", "state").select("user_id", "event_id", "state")

@@ -131,6 +131,11 @@ def asset_manifest(spark: SparkSession, path: str) -> DataFrame:
     return files.select(name.alias("asset"), "path", F.col("length").alias("byte_size"), F.sha2("content", 256).alias("sha256"))
 
 
+def text_manifest(documents: DataFrame, ident: str, text: str) -> DataFrame:
+    """Size in bytes and sha256 of documents that are still rows, before they are written."""
+    return documents.select(F.col(ident).alias("asset"), F.octet_length(text).alias("byte_size"), F.sha2(F.encode(text, "UTF-8"), 256).alias("sha256"))
+
+
 def fingerprint(df: DataFrame, columns: Sequence[str], keys: Sequence[str] = ()) -> DataFrame:
     """Order-free content hash: row hashes are summed word by word, so nothing is gathered.
 
