@@ -25,9 +25,10 @@ def _nfkd(text: Column) -> Column:
 def index_name(name: Column) -> Column:
     """Index form: compatibility decomposition, lower case, trimmed, single spaces.
 
-    Only names with a character outside ASCII visit the Python worker.
+    The decomposition is the one Python step of the library. It gets NULL for plain ASCII names,
+    so their text is not sent to the worker.
     """
-    decomposed = F.when(name.rlike(r"[^\x00-\x7F]"), _nfkd(name)).otherwise(name)
+    decomposed = F.coalesce(_nfkd(F.when(name.rlike(r"[^\x00-\x7F]"), name)), name)
     return F.trim(F.regexp_replace(F.trim(F.lower(decomposed)), r"\s+", " "))
 
 

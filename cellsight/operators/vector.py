@@ -226,18 +226,18 @@ def area_inside(features: DataFrame, region: DataFrame, size: float, ident: str
 
     The border of the intersection consists of feature pieces inside the region, region pieces
     inside the feature, and shared pieces of equal direction (counted once). No overlay polygon
-    is built.
+    is built. The polygons of the region must not overlap each other.
     """
     features, region = _oriented(features), _oriented(region)
     fe, re = edges(features, ident), edges(region, region_id)
     term = (F.col("x1") * F.col("y2") - F.col("x2") * F.col("y1")) / 2
-    own = _middles(split_at_crossings(fe, re, size, ident), ident)
-    key = lambda *cs: [F.round(F.col(c), 9).alias(f"k{i}") for i, c in enumerate(cs)]
+    # the features are cut at the pieces of the region, so shared border pieces have equal ends
+    rp = _middles(split_at_crossings(re, fe, size, region_id), region_id)
+    own = _middles(split_at_crossings(fe, rp, size, ident), ident)
+    key = lambda *cs: [(F.round(F.col(c), 9) + F.lit(0.0)).alias(f"k{i}") for i, c in enumerate(cs)]
     keys = ["k0", "k1", "k2", "k3"]
     near = own.select("*", *key("x1", "y1", "x2", "y2"))
 
-    cutters = fe.select("x1", "y1", "x2", "y2")
-    rp = _middles(split_at_crossings(re, cutters, size, region_id), region_id)
     same = rp.select(*key("x1", "y1", "x2", "y2")).distinct().withColumn("same", F.lit(True))
     back = rp.select(*key("x2", "y2", "x1", "y1")).distinct().withColumn("back", F.lit(True))
     inside = points_in_areas(own, region, size, "piece", region_id).select("piece").distinct().withColumn("inside", F.lit(True))

@@ -621,7 +621,7 @@ def exposure_deciles(t):
 
 @query(
     "quantile_classes",
-    "SELECT l_quantity, quantile_class, count(*) AS rows FROM (SELECT l_quantity, greatest(0, least(5, floor((rank() OVER (ORDER BY l_quantity) - 1) * 6.0 / count(*) OVER ()))) AS quantile_class FROM lineitem) q GROUP BY 1, 2",
+    "SELECT l_quantity, quantile_class, count(*) AS rows FROM (SELECT l_quantity, CAST(greatest(0, least(5, floor((rank() OVER (ORDER BY l_quantity) - 1) * 6.0 / count(*) OVER ()))) AS INTEGER) AS quantile_class FROM lineitem) q GROUP BY 1, 2",
 )
 def quantile_classes(t):
     """Class per order line; a quantity is shared by very many lines."""

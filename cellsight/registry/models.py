@@ -309,7 +309,7 @@ def probe_states(t):
     """WITH p AS (SELECT l_orderkey, l_linenumber, CAST(l_discount * 10 AS DECIMAL(5,4)) AS b, CASE WHEN l_linenumber <> 3 THEN CAST(l_tax * 10 AS DECIMAL(5,4)) END AS n, CAST(round(l_quantity / 50, 4) AS DECIMAL(5,4)) AS a FROM lineitem),
     g AS (SELECT *, greatest(b, n, a) AS top FROM p)
     SELECT CASE WHEN b = top THEN 'Below normal' WHEN n = top THEN 'Near normal' ELSE 'Above normal' END AS category,
-      CASE WHEN top < 0.40 THEN 0.32 WHEN top < 0.50 THEN 0.48 WHEN top < 0.60 THEN 0.65 WHEN top < 0.70 THEN 0.80 ELSE 0.92 END AS opacity, count(*) AS features FROM g GROUP BY 1, 2""",
+      CAST(CASE WHEN top < 0.40 THEN 0.32 WHEN top < 0.50 THEN 0.48 WHEN top < 0.60 THEN 0.65 WHEN top < 0.70 THEN 0.80 ELSE 0.92 END AS DOUBLE) AS opacity, count(*) AS features FROM g GROUP BY 1, 2""",
 )
 def outlook_categories(t):
     li = t.raw("lineitem")

@@ -83,7 +83,7 @@ def release_id_checks(t):
     return t.raw("orders").groupBy("o_orderstatus").agg(F.count_if(T.is_release_id(ident)).alias("valid_ids"), F.count(F.lit(1)).alias("ids"))
 
 
-TAG_SQL = r"""tags AS (SELECT page_id, url, array_to_string(regexp_extract_all(html, '<[a-zA-Z][^>]*>'), chr(10)) AS tags FROM pages),
+TAG_SQL = r"""tags AS (SELECT page_id, url, array_to_string(regexp_extract_all(regexp_replace(regexp_replace(regexp_replace(html, '(?s)<!--.*?-->', '', 'g'), '(?is)<script\b([^>]*)>.*?</script\s*>', '<script\1>', 'g'), '(?is)<style\b([^>]*)>.*?</style\s*>', '<style\1>', 'g'), '<[a-zA-Z][^>]*>'), chr(10)) AS tags FROM pages),
 raw AS (SELECT page_id, url, regexp_extract_all(tags, '(?i)\s(?:href|button-url|src)\s*=\s*(?:"([^"]+)"|''([^'']+)'')', 1) AS links FROM tags),
 pos AS (SELECT page_id, url, unnest(links) AS link, generate_subscripts(links, 1) - 1 AS position FROM raw),
 full_ AS (SELECT page_id, position, CASE WHEN regexp_matches(link, '^[a-zA-Z][a-zA-Z0-9+.-]*:') THEN link WHEN starts_with(link, '//') THEN regexp_extract(url, '^([a-zA-Z][a-zA-Z0-9+.-]*):', 1) || ':' || link

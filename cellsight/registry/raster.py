@@ -40,7 +40,7 @@ def window_scan(t):
 
 @query(
     "zonal_mask_centre",
-    with_(*BASE, then='SELECT area_id, count(*) AS cells, min("row") AS first_row, max(col) AS last_col, sum(col) AS col_sum FROM inside GROUP BY area_id'),
+    with_(*BASE, then='SELECT area_id, count(*) AS cells, min("row") AS first_row, max(col) AS last_col, CAST(sum(col) AS BIGINT) AS col_sum FROM inside GROUP BY area_id'),
 )
 def zonal_mask_centre(t):
     return cell_pairs(t).groupBy("area_id").agg(
@@ -59,7 +59,7 @@ TOUCHED_SQL = """touched AS (
   WHERE col BETWEEN floor(least(ua, ub)) AND floor(greatest(ua, ub)))"""
 
 
-@query("zonal_mask_all_touched", with_(*BASE, TOUCHED_SQL, then='SELECT area_id, count(*) AS cells, sum(col) AS col_sum, sum("row") AS row_sum FROM touched GROUP BY area_id'))
+@query("zonal_mask_all_touched", with_(*BASE, TOUCHED_SQL, then='SELECT area_id, count(*) AS cells, CAST(sum(col) AS BIGINT) AS col_sum, CAST(sum("row") AS BIGINT) AS row_sum FROM touched GROUP BY area_id'))
 def zonal_mask_all_touched(t):
     return cell_pairs(t, True).groupBy("area_id").agg(F.count(F.lit(1)).alias("cells"), F.sum("col").alias("col_sum"), F.sum("row").alias("row_sum"))
 
@@ -166,7 +166,7 @@ DEPTH_SQL = """monthly AS (
     with_(
         *BAND_BASE, PAIRS_SQL, DEPTH_SQL,
         then="""SELECT area_id, "year", round(coalesce(sum(m), 0), 6) AS depth, CAST(sum(n) AS BIGINT) AS usable,
-          CASE WHEN sum(n) > 0 THEN 100.0 ELSE 0.0 END AS coverage_pct, CASE WHEN sum(n) > 0 THEN 'ok' ELSE 'insufficient_grid_coverage' END AS quality_status
+          CAST(CASE WHEN sum(n) > 0 THEN 100.0 ELSE 0.0 END AS DOUBLE) AS coverage_pct, CASE WHEN sum(n) > 0 THEN 'ok' ELSE 'insufficient_grid_coverage' END AS quality_status
         FROM monthly GROUP BY 1, 2""",
     ),
 )
@@ -201,7 +201,7 @@ OBSERVED_SQL = with_(
        FROM cur c JOIN years y ON y.area_id = c.area_id GROUP BY 1, 2, 3)""",
     f"""fin AS (SELECT area_id, n, CASE WHEN n > 0 THEN {pyround('depth', 2)} END AS rainfall_mm, CASE WHEN n > 0 THEN {pyround('med', 2)} END AS baseline_median_mm,
          CASE WHEN n > 0 THEN {pyround('pct', 1)} END AS percentile FROM cmp)""",
-    then="""SELECT area_id, rainfall_mm, baseline_median_mm, percentile, CAST(n AS BIGINT) AS grid_cell_count, CASE WHEN n > 0 THEN 100.0 ELSE 0.0 END AS coverage_pct,
+    then="""SELECT area_id, rainfall_mm, baseline_median_mm, percentile, CAST(n AS BIGINT) AS grid_cell_count, CAST(CASE WHEN n > 0 THEN 100.0 ELSE 0.0 END AS DOUBLE) AS coverage_pct,
       CASE WHEN percentile IS NULL THEN 'unavailable' WHEN percentile <= 10 THEN 'exceptionally_dry' WHEN percentile <= 20 THEN 'drier_than_typical'
            WHEN percentile < 80 THEN 'typical_range' WHEN percentile < 90 THEN 'wetter_than_typical' ELSE 'exceptionally_wet' END AS condition_class,
       CASE WHEN n > 0 THEN 'ok' ELSE 'insufficient_grid_coverage' END AS quality_status FROM fin""",

@@ -264,10 +264,10 @@ def resume_remaining(t):
 def grid_contract(t):
     li = t.raw("lineitem")
     grids = li.select(
-        F.concat(F.lit("run-"), "l_orderkey").alias("run_id"), F.lit("p").alias("product"), F.col("l_linenumber").alias("band"), F.when(F.col("l_suppkey") % 20 == 0, 32637).otherwise(4326).alias("crs"),
+        F.concat(F.lit("run-"), "l_orderkey").alias("run_id"), F.concat(F.lit("p"), F.col("l_orderkey") % 2).alias("product"), F.col("l_linenumber").alias("band"), F.when(F.col("l_suppkey") % 20 == 0, 32637).otherwise(4326).alias("crs"),
         (F.col("l_quantity") * 10000).alias("byte_size"), (F.col("l_partkey") % 60).cast("double").alias("x0"), F.lit(15.0).alias("y0"), F.lit(0.5).alias("dx"), F.lit(-0.5).alias("dy"), F.lit(10).alias("width"), F.lit(10).alias("height"),
     )
-    expected = t.raw("region").where("r_regionkey = 0").select(F.lit("p").alias("product"), F.lit(3).alias("expected_bands"))
+    expected = t.raw("region").where("r_regionkey < 2").select(F.concat(F.lit("p"), "r_regionkey").alias("product"), F.lit(3).alias("expected_bands"))
     return Q.grid_contract(grids, expected, (10.0, 5.0, 40.0, 20.0), 20000)
 
 

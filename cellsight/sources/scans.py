@@ -89,6 +89,8 @@ LINK_ATTRIBUTE = r"""(?i)\s(?:href|button-url|src)\s*=\s*(?:"([^"]+)"|'([^']+)')
 
 
 START_TAG = r"<[a-zA-Z][^>]*>"
+COMMENT = r"(?s)<!--.*?-->"
+RAW_TEXT = ("script", "style")
 ENTITIES = (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&amp;", "&"))
 
 
@@ -116,7 +118,10 @@ def absolute_url(base: Column, link: Column) -> Column:
 
 def harvest_links(pages: DataFrame, ident: str = "page_id", url: str = "url", html: str = "html") -> DataFrame:
     """(page, url, position) of every distinct link in order of first appearance, over whole pages."""
-    tags = F.array_join(F.regexp_extract_all(html, F.lit(START_TAG), F.lit(0)), "\n")
+    markup = F.regexp_replace(html, COMMENT, "")
+    for element in RAW_TEXT:
+        markup = F.regexp_replace(markup, rf"(?is)<{element}\b([^>]*)>.*?</{element}\s*>", f"<{element}$1>")
+    tags = F.array_join(F.regexp_extract_all(markup, F.lit(START_TAG), F.lit(0)), "\n")
     double, single = (F.regexp_extract_all(tags, F.lit(LINK_ATTRIBUTE), F.lit(i)) for i in (1, 2))
     links = F.zip_with(double, single, lambda d, s: F.when(F.length(d) > 0, d).otherwise(s))
     rows = pages.select(ident, F.col(url).alias("_base"), F.posexplode(links).alias("position", "raw"))
