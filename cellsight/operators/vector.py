@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from cellsight.functions import geometry as G
 from cellsight.operators.ranking import exact_quantiles
 from cellsight.operators.zonal import edges, line_segments
+from cellsight.session import cut
 
 
 def extent(features: DataFrame, pad: float = 0.0, keys: Sequence[str] = (), rings: str = "rings") -> DataFrame:
@@ -232,8 +233,9 @@ def area_inside(features: DataFrame, region: DataFrame, size: float, ident: str
     fe, re = edges(features, ident), edges(region, region_id)
     term = (F.col("x1") * F.col("y2") - F.col("x2") * F.col("y1")) / 2
     # the features are cut at the pieces of the region, so shared border pieces have equal ends
-    rp = _middles(split_at_crossings(re, fe, size, region_id), region_id)
-    own = _middles(split_at_crossings(fe, rp, size, ident), ident)
+    # both piece tables feed several branches: checkpointed, they are computed once
+    rp = cut(_middles(split_at_crossings(re, fe, size, region_id), region_id))
+    own = cut(_middles(split_at_crossings(fe, rp, size, ident), ident))
     key = lambda *cs: [(F.round(F.col(c), 9) + F.lit(0.0)).alias(f"k{i}") for i, c in enumerate(cs)]
     keys = ["k0", "k1", "k2", "k3"]
     near = own.select("*", *key("x1", "y1", "x2", "y2"))
