@@ -27,9 +27,8 @@ def reference_rows(evidence: DataFrame, years: tuple[int, int]) -> DataFrame:
 
 def seasonal_reference(rows: DataFrame, keys: Sequence[str] = ("area_id", "calendar_month"), minimum: int = MIN_ROWS) -> DataFrame:
     """Median, P20 and P80 over all rows of an area and calendar month; rows are counted, not years."""
-    quantiles = exact_quantiles(rows, keys, "value", [0.5, 0.2, 0.8], ["median_value", "p20_value", "p80_value"])
-    counts = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("valid_year_count")).where(F.col("valid_year_count") >= minimum)
-    return counts.join(quantiles, list(keys))
+    quantiles = exact_quantiles(rows, keys, "value", [0.5, 0.2, 0.8], ["median_value", "p20_value", "p80_value"], count="valid_year_count")
+    return quantiles.where(F.col("valid_year_count") >= minimum)
 
 
 def leave_own_year_out(targets: DataFrame, rows: DataFrame, years: tuple[int, int], keys: Sequence[str] = ("area_id", "calendar_month"), minimum: int = MIN_ROWS) -> DataFrame:

@@ -13,6 +13,7 @@ from cellsight.functions.numeric import coverage_pct, py_round
 from cellsight.functions.projection import equal_area_forward, rings_to
 from cellsight.operators.ranking import exact_quantiles
 from cellsight.operators.zonal import Grid, area_spans
+from cellsight.session import cut
 
 # Quality bits, fill, saturation, accepted scene classes.
 STRICT_BITS = 0b00111110
@@ -69,7 +70,8 @@ def composite_evidence(observations: DataFrame, eligible: DataFrame, candidates:
     scenes per area (area, candidate_acquisition_count).
     """
     keys = [area, "profile"]
-    pixels = pixel_composite(observations, keys)
+    # three summaries read the pixels: checkpointed, the temporal median is computed once
+    pixels = cut(pixel_composite(observations, keys))
     spatial = pixels.groupBy(*keys).agg(
         F.count(F.lit(1)).alias("valid_spatial_pixel_count"),
         F.count_if(F.col("observations") >= 2).alias("_twice"),

@@ -30,9 +30,10 @@ def _histogram(counts: DataFrame, keys: Sequence[str]) -> DataFrame:
     )
 
 
-def exact_quantiles(df: DataFrame, keys: Sequence[str], value: str, probs: Sequence[float], names: Sequence[str]) -> DataFrame:
+def exact_quantiles(df: DataFrame, keys: Sequence[str], value: str, probs: Sequence[float], names: Sequence[str], count: str | None = None) -> DataFrame:
     """Interpolated quantiles per group for groups of any size; NULL values are left out.
 
+    ``count`` names a column for the number of values, which falls out of the same pass.
     Use the built-in ``percentile`` where the group is bounded by its meaning (years of a
     reference, scenes of one month); use this over cells or areas.
     """
@@ -66,7 +67,24 @@ def exact_quantiles(df: DataFrame, keys: Sequence[str], value: str, probs: Seque
         position = (F.col("_total") - 1) * F.lit(float(prob))
         part = position - F.floor(position)
         columns.append((F.col(f"_{i}l") + (F.col(f"_{i}h") - F.col(f"_{i}l")) * part).alias(name))
-    return wide.select(*keys, *columns)
+    held = [F.col("_total").alias(count)] if count else []
+    return wide.select(*keys, *held, *columns)
+
+
+def coded_median(counts: DataFrame, keys: Sequence[str], code: str, weight: str, carried: Sequence[Column], name: str) -> DataFrame:
+    """Median of integer codes together with other sums, in one pass over (keys, code) counts.
+
+    The codes of a stored raster are 8 or 16 bit integers, so a group has at most 65,536 of them
+    however many cells it holds, and ordering them in one task is bounded. ``carried`` are
+    aggregates over the counted rows.
+    """
+    group = W.partitionBy(*keys)
+    run = F.sum(weight).over(group.orderBy(code).rowsBetween(W.unboundedPreceding, 0))
+    placed = counts.withColumn("_run", run).withColumn("_total", F.sum(weight).over(group))
+    position = (F.col("_total") - 1) / 2
+    holds = lambda rank: (F.col(weight) > 0) & (rank < F.col("_run")) & (rank >= F.col("_run") - F.col(weight))
+    side = lambda rank: F.max(F.when(holds(rank), F.col(code)))
+    return placed.groupBy(*keys).agg(*carried, ((side(F.floor(position)) + side(F.ceil(position))) / 2).alias(name))
 
 
 def global_rank(df: DataFrame, value: str, ident: str) -> DataFrame:

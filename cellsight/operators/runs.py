@@ -250,13 +250,16 @@ def quality_summary(evidence: DataFrame, keys: Sequence[str]) -> DataFrame:
 def retained_months(runs: DataFrame, evidence: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Distinct runs and months with evidence, first and last date, and the sorted list of months."""
     kept = runs.where(F.col("status").isin(*INVENTORY_STATUS)).join(evidence.select("run_id").distinct(), "run_id", "left_semi")
-    month = F.date_format("obs_end", "yyyy-MM")
-    return kept.groupBy(*keys).agg(
-        F.countDistinct("run_id").alias("retained_runs"),
-        F.countDistinct(month).alias("retained_months"),
-        F.min(F.to_date("obs_end")).alias("first_observation"),
-        F.max(F.to_date("obs_end")).alias("latest_observation"),
-        F.array_sort(F.collect_set(month)).alias("calendar_months"),
+    # run_id is the key of runs; counting per month first keeps the list of months small
+    monthly = kept.groupBy(*keys, F.date_format("obs_end", "yyyy-MM").alias("_month")).agg(
+        F.count(F.lit(1)).alias("_runs"), F.min(F.to_date("obs_end")).alias("_first"), F.max(F.to_date("obs_end")).alias("_last")
+    )
+    return monthly.groupBy(*keys).agg(
+        F.sum("_runs").alias("retained_runs"),
+        F.count(F.lit(1)).alias("retained_months"),
+        F.min("_first").alias("first_observation"),
+        F.max("_last").alias("latest_observation"),
+        F.array_sort(F.collect_list("_month")).alias("calendar_months"),
     )
 
 

@@ -15,7 +15,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from cellsight.functions.numeric import coverage_pct, finite, py_round
-from cellsight.operators.ranking import exact_quantiles
+from cellsight.operators.ranking import coded_median
 
 TILE = 64
 
@@ -206,26 +206,31 @@ def zonal_stats(
 
     ``means`` is {name: (stored value, decoding, digits)}. The stored integers are averaged and
     the mean is decoded: their sums are exact, so the result does not depend on how the cells
-    are spread over tasks.
+    are spread over tasks. ``median_of`` is (name, stored integer, decoding, digits). Cells are
+    counted per stored value first, so means, counts and median come from one pass.
     ``gate_rounded`` tells whether the coverage gate sees the rounded figure (vegetation, newer
     thermal, water use) or the unrounded one (soil water, older thermal).
     """
-    tagged = pairs.withColumn("_ok", F.coalesce(valid, F.lit(False)))
-    aggs = [F.count_if("_ok").alias("valid_pixel_count"), F.count(F.lit(1)).alias("grid_cell_count")]
-    mean = lambda value, band: decode(F.avg(F.when(F.col("_ok"), value)), band)
-    aggs += [py_round(mean(value, band), digits).alias(name) for name, (value, band, digits) in means.items()]
-    if flags is not None:
-        aggs.append(F.count_if(F.col("_ok") & (flags != 0)).alias("qflag_nonzero_count"))
-    stats = tagged.groupBy(*keys).agg(*aggs)
+    ok = F.coalesce(valid, F.lit(False))
+    shown = lambda total, n, band, digits: py_round(decode(F.when(n > 0, total / n), band), digits)
+    sums = {name: F.sum(F.when(F.col("_ok"), value)).alias(f"_s_{name}") for name, (value, _, _) in means.items()}
+    flagged = [] if flags is None else [F.count_if(F.col("_ok") & (flags != 0)).alias("qflag_nonzero_count")]
+    counted = [F.count_if("_ok").alias("valid_pixel_count"), F.count(F.lit(1)).alias("grid_cell_count"), *sums.values(), *flagged]
+    tagged = pairs.withColumn("_ok", ok)
+    if median_of is None:
+        stats = tagged.groupBy(*keys).agg(*counted)
+    else:
+        median, code, band, digits = median_of
+        per_code = tagged.groupBy(*keys, F.when(F.col("_ok"), code).alias("_code")).agg(*counted)
+        carried = [F.sum(c).alias(c) for c in per_code.columns if c not in (*keys, "_code")]
+        stats = coded_median(per_code, keys, "_code", "valid_pixel_count", carried, median)
+        stats = stats.withColumn(median, py_round(decode(F.col(median), band), digits))
+    for name, (_, band, digits) in means.items():
+        stats = stats.withColumn(name, shown(F.col(f"_s_{name}"), F.col("valid_pixel_count"), band, digits)).drop(f"_s_{name}")
     raw = coverage_pct(F.col("valid_pixel_count"), F.col("grid_cell_count"))
     stats = stats.withColumn("coverage_pct", py_round(raw, 1))
     gate = F.col("coverage_pct") if gate_rounded else raw
-    stats = stats.withColumn("quality_status", quality_of(F.col("valid_pixel_count"), gate, minimum))
-    if median_of is not None:
-        name, value, band, digits = median_of
-        medians = exact_quantiles(tagged.where("_ok").select(*keys, value.alias("_m")), keys, "_m", [0.5], [name])
-        stats = stats.join(medians.withColumn(name, py_round(decode(F.col(name), band), digits)), list(keys), "left")
-    return stats
+    return stats.withColumn("quality_status", quality_of(F.col("valid_pixel_count"), gate, minimum))
 
 
 # ---- provider decoding: (divisor, offset) from stored integers to physical units, fixed values

@@ -37,21 +37,28 @@ def _pick(column: Column, table: dict[str, str]) -> Column:
 
 
 def shape_rings(index: Column, x0: Column, y0: Column, shapes=SHAPES) -> Column:
-    ladder = F.when(F.lit(False), F.lit(None).cast("array<array<struct<x:double,y:double>>>"))
-    for i, rings in enumerate(shapes):
-        built = F.array(*[ring_from_xy(*[(x0 + dx, y0 + dy) for dx, dy in ring]) for ring in rings])
-        ladder = ladder.when(index == i, built)
-    return ladder
+    """Rings of the indexed shape, moved to (x0, y0)."""
+    point = lambda p: f"named_struct('x', {p[0]}D, 'y', {p[1]}D)"
+    array = lambda parts: "array(" + ", ".join(parts) + ")"
+    literal = array(array(array(point(p) for p in ring) for ring in rings) for rings in shapes)
+    moved = lambda p: F.struct((p["x"] + x0).alias("x"), (p["y"] + y0).alias("y"))
+    return F.transform(F.get(F.expr(literal), index.cast("int")), lambda ring: F.transform(ring, moved))
 
 
 class Tables:
     """Derived tables of one data folder."""
 
+    _schemas: dict[str, object] = {}
+
     def __init__(self, spark: SparkSession, folder: str) -> None:
         self.spark, self.folder = spark, folder
 
     def raw(self, name: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
+        """The schema of a file is read once, not by a footer job per query."""
+        path = f"{self.folder}/{name}.parquet"
+        if path not in self._schemas:
+            self._schemas[path] = self.spark.read.parquet(path).schema
+        return self.spark.read.schema(self._schemas[path]).parquet(path)
 
     def evidence(self) -> DataFrame:
         li = self.raw("lineitem")

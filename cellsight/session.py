@@ -12,6 +12,8 @@ SETTINGS = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
+    # capturing the Python call site of every Column operation doubles plan-building time
+    "spark.python.sql.dataFrameDebugging.enabled": "false",
 }
 
 
