@@ -57,19 +57,23 @@ def leave_own_year_out(targets: DataFrame, rows: DataFrame, years: tuple[int, in
     return out.withColumn("baseline_label", label).drop("_ref", "_others", "_n")
 
 
-def observed_against_years(current: DataFrame, baseline: DataFrame, keys: Sequence[str] = ("area_id",), value: str = "depth") -> DataFrame:
-    """Upper median and mid-rank percentile of the current depth against one value per baseline year.
+def against_years(df: DataFrame, years: str, value: str = "depth") -> DataFrame:
+    """Upper median and mid-rank percentile of a value against the array of its baseline years.
 
-    ``baseline`` has one row per area and year, so the array is bounded by the calendar.
+    The array has one entry per year, so the calendar bounds it.
     """
+    below = F.size(F.filter(years, lambda y: y < F.col(value)))
+    equal = F.size(F.filter(years, lambda y: y == F.col(value)))
+    held = F.coalesce(F.size(years), F.lit(0)) > 0
+    out = df.withColumn("baseline_median", F.when(held, py_round(upper_median(F.col(years)), 2)))
+    return out.withColumn("percentile", F.when(held, mid_rank_pct(below, equal, F.size(years))))
+
+
+def observed_against_years(current: DataFrame, baseline: DataFrame, keys: Sequence[str] = ("area_id",), value: str = "depth") -> DataFrame:
+    """``against_years`` for a baseline table with one row per area and year."""
     keys = list(keys)
     packed = baseline.groupBy(*keys).agg(F.collect_list(value).alias("_years"))
-    joined = current.join(packed, keys, "left")
-    below = F.size(F.filter("_years", lambda y: y < F.col(value)))
-    equal = F.size(F.filter("_years", lambda y: y == F.col(value)))
-    held = F.coalesce(F.size("_years"), F.lit(0)) > 0
-    out = joined.withColumn("baseline_median", F.when(held, py_round(upper_median(F.col("_years")), 2)))
-    return out.withColumn("percentile", F.when(held, mid_rank_pct(below, equal, F.size("_years")))).drop("_years")
+    return against_years(current.join(packed, keys, "left"), "_years", value).drop("_years")
 
 
 def provisional_comparison(current: DataFrame, baseline: DataFrame, minimum_years: int = 25, keys: Sequence[str] = ("area_id",), value: str = "depth") -> DataFrame:

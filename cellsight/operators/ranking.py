@@ -38,11 +38,13 @@ def exact_quantiles(df: DataFrame, keys: Sequence[str], value: str, probs: Seque
     reference, scenes of one month); use this over cells or areas.
     """
     keys = list(keys)
+    # Both readers of ``counts`` must leave it untouched, or Spark cannot reuse its exchange: the
+    # bin is never NULL and the join below is NULL-safe, so no filter is pushed into one of them.
     counts = (
         df.where(F.col(value).isNotNull())
         .groupBy(*keys, F.col(value).cast("double").alias("_v"))
         .agg(F.count(F.lit(1)).alias("_n"))
-        .withColumn("_bin", value_bin(F.col("_v")))
+        .withColumn("_bin", F.coalesce(value_bin(F.col("_v")), F.lit(0)))
     )
     hist = _histogram(counts, keys)
     wanted = []
@@ -55,8 +57,12 @@ def exact_quantiles(df: DataFrame, keys: Sequence[str], value: str, probs: Seque
     within = W.partitionBy(*keys, "_bin").orderBy("_v").rowsBetween(W.unboundedPreceding, 0)
     last = F.col("_before_bin") + F.col("_run")
     held = lambda w: (w["rank"] < last) & (w["rank"] >= last - F.col("_n"))
+    there = targets.select(*[F.col(c).alias(f"_t{c}") for c in (*keys, "_bin")], "_before_bin", "_total", "_want")
+    same = F.lit(True)
+    for c in (*keys, "_bin"):
+        same = same & F.col(c).eqNullSafe(F.col(f"_t{c}"))
     picked = (
-        counts.join(targets, [*keys, "_bin"])
+        counts.join(there, same)
         .withColumn("_run", F.sum("_n").over(within))
         .select(*keys, "_v", "_total", F.explode(F.filter("_want", held)).alias("_w"))
     )
@@ -90,12 +96,15 @@ def coded_median(counts: DataFrame, keys: Sequence[str], code: str, weight: str,
 def global_rank(df: DataFrame, value: str, ident: str) -> DataFrame:
     """Add ``rank_position`` (1..n, ties by md5 of the id), ``rank_min`` and ``rank_total``.
 
-    The order is (value, md5(id), id). Counts per (value, two digits of the md5) split even a
-    value that a third of the rows share over 256 tasks. Values must not be NULL.
+    The order is (value, md5(id), id); a NULL value would count as 0. Counts per (value, two digits of the md5) split even a
+    value that a third of the rows share over 256 tasks.
     """
-    tagged = df.withColumn("_v", F.col(value).cast("double")).withColumn("_h", F.md5(F.col(ident).cast("string")))
+    # join keys that cannot be NULL: no filter is pushed into one reader of ``counts`` only, so its
+    # exchange is reused
+    fixed = lambda column, default: F.coalesce(column, F.lit(default))
+    tagged = df.withColumn("_v", fixed(F.col(value).cast("double"), 0.0)).withColumn("_h", fixed(F.md5(F.col(ident).cast("string")), ""))
     tagged = tagged.withColumn("_sub", F.substring("_h", 1, 2))
-    counts = tagged.groupBy("_v", "_sub").agg(F.count(F.lit(1)).alias("_n")).withColumn("_bin", value_bin(F.col("_v")))
+    counts = tagged.groupBy("_v", "_sub").agg(F.count(F.lit(1)).alias("_n")).withColumn("_bin", fixed(value_bin(F.col("_v")), 0))
     hist = _histogram(counts, [])
     ordered = W.partitionBy("_bin").orderBy("_v", "_sub").rowsBetween(W.unboundedPreceding, 0)
     offsets = (

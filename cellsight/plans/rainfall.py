@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from cellsight.functions.classes import rainfall_condition
 from cellsight.functions.dates import pentad_ordinal
 from cellsight.functions.numeric import py_round
-from cellsight.operators.baseline import observed_against_years, provisional_comparison
+from cellsight.operators.baseline import against_years, provisional_comparison
 from cellsight.operators.runs import trailing_periods
 from cellsight.operators.zonal import quality_of
 
@@ -28,12 +28,16 @@ def observed_condition(means: DataFrame, areas: DataFrame, year: int, months: li
 
     A baseline year without cells counts as depth 0, as it does in the published method.
     """
-    season = means.where(F.col("month").isin(months) & ((F.col("year") == year) | F.col("year").between(*baseline)))
-    depth = season.groupBy("area_id", "year").agg(F.sum("period_mean").alias("depth"), F.sum("cells").alias("usable"))
-    current = areas.select("area_id").join(depth.where(F.col("year") == year).drop("year"), "area_id", "left")
-    years = areas.select("area_id", F.explode(F.sequence(F.lit(baseline[0]), F.lit(baseline[1]))).alias("year"))
-    filled = years.join(depth.select("area_id", "year", "depth"), ["area_id", "year"], "left").withColumn("depth", F.coalesce("depth", F.lit(0.0)))
-    compared = observed_against_years(current, filled)
+    now, past = F.col("year") == year, F.col("year").between(*baseline)
+    depth = means.where(F.col("month").isin(months) & (now | past)).groupBy("area_id", "year").agg(F.sum("period_mean").alias("depth"), F.sum("cells").alias("cells"))
+    # one row per area: this year's depth beside the array of its baseline years
+    per_area = depth.groupBy("area_id").agg(
+        F.max(F.when(now, F.col("depth"))).alias("depth"), F.max(F.when(now, F.col("cells"))).alias("usable"), F.collect_list(F.when(past, F.col("depth"))).alias("_held")
+    )
+    held = F.coalesce("_held", F.array().cast("array<double>"))
+    dry = F.array_repeat(F.lit(0.0), F.lit(baseline[1] - baseline[0] + 1) - F.size(held))
+    joined = areas.select("area_id").join(per_area, "area_id", "left").withColumn("_years", F.concat(held, dry))
+    compared = against_years(joined, "_years")
     have = F.coalesce("usable", F.lit(0))
     coverage = F.when(have > 0, 100.0).otherwise(0.0)
     shown = lambda c: F.when(have > 0, c)
