@@ -101,8 +101,9 @@ def distribution_breaks(df: DataFrame, keys: Sequence[str], value: str, probs: S
     breaks = exact_quantiles(df, keys, value, probs, names)
     if keys:
         return sums.join(breaks, list(keys))
-    # one-row results: each break is a scalar subquery, not a cross join
-    return sums.select("*", *[breaks.select(n).scalar().alias(n) for n in names])
+    # a one-row result: one scalar subquery, not a cross join
+    whole = sums.withColumn("_b", breaks.select(F.struct(*names)).scalar())
+    return whole.select("rows", "total", *[F.col(f"_b.{n}").alias(n) for n in names])
 
 
 def approximate_breaks(df: DataFrame, keys: Sequence[str], value: str, probs: Sequence[float], accuracy: int = 10_000) -> DataFrame:

@@ -57,12 +57,9 @@ def exact_quantiles(df: DataFrame, keys: Sequence[str], value: str, probs: Seque
     within = W.partitionBy(*keys, "_bin").orderBy("_v").rowsBetween(W.unboundedPreceding, 0)
     last = F.col("_before_bin") + F.col("_run")
     held = lambda w: (w["rank"] < last) & (w["rank"] >= last - F.col("_n"))
-    there = targets.select(*[F.col(c).alias(f"_t{c}") for c in (*keys, "_bin")], "_before_bin", "_total", "_want")
-    same = F.lit(True)
-    for c in (*keys, "_bin"):
-        same = same & F.col(c).eqNullSafe(F.col(f"_t{c}"))
+    wanted_bins = targets.select(*keys, "_bin", "_before_bin", "_total", "_want")
     picked = (
-        counts.join(there, same)
+        _null_safe_join(counts, wanted_bins, [*keys, "_bin"])
         .withColumn("_run", F.sum("_n").over(within))
         .select(*keys, "_v", "_total", F.explode(F.filter("_want", held)).alias("_w"))
     )
@@ -93,33 +90,48 @@ def coded_median(counts: DataFrame, keys: Sequence[str], code: str, weight: str,
     return placed.groupBy(*keys).agg(*carried, ((side(F.floor(position)) + side(F.ceil(position))) / 2).alias(name))
 
 
-def global_rank(df: DataFrame, value: str, ident: str) -> DataFrame:
+def global_rank(df: DataFrame, value: str, ident: str, keys: Sequence[str] = ()) -> DataFrame:
     """Add ``rank_position`` (1..n, ties by md5 of the id), ``rank_min`` and ``rank_total``.
 
-    The order is (value, md5(id), id); a NULL value would count as 0. Counts per (value, two digits of the md5) split even a
-    value that a third of the rows share over 256 tasks.
+    The order is (value, md5(id), id), over the whole table or within each group of ``keys``; a
+    NULL value would count as 0. Counts per (value, two digits of the md5) split even a value
+    that a third of the rows share over 256 tasks.
     """
+    keys = list(keys)
     # join keys that cannot be NULL: no filter is pushed into one reader of ``counts`` only, so its
     # exchange is reused
     fixed = lambda column, default: F.coalesce(column, F.lit(default))
     tagged = df.withColumn("_v", fixed(F.col(value).cast("double"), 0.0)).withColumn("_h", fixed(F.md5(F.col(ident).cast("string")), ""))
     tagged = tagged.withColumn("_sub", F.substring("_h", 1, 2))
-    counts = tagged.groupBy("_v", "_sub").agg(F.count(F.lit(1)).alias("_n")).withColumn("_bin", fixed(value_bin(F.col("_v")), 0))
-    hist = _histogram(counts, [])
-    ordered = W.partitionBy("_bin").orderBy("_v", "_sub").rowsBetween(W.unboundedPreceding, 0)
+    counts = tagged.groupBy(*keys, "_v", "_sub").agg(F.count(F.lit(1)).alias("_n")).withColumn("_bin", fixed(value_bin(F.col("_v")), 0))
+    hist = _histogram(counts, keys)
+    ordered = W.partitionBy(*keys, "_bin").orderBy("_v", "_sub").rowsBetween(W.unboundedPreceding, 0)
     offsets = (
-        counts.join(hist, "_bin")
+        _null_safe_join(counts, hist, [*keys, "_bin"])
         .withColumn("_before", F.col("_before_bin") + F.sum("_n").over(ordered) - F.col("_n"))
-        .select("_v", "_sub", "_before", "_total", F.min("_before").over(W.partitionBy("_bin", "_v")).alias("_first"))
+        .select(*keys, "_v", "_sub", "_before", "_total", F.min("_before").over(W.partitionBy(*keys, "_bin", "_v")).alias("_first"))
     )
-    local = W.partitionBy("_v", "_sub").orderBy("_h", ident)
-    ranked = tagged.join(offsets, ["_v", "_sub"]).select(
+    local = W.partitionBy(*keys, "_v", "_sub").orderBy("_h", ident)
+    return _null_safe_join(tagged, offsets, [*keys, "_v", "_sub"]).select(
         *df.columns,
         (F.col("_before") + F.row_number().over(local)).alias("rank_position"),
         (F.col("_first") + 1).alias("rank_min"),
         F.col("_total").alias("rank_total"),
     )
-    return ranked
+
+
+def _null_safe_join(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Inner join on keys where NULL meets NULL; the right key columns are dropped."""
+    renamed = right.select(*[F.col(c).alias(f"_r{c}") for c in keys], *[c for c in right.columns if c not in keys])
+    same = F.lit(True)
+    for c in keys:
+        same = same & F.col(c).eqNullSafe(F.col(f"_r{c}"))
+    return left.join(renamed, same).drop(*[f"_r{c}" for c in keys])
+
+
+def ordinals(df: DataFrame, keys: Sequence[str], order: str, ident: str, name: str = "ordinal") -> DataFrame:
+    """``row_number`` by a numeric order within groups of any size."""
+    return global_rank(df, order, ident, keys).withColumn(name, F.col("rank_position")).select(*df.columns, name)
 
 
 def tile_of(position: Column, total: Column, tiles: int) -> Column:

@@ -61,6 +61,31 @@ def bucket_segments(segments: DataFrame, size: float) -> DataFrame:
     return rows.withColumn("bx", F.explode(F.sequence(F.floor(F.least(ua, ub)), F.floor(F.greatest(ua, ub)))))
 
 
+def paired_buckets(left: DataFrame, right: DataFrame, size: float, dense: int = 4096, split: int = 64) -> tuple[DataFrame, DataFrame]:
+    """Both segment sets in common buckets (bx, by, fine).
+
+    Where a bucket would make more than ``dense`` squared pairs, both sides use ``split`` times
+    finer buckets inside it, so a spot that holds a third of all segments does not become one
+    task's all-pairs join. Two segments that meet still share the bucket of their meeting point.
+    """
+    a, b = bucket_segments(left, size), bucket_segments(right, size)
+    count = lambda df, n: df.groupBy("bx", "by").agg(F.count(F.lit(1)).alias(n))
+    crowded = count(a, "na").join(count(b, "nb"), ["bx", "by"]).where(F.col("na") * F.col("nb") > dense * dense).select("bx", "by")
+    parent = lambda c: F.floor(F.col(c) / split)
+
+    def refined(df: DataFrame) -> DataFrame:
+        coarse = df.join(crowded, ["bx", "by"], "left_anti").withColumn("fine", F.lit(False))
+        dropped = df.join(crowded, ["bx", "by"], "left_semi").withColumnsRenamed({"bx": "_px", "by": "_py"})
+        inner = bucket_segments(dropped, size / split).where((parent("bx") == F.col("_px")) & (parent("by") == F.col("_py"))).drop("_px", "_py")
+        return coarse.unionByName(inner.withColumn("fine", F.lit(True)))
+
+    return refined(a), refined(b)
+
+
+def _same_bucket(a: str, b: str) -> Column:
+    return (F.col(f"{a}.bx") == F.col(f"{b}.bx")) & (F.col(f"{a}.by") == F.col(f"{b}.by")) & (F.col(f"{a}.fine") == F.col(f"{b}.fine"))
+
+
 def _side(ax, ay, bx, by, px, py) -> Column:
     return F.signum((bx - ax) * (py - ay) - (by - ay) * (px - ax))
 
@@ -104,9 +129,8 @@ def points_in_areas(points: DataFrame, areas: DataFrame, size: float, point: str
 
 def intersecting(areas: DataFrame, lines: DataFrame, size: float, area: str = "area_id", line: str = "line_id", rings: str = "rings") -> DataFrame:
     """Distinct (area, line) pairs that intersect: a segment meets an edge, or a line vertex lies inside."""
-    a = bucket_segments(edges(areas, area, rings), size).alias("a")
-    b = bucket_segments(line_segments(lines, line, rings), size).alias("b")
-    meets = a.join(b, (F.col("a.bx") == F.col("b.bx")) & (F.col("a.by") == F.col("b.by"))).where(segments_meet("a", "b"))
+    a, b = paired_buckets(edges(areas, area, rings), line_segments(lines, line, rings), size)
+    meets = a.alias("a").join(b.alias("b"), _same_bucket("a", "b")).where(segments_meet("a", "b"))
     first = lines.select(line, F.get(F.get(rings, F.lit(0)), F.lit(0)).alias("p")).select(line, F.col("p.x").alias("px"), F.col("p.y").alias("py"))
     inside = points_in_areas(first, areas, size, line, area, rings)
     return meets.select(f"a.{area}", f"b.{line}").unionByName(inside.select(area, line)).distinct()
@@ -114,9 +138,8 @@ def intersecting(areas: DataFrame, lines: DataFrame, size: float, area: str = "a
 
 def polygons_overlap(left: DataFrame, right: DataFrame, size: float, left_id: str, right_id: str) -> DataFrame:
     """Distinct pairs of polygons that intersect: borders meet, or one holds a vertex of the other."""
-    a = bucket_segments(edges(left, left_id), size).alias("a")
-    b = bucket_segments(edges(right, right_id), size).alias("b")
-    meets = a.join(b, (F.col("a.bx") == F.col("b.bx")) & (F.col("a.by") == F.col("b.by"))).where(segments_meet("a", "b"))
+    a, b = paired_buckets(edges(left, left_id), edges(right, right_id), size)
+    meets = a.alias("a").join(b.alias("b"), _same_bucket("a", "b")).where(segments_meet("a", "b"))
     vertex = lambda df, i: df.select(i, F.get(F.get("rings", F.lit(0)), F.lit(0)).alias("p")).select(i, F.col("p.x").alias("px"), F.col("p.y").alias("py"))
     found = meets.select(f"a.{left_id}", f"b.{right_id}")
     found = found.unionByName(points_in_areas(vertex(left, left_id), right, size, left_id, right_id))
@@ -162,9 +185,8 @@ def invalid_reason() -> Column:
 
 def split_at_crossings(segments: DataFrame, cutters: DataFrame, size: float, ident: str) -> DataFrame:
     """Segments cut where a cutter edge crosses them: (id, ring, seq, x1, y1, x2, y2) pieces."""
-    a = bucket_segments(segments, size).alias("a")
-    b = bucket_segments(cutters.select(*[F.col(c) for c in ("x1", "y1", "x2", "y2")]), size).alias("b")
-    hit = a.join(b, (F.col("a.bx") == F.col("b.bx")) & (F.col("a.by") == F.col("b.by"))).where(segments_meet("a", "b"))
+    a, b = paired_buckets(segments, cutters.select("x1", "y1", "x2", "y2"), size)
+    hit = a.alias("a").join(b.alias("b"), _same_bucket("a", "b")).where(segments_meet("a", "b"))
     dx, dy = F.col("a.x2") - F.col("a.x1"), F.col("a.y2") - F.col("a.y1")
     ex, ey = F.col("b.x2") - F.col("b.x1"), F.col("b.y2") - F.col("b.y1")
     det = dx * ey - dy * ex

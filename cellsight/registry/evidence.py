@@ -640,9 +640,7 @@ def stratified_sample(t):
 
 @query("feature_ordinals", with_(AREAS_SQL, then="SELECT area_id, row_number() OVER (PARTITION BY district_key ORDER BY area_key) AS ordinal FROM areas"))
 def feature_ordinals(t):
-    from cellsight.sources.scans import slot_order
-
-    return slot_order(t.areas(), ["district_key"], "area_key").select("area_id", "ordinal")
+    return R.ordinals(t.areas().select("area_id", "district_key", "area_key"), ["district_key"], "area_key", "area_id").select("area_id", "ordinal")
 
 
 @query(
@@ -656,7 +654,7 @@ def feature_ordinals(t):
 def evidence_history(t):
     joined = t.evidence().join(t.runs().where("status IN ('development', 'degraded')").select("run_id", "indicator", F.col("obs_end").alias("observation_at")), "run_id")
     one = joined.groupBy("indicator", "area_id", "run_id", "observation_at").agg(F.max("value").alias("value")).withColumn("expected_median", F.lit(25.0))
-    return U.history(one).select("indicator", "area_id", "run_id", "value", "deviation_pct", "change")
+    return U.history(one, bucket=F.year("observation_at")).select("indicator", "area_id", "run_id", "value", "deviation_pct", "change")
 
 
 # ---- set operations

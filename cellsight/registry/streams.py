@@ -73,5 +73,5 @@ def stream_alerts(t):
 )
 def state_changes(t):
     """Batch twin of the alert: checks whose state differs from the one before."""
-    checks = t.raw("events").withColumn("state", F.when(F.col("value") > 20, "stale").otherwise("current")).withColumn("at", F.struct("ts", "event_id"))
-    return alerts.state_changes(checks, ["user_id"], "at", "state").select("user_id", "event_id", "state")
+    checks = t.raw("events").withColumn("state", F.when(F.col("value") > 20, "stale").otherwise("current"))
+    return alerts.state_changes(checks, ["user_id"], ["ts", "event_id"], "state", F.to_date("ts")).select("user_id", "event_id", "state")

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from cellsight.sources import schemas
@@ -155,8 +154,3 @@ def checkpoint_problems(done: DataFrame, areas: DataFrame, key: str = "area_id")
     twice = counted.where("_n > 1").select(key, F.lit("duplicate").alias("problem"))
     foreign = counted.join(areas.select(key), key, "left_anti").select(key, F.lit("unexpected").alias("problem"))
     return twice.unionByName(foreign)
-
-
-def slot_order(df: DataFrame, keys: list[str], order: str) -> DataFrame:
-    """Ordinal within a bounded parameter set, in id order."""
-    return df.withColumn("ordinal", F.row_number().over(W.partitionBy(*keys).orderBy(order)))

@@ -6,22 +6,19 @@ from collections.abc import Iterator, Sequence
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from cellsight.operators.runs import previous_value
+
 OUTPUT = "source_key string, state string, at timestamp, observation_end timestamp"
 STATE = "state string, observation_end timestamp, stale_after timestamp"
 
 
-def state_changes(checks: DataFrame, keys: Sequence[str], at: str, state: str) -> DataFrame:
+def state_changes(checks: DataFrame, keys: Sequence[str], order: Sequence[str], state: str, bucket: Column) -> DataFrame:
     """Batch twin: checks whose state differs from the one before (the first one counts)."""
-    before = F.lag(state).over(W.partitionBy(*keys).orderBy(at))
-    return checks.withColumn("previous_state", before).where(before_differs(F.col("previous_state"), F.col(state)))
-
-
-def before_differs(before: Column, now: Column) -> Column:
-    return before.isNull() | (before != now)
+    known = previous_value(checks, keys, order, state, bucket, "previous_state")
+    return known.where(F.col("previous_state").isNull() | (F.col("previous_state") != F.col(state)))
 
 
 def _step(key: tuple, batches: Iterator[pd.DataFrame], held: GroupState) -> Iterator[pd.DataFrame]:

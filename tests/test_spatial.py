@@ -180,3 +180,34 @@ def test_window_rejects_a_box_outside(spark):
     assert grid.window(31.0, 18.0, 32.0, 19.0) == (20, 20, 20, 20)
     with pytest.raises(ValueError):
         grid.window(50.0, 18.0, 51.0, 19.0)
+
+
+def test_crowded_buckets_keep_every_pair(spark):
+    rng = random.Random(9)
+    make = lambda n, p: [(f"{p}{i}", x := rng.uniform(0, 4), y := rng.uniform(0, 4), x + rng.gauss(0, 0.3), y + rng.gauss(0, 0.3)) for i in range(n)]
+    left, right = make(120, "a"), make(120, "b")
+    columns = "id string, x1 double, y1 double, x2 double, y2 double"
+    a, b = spark.createDataFrame(left, columns), spark.createDataFrame(right, columns)
+
+    def pairs(dense):
+        x, y = V.paired_buckets(a, b, 4.0, dense=dense, split=8)
+        return {(r[0], r[1]) for r in x.alias("a").join(y.alias("b"), V._same_bucket("a", "b")).where(V.segments_meet("a", "b")).select("a.id", "b.id").collect()}
+
+    assert pairs(4) == pairs(10_000) and len(pairs(4)) > 50
+
+
+def test_ordinals_and_previous_values_equal_plain_windows(spark):
+    from pyspark.sql import Window as W
+
+    from cellsight.operators.ranking import ordinals
+    from cellsight.operators.runs import previous_value
+
+    rng = random.Random(10)
+    rows = [(i, rng.choice(["hot", "hot", "b", None]), rng.randrange(1000) * 1000 + i, rng.choice([None, 1.0, 2.0])) for i in range(400)]
+    df = spark.createDataFrame(rows, "id int, k string, t int, v double")
+    by = W.partitionBy("k").orderBy("t")
+    got = {r.id: r.ordinal for r in ordinals(df, ["k"], "t", "id").collect()}
+    assert got == {r.id: r.o for r in df.select("id", F.row_number().over(by).alias("o")).collect()}
+    known = df.where("k IS NOT NULL")
+    got = {r.id: r.p for r in previous_value(known, ["k"], ["t"], "v", F.floor(F.col("t") / 100_000), "p").collect()}
+    assert got == {r.id: r.o for r in known.select("id", F.lag("v").over(by).alias("o")).collect()}

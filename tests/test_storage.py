@@ -174,5 +174,5 @@ def test_alerts_only_on_change_and_on_silence(spark, tmp_path):
 
 def test_batch_twin_of_the_alerts(spark):
     rows_ = [("s", i, state) for i, state in enumerate(["current", "current", "stale", "stale", "current"])]
-    got = alerts.state_changes(spark.createDataFrame(rows_, "k string, at int, state string"), ["k"], "at", "state")
+    got = alerts.state_changes(spark.createDataFrame(rows_, "k string, at int, state string"), ["k"], ["at"], "state", F.floor(F.col("at") / 2))
     assert sorted(r.at for r in got.collect()) == [0, 2, 4]
