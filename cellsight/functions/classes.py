@@ -48,6 +48,11 @@ def display_class(indicator: Column, value: Column, quality: Column | None = Non
     return ladder
 
 
+def slope_class(value: Column) -> Column:
+    """The slope raster stores its eight display classes 0..7; anything else is no data."""
+    return F.when((value >= 0) & (value <= 7) & (value == F.floor(value)), value.cast("int"))
+
+
 def change_class(indicator: Column, delta: Column) -> Column:
     """steady, decrease/increase and their strong forms, with limits per indicator."""
     small = F.when(F.lit(False), F.lit(None).cast("double"))

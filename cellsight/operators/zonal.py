@@ -374,10 +374,10 @@ def complete_sum(cells: DataFrame, value: Column, valid: Column, expected: int)
     return total.select("row", "col", F.when(F.col("_n") == expected, F.col("_sum")).otherwise(NODATA).alias("total"))
 
 
-def grids_match(grids: DataFrame) -> DataFrame:
-    """One row telling whether all grids share size, transform and CRS."""
+def grids_match(grids: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
+    """Whether all grids of a group share size, transform and CRS."""
     shape = F.struct("width", "height", "x0", "y0", "dx", "dy", "crs")
-    return grids.agg((F.min(shape) == F.max(shape)).alias("grids_match"), F.count(F.lit(1)).alias("grid_count"))
+    return grids.groupBy(*keys).agg((F.min(shape) == F.max(shape)).alias("grids_match"), F.count(F.lit(1)).alias("grid_count"))
 
 
 def region_mean(cells: DataFrame, keys: Sequence[str], value: str) -> DataFrame:

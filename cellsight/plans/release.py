@@ -97,6 +97,14 @@ def workspace(runs: DataFrame, evidence: DataFrame, fields: Sequence[str] = HIST
     return evidence.join(latest, "run_id").select("indicator", "run_id", *fields)
 
 
+def with_geometry(rows: DataFrame, geometry: DataFrame, keep_all_areas: bool = False) -> DataFrame:
+    """Evidence with the geometry that is stored once per area.
+
+    Rows without a released geometry fall out; ``keep_all_areas`` keeps areas without a row, too.
+    """
+    return geometry.select("area_id", "rings").join(rows, "area_id", "left" if keep_all_areas else "inner")
+
+
 def completeness(rows: DataFrame, runs: DataFrame, full_coverage: Sequence[str], expected_areas: int) -> DataFrame:
     """Per indicator: rows, approved rows, and why it may not be published."""
     fit = release_usable(F.col("quality_status"), F.col("coverage_pct"))

@@ -148,3 +148,11 @@ def feature_rows(t):
     ident = scans.feature_id(own, properties, geometry)
     shown = F.when((key % 3 == 2) & (F.length(ident) == 16) & (ident == F.substring(F.sha1(geometry), 1, 16)), "sha").otherwise(ident)
     return p.select("page_id", shown.alias("feature_id"))
+
+
+@query("season_labels", "SELECT DISTINCT o_custkey, CASE month(o_orderdate) % 3 WHEN 0 THEN 'JFM' WHEN 1 THEN 'OND - ' ELSE 'MAM-' END || CASE WHEN month(o_orderdate) % 3 = 0 THEN ' - ' ELSE '' END || (year(o_orderdate) + 20) AS season_label FROM orders")
+def season_labels(t):
+    season = F.month("o_orderdate") % 3
+    label = F.concat(F.when(season == 0, "JFM - ").when(season == 1, "OND - ").otherwise("MAM-"), F.year("o_orderdate") + 20)
+    text = F.concat(F.lit("<p>Outlook "), label, F.lit(" issued; XJFM - 2020, JFM - 1999 and "), label, F.lit("</p>"))
+    return scans.season_labels(t.raw("orders").select("o_custkey", text.alias("body")), "o_custkey", "body")

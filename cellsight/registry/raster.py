@@ -9,6 +9,7 @@ from cellsight.functions.dates import rate_to_depth
 from cellsight.functions.geometry import pixel_hectares, planar_area
 from cellsight.functions.projection import equal_area_forward, rings_to
 from cellsight.operators import composite as K
+from cellsight.operators import quality as Q
 from cellsight.operators import zonal as Z
 from cellsight.plans import rainfall
 from cellsight.registry import query
@@ -459,3 +460,58 @@ def display_classes(t):
     v = F.when(i == "ndvi", F.col("value") / 50).when(i == "wapor", F.col("value") / 10).when(i == "rainfall", F.col("value") * 10).otherwise(F.col("value"))
     classed = j.select(i, C.display_class(i, v, F.col("quality_status")).alias("display_class"), C.change_class(i, F.col("value") - 25).alias("change_class"))
     return classed.groupBy("indicator", "display_class", "change_class").agg(F.count(F.lit(1)).alias("areas"))
+
+
+@query(
+    "grids_match",
+    """SELECT o_orderpriority, min(w) = max(w) AS grids_match, count(*) AS grid_count FROM (SELECT o_orderpriority, CASE WHEN o_orderpriority = '2-HIGH' AND o_orderkey % 1000 = 7 THEN 51 ELSE 50 END AS w FROM orders) o GROUP BY 1""",
+)
+def grids_match(t):
+    o = t.raw("orders")
+    odd = (F.col("o_orderpriority") == "2-HIGH") & (F.col("o_orderkey") % 1000 == 7)
+    grids = o.select("o_orderpriority", F.when(odd, 51).otherwise(50).alias("width"), *[F.lit(v).alias(n) for n, v in (("height", 10), ("x0", 0.0), ("y0", 0.0), ("dx", 1.0), ("dy", 1.0), ("crs", 4326))])
+    return Z.grids_match(grids, ["o_orderpriority"])
+
+
+@query(
+    "slope_classes",
+    with_(CELLS_SQL, then='SELECT CASE WHEN cls - 3 BETWEEN 0 AND 7 THEN cls - 3 END AS slope_class, count(*) AS cells FROM cells GROUP BY 1'),
+)
+def slope_classes(t):
+    return t.cells().groupBy(C.slope_class(F.col("cls") - 3).alias("slope_class")).agg(F.count(F.lit(1)).alias("cells"))
+
+
+@query(
+    "wide_bands",
+    """SELECT l_orderkey AS run_id, CAST(l_partkey // 50 AS INTEGER) AS "row", CAST(l_partkey % 50 AS INTEGER) AS col, max(CASE WHEN l_linenumber = 1 AND l_returnflag <> 'R' THEN l_quantity END) AS b1, max(CASE WHEN l_linenumber = 2 AND l_returnflag <> 'R' THEN l_quantity END) AS b2,
+      max(CASE WHEN l_linenumber = 3 AND l_returnflag <> 'R' THEN l_quantity END) AS b3 FROM lineitem WHERE l_linenumber IN (1, 2, 3) GROUP BY 1, 2, 3""",
+)
+def wide_bands(t):
+    """Long cells (run, band, row, col) to one row per cell."""
+    li = t.raw("lineitem")
+    cells = li.select(
+        F.col("l_orderkey").alias("run_id"), F.concat(F.lit("b"), "l_linenumber").alias("band"), F.floor(F.col("l_partkey") / 50).cast("int").alias("row"), (F.col("l_partkey") % 50).cast("int").alias("col"),
+        F.col("l_quantity").alias("value"), (F.col("l_returnflag") == "R").alias("is_masked"),
+    )
+    return Z.bands_wide(cells, ["b1", "b2", "b3"])
+
+
+COMPOSITE_ROWS = COMPOSITE_SQL[: COMPOSITE_SQL.rindex("SELECT area_id, profile, round(mean")]
+
+
+@query(
+    "composite_violations",
+    COMPOSITE_ROWS
+    + """SELECT rule, count(*) AS rows FROM (SELECT CASE WHEN NOT area_id LIKE 'area-1%' THEN 'area_id_prefix' END AS rule FROM full_ UNION ALL SELECT CASE WHEN valid > total - 5 THEN 'pixel_counts' END FROM full_) v WHERE rule IS NOT NULL GROUP BY 1""",
+)
+def composite_violations(t):
+    """Profile and evidence rules over the composite, with the eligible pixels understated by five."""
+    rows = composite_evidence(t)
+    short = rows.withColumn("total_eligible_pixel_count", F.col("total_eligible_pixel_count") - 5)
+    profile = Q.check_rows(short, Q.profile_rules(), ["area_id", "profile"])
+    quality = rows.select(
+        "area_id", F.col("spatial_coverage_pct").alias("coverage_pct"), F.col("valid_spatial_pixel_count").alias("valid_observation_pixel_count"), F.col("total_eligible_pixel_count").alias("candidate_observation_pixel_count"),
+        "usable_acquisition_count", "candidate_acquisition_count", C.tier_quality(F.col("evidence_tier")).alias("quality_status"),
+    )
+    evidence = Q.check_rows(quality, Q.composite_rules("area-1"), ["area_id"]).select("rule")
+    return profile.select("rule").unionByName(evidence).groupBy("rule").agg(F.count(F.lit(1)).alias("rows"))

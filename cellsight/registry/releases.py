@@ -287,3 +287,48 @@ def manifest_violations(t):
     )
     found = Q.check_rows(o.select("o_orderkey", document.alias("manifest")), Q.manifest_rules(), ["o_orderkey"])
     return found.groupBy("rule").agg(F.count(F.lit(1)).alias("manifests"))
+
+
+@query(
+    "geometry_joined_once",
+    with_(
+        AREAS_SQL, EVIDENCE_SQL,
+        "k AS (SELECT area_id, area_key FROM areas WHERE area_key % 7 <> 0)",
+        "e AS (SELECT area_id, count(*) AS n FROM evidence WHERE value > 49 GROUP BY 1)",
+        then="SELECT k.area_id, coalesce(n, 0) AS rows, n IS NOT NULL AS has_rows FROM k LEFT JOIN e ON e.area_id = k.area_id",
+    ),
+)
+def geometry_joined_once(t):
+    released = t.areas().where("area_key % 7 <> 0")
+    rows = t.evidence().where("value > 49").groupBy("area_id").agg(F.count(F.lit(1)).alias("rows"))
+    everything = R.with_geometry(rows, released, keep_all_areas=True)
+    inner = R.with_geometry(rows, released).select("area_id", F.lit(True).alias("has_rows"))
+    return everything.join(inner, "area_id", "left").select("area_id", F.coalesce("rows", F.lit(0)).alias("rows"), F.coalesce("has_rows", F.lit(False)).alias("has_rows"))
+
+
+@query(
+    "public_exposure",
+    "SELECT 'area-' || c_custkey AS area_id, c_name AS name_en, c_acctbal AS population_total, 'ok' AS quality_status FROM customer",
+)
+def public_exposure(t):
+    """Allow-listed columns only: the segment is not one of them."""
+    rows = t.raw("customer").select(F.concat(F.lit("area-"), "c_custkey").alias("area_id"), F.col("c_name").alias("name_en"), F.col("c_acctbal").alias("population_total"), F.lit("ok").alias("quality_status"), "c_mktsegment")
+    return R.public_exposure(rows, "population")
+
+
+@query(
+    "observation_windows",
+    """SELECT o_orderkey, CASE WHEN o_orderkey % 3 = 0 THEN strftime(o_orderdate, '%Y-%m-%d') WHEN o_orderkey % 3 = 1 THEN strftime(o_orderdate + INTERVAL 1 DAY, '%Y-%m-%d') ELSE '2001-09-09' END AS window_start,
+      CASE WHEN o_orderkey % 3 = 0 THEN strftime(o_orderdate, '%Y-%m-%d') ELSE '2001-09-09' END AS window_end, round(date_diff('second', o_orderdate, TIMESTAMP '2001-12-31 06:00:00') / 86400.0, 6) AS age_days FROM orders""",
+)
+def observation_windows(t):
+    """First present alternative of the window fields, and the fractional age."""
+    from cellsight.functions.dates import age_days_fractional, observation_window
+
+    o = t.raw("orders")
+    k = F.col("o_orderkey") % 3
+    stamp = F.date_format("o_orderdate", "yyyy-MM-dd'T'HH:mm:ss")
+    first, second = F.when(k == 0, stamp).when(k == 1, ""), F.when(k == 1, F.date_format(F.date_add("o_orderdate", 1), "yyyy-MM-dd"))
+    window = observation_window([first, second], [first], F.lit("2001-09-09"))
+    age = age_days_fractional(F.col("o_orderdate").cast("timestamp"), F.lit("2001-12-31 06:00:00").cast("timestamp"))
+    return o.select("o_orderkey", window["start"].alias("window_start"), window["end"].alias("window_end"), F.round(age, 6).alias("age_days"))

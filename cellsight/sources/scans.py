@@ -73,6 +73,16 @@ def pentad_listing(pages: DataFrame, ident: str, text: str) -> DataFrame:
     return listing_matches(pages, ident, text, PENTAD_FILE, ["year", "month", "pentad"]).distinct()
 
 
+# Fixed value: three-month season labels of an outlook catalogue page.
+SEASON_LABEL = r"\b((?:JFM|FMA|MAM|AMJ|MJJ|JJA|JAS|ASO|SON|OND|NDJ|DJF)\s*-\s*20\d{2})\b"
+
+
+def season_labels(pages: DataFrame, ident: str, text: str) -> DataFrame:
+    """Distinct season labels named on a page."""
+    found = pages.select(ident, F.explode(F.regexp_extract_all(text, F.lit(SEASON_LABEL), F.lit(1))).alias("season_label"))
+    return found.distinct()
+
+
 def catalogue_items(documents: DataFrame, body: str = "body") -> DataFrame:
     """Items of search responses: stamp is datetime, else end, else start; one row per id."""
     parsed = documents.select(F.explode(F.from_json(body, f"features array<struct<{schemas.CATALOGUE_ITEM}>>")["features"]).alias("i"))
