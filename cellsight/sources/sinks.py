@@ -22,7 +22,7 @@ def _staging(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/staging/{name}-{uuid.uuid4().hex}"
 
 
-def _exists(spark: SparkSession, path: str) -> bool:
+def exists(spark: SparkSession, path: str) -> bool:
     target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     return target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(target)
 
@@ -45,11 +45,12 @@ def upsert(new: DataFrame, path: str, key: Sequence[str], partition: str = "run_
     job, and a lost executor or a failed job leaves the target whole.
     """
     spark = new.sparkSession
-    if not _exists(spark, path):
+    if not exists(spark, path):
         replace_partitions(new, path, partition)
         return
     touched = new.select(partition).distinct()
-    old = spark.read.parquet(path).join(touched, partition, "left_semi")
+    # the schema is given: a run id that looks like a date or a number must stay text
+    old = spark.read.schema(new.schema).parquet(path).join(touched, partition, "left_semi")
     staged = _staging(spark, "upsert")
     merged(old, new, key).write.partitionBy(partition).parquet(staged)
     replace_partitions(spark.read.schema(new.schema).parquet(staged), path, partition)
@@ -60,8 +61,8 @@ def insert_absent(new: DataFrame, path: str, key: Sequence[str]) -> None:
     spark = new.sparkSession
     row = F.struct(*[F.col(c) for c in new.columns])
     unique = new.groupBy(*key).agg(F.min(row).alias("_row")).select("_row.*").select(*new.columns)
-    if _exists(spark, path):
-        unique = unique.join(spark.read.parquet(path).select(*key), list(key), "left_anti")
+    if exists(spark, path):
+        unique = unique.join(spark.read.schema(new.schema).parquet(path).select(*key), list(key), "left_anti")
     staged = _staging(spark, "insert")
     unique.write.parquet(staged)
     spark.read.schema(new.schema).parquet(staged).write.mode("append").parquet(path)

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from cellsight.sources.sinks import upsert
+from cellsight.sources.sinks import exists, upsert
 
 
 def evidence_stream(spark: SparkSession, path: str, schema: str, files_per_batch: int = 100) -> DataFrame:
@@ -54,13 +54,10 @@ def merge_revisions(stream: DataFrame, target: str, checkpoint: str, key: Sequen
         ranked = batch.withColumn("_p", precedence())
         best = latest_rows(ranked, key, ["_p", "loaded_at"]).drop("_p")
         spark = batch.sparkSession
-        try:
-            stored = spark.read.parquet(target)
-        except Exception as missing:  # first batch: nothing stored yet
-            if "PATH_NOT_FOUND" not in str(missing):
-                raise
+        if not exists(spark, target):
             upsert(best, target, key)
             return
+        stored = spark.read.schema(best.schema).parquet(target)
         touched = best.select("run_id").distinct()
         both = best.unionByName(stored.select(*best.columns).join(touched, "run_id", "left_semi")).withColumn("_p", precedence())
         upsert(latest_rows(both, key, ["_p", "loaded_at"]).drop("_p"), target, key)

@@ -32,6 +32,14 @@ def test_upsert_updates_inserts_and_leaves_other_partitions(spark, tmp_path):
     assert untouched == sorted(p.name for p in (tmp_path / "t" / "run_id=r2").iterdir())
 
 
+def test_run_ids_that_look_like_dates_stay_text(spark, tmp_path):
+    path = str(tmp_path / "t")
+    sinks.upsert(rows(spark, ("2026-01-01", "a", 1.0), ("007", "a", 2.0)), path, KEY)
+    sinks.upsert(rows(spark, ("007", "b", 3.0), ("2026-01-01", "a", 4.0)), path, KEY)
+    got = spark.read.schema("run_id string, area_id string, value double").parquet(path).collect()
+    assert sorted((r.run_id, r.area_id, r.value) for r in got) == [("007", "a", 2.0), ("007", "b", 3.0), ("2026-01-01", "a", 4.0)]
+
+
 def test_insert_absent_and_replace_partition(spark, tmp_path):
     path = str(tmp_path / "t")
     sinks.insert_absent(rows(spark, ("r1", "a", 1.0), ("r1", "a", 9.0)), path, KEY)
