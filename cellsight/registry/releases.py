@@ -92,8 +92,8 @@ def asset_findings(t):
 @query(
     "content_fingerprints",
     """WITH h AS (SELECT l_suppkey, md5(concat_ws(chr(31), CAST(l_orderkey AS VARCHAR), CAST(l_partkey AS VARCHAR), CAST(l_linenumber AS VARCHAR), coalesce(CASE WHEN l_linenumber <> 4 THEN l_returnflag END, chr(0)))) AS h FROM lineitem),
-    s AS (SELECT l_suppkey, count(*) AS rows, sum(CAST('0x' || substr(h, 1, 15) AS HUGEINT)) AS a, sum(CAST('0x' || substr(h, 16, 15) AS HUGEINT)) AS b FROM h GROUP BY 1)
-    SELECT l_suppkey, rows, sha256(rows || '|' || a || '|' || b) AS fingerprint FROM s""",
+    s AS (SELECT l_suppkey, count(*) AS rows, sum(CAST('0x' || substr(h, 1, 7) AS HUGEINT)) AS a, sum(CAST('0x' || substr(h, 8, 7) AS HUGEINT)) AS b, sum(CAST('0x' || substr(h, 15, 7) AS HUGEINT)) AS c, sum(CAST('0x' || substr(h, 22, 7) AS HUGEINT)) AS d FROM h GROUP BY 1)
+    SELECT l_suppkey, rows, sha256(rows || '|' || a || '|' || b || '|' || c || '|' || d) AS fingerprint FROM s""",
 )
 def content_fingerprints(t):
     li = t.raw("lineitem").withColumn("flag", F.when(F.col("l_linenumber") != 4, F.col("l_returnflag")))

@@ -141,14 +141,19 @@ def fingerprint(df: DataFrame, columns: Sequence[str], keys: Sequence[str] = ())
     """Order-free content hash: row hashes are summed word by word, so nothing is gathered.
 
     Equal rows in any order and partitioning give the same text; a changed, missing or doubled
-    row gives another.
+    row gives another. Four 28-bit words are summed as integers per (group, last md5 digit), and
+    these few sums as decimals; an overflow (5e11 rows in one group) would raise, not wrap.
     """
     text = F.concat_ws("\u001f", *[F.coalesce(F.col(c).cast("string"), F.lit("\u0000")) for c in columns])
     hashed = df.select(*keys, F.md5(text).alias("_h"))
-    word = lambda start: F.sum(F.conv(F.substring("_h", start, 15), 16, 10).cast("decimal(20,0)"))
-    sums = hashed.groupBy(*keys) if keys else hashed.groupBy()
-    out = sums.agg(F.count(F.lit(1)).alias("rows"), word(1).alias("_a"), word(16).alias("_b"))
-    joined = F.concat_ws("|", *[F.coalesce(F.col(c).cast("string"), F.lit("0")) for c in ("rows", "_a", "_b")])
+    words = ["_w0", "_w1", "_w2", "_w3"]
+    value = lambda i: F.conv(F.substring("_h", 1 + 7 * i, 7), 16, 10).cast("long")
+    parts = hashed.groupBy(*keys, F.substring("_h", 32, 1).alias("_part")).agg(
+        F.count(F.lit(1)).alias("_n"), *[F.sum(value(i)).alias(w) for i, w in enumerate(words)]
+    )
+    total = lambda c: F.coalesce(F.sum(F.col(c).cast("decimal(28,0)")), F.lit(0)).cast("string")
+    out = parts.groupBy(*keys).agg(F.coalesce(F.sum("_n"), F.lit(0)).alias("rows"), *[total(w).alias(w) for w in words])
+    joined = F.concat_ws("|", F.col("rows").cast("string"), *words)
     return out.select(*keys, "rows", F.sha2(joined, 256).alias("fingerprint"))
 
 
