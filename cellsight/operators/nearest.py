@@ -28,8 +28,8 @@ def nearest_segment(points: DataFrame, segments: DataFrame, size: float, point:
        whose bucket around the point is used gives a true upper bound for the distance.
     2. The level whose buckets are at least that wide holds every nearer segment in the 3x3
        block around the point. Only those candidates are measured.
-    No candidate is cut off. A point beyond the coarsest level (2**levels buckets away) is
-    measured against everything by the last level, whose single block covers the plane.
+    No candidate is cut off. Coordinates must stay within size * 2**levels of the origin (16
+    million buckets by default), so that the block of the coarsest level covers all segments.
     """
     width = lambda level: F.lit(size) * F.pow(F.lit(2.0), level)
     level = F.explode(F.sequence(F.lit(0), F.lit(levels))).alias("level")
