@@ -2,11 +2,17 @@
 
 from __future__ import annotations
 
-from cellsight.llm import quality_rules
+from cellsight.llm import decontaminate, mixing, quality_rules, url_filters
 
 QUERIES = {
     "op1_quality_rules": quality_rules.query,
+    "op3_decontaminate": decontaminate.query,
+    "op7_mix_sources": mixing.query,
+    "op8_url_filters": url_filters.query,
 }
 SQL = {
     "op1_quality_rules": quality_rules.SQL,
+    "op3_decontaminate": decontaminate.SQL,
+    "op7_mix_sources": mixing.SQL,
+    "op8_url_filters": url_filters.SQL,
 }
