@@ -2,7 +2,7 @@
 
 A text is cut into blocks, each compressed with either dictionary. The difference of the compressed sizes per
 byte of text is the raw score, and a logistic curve fitted on labelled documents outside the dictionaries makes it a
-probability.
+probability. Where a text is too short for the difference to say much, the curve also sees its shortness.
 """
 
 from __future__ import annotations
@@ -20,6 +20,7 @@ PER_CLASS = 1500
 BLOCKS_PER_CLASS = 4000
 BLOCK = 2048
 DICTIONARY_BYTES = 110_000
+SHORT = 100
 LEVEL = 3
 
 
@@ -41,8 +42,8 @@ def dictionary(samples: list[bytes]) -> zstandard.ZstdCompressionDict:
 class Model:
     """Bytes of both dictionaries and the logistic curve; a worker builds its compressors once."""
 
-    def __init__(self, good: bytes, bad: bytes, slope: float = 0.0, offset: float = 0.0) -> None:
-        self.good, self.bad, self.slope, self.offset = good, bad, slope, offset
+    def __init__(self, good: bytes, bad: bytes, curve: tuple[float, float, float] = (0.0, 0.0, 0.0)) -> None:
+        self.good, self.bad, self.curve = good, bad, curve
 
     def __getstate__(self) -> dict:
         return {k: v for k, v in self.__dict__.items() if k != "_compressors"}
@@ -57,30 +58,28 @@ class Model:
                 self._compressors.append(zstandard.ZstdCompressor(dict_data=known, write_content_size=False, write_checksum=False, write_dict_id=False))
         return self._compressors
 
-    def difference(self, text: str | None) -> float:
-        """(size with the bad dictionary - size with the good one) / bytes of the text; 0 for an empty text."""
+    def features(self, text: str | None) -> tuple[float, float]:
+        """(size with the bad dictionary - size with the good one) / bytes, and a shortness from 1 (no text) to 0."""
         cut = blocks(text)
+        n = sum(map(len, cut))
         good, bad = (sum(len(c.compress(b)) for b in cut) for c in self.compressors())
-        return (bad - good) / sum(map(len, cut)) if cut else 0.0
+        return (bad - good) / max(n, 1), SHORT / (SHORT + n)
 
-    def scores(self, differences: np.ndarray) -> np.ndarray:
-        return 1 / (1 + np.exp(-np.clip(self.slope * differences + self.offset, -40, 40)))
-
-    def calibrate(self, differences: np.ndarray, good: np.ndarray) -> None:
-        """Logistic regression by Newton steps; the slope is held back a little, so separable classes stay finite."""
+    def calibrate(self, features: np.ndarray, good: np.ndarray) -> None:
+        """Logistic regression by Newton steps; the slopes are held back a little, so separable classes stay finite."""
         if not len(good) or good.all() or not good.any():
             return
-        spread = differences.std() or 1.0
-        x = np.stack([differences / spread, np.ones(len(good))], 1)
-        w = np.zeros(2)
-        hold = np.diag([0.05, 1e-6])
+        spread = np.append(features.std(0), 1.0)
+        spread[spread == 0] = 1.0
+        x = np.column_stack([features, np.ones(len(good))]) / spread
+        w, hold = np.zeros(3), np.diag([0.05, 0.05, 1e-6])
         for _ in range(50):
             p = 1 / (1 + np.exp(-np.clip(x @ w, -40, 40)))
             step = np.linalg.solve(x.T @ (x * (p * (1 - p))[:, None]) + hold, x.T @ (good - p) - hold @ w)
             w += np.clip(step, -4, 4)
             if np.abs(step).max() < 1e-9:
                 break
-        self.slope, self.offset = float(w[0] / spread), float(w[1])
+        self.curve = tuple((w / spread).tolist())
 
 
 def held_out(doc_id: Column) -> Column:
@@ -110,21 +109,22 @@ def train(docs: DataFrame, labels: DataFrame, text: str = "text", per_class: int
     by_class = [[bytes(r["block"]) for r in pieces.filter(F.col("quality") == q).orderBy(F.xxhash64("block"), "block").limit(blocks_per_class).collect()] for q in (1, 0)]
     model = Model(*(dictionary(found).as_bytes() for found in by_class))
     if all(by_class):
-        rows = _differences(sample.filter("half = 1").select("text", "quality"), model, "text").select("quality", "_difference").collect()
-        rows = sorted((r["_difference"], r["quality"]) for r in rows)
-        model.calibrate(np.array([r[0] for r in rows]), np.array([float(r[1]) for r in rows]))
+        rows = _measured(sample.filter("half = 1").select("text", "quality"), model, "text").select("_difference", "_short", "quality").collect()
+        rows = sorted(tuple(r) for r in rows)
+        model.calibrate(np.array([r[:2] for r in rows]).reshape(-1, 2), np.array([float(r[2]) for r in rows]))
     return model
 
 
-def _differences(docs: DataFrame, model: Model, text: str) -> DataFrame:
+def _measured(docs: DataFrame, model: Model, text: str) -> DataFrame:
     shared, at = docs.sparkSession.sparkContext.broadcast(model), docs.columns.index(text)
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [shared.value.difference(v.as_py()) for v in batch.column(at)]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found, pa.float64())], [*batch.schema.names, "_difference"])
+            found = [shared.value.features(v.as_py()) for v in batch.column(at)]
+            new = [pa.array([f[i] for f in found], pa.float64()) for i in (0, 1)]
+            yield pa.RecordBatch.from_arrays([*batch.columns, *new], [*batch.schema.names, "_difference", "_short"])
 
-    return docs.mapInArrow(measure, T.StructType([*docs.schema, T.StructField("_difference", T.DoubleType())]))
+    return docs.mapInArrow(measure, T.StructType([*docs.schema, T.StructField("_difference", T.DoubleType()), T.StructField("_short", T.DoubleType())]))
 
 
 def score(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
@@ -133,9 +133,10 @@ def score(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
     Whole texts are read. Null and empty texts get the curve's value at difference 0; a model that knew only one class
     or none gives 0.5 throughout. Columns of ``docs`` with the result names are replaced.
     """
-    measured = _differences(docs.drop(*[c for c in ("score", "predicted") if c in docs.columns]), model, text)
-    x = F.greatest(F.lit(-40.0), F.least(F.lit(40.0), model.slope * F.col("_difference") + model.offset))
-    return measured.withColumn("score", 1 / (1 + F.exp(-x))).withColumn("predicted", (F.col("score") >= 0.5).cast("int")).drop("_difference")
+    measured = _measured(docs.drop(*[c for c in ("score", "predicted") if c in docs.columns]), model, text)
+    a, b, c = model.curve
+    x = F.greatest(F.lit(-40.0), F.least(F.lit(40.0), a * F.col("_difference") + b * F.col("_short") + c))
+    return measured.withColumn("score", 1 / (1 + F.exp(-x))).withColumn("predicted", (F.col("score") >= 0.5).cast("int")).drop("_difference", "_short")
 
 
 def query(spark, sf_dir: str) -> DataFrame:
