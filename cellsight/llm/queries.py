@@ -2,20 +2,23 @@
 
 from __future__ import annotations
 
-from cellsight.llm import compression_quality, decontaminate, language_id, mixing, quality_rules, token_files, url_filters
+from cellsight.llm import compression_quality, decontaminate, language_id, mixing, near_dup, quality_rules, substring_dedup, token_files, url_filters
 
 QUERIES = {
     "op1_quality_rules": quality_rules.query,
     "op3_decontaminate": decontaminate.query,
     "op4_language_id": language_id.query,
     "op5_token_files": token_files.query,
+    "op6_substring_dedup": substring_dedup.query,
     "op7_mix_sources": mixing.query,
     "op8_url_filters": url_filters.query,
+    "op9_near_dup": near_dup.query,
     "op10_compression_quality": compression_quality.query,
 }
 SQL = {
     "op1_quality_rules": quality_rules.SQL,
     "op3_decontaminate": decontaminate.SQL,
+    "op6_substring_dedup": substring_dedup.SQL,
     "op7_mix_sources": mixing.SQL,
     "op8_url_filters": url_filters.SQL,
 }
