@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from cellsight.llm import hashing
-from cellsight.llm.common import stored
+from cellsight.llm.common import SPACES, fresh, stored
 
 WIDTH = 3
 THRESHOLD_PCT = 85
@@ -76,19 +76,19 @@ def estimate(a: np.ndarray, b: np.ndarray, n: int, m: int) -> tuple[float, float
 
 
 def sketches(docs: DataFrame, text: str, width: int) -> DataFrame:
-    """``doc_id, n_shingles, set_id`` (128-bit identity of the set, null for no shingles), ``registers``."""
+    """``doc_id, text_hash, n_shingles, set_id`` (128-bit identity of the set, null for no shingles), ``registers``."""
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             sizes, ids, rows = [], [], []
-            for value in batch.column(1):
+            for value in batch.column(2):
                 h = shingles(value.as_py(), width)
                 sizes.append(len(h))
                 ids.append(set_identity(h) if len(h) else None)
                 rows.append(registers(h).tobytes() if len(h) else None)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array(ids, pa.binary()), pa.array(rows, pa.binary())], ["doc_id", "n_shingles", "set_id", "registers"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(sizes, pa.int64()), pa.array(ids, pa.binary()), pa.array(rows, pa.binary())], ["doc_id", "text_hash", "n_shingles", "set_id", "registers"])
 
-    schema = T.StructType([T.StructField("doc_id", docs.schema["doc_id"].dataType), T.StructField("n_shingles", T.LongType()), T.StructField("set_id", T.BinaryType()), T.StructField("registers", T.BinaryType())])
-    return docs.select("doc_id", text).mapInArrow(of, schema)
+    schema = T.StructType([T.StructField("doc_id", docs.schema["doc_id"].dataType), T.StructField("text_hash", T.LongType()), T.StructField("n_shingles", T.LongType()), T.StructField("set_id", T.BinaryType()), T.StructField("registers", T.BinaryType())])
+    return docs.select("doc_id", F.xxhash64(text).alias("text_hash"), text).mapInArrow(of, schema)
 
 
 def set_identity(h: np.ndarray) -> bytes:
@@ -169,7 +169,7 @@ def components(links: DataFrame) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, text: str = "text", threshold_pct: int = THRESHOLD_PCT, width: int = WIDTH) -> DataFrame:
-    """Per row of ``docs``: ``doc_id, n_shingles, component_id, kept``.
+    """Per row of ``docs``: ``doc_id, n_shingles, component_id, kept`` and ``text_hash``, which tells rows with one doc_id apart.
 
     Links join documents with 100 * common >= threshold * all shingles; ``component_id`` is the least doc_id reachable
     by links, ``kept`` marks the document that has it. Null texts and texts without words have no shingles, link with
@@ -201,10 +201,25 @@ def near_duplicates(docs: DataFrame, text: str = "text", threshold_pct: int = TH
 
     by_set = classes.select("set_id", "first_id").join(groups, "set_id", "left").select("set_id", "first_id", F.coalesce("group", "set_id").alias("group"))
     ids = by_set.groupBy("group").agg(F.min("first_id").alias("component_id"))
-    final = sketched.select("doc_id", "n_shingles", "set_id").join(by_set.join(ids, "group").select("set_id", "component_id"), "set_id", "left")
+    final = sketched.select("doc_id", "text_hash", "n_shingles", "set_id").join(by_set.join(ids, "group").select("set_id", "component_id"), "set_id", "left")
     component = F.coalesce("component_id", "doc_id")
-    return final.select("doc_id", "n_shingles", component.alias("component_id"), (F.col("doc_id").eqNullSafe(component)).alias("kept"))
+    return final.select("doc_id", "n_shingles", component.alias("component_id"), (F.col("doc_id").eqNullSafe(component)).alias("kept"), "text_hash")
+
+
+def deduplicate(docs: DataFrame, text: str = "text", **options) -> DataFrame:
+    """``docs`` with one row of each group of near duplicates: the one with the least doc_id, then the least hash of its text.
+
+    Rows without words are in no group and all stay; of rows that repeat both doc_id and text, one stays.
+    """
+    columns, hashed = docs.columns, fresh("text_hash", docs.columns)
+    found = near_duplicates(docs, text, **options).filter("kept")
+    first = found.filter("n_shingles > 0").groupBy("doc_id", "component_id").agg(F.min("text_hash").alias(hashed)).select(F.col("doc_id").alias("_id"), hashed)
+    rows = docs.withColumn(hashed, F.xxhash64(text))
+    chosen = rows.join(first.withColumnRenamed(hashed, "_hash"), F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col(hashed) == F.col("_hash")))
+    chosen = chosen.dropDuplicates(["doc_id", hashed]).select(*columns)
+    wordless = F.trim(F.coalesce(F.col(text), F.lit("")), F.lit(SPACES)) == ""
+    return chosen.unionByName(docs.filter(wordless))
 
 
 def query(spark, sf_dir: str) -> DataFrame:
-    return near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))
+    return near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")).drop("text_hash")

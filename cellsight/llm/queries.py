@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from cellsight.llm import compression_quality, decontaminate, language_id, mixing, near_dup, quality_rules, substring_dedup, token_files, url_filters
+from cellsight.llm import compression_quality, decontaminate, language_id, mixing, near_dup, quality_rules, substring_dedup, suffix_dedup, token_files, url_filters
 
 QUERIES = {
     "op1_quality_rules": quality_rules.query,
+    "op2_suffix_dedup": suffix_dedup.query,
     "op3_decontaminate": decontaminate.query,
     "op4_language_id": language_id.query,
     "op5_token_files": token_files.query,
