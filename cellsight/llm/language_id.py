@@ -52,7 +52,8 @@ def codewords(k: int) -> np.ndarray:
     rng = np.random.default_rng(k)
     drawn = rng.choice([-1.0, 1.0], (k, 64 * int(np.ceil(np.log2(k)))))
     drawn = drawn[:, np.abs(drawn.sum(0)) < k] * drawn[0, np.abs(drawn.sum(0)) < k]
-    return np.unique(drawn, axis=1)[:, : 16 * int(np.ceil(np.log2(k)))]
+    _, at = np.unique(drawn, axis=1, return_index=True)
+    return drawn[:, np.sort(at)[: 16 * int(np.ceil(np.log2(k)))]]
 
 
 class Model:
