@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from cellsight.functions import geometry as G
@@ -19,8 +18,8 @@ def layer_inventory(features: DataFrame) -> DataFrame:
 
     ``features`` has (layer, feature_id, geom_type, crs, rings, attrs[, has_z]). Types and
     attribute names are sets of a few members; everything else is a partial aggregate, so a layer
-    that holds a third of all features is reduced before the shuffle. The Z flag looks at the
-    first 200 features by id, as the audit does.
+    that holds a third of all features is reduced before the shuffle. The Z flag is true if any
+    feature of the layer has a third coordinate.
     """
     box = G.envelope(F.col("rings"))
     boxed = features.withColumn("_b", box)
@@ -30,15 +29,11 @@ def layer_inventory(features: DataFrame) -> DataFrame:
         F.max("crs").alias("crs"),
         *[(F.min if c.endswith("min") else F.max)(f"_b.{c}").alias(c) for c in BOX],
         F.avg(F.coalesce(F.size(F.flatten("rings")) <= 0, F.lit(True)).cast("double")).alias("empty_geom_ratio"),
+        *([F.bool_or("has_z").alias("has_z")] if "has_z" in features.columns else []),
     )
     if "attrs" in features.columns:
         names = features.select("layer", F.explode(F.map_keys("attrs")).alias("name")).distinct()
         out = out.join(names.groupBy("layer").agg(F.array_sort(F.collect_list("name")).alias("fields")), "layer", "left")
-    if "has_z" in features.columns:
-        spread = W.partitionBy("layer", F.pmod(F.xxhash64("feature_id"), F.lit(64))).orderBy("feature_id")
-        few = features.withColumn("_k", F.row_number().over(spread)).where("_k <= 200")
-        few = few.withColumn("_k", F.row_number().over(W.partitionBy("layer").orderBy("feature_id"))).where("_k <= 200")
-        out = out.join(few.groupBy("layer").agg(F.max("has_z").alias("has_z")), "layer", "left")
     return out
 
 

@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from cellsight.operators.vector import bucket_segments
 
-LEVELS = 24
 
 
 def point_segment_distance(px: Column, py: Column, x1: Column, y1: Column, x2: Column, y2: Column) -> Column:
@@ -20,7 +21,7 @@ def point_segment_distance(px: Column, py: Column, x1: Column, y1: Column, x2: C
     return F.sqrt(F.pow(px - (x1 + t * dx), 2) + F.pow(py - (y1 + t * dy), 2))
 
 
-def nearest_segment(points: DataFrame, segments: DataFrame, size: float, point: str = "area_id", line: str = "line_id", levels: int = LEVELS) -> DataFrame:
+def nearest_segment(points: DataFrame, segments: DataFrame, size: float, point: str = "area_id", line: str = "line_id") -> DataFrame:
     """(point, line, distance) of the nearest segment, ties to the smallest line id.
 
     ``points`` has (point, px, py) and ``segments`` (line, x1, y1, x2, y2), planar units.
@@ -28,9 +29,13 @@ def nearest_segment(points: DataFrame, segments: DataFrame, size: float, point:
        whose bucket around the point is used gives a true upper bound for the distance.
     2. The level whose buckets are at least that wide holds every nearer segment in the 3x3
        block around the point. Only those candidates are measured.
-    No candidate is cut off. Coordinates must stay within size * 2**levels of the origin (16
-    million buckets by default), so that the block of the coarsest level covers all segments.
+    No candidate is cut off and no point is too far: the number of levels follows the largest
+    coordinate (one aggregate), so the block of the coarsest level covers all segments. Without
+    segments there are no rows.
     """
+    far = lambda df, *cs: df.agg(F.max(F.greatest(*[F.abs(F.col(c)) for c in cs])).alias("far"))
+    widest = far(points, "px", "py").unionByName(far(segments, "x1", "y1", "x2", "y2")).agg(F.max("far")).first()[0] or 0.0
+    levels = max(1, math.ceil(math.log2(max(widest / size, 1.0))) + 1)
     width = lambda level: F.lit(size) * F.pow(F.lit(2.0), level)
     level = F.explode(F.sequence(F.lit(0), F.lit(levels))).alias("level")
     middle = segments.select(((F.col("x1") + F.col("x2")) / 2).alias("mx"), ((F.col("y1") + F.col("y2")) / 2).alias("my"))
@@ -44,7 +49,7 @@ def nearest_segment(points: DataFrame, segments: DataFrame, size: float, point:
     )
     fit = F.greatest(F.lit(0), F.least(F.ceil(F.log2(F.greatest(F.col("reach"), F.lit(size)) / size)), F.lit(levels))).cast("int")
     around = F.explode(F.sequence(F.lit(-1), F.lit(1)))
-    chosen = points.join(bound.select(point, "reach"), point, "left").withColumn("level", F.coalesce(fit, F.lit(levels)))
+    chosen = points.join(bound.select(point, "reach"), point, "left").withColumn("level", F.when(F.col("reach").isNotNull(), fit).otherwise(levels))
     blocks = (
         chosen.withColumn("ox", around)
         .withColumn("oy", around)
@@ -62,19 +67,34 @@ def nearest_segment(points: DataFrame, segments: DataFrame, size: float, point:
     return best.select(point, F.col("best.line").alias(line), F.col("best.d").alias("distance"))
 
 
-def nearest_in_time(requests: DataFrame, items: DataFrame, request: str, wanted: str, item: str, stamp: str, days: int = 2) -> DataFrame:
+def nearest_in_time(requests: DataFrame, items: DataFrame, request: str, wanted: str, item: str, stamp: str, days: int = 2, slices: int = 64) -> DataFrame:
     """Item closest to the requested time within +-``days``; on a tie the first in (time, id) order.
 
-    Both sides meet on day buckets of the window's width, so a request sees only the items of its
-    own and the adjacent buckets.
+    An as-of merge, linear in both sides: items and requests are ordered together inside narrow time slices, each
+    request takes the last item before it and the first one after it, and where its slice has none, the slice
+    tables (one row per slice with items) hand on the nearest item of the slices before and after.
     """
-    bucket = lambda c: F.floor(F.unix_micros(c) / (86400e6 * days))
-    asked = requests.select(request, F.col(wanted).alias("_t")).withColumn("_b", F.explode(F.sequence(bucket(F.col("_t")) - 1, bucket(F.col("_t")) + 1)))
-    offered = items.select(F.col(item).alias(item), F.col(stamp).alias(stamp)).withColumn("_b", bucket(F.col(stamp)))
-    gap = F.abs(F.unix_micros(stamp) - F.unix_micros("_t"))
-    near = asked.join(offered, "_b").where(gap <= days * 86400 * 1_000_000)
-    best = near.groupBy(request).agg(F.min(F.struct(gap.alias("gap"), F.col(stamp).alias("at"), F.col(item).alias("id"))).alias("best"))
-    return best.select(request, F.col("best.id").alias(item), F.col("best.at").alias(stamp), (F.col("best.gap") / 1e6).alias("gap_seconds"))
+    micros = F.unix_micros
+    slice_of = lambda t: F.floor(t / (86400e6 * days / slices))
+    at = F.struct(F.col("_t"), F.col("_id"))
+    offered = items.where(F.col(stamp).isNotNull()).groupBy(micros(stamp).alias("_t")).agg(F.min(item).alias("_id"))
+    offered = offered.select(slice_of(F.col("_t")).alias("_b"), "_t", at.alias("_item"))
+    asked = requests.where(F.col(wanted).isNotNull()).select(request, micros(wanted).alias("_t")).withColumn("_b", slice_of(F.col("_t")))
+    both = asked.withColumn("_item", F.lit(None).cast(offered.schema["_item"].dataType)).unionByName(offered.withColumn(request, F.lit(None).cast(requests.schema[request].dataType)))
+    both = both.withColumn("_asks", F.col("_item").isNull())
+    ahead = W.partitionBy("_b").orderBy("_t", "_asks").rowsBetween(W.unboundedPreceding, 0)
+    behind = W.partitionBy("_b").orderBy(F.desc("_t"), "_asks").rowsBetween(W.unboundedPreceding, 0)
+    met = both.select(request, "_t", "_b", "_asks", F.last("_item", True).over(ahead).alias("_before"), F.last("_item", True).over(behind).alias("_after")).where("_asks")
+    edges = asked.select("_b").distinct().withColumns({"_low": F.lit(None).cast(offered.schema["_item"].dataType), "_high": F.lit(None).cast(offered.schema["_item"].dataType)})
+    edges = edges.unionByName(offered.groupBy("_b").agg(F.min("_item").alias("_low"), F.max("_item").alias("_high")))
+    edges = edges.groupBy("_b").agg(F.max("_low").alias("_low"), F.max("_high").alias("_high"))
+    order = W.orderBy("_b")
+    carried = edges.select("_b", F.last("_high", True).over(order.rowsBetween(W.unboundedPreceding, -1)).alias("_earlier"), F.first("_low", True).over(order.rowsBetween(1, W.unboundedFollowing)).alias("_later"))
+    near = met.join(carried, "_b").withColumns({"_before": F.coalesce("_before", "_earlier"), "_after": F.coalesce("_after", "_later")})
+    gap = lambda c: F.struct(F.abs(F.col("_t") - F.col(f"{c}._t")).alias("gap"), F.col(f"{c}._t").alias("at"), F.col(f"{c}._id").alias("id"))
+    choice = F.array_min(F.array_compact(F.array(*[F.when(F.col(c).isNotNull(), gap(c)) for c in ("_before", "_after")])))
+    best = near.withColumn("_best", choice).where(F.col("_best.gap") <= days * 86400 * 1_000_000)
+    return best.select(request, F.col("_best.id").alias(item), F.timestamp_micros("_best.at").alias(stamp), (F.col("_best.gap") / 1e6).alias("gap_seconds"))
 
 
 def nearest_in_month(months: DataFrame, items: DataFrame, month: str, item: str, stamp: str) -> DataFrame:

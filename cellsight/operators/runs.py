@@ -61,7 +61,7 @@ def names_contain(needle: str, *names: Column) -> Column:
     return F.lit(True) if not wanted else joined.contains(F.lit(wanted))
 
 
-def bounded_limit(df: DataFrame, order: Sequence[Column], n: int, most: int = 748) -> DataFrame:
+def bounded_limit(df: DataFrame, order: Sequence[Column], n: int, most: int) -> DataFrame:
     """Top-n report with the range check of the request parameter."""
     if not 1 <= n <= most:
         raise ValueError(f"n must be within 1..{most}")

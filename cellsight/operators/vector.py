@@ -13,6 +13,8 @@ from cellsight.operators.ranking import exact_quantiles
 from cellsight.operators.zonal import edges, line_segments
 from cellsight.session import cut
 
+MARGIN = 1e-9
+
 
 def extent(features: DataFrame, pad: float = 0.0, keys: Sequence[str] = (), rings: str = "rings") -> DataFrame:
     """Padded extent over all features, or per group; partial aggregation, four numbers travel."""
@@ -50,40 +52,32 @@ def bucket_segments(segments: DataFrame, size: float) -> DataFrame:
     """Segments with every square bucket (bx, by) they pass through.
 
     Row by row along the segment, so a long diagonal meets the buckets on its way and not the
-    whole of its box.
+    whole of its box. Every range is widened by a rounding margin, so that two segments that
+    touch on a border share a bucket whichever way their places were computed; a pair can
+    therefore meet in two buckets.
     """
     u1, v1, u2, v2 = (F.col(c) / size for c in ("x1", "y1", "x2", "y2"))
+    span = lambda a, b: F.explode(F.sequence(F.floor(a - (F.abs(a) + 1) * MARGIN), F.floor(b + (F.abs(b) + 1) * MARGIN)))
     low, high = F.least(v1, v2), F.greatest(v1, v2)
-    rows = segments.select("*", F.explode(F.sequence(F.floor(low), F.floor(high))).alias("by"))
-    at = lambda v: u1 + (v - v1) * (u2 - u1) / (v2 - v1)
+    rows = segments.select("*", span(low, high).alias("by"))
+    left, right = F.least(u1, u2), F.greatest(u1, u2)
+    at = lambda v: F.greatest(left, F.least(right, u1 + (v - v1) * (u2 - u1) / (v2 - v1)))
     ua = F.when(v1 == v2, u1).otherwise(at(F.greatest(low, F.col("by").cast("double"))))
     ub = F.when(v1 == v2, u2).otherwise(at(F.least(high, F.col("by") + F.lit(1.0))))
-    return rows.withColumn("bx", F.explode(F.sequence(F.floor(F.least(ua, ub)), F.floor(F.greatest(ua, ub)))))
+    return rows.withColumn("bx", span(F.least(ua, ub), F.greatest(ua, ub)))
 
 
-def paired_buckets(left: DataFrame, right: DataFrame, size: float, dense: int = 4096, split: int = 64) -> tuple[DataFrame, DataFrame]:
-    """Both segment sets in common buckets (bx, by, fine).
+def paired_buckets(left: DataFrame, right: DataFrame, size: float) -> tuple[DataFrame, DataFrame]:
+    """Both segment sets in common buckets (bx, by).
 
-    Where a bucket would make more than ``dense`` squared pairs, both sides use ``split`` times
-    finer buckets inside it, so a spot that holds a third of all segments does not become one
-    task's all-pairs join. Two segments that meet still share the bucket of their meeting point.
+    Two segments that meet share the bucket of their meeting point. The bucket size is the caller's and the same
+    everywhere; a crowded bucket is a skewed join key, which adaptive execution splits by rows of either side.
     """
-    a, b = bucket_segments(left, size), bucket_segments(right, size)
-    count = lambda df, n: df.groupBy("bx", "by").agg(F.count(F.lit(1)).alias(n))
-    crowded = count(a, "na").join(count(b, "nb"), ["bx", "by"]).where(F.col("na") * F.col("nb") > dense * dense).select("bx", "by")
-    parent = lambda c: F.floor(F.col(c) / split)
-
-    def refined(df: DataFrame) -> DataFrame:
-        coarse = df.join(crowded, ["bx", "by"], "left_anti").withColumn("fine", F.lit(False))
-        dropped = df.join(crowded, ["bx", "by"], "left_semi").withColumnsRenamed({"bx": "_px", "by": "_py"})
-        inner = bucket_segments(dropped, size / split).where((parent("bx") == F.col("_px")) & (parent("by") == F.col("_py"))).drop("_px", "_py")
-        return coarse.unionByName(inner.withColumn("fine", F.lit(True)))
-
-    return refined(a), refined(b)
+    return bucket_segments(left, size), bucket_segments(right, size)
 
 
 def _same_bucket(a: str, b: str) -> Column:
-    return (F.col(f"{a}.bx") == F.col(f"{b}.bx")) & (F.col(f"{a}.by") == F.col(f"{b}.by")) & (F.col(f"{a}.fine") == F.col(f"{b}.fine"))
+    return (F.col(f"{a}.bx") == F.col(f"{b}.bx")) & (F.col(f"{a}.by") == F.col(f"{b}.by"))
 
 
 def _side(ax, ay, bx, by, px, py) -> Column:

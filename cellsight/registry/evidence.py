@@ -75,7 +75,7 @@ def top_values_report(t):
     """User-chosen multi-key order and a bounded result size."""
     rows = t.evidence().where("quality_status = 'ok'").select("run_id", "area_id", "value", "coverage_pct").distinct()
     order = [F.desc_nulls_last("value"), F.desc("coverage_pct"), F.asc("run_id"), F.asc("area_id")]
-    return U.bounded_limit(rows, order, 50)
+    return U.bounded_limit(rows, order, 50, most=100)
 
 
 # ---- latest-of selections
@@ -188,11 +188,11 @@ def evenly_spaced_stamps(t):
     return out.select("indicator", F.date_format("obs_end", DAY).alias("obs_end"))
 
 
-ITEMS_SQL = """items AS (SELECT 'item-' || o_orderkey AS item_id, o_orderdate + to_hours(CAST(o_orderkey % 24 AS INTEGER)) AS stamp FROM orders WHERE o_custkey % 7 = 0)"""
+ITEMS_SQL = """items AS (SELECT 'item-' || o_orderkey AS item_id, o_orderdate + to_hours(CAST(o_orderkey % 24 AS INTEGER)) AS stamp FROM orders)"""
 
 
 def items(t):
-    o = t.raw("orders").where("o_custkey % 7 = 0")
+    o = t.raw("orders")
     stamp = F.timestamp_micros(F.unix_micros(F.col("o_orderdate").cast("timestamp")) + (F.col("o_orderkey") % 24) * 3_600_000_000)
     return o.select(F.concat(F.lit("item-"), "o_orderkey").alias("item_id"), stamp.alias("stamp"))
 
@@ -235,19 +235,16 @@ def nearest_in_time(t):
 @query(
     "nearest_in_month",
     with_(
-        ITEMS_SQL.replace("% 7 = 0", "% 97 = 0"),
-        "months AS (SELECT CAST(m AS DATE) AS month FROM generate_series(TIMESTAMP '1995-01-01', TIMESTAMP '2001-12-01', INTERVAL 1 MONTH) g(m))",
+        ITEMS_SQL,
+        "months AS (SELECT CAST(m AS DATE) AS month FROM generate_series(TIMESTAMP '1990-01-01', TIMESTAMP '2001-12-01', INTERVAL 1 MONTH) g(m))",
         """cand AS (SELECT month, item_id, stamp, abs(epoch_us(stamp) - epoch_us(month + INTERVAL 20 DAY + INTERVAL 12 HOUR)) AS gap FROM months JOIN items ON date_trunc('month', stamp) = month)""",
         """rk AS (SELECT *, gap > 172800000000 AS far, row_number() OVER (PARTITION BY month ORDER BY gap > 172800000000, gap, stamp, item_id) AS rn FROM cand)""",
         then="""SELECT strftime(m.month, '%Y-%m') AS month, item_id, CASE WHEN far IS NULL THEN 'unavailable' WHEN far THEN 'whole_month' ELSE 'near_21st' END AS selection FROM months m LEFT JOIN rk ON rk.month = m.month AND rn = 1""",
     ),
 )
 def nearest_in_month(t):
-    o = t.raw("orders").where("o_custkey % 97 = 0")
-    stamp = F.timestamp_micros(F.unix_micros(F.col("o_orderdate").cast("timestamp")) + (F.col("o_orderkey") % 24) * 3_600_000_000)
-    few = o.select(F.concat(F.lit("item-"), "o_orderkey").alias("item_id"), stamp.alias("stamp"))
-    months = U.slots(t.spark, (1995, 2001), range(1, 13)).select(F.make_date("year", "month", F.lit(1)).alias("month"))
-    out = N.nearest_in_month(months, few, "month", "item_id", "stamp")
+    months = U.slots(t.spark, (1990, 2001), range(1, 13)).select(F.make_date("year", "month", F.lit(1)).alias("month"))
+    out = N.nearest_in_month(months, items(t), "month", "item_id", "stamp")
     return out.select(F.date_format("month", "yyyy-MM").alias("month"), "item_id", "selection")
 
 

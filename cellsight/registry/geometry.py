@@ -147,16 +147,19 @@ def interior_points(t):
     with_(
         *POLY, BOX_SQL, POINTS_SQL, ROADS_SQL,
         """official AS (SELECT * FROM roads WHERE upper(trim(owner)) IN ('MACHINERY', 'BUILDING', 'FURNITURE'))""",
-        """d AS (SELECT area_id, line_id, px, py, x1, y1, x2 - x1 AS dx, y2 - y1 AS dy, greatest(0, least(1, ((px - x1) * (x2 - x1) + (py - y1) * (y2 - y1)) / ((x2 - x1) * (x2 - x1) + (y2 - y1) * (y2 - y1)))) AS tt FROM points CROSS JOIN official)""",
-        then="SELECT area_id, round(min(sqrt(power(px - (x1 + tt * dx), 2) + power(py - (y1 + tt * dy), 2))), 8) AS distance FROM d GROUP BY 1",
+        """asked AS (SELECT area_id, px, py FROM points UNION ALL SELECT 'far-' || area_id, (px - 25) * 1e7, (py - 10) * -1e7 FROM points)""",
+        """d AS (SELECT area_id, line_id, px, py, x1, y1, x2 - x1 AS dx, y2 - y1 AS dy, greatest(0, least(1, ((px - x1) * (x2 - x1) + (py - y1) * (y2 - y1)) / ((x2 - x1) * (x2 - x1) + (y2 - y1) * (y2 - y1)))) AS tt FROM asked CROSS JOIN official)""",
+        then="SELECT area_id, round(min(sqrt(power(px - (x1 + tt * dx), 2) + power(py - (y1 + tt * dy), 2))), 6) AS distance FROM d GROUP BY 1",
     ),
 )
 def nearest_road(t):
-    """Distance from each area's interior point to the nearest road of an official owner."""
+    """Distance from each area's interior point, and from points far outside, to the nearest road of an official owner."""
     from cellsight.operators.runs import owner_in
 
     official = t.roads().where(owner_in(F.col("owner"), ["MACHINERY", "BUILDING", "FURNITURE"]))
-    return nearest_segment(V.interior_point(t.areas()), official, 0.5).select("area_id", F.round("distance", 8).alias("distance"))
+    inner = V.interior_point(t.areas())
+    far = inner.select(F.concat(F.lit("far-"), "area_id").alias("area_id"), ((F.col("px") - 25) * 1e7).alias("px"), ((F.col("py") - 10) * -1e7).alias("py"))
+    return nearest_segment(inner.unionByName(far), official, 0.5).select("area_id", F.round("distance", 6).alias("distance"))
 
 
 MEET = """((({dx}) * (q.y1 - p.y1) - ({dy}) * (q.x1 - p.x1)) * (({dx}) * (q.y2 - p.y1) - ({dy}) * (q.x2 - p.x1)) {op} 0
@@ -341,7 +344,7 @@ FEATURES_SQL = """feats AS (
   FROM customer)"""
 LAYERS_SQL = """layers AS (
   SELECT layer, any_value(l) AS l, any_value(kind) AS kind, count(*) AS feature_count, string_agg(DISTINCT geom_type, '|' ORDER BY geom_type) AS geom_types, max(crs) AS crs,
-    min(x) AS xmin, min(y) AS ymin, max(x) AS xmax, max(y) AS ymax, avg(CASE WHEN c_acctbal > -900 THEN 1.0 ELSE 0.0 END) AS valid_geom_ratio, any_value(l) % 17 <> 0 AS read_ok
+    min(x) AS xmin, min(y) AS ymin, max(x) AS xmax, max(y) AS ymax, avg(CASE WHEN c_acctbal > -900 THEN 1.0 ELSE 0.0 END) AS valid_geom_ratio, any_value(l) % 17 <> 0 AS read_ok, bool_or(c_custkey % 37 = 5) AS has_z
   FROM feats GROUP BY 1),
 flagged AS (SELECT *, CASE WHEN xmin > xmax OR ymin > ymax THEN 'INVERTED_BOUNDS' WHEN xmin = xmax AND ymin = ymax THEN 'ZERO_EXTENT'
     WHEN crs = 4326 AND NOT (xmin >= -180 AND xmax <= 180 AND ymin >= -90 AND ymax <= 90) THEN 'OUT_OF_RANGE_FOR_4326' WHEN crs = 4326 THEN NULL
@@ -371,6 +374,7 @@ def layer_features(t):
         F.create_map(F.lit("name"), F.col("c_name"), F.lit("rank"), k.cast("string"), F.lit("balance"), F.col("c_acctbal").cast("decimal(12,2)").cast("string")).alias("attrs"),
         (F.col("c_acctbal") > -900).alias("valid"),
         (n % 17 != 0).alias("readable"),
+        (k % 37 == 5).alias("has_z"),
     )
 
 
@@ -395,11 +399,11 @@ def resolved_layers(t):
 
 @query(
     "layer_inventory",
-    with_(FEATURES_SQL, LAYERS_SQL, then="SELECT layer, feature_count, geom_types, crs, xmin, ymin, xmax, ymax, 'balance|name|rank' AS fields, bounds_flag FROM flagged"),
+    with_(FEATURES_SQL, LAYERS_SQL, then="SELECT layer, feature_count, geom_types, crs, xmin, ymin, xmax, ymax, 'balance|name|rank' AS fields, bounds_flag, has_z FROM flagged"),
 )
 def layer_inventory(t):
     out = audited_layers(t)
-    return out.select("layer", "feature_count", "geom_types", "crs", "xmin", "ymin", "xmax", "ymax", F.array_join("fields", "|").alias("fields"), "bounds_flag")
+    return out.select("layer", "feature_count", "geom_types", "crs", "xmin", "ymin", "xmax", "ymax", F.array_join("fields", "|").alias("fields"), "bounds_flag", "has_z")
 
 
 @query("layer_fields", with_(FEATURES_SQL, then="SELECT DISTINCT layer, fname AS field_name, ftype AS field_type FROM feats CROSS JOIN (VALUES ('name', 'String'), ('rank', 'Integer'), ('balance', 'Real')) v(fname, ftype)"))

@@ -20,11 +20,18 @@ def jdbc_table(spark: SparkSession, url: str, name: str, partition_column: str,
 
 
 def artifact(spark: SparkSession, rows_path: str, manifest_path: str, schema: str = schemas.RAINFALL_ARTIFACT) -> DataFrame:
-    """CSV rows with their run id from the manifest beside them; empty text is NULL."""
+    """CSV rows with the run id and status of their own manifest; empty text is NULL.
+
+    Both paths may name one run or, as patterns, many. Rows and manifest belong together by the run's folder: that of
+    the file itself, or the one above where the files lie in ``rows`` and ``manifest``. Rows without a manifest keep
+    NULL ids; several manifests in one folder give the last one by (run_id, status).
+    """
+    run_folder = F.regexp_replace(F.col("_metadata.file_path"), "(/(rows|manifest))?/[^/]*$", "")
     rows = spark.read.schema(schema).option("header", True).option("nullValue", "").csv(rows_path)
-    manifest = spark.read.option("multiLine", True).schema("run_id string, status string").json(manifest_path)
-    one = manifest.limit(1)
-    return rows.withColumn("run_id", one.select("run_id").scalar()).withColumn("run_status", one.select("status").scalar())
+    rows = rows.select("*", run_folder.alias("_folder"))
+    manifest = spark.read.option("multiLine", True).schema("run_id string, status string").json(manifest_path).select("*", run_folder.alias("_folder"))
+    one = manifest.groupBy("_folder").agg(F.max(F.struct("run_id", "status")).alias("_run"))
+    return rows.join(one, "_folder", "left").withColumn("run_id", F.col("_run.run_id")).withColumn("run_status", F.col("_run.status")).drop("_folder", "_run")
 
 
 def manifests(spark: SparkSession, path: str) -> DataFrame:

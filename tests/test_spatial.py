@@ -182,18 +182,50 @@ def test_window_rejects_a_box_outside(spark):
         grid.window(50.0, 18.0, 51.0, 19.0)
 
 
-def test_crowded_buckets_keep_every_pair(spark):
+def test_bucketed_pairs_equal_the_plain_predicate(spark):
+    """Also where sloped segments touch on bucket borders: many end on whole-number points, on one another's inside."""
     rng = random.Random(9)
-    make = lambda n, p: [(f"{p}{i}", x := rng.uniform(0, 4), y := rng.uniform(0, 4), x + rng.gauss(0, 0.3), y + rng.gauss(0, 0.3)) for i in range(n)]
-    left, right = make(120, "a"), make(120, "b")
+    free = lambda n, p: [(f"{p}{i}", x := rng.uniform(0, 4), y := rng.uniform(0, 4), x + rng.gauss(0, 0.3), y + rng.gauss(0, 0.3)) for i in range(n)]
+    left, right = free(60, "a"), free(60, "b")
+    for i in range(300):
+        x, y, t, dx, dy = rng.randint(0, 40), rng.randint(0, 40), rng.uniform(0.1, 0.9), rng.uniform(-2, 2), rng.uniform(-2, 2)
+        left.append((f"p{i}", x - t * dx, y - t * dy, x * 1.0, y * 1.0))
+        right.append((f"q{i}", x * 1.0, y * 1.0, x + dy, y - dx))
     columns = "id string, x1 double, y1 double, x2 double, y2 double"
     a, b = spark.createDataFrame(left, columns), spark.createDataFrame(right, columns)
+    names = lambda joined: {(r[0], r[1]) for r in joined.where(V.segments_meet("a", "b")).select("a.id", "b.id").collect()}
+    plain = names(a.alias("a").crossJoin(b.alias("b")))
+    for size in (1.0, 0.5, 0.3):
+        x, y = V.paired_buckets(a, b, size)
+        assert names(x.alias("a").join(y.alias("b"), V._same_bucket("a", "b"))) == plain
+    assert len(plain) > 300
 
-    def pairs(dense):
-        x, y = V.paired_buckets(a, b, 4.0, dense=dense, split=8)
-        return {(r[0], r[1]) for r in x.alias("a").join(y.alias("b"), V._same_bucket("a", "b")).where(V.segments_meet("a", "b")).select("a.id", "b.id").collect()}
 
-    assert pairs(4) == pairs(10_000) and len(pairs(4)) > 50
+def test_nearest_segment_of_far_points(spark):
+    from cellsight.operators.nearest import nearest_segment
+
+    points = spark.createDataFrame([("near", 1.0, 1.0), ("far", 4e8, -3e8), ("left", -1e7, 5.0)], "area_id string, px double, py double")
+    lines = spark.createDataFrame([("l1", 0.0, 0.0, 2.0, 0.0), ("l2", -50.0, 4.0, -40.0, 4.0)], "line_id string, x1 double, y1 double, x2 double, y2 double")
+    got = {r.area_id: (r.line_id, r.distance) for r in nearest_segment(points, lines, 0.5).collect()}
+    assert got == {"near": ("l1", 1.0), "far": ("l1", pytest.approx(((4e8 - 2) ** 2 + 9e16) ** 0.5)), "left": ("l2", pytest.approx(((1e7 - 50) ** 2 + 1) ** 0.5))}
+    assert nearest_segment(points, lines.where("false"), 0.5).count() == 0
+
+
+def test_nearest_in_time_equals_trying_all(spark):
+    from cellsight.operators.nearest import nearest_in_time
+
+    rng = random.Random(4)
+    second = lambda: rng.randrange(0, 40 * 86400, 900)
+    items = [(f"i{k:03d}", second()) for k in range(60)] + [("i999", 5), ("i998", 5)]
+    asks = [(f"r{k}", second() + 450 * (k % 3)) for k in range(200)] + [("none", 300 * 86400), ("tie", 5)]
+    frame = lambda rows, a, b: spark.createDataFrame(rows, f"{a} string, s long").select(a, F.timestamp_seconds("s").alias(b))
+    want = {}
+    for name, t in asks:
+        best = min(((abs(s - t), s, i) for i, s in items if abs(s - t) <= 2 * 86400), default=None)
+        if best:
+            want[name] = best[2], float(best[0])
+    got = {r.request_id: (r.item_id, r.gap_seconds) for r in nearest_in_time(frame(asks, "request_id", "wanted"), frame(items, "item_id", "stamp"), "request_id", "wanted", "item_id", "stamp").collect()}
+    assert got == want
 
 
 def test_ordinals_and_previous_values_equal_plain_windows(spark):

@@ -57,6 +57,9 @@ def test_artifact_pair_round_trip(spark, tmp_path):
     sinks.write_artifact(table, manifest, str(tmp_path / "a"))
     back = scans.artifact(spark, str(tmp_path / "a" / "rows"), str(tmp_path / "a" / "manifest"))
     assert {r.area_id: (r.run_id, r.rainfall_mm, r.name_en) for r in back.collect()} == {"area-1": ("run-x", 1.5, "A"), "area-2": ("run-x", None, None)}
+    sinks.write_artifact(table.withColumn("area_id", F.concat(F.lit("b-"), "area_id")), manifest.select(F.lit("run-y").alias("run_id"), "status"), str(tmp_path / "b"))
+    both = scans.artifact(spark, str(tmp_path / "*" / "rows"), str(tmp_path / "*" / "manifest"))
+    assert {(r.area_id, r.run_id, r.run_status) for r in both.collect()} == {(p + a, run, "development") for p, run in (("", "run-x"), ("b-", "run-y")) for a in ("area-1", "area-2")}
 
 
 def test_feature_collection_files(spark, tmp_path):
