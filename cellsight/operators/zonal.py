@@ -191,6 +191,21 @@ def quality_of(valid: Column, coverage: Column, minimum: float = 90.0) -> Column
     return F.when((valid > 0) & (coverage >= minimum), "ok").otherwise("insufficient_grid_coverage")
 
 
+def frame(areas: DataFrame, ident: str = "area_id", **periods) -> DataFrame:
+    """Every area with every listed period: the rows that a summary must have, with or without cells."""
+    out = areas.select(ident)
+    for name, values in periods.items():
+        out = out.select("*", F.explode(F.array(*[F.lit(v) for v in values])).alias(name))
+    return out
+
+
+def _in_frame(stats: DataFrame, wanted: DataFrame | None, keys: Sequence[str], counts: Sequence[str]) -> DataFrame:
+    """Rows of ``wanted`` with their figures; where there are none, counts are 0 and all else is NULL."""
+    if wanted is None:
+        return stats
+    return wanted.select(*keys).join(stats, list(keys), "left").fillna(0, list(counts))
+
+
 def zonal_stats(
     pairs: DataFrame,
     keys: Sequence[str],
@@ -201,9 +216,13 @@ def zonal_stats(
     flags: Column | None = None,
     gate_rounded: bool = True,
     minimum: float = 90.0,
+    wanted: DataFrame | None = None,
 ) -> DataFrame:
     """Means under one shared validity mask, counts, coverage and quality per group.
 
+    With ``wanted`` (see ``frame``) every row of it is in the result: an area without a cell has 0 cells, NULL means
+    and insufficient coverage. Without it, only groups with cells are.
+
     ``means`` is {name: (stored value, decoding, digits)}. The stored integers are averaged and
     the mean is decoded: their sums are exact, so the result does not depend on how the cells
     are spread over tasks. ``median_of`` is (name, stored integer, decoding, digits). Cells are
@@ -225,6 +244,7 @@ def zonal_stats(
         carried = [F.sum(c).alias(c) for c in per_code.columns if c not in (*keys, "_code")]
         stats = coded_median(per_code, keys, "_code", "valid_pixel_count", carried, median)
         stats = stats.withColumn(median, py_round(decode(F.col(median), band), digits))
+    stats = _in_frame(stats, wanted, keys, [c for c in ("valid_pixel_count", "grid_cell_count", "qflag_nonzero_count") if c in stats.columns])
     for name, (_, band, digits) in means.items():
         stats = stats.withColumn(name, shown(F.col(f"_s_{name}"), F.col("valid_pixel_count"), band, digits)).drop(f"_s_{name}")
     raw = coverage_pct(F.col("valid_pixel_count"), F.col("grid_cell_count"))
@@ -263,40 +283,40 @@ def bands_wide(cells: DataFrame, bands: Sequence[str]) -> DataFrame:
     return cells.where(F.col("band").isin(list(bands))).groupBy("run_id", "row", "col").agg(*picks)
 
 
-def ndvi_stats(pairs: DataFrame, keys: Sequence[str]) -> DataFrame:
+def ndvi_stats(pairs: DataFrame, keys: Sequence[str], wanted: DataFrame | None = None) -> DataFrame:
     """Vegetation summary over bands ndvi, qflag, data_mask."""
     return zonal_stats(
         pairs, keys, {"ndvi_mean": (F.col("ndvi"), "ndvi", 4)}, valid_cell(F.col("ndvi"), F.col("data_mask")),
-        median_of=("ndvi_median", F.col("ndvi"), "ndvi", 4), flags=F.col("qflag"),
+        median_of=("ndvi_median", F.col("ndvi"), "ndvi", 4), flags=F.col("qflag"), wanted=wanted,
     )
 
 
-def swi_stats(pairs: DataFrame, keys: Sequence[str]) -> DataFrame:
+def swi_stats(pairs: DataFrame, keys: Sequence[str], wanted: DataFrame | None = None) -> DataFrame:
     """Soil-water summary; the 40-day band decides validity."""
     means = {f"{b}_mean": (F.col(b), "swi", 3) for b in ("swi010", "swi040", "swi100", "qflag040")}
-    return zonal_stats(pairs, keys, means, valid_cell(F.col("swi040"), F.col("data_mask")), gate_rounded=False)
+    return zonal_stats(pairs, keys, means, valid_cell(F.col("swi040"), F.col("data_mask")), gate_rounded=False, wanted=wanted)
 
 
-def lst_v2_stats(pairs: DataFrame, keys: Sequence[str]) -> DataFrame:
+def lst_v2_stats(pairs: DataFrame, keys: Sequence[str], wanted: DataFrame | None = None) -> DataFrame:
     means = {
         "lst_c_mean": (F.col("lst"), "lst", 2),
         "errorbar_c_mean": (F.col("errorbar"), "lst", 2),
         "ppp_mean": (F.col("ppp"), None, 2),
         "qflag_mean": (F.col("qflag"), None, 2),
     }
-    return zonal_stats(pairs, keys, means, valid_cell(F.col("lst"), F.col("data_mask")), gate_rounded=False)
+    return zonal_stats(pairs, keys, means, valid_cell(F.col("lst"), F.col("data_mask")), gate_rounded=False, wanted=wanted)
 
 
-def lst_v3_stats(pairs: DataFrame, keys: Sequence[str]) -> DataFrame:
+def lst_v3_stats(pairs: DataFrame, keys: Sequence[str], wanted: DataFrame | None = None) -> DataFrame:
     means = {"lst_c_mean": (F.col("lst"), "lst", 2), "fobs_mean": (F.col("fobs"), "fobs", 3)}
-    return zonal_stats(pairs, keys, means, valid_cell(F.col("lst"), F.col("data_mask")))
+    return zonal_stats(pairs, keys, means, valid_cell(F.col("lst"), F.col("data_mask")), wanted=wanted)
 
 
-def paired_stats(first: DataFrame, second: DataFrame, keys: Sequence[str], names: tuple[str, str], minimum: float = 90.0) -> DataFrame:
-    """Two single-raster summaries as one row: fewest valid, most cells, both values needed."""
+def paired_stats(first: DataFrame, second: DataFrame, keys: Sequence[str], names: tuple[str, str], minimum: float = 90.0, wanted: DataFrame | None = None) -> DataFrame:
+    """Two single-raster summaries as one row: fewest valid, most cells, both values needed; ``wanted`` as in ``zonal_stats``."""
     a = first.select(*keys, F.col("mean").alias(names[0]), F.col("valid").alias("va"), F.col("cells").alias("ca"))
     b = second.select(*keys, F.col("mean").alias(names[1]), F.col("valid").alias("vb"), F.col("cells").alias("cb"))
-    both = a.join(b, list(keys), "full_outer")
+    both = _in_frame(a.join(b, list(keys), "full_outer"), wanted, keys, ["va", "vb", "ca", "cb"])
     zero = lambda c: F.coalesce(F.col(c), F.lit(0))
     both = both.withColumn("valid_pixel_count", F.least(zero("va"), zero("vb"))).withColumn("grid_cell_count", F.greatest(zero("ca"), zero("cb")))
     both = both.withColumn("coverage_pct", py_round(coverage_pct(F.col("valid_pixel_count"), F.col("grid_cell_count")), 1))
@@ -311,8 +331,8 @@ def band_mean(pairs: DataFrame, keys: Sequence[str], value: Column, valid: Colum
     )
 
 
-def period_depth(pairs: DataFrame, keys: Sequence[str], period: str, value: Column, valid: Column, expected: int | None = None) -> DataFrame:
-    """Depth of several periods: the sum of the period means, never the sum of pixels.
+def period_depth(pairs: DataFrame, keys: Sequence[str], period: str, value: Column, valid: Column, expected: int | None = None, wanted: DataFrame | None = None) -> DataFrame:
+    """Depth of several periods: the sum of the period means, never the sum of pixels; ``wanted`` as in ``zonal_stats``.
 
     Without ``expected`` an empty period adds nothing. With it, the depth is NULL unless that
     many periods have cells (the strict form of the historical baseline). Masked cells are not
@@ -324,12 +344,16 @@ def period_depth(pairs: DataFrame, keys: Sequence[str], period: str, value: Colu
     if expected is not None:
         depth = F.when(F.count("_mean") == expected, F.sum("_mean"))
     out = monthly.groupBy(*keys).agg(depth.alias("depth"), F.sum("_n").alias("usable"))
+    out = _in_frame(out, wanted, keys, ["usable"] if expected is not None else ["usable", "depth"])
     coverage = F.when(F.col("usable") > 0, 100.0).otherwise(0.0)
     return out.withColumn("coverage_pct", coverage).withColumn("quality_status", quality_of(F.col("usable"), F.col("coverage_pct")))
 
 
-def class_share(pairs: DataFrame, keys: Sequence[str], cls: Column, wanted: int, hectares: Column) -> DataFrame:
-    """Share and hectares of a land-cover class; class 0 is no data, tiles are simply unioned before."""
+def class_share(pairs: DataFrame, keys: Sequence[str], cls: Column, wanted: int, hectares: Column, wanted_rows: DataFrame | None = None) -> DataFrame:
+    """Share and hectares of a land-cover class; class 0 is no data, tiles are simply unioned before.
+
+    ``wanted_rows`` as in ``zonal_stats``: an area without a cell is reported as unavailable.
+    """
     usable = cls.isNotNull() & (cls != 0)
     crop = usable & (cls == wanted)
     out = pairs.groupBy(*keys).agg(
@@ -338,6 +362,7 @@ def class_share(pairs: DataFrame, keys: Sequence[str], cls: Column, wanted: int,
         F.count_if(usable).alias("valid_pixel_count"),
         F.count(F.lit(1)).alias("total_pixel_count"),
     )
+    out = _in_frame(out, wanted_rows, keys, ["_crop", "class_area_ha", "valid_pixel_count", "total_pixel_count"])
     out = out.withColumn("class_pct", coverage_pct(F.col("_crop"), F.col("valid_pixel_count")))
     out = out.withColumn("coverage_pct", coverage_pct(F.col("valid_pixel_count"), F.col("total_pixel_count")))
     return _share_quality(out).drop("_crop")
@@ -348,10 +373,14 @@ def _share_quality(out: DataFrame, minimum: float = 90.0) -> DataFrame:
     return out.withColumn("quality_status", state)
 
 
-def zonal_sum(pairs: DataFrame, keys: Sequence[str], value: Column, area_km2: DataFrame) -> DataFrame:
-    """Sum and density per square kilometre; no data inside the source extent means zero."""
+def zonal_sum(pairs: DataFrame, keys: Sequence[str], value: Column, area_km2: DataFrame, wanted: DataFrame | None = None) -> DataFrame:
+    """Sum and density per square kilometre; no data inside the source extent means zero.
+
+    ``wanted`` as in ``zonal_stats``: an area without a cell has total 0 and is unavailable.
+    """
     out = pairs.groupBy(*keys).agg(F.coalesce(F.sum(value), F.lit(0.0)).alias("total"), F.count(F.lit(1)).alias("valid_pixel_count"))
-    out = out.withColumn("total_pixel_count", F.col("valid_pixel_count")).withColumn("coverage_pct", F.lit(100.0))
+    out = _in_frame(out, wanted, keys, ["total", "valid_pixel_count"])
+    out = out.withColumn("total_pixel_count", F.col("valid_pixel_count")).withColumn("coverage_pct", F.when(F.col("valid_pixel_count") > 0, 100.0).otherwise(0.0))
     out = out.join(area_km2, [k for k in keys if k in area_km2.columns], "left")
     density = F.when(F.coalesce(F.col("area_km2"), F.lit(0.0)) > 0, F.col("total") / F.col("area_km2")).otherwise(0.0)
     return _share_quality(out.withColumn("density_per_km2", density))

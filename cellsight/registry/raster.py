@@ -27,6 +27,28 @@ def band_pairs(t):
     return Z.cells_in_areas(t.band_cells(), Z.area_spans(t.areas(), GRID))
 
 
+YEARS, MONTHS = range(1991, 2000), range(1, 13)
+FRAMES_SQL = {
+    "area_id": "SELECT area_id FROM areas",
+    'area_id, "year"': f'SELECT area_id, y AS "year" FROM areas CROSS JOIN range({YEARS.start}, {YEARS.stop}) r(y)',
+    'area_id, "month"': f'SELECT area_id, m AS "month" FROM areas CROSS JOIN range({MONTHS.start}, {MONTHS.stop}) r(m)',
+}
+
+
+def framed(keys, sql, columns, defaults):
+    """SQL: every row of the frame with the figures of ``sql``; ``defaults`` are {column: text} where there are none."""
+    shown = ", ".join(f"coalesce({c}, {defaults[c]}) AS {c}" if c in defaults else c for c in columns)
+    return f"SELECT {keys}, {shown} FROM ({FRAMES_SQL[keys]}) fr LEFT JOIN ({sql}) st USING ({keys})"
+
+
+def yearly(t):
+    return Z.frame(t.areas(), year=YEARS)
+
+
+def monthly(t):
+    return Z.frame(t.areas(), month=MONTHS)
+
+
 def cell_pairs(t, all_touched=False):
     return Z.cells_in_areas(t.cells(), Z.area_spans(t.areas(), GRID, all_touched))
 
@@ -72,11 +94,14 @@ def _zonal_sql(keys, means, valid, *, extra="", median=None, gate="rounded"):
     outer = ", ".join(f"{pyround('m_' + n, d)} AS {n}" for n, (_, _, d) in means.items())
     outer += f", {pyround('m_' + median[0], median[3])} AS {median[0]}" if median else ""
     passed = pyround("cov", 1) if gate == "rounded" else "cov"
-    return f"""SELECT {keys}, {outer}, valid_pixel_count, grid_cell_count{', qflag_nonzero_count' if extra else ''}, {pyround('cov', 1)} AS coverage_pct,
+    own = f"""SELECT {keys}, {outer}, valid_pixel_count, grid_cell_count{', qflag_nonzero_count' if extra else ''}, {pyround('cov', 1)} AS coverage_pct,
       CASE WHEN valid_pixel_count > 0 AND {passed} >= 90 THEN 'ok' ELSE 'insufficient_grid_coverage' END AS quality_status
     FROM (SELECT *, 100.0::DOUBLE * valid_pixel_count / grid_cell_count AS cov FROM (
       SELECT {keys}, {inner}{med}{extra}, count(*) FILTER (WHERE ok) AS valid_pixel_count, count(*) AS grid_cell_count
       FROM (SELECT *, {valid} AS ok FROM pairs) p GROUP BY {keys}) a) b"""
+    counts = ["valid_pixel_count", "grid_cell_count", *(["qflag_nonzero_count"] if extra else []), "coverage_pct"]
+    figures = [*means, *([median[0]] if median else []), *counts, "quality_status"]
+    return framed(keys, own, figures, {**{c: "0" for c in counts}, "quality_status": "'insufficient_grid_coverage'"})
 
 
 @query(
@@ -91,7 +116,7 @@ def _zonal_sql(keys, means, valid, *, extra="", median=None, gate="rounded"):
     ),
 )
 def ndvi_zonal_stats(t):
-    return Z.ndvi_stats(band_pairs(t).withColumnRenamed("raw", "ndvi"), ["area_id", "year"])
+    return Z.ndvi_stats(band_pairs(t).withColumnRenamed("raw", "ndvi"), ["area_id", "year"], yearly(t))
 
 
 @query(
@@ -107,7 +132,7 @@ def ndvi_zonal_stats(t):
 )
 def swi_zonal_stats(t):
     named = band_pairs(t).withColumn("swi010", F.col("raw")).withColumn("swi040", F.col("value")).withColumn("swi100", F.col("line")).withColumn("qflag040", F.col("qflag"))
-    return Z.swi_stats(named, ["area_id", "year"])
+    return Z.swi_stats(named, ["area_id", "year"], yearly(t))
 
 
 @query(
@@ -123,7 +148,7 @@ def swi_zonal_stats(t):
 )
 def lst_v2_zonal_stats(t):
     named = band_pairs(t).withColumn("lst", F.col("raw") * 10).withColumn("errorbar", F.col("line")).withColumn("ppp", F.col("value"))
-    return Z.lst_v2_stats(named, ["area_id", "month"])
+    return Z.lst_v2_stats(named, ["area_id", "month"], monthly(t))
 
 
 @query(
@@ -134,27 +159,29 @@ def lst_v2_zonal_stats(t):
     ),
 )
 def lst_v3_zonal_stats(t):
-    return Z.lst_v3_stats(band_pairs(t).withColumn("lst", F.col("raw") * 10).withColumn("fobs", F.col("value")), ["area_id", "month"])
+    return Z.lst_v3_stats(band_pairs(t).withColumn("lst", F.col("raw") * 10).withColumn("fobs", F.col("value")), ["area_id", "month"], monthly(t))
 
 
 @query(
     "wapor_paired_stats",
     with_(
         *BAND_BASE, PAIRS_SQL,
-        then=f"""SELECT area_id, "year", {pyround('ta', 3)} AS transpiration_mm, {pyround('tb', 3)} AS aeti_mm,
+        then=framed('area_id, "year"', f"""SELECT area_id, "year", {pyround('ta', 3)} AS transpiration_mm, {pyround('tb', 3)} AS aeti_mm,
           least(va, vb) AS valid_pixel_count, greatest(ca, cb) AS grid_cell_count, {pyround('cov', 1)} AS coverage_pct,
           CASE WHEN ta IS NOT NULL AND tb IS NOT NULL AND {pyround('cov', 1)} >= 90 THEN 'ok' ELSE 'insufficient_grid_coverage' END AS quality_status
         FROM (SELECT *, CASE WHEN greatest(ca, cb) > 0 THEN 100.0::DOUBLE * least(va, vb) / greatest(ca, cb) ELSE 0 END AS cov FROM (
           SELECT area_id, "year", avg(CASE WHEN line % 2 = 0 AND value <> 7 THEN value END) * 0.1::DOUBLE AS ta, avg(CASE WHEN line % 2 = 1 AND value <> 7 THEN value END) * 0.1::DOUBLE AS tb,
             count(*) FILTER (WHERE line % 2 = 0 AND value <> 7) AS va, count(*) FILTER (WHERE line % 2 = 1 AND value <> 7) AS vb,
             count(*) FILTER (WHERE line % 2 = 0) AS ca, count(*) FILTER (WHERE line % 2 = 1) AS cb FROM pairs GROUP BY area_id, "year") a) b""",
+            ["transpiration_mm", "aeti_mm", "valid_pixel_count", "grid_cell_count", "coverage_pct", "quality_status"],
+            {"valid_pixel_count": "0", "grid_cell_count": "0", "coverage_pct": "0", "quality_status": "'insufficient_grid_coverage'"}),
     ),
 )
 def wapor_paired_stats(t):
     pairs = band_pairs(t)
     keys = ["area_id", "year"]
     side = lambda odd: Z.band_mean(pairs.where(F.col("line") % 2 == odd), keys, F.col("value"), Z.valid_cell(F.col("value"), nodata=7.0), 0.1)
-    return Z.paired_stats(side(0), side(1), keys, ("transpiration_mm", "aeti_mm"))
+    return Z.paired_stats(side(0), side(1), keys, ("transpiration_mm", "aeti_mm"), wanted=yearly(t))
 
 
 DEPTH_SQL = """monthly AS (
@@ -166,14 +193,15 @@ DEPTH_SQL = """monthly AS (
     "seasonal_depth",
     with_(
         *BAND_BASE, PAIRS_SQL, DEPTH_SQL,
-        then="""SELECT area_id, "year", round(coalesce(sum(m), 0), 6) AS depth, CAST(sum(n) AS BIGINT) AS usable,
+        then=framed('area_id, "year"', """SELECT area_id, "year", round(coalesce(sum(m), 0), 6) AS depth, CAST(sum(n) AS BIGINT) AS usable,
           CAST(CASE WHEN sum(n) > 0 THEN 100.0 ELSE 0.0 END AS DOUBLE) AS coverage_pct, CASE WHEN sum(n) > 0 THEN 'ok' ELSE 'insufficient_grid_coverage' END AS quality_status
         FROM monthly GROUP BY 1, 2""",
+            ["depth", "usable", "coverage_pct", "quality_status"], {"depth": "0", "usable": "0", "coverage_pct": "0", "quality_status": "'insufficient_grid_coverage'"}),
     ),
 )
 def seasonal_depth(t):
     season = band_pairs(t).where(F.col("month").isin(6, 7))
-    out = Z.period_depth(season, ["area_id", "year"], "month", F.col("value"), F.col("data_mask") > 0)
+    out = Z.period_depth(season, ["area_id", "year"], "month", F.col("value"), F.col("data_mask") > 0, wanted=yearly(t))
     return out.withColumn("depth", F.round("depth", 6))
 
 
@@ -181,12 +209,12 @@ def seasonal_depth(t):
     "seasonal_depth_strict",
     with_(
         *BAND_BASE, PAIRS_SQL, DEPTH_SQL,
-        then='SELECT area_id, "year", round(CASE WHEN count(m) = 2 THEN sum(m) END, 6) AS depth FROM monthly GROUP BY 1, 2',
+        then=framed('area_id, "year"', 'SELECT area_id, "year", round(CASE WHEN count(m) = 2 THEN sum(m) END, 6) AS depth FROM monthly GROUP BY 1, 2', ["depth"], {}),
     ),
 )
 def seasonal_depth_strict(t):
     season = band_pairs(t).where(F.col("month").isin(6, 7))
-    out = Z.period_depth(season, ["area_id", "year"], "month", F.col("value"), F.col("data_mask") > 0, expected=2)
+    out = Z.period_depth(season, ["area_id", "year"], "month", F.col("value"), F.col("data_mask") > 0, expected=2, wanted=yearly(t))
     return out.select("area_id", "year", F.round("depth", 6).alias("depth"))
 
 
@@ -220,17 +248,19 @@ def observed_rainfall_condition(t):
     "cropland_share",
     with_(
         *BASE, TOUCHED_SQL,
-        then="""SELECT area_id, CASE WHEN valid > 0 THEN 100.0::DOUBLE * crop / valid ELSE 0 END AS class_pct, round(ha, 4) AS class_area_ha, valid AS valid_pixel_count, total AS total_pixel_count,
+        then=framed("area_id", """SELECT area_id, CASE WHEN valid > 0 THEN 100.0::DOUBLE * crop / valid ELSE 0 END AS class_pct, round(ha, 4) AS class_area_ha, valid AS valid_pixel_count, total AS total_pixel_count,
           100.0::DOUBLE * valid / total AS coverage_pct,
           CASE WHEN 100.0::DOUBLE * valid / total >= 90 THEN 'ok' WHEN valid > 0 THEN 'insufficient_coverage' ELSE 'unavailable' END AS quality_status
         FROM (SELECT area_id, count(*) AS total, count(*) FILTER (WHERE cls % 10 <> 0) AS valid, count(*) FILTER (WHERE cls % 10 = 4) AS crop,
           coalesce(sum(CASE WHEN cls % 10 = 4 THEN greatest(0.01, abs(cos(radians(14 - (t."row" + 0.5) * 0.01)))) * 111320 * 0.01 * 110574 * 0.01 / 10000 END), 0) AS ha
           FROM touched t JOIN cells c ON c."row" = t."row" AND c.col = t.col GROUP BY area_id) s""",
+            ["class_pct", "class_area_ha", "valid_pixel_count", "total_pixel_count", "coverage_pct", "quality_status"],
+            {**{c: "0" for c in ("class_pct", "class_area_ha", "valid_pixel_count", "total_pixel_count", "coverage_pct")}, "quality_status": "'unavailable'"}),
     ),
 )
 def cropland_share(t):
     hectares = pixel_hectares(14 - (F.col("row") + 0.5) * 0.01, 0.01, 0.01)
-    out = Z.class_share(cell_pairs(t, True), ["area_id"], F.col("cls") % 10, 4, hectares)
+    out = Z.class_share(cell_pairs(t, True), ["area_id"], F.col("cls") % 10, 4, hectares, Z.frame(t.areas()))
     return out.withColumn("class_area_ha", F.round("class_area_ha", 4))
 
 
@@ -239,13 +269,14 @@ def cropland_share(t):
     with_(
         *BASE, TOUCHED_SQL,
         """sizes AS (SELECT area_id, abs(sum(CASE WHEN ring = 0 THEN x1 * y2 - x2 * y1 ELSE 0 END)) / 2 - abs(sum(CASE WHEN ring > 0 THEN x1 * y2 - x2 * y1 ELSE 0 END)) / 2 AS km2 FROM edges GROUP BY area_id)""",
-        then="""SELECT t.area_id, round(coalesce(sum(CASE WHEN cls % 5 <> 0 THEN value END), 0), 4) AS total, count(*) AS total_pixel_count, round(coalesce(sum(CASE WHEN cls % 5 <> 0 THEN value END), 0) / km2, 4) AS density_per_km2, 'ok' AS quality_status
+        then=framed("area_id", """SELECT t.area_id, round(coalesce(sum(CASE WHEN cls % 5 <> 0 THEN value END), 0), 4) AS total, count(*) AS total_pixel_count, round(coalesce(sum(CASE WHEN cls % 5 <> 0 THEN value END), 0) / km2, 4) AS density_per_km2, 'ok' AS quality_status
         FROM touched t JOIN cells c ON c."row" = t."row" AND c.col = t.col JOIN sizes s ON s.area_id = t.area_id GROUP BY t.area_id, km2""",
+            ["total", "total_pixel_count", "density_per_km2", "quality_status"], {"total": "0", "total_pixel_count": "0", "density_per_km2": "0", "quality_status": "'unavailable'"}),
     ),
 )
 def population_density(t):
     size = t.areas().select("area_id", planar_area(F.col("rings")).alias("area_km2"))
-    out = Z.zonal_sum(cell_pairs(t, True), ["area_id"], F.when(F.col("cls") % 5 != 0, F.col("value")), size)
+    out = Z.zonal_sum(cell_pairs(t, True), ["area_id"], F.when(F.col("cls") % 5 != 0, F.col("value")), size, Z.frame(t.areas()))
     return out.select("area_id", F.round("total", 4).alias("total"), "total_pixel_count", F.round("density_per_km2", 4).alias("density_per_km2"), "quality_status")
 
 
