@@ -68,14 +68,45 @@ def value_bin(value: Column) -> Column:
     """Monotone integer bin of a double: 1,024 bins per power of two, mirrored for negatives.
 
     The bin depends on the value alone, so no min/max join is needed and a recomputed
-    task always puts a row into the same bin.
+    task always puts a row into the same bin. The infinities and NaN, the greatest value, have
+    bins of their own.
     """
     x = value.cast("double")
-    size = F.abs(x)
+    usable = ~F.isnan(x) & (F.abs(x) != float("inf"))
+    size = F.abs(F.when(usable, x))
     exponent = F.floor(F.log2(size))
     step = F.floor((size / F.pow(F.lit(2.0), exponent) - 1) * SUB_BINS)
     positive = (exponent * SUB_BINS + step + BIN_OFFSET).cast("long")
-    return F.when(x == 0, F.lit(0).cast("long")).when(x > 0, positive).otherwise(-positive)
+    end = F.lit(4 * BIN_OFFSET).cast("long")
+    odd = F.when(F.isnan(x), end + 1).when(x > 0, end).otherwise(-end)
+    return F.when(x.isNotNull() & ~usable, odd).when(x == 0, F.lit(0).cast("long")).when(x > 0, positive).otherwise(-positive)
+
+
+def fine_bin(value: Column) -> Column:
+    """Monotone integer inside a ``value_bin``: 1,048,576 steps of the value's distance from the bin's lower end.
+
+    Values with a large offset and a small spread fall into few bins; these steps tell them apart. Like the bin it
+    depends on the value alone.
+    """
+    x = value.cast("double")
+    usable = ~F.isnan(x) & (F.abs(x) != float("inf")) & (x != 0)
+    size = F.abs(F.when(usable, x))
+    unit = F.pow(F.lit(2.0), F.floor(F.log2(size))) / SUB_BINS
+    part = size / unit - F.floor(size / unit)
+    step = F.floor(part * (1 << 20)).cast("long")
+    return F.coalesce(F.when(x > 0, step).otherwise(-step), F.lit(0).cast("long"))
+
+
+def order_bin(value: Column, kind: str) -> Column:
+    """Monotone integer bin of a column of any sortable type; NULL has the last bin."""
+    last = F.lit((1 << 62)).cast("long")
+    if kind == "string":
+        first = F.conv(F.rpad(F.hex(F.substring(F.encode(value, "UTF-8"), 1, 7)), 14, "0"), 16, 10).cast("long")
+        return F.coalesce(first, last)
+    if kind in ("date", "timestamp", "timestamp_ntz"):
+        seconds = F.unix_date(value) * 86400 if kind == "date" else F.floor(F.unix_micros(value.cast("timestamp")) / 1_000_000)
+        return F.coalesce(F.floor(seconds / 3600).cast("long"), last)
+    return F.coalesce(value_bin(value), last)
 
 
 def finite(value: Column) -> Column:

@@ -14,20 +14,22 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from cellsight.functions.numeric import value_bin
+from cellsight.functions.numeric import fine_bin, order_bin, value_bin
 
 
 def _histogram(counts: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Rows before each bin and in all, per group. One row per used bin."""
-    per_bin = counts.groupBy(*keys, "_bin").agg(F.sum("_n").alias("_in_bin"))
-    ordered = W.partitionBy(*keys).orderBy("_bin")
-    return per_bin.select(
-        *keys,
-        "_bin",
-        "_in_bin",
-        (F.sum("_in_bin").over(ordered.rowsBetween(W.unboundedPreceding, 0)) - F.col("_in_bin")).alias("_before_bin"),
-        F.sum("_in_bin").over(W.partitionBy(*keys)).alias("_total"),
-    )
+    """Rows before each bin and in all, per group. One row per used bin.
+
+    Two levels: fine steps are summed up inside their coarse bin, coarse bins inside their group, so no window
+    holds more rows than a bin has steps or a group has coarse bins.
+    """
+    per_step = counts.groupBy(*keys, "_bin", "_fine").agg(F.sum("_n").alias("_in_bin"))
+    before = lambda order: F.coalesce(F.sum("_in_bin").over(order.rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    steps = per_step.withColumn("_inside", before(W.partitionBy(*keys, "_bin").orderBy("_fine")))
+    per_bin = per_step.groupBy(*keys, "_bin").agg(F.sum("_in_bin").alias("_in_bin"))
+    bins = per_bin.select(*keys, "_bin", before(W.partitionBy(*keys).orderBy("_bin")).alias("_outside"), F.sum("_in_bin").over(W.partitionBy(*keys)).alias("_total"))
+    joined = _null_safe_join(steps, bins, [*keys, "_bin"])
+    return joined.select(*keys, "_bin", "_fine", "_in_bin", (F.col("_outside") + F.col("_inside")).alias("_before_bin"), "_total")
 
 
 def exact_quantiles(df: DataFrame, keys: Sequence[str], value: str, probs: Sequence[float], names: Sequence[str], count: str | None = None) -> DataFrame:
@@ -44,7 +46,7 @@ def exact_quantiles(df: DataFrame, keys: Sequence[str], value: str, probs: Seque
         df.where(F.col(value).isNotNull())
         .groupBy(*keys, F.col(value).cast("double").alias("_v"))
         .agg(F.count(F.lit(1)).alias("_n"))
-        .withColumn("_bin", F.coalesce(value_bin(F.col("_v")), F.lit(0)))
+        .withColumns({"_bin": F.coalesce(value_bin(F.col("_v")), F.lit(0)), "_fine": fine_bin(F.col("_v"))})
     )
     hist = _histogram(counts, keys)
     wanted = []
@@ -54,12 +56,12 @@ def exact_quantiles(df: DataFrame, keys: Sequence[str], value: str, probs: Seque
             wanted.append(F.struct(F.lit(f"{i}{side}").alias("tag"), rank.cast("long").alias("rank")))
     in_reach = lambda w: (w["rank"] >= F.col("_before_bin")) & (w["rank"] < F.col("_before_bin") + F.col("_in_bin"))
     targets = hist.withColumn("_want", F.filter(F.array(*wanted), in_reach)).where(F.size("_want") > 0)
-    within = W.partitionBy(*keys, "_bin").orderBy("_v").rowsBetween(W.unboundedPreceding, 0)
+    within = W.partitionBy(*keys, "_bin", "_fine").orderBy("_v").rowsBetween(W.unboundedPreceding, 0)
     last = F.col("_before_bin") + F.col("_run")
     held = lambda w: (w["rank"] < last) & (w["rank"] >= last - F.col("_n"))
-    wanted_bins = targets.select(*keys, "_bin", "_before_bin", "_total", "_want")
+    wanted_bins = targets.select(*keys, "_bin", "_fine", "_before_bin", "_total", "_want")
     picked = (
-        _null_safe_join(counts, wanted_bins, [*keys, "_bin"])
+        _null_safe_join(counts, wanted_bins, [*keys, "_bin", "_fine"])
         .withColumn("_run", F.sum("_n").over(within))
         .select(*keys, "_v", "_total", F.explode(F.filter("_want", held)).alias("_w"))
     )
@@ -69,7 +71,8 @@ def exact_quantiles(df: DataFrame, keys: Sequence[str], value: str, probs: Seque
     for i, (prob, name) in enumerate(zip(probs, names)):
         position = (F.col("_total") - 1) * F.lit(float(prob))
         part = position - F.floor(position)
-        columns.append((F.col(f"_{i}l") + (F.col(f"_{i}h") - F.col(f"_{i}l")) * part).alias(name))
+        low, high = F.col(f"_{i}l"), F.col(f"_{i}h")
+        columns.append(F.when((part == 0) | (low == high), low).otherwise(low + (high - low) * part).alias(name))
     held = [F.col("_total").alias(count)] if count else []
     return wide.select(*keys, *held, *columns)
 
@@ -93,23 +96,26 @@ def coded_median(counts: DataFrame, keys: Sequence[str], code: str, weight: str,
 def global_rank(df: DataFrame, value: str, ident: str, keys: Sequence[str] = ()) -> DataFrame:
     """Add ``rank_position`` (1..n, ties by md5 of the id), ``rank_min`` and ``rank_total``.
 
-    The order is (value, md5(id), id), over the whole table or within each group of ``keys``; a
-    NULL value would count as 0. Counts per (value, two digits of the md5) split even a value
-    that a third of the rows share over 256 tasks.
+    The order is (value, md5(id), id), over the whole table or within each group of ``keys``. The
+    value keeps its type (numbers, dates, times, text); NULL comes last, NaN before it. Counts per
+    (value, two digits of the md5) split even a value that a third of the rows share over 256 tasks.
     """
     keys = list(keys)
     # join keys that cannot be NULL: no filter is pushed into one reader of ``counts`` only, so its
     # exchange is reused
     fixed = lambda column, default: F.coalesce(column, F.lit(default))
-    tagged = df.withColumn("_v", fixed(F.col(value).cast("double"), 0.0)).withColumn("_h", fixed(F.md5(F.col(ident).cast("string")), ""))
+    kind = df.schema[value].dataType.typeName()
+    fine = F.lit(0).cast("long") if kind in ("string", "date", "timestamp", "timestamp_ntz") else fine_bin(F.col("_v"))
+    tagged = df.withColumn("_v", F.col(value)).withColumn("_h", fixed(F.md5(F.col(ident).cast("string")), ""))
     tagged = tagged.withColumn("_sub", F.substring("_h", 1, 2))
-    counts = tagged.groupBy(*keys, "_v", "_sub").agg(F.count(F.lit(1)).alias("_n")).withColumn("_bin", fixed(value_bin(F.col("_v")), 0))
+    counts = tagged.groupBy(*keys, "_v", "_sub").agg(F.count(F.lit(1)).alias("_n")).withColumns({"_bin": order_bin(F.col("_v"), kind), "_fine": fine})
     hist = _histogram(counts, keys)
-    ordered = W.partitionBy(*keys, "_bin").orderBy("_v", "_sub").rowsBetween(W.unboundedPreceding, 0)
+    step = [*keys, "_bin", "_fine"]
+    ordered = W.partitionBy(*step).orderBy(F.asc_nulls_last("_v"), "_sub").rowsBetween(W.unboundedPreceding, 0)
     offsets = (
-        _null_safe_join(counts, hist, [*keys, "_bin"])
+        _null_safe_join(counts, hist, step)
         .withColumn("_before", F.col("_before_bin") + F.sum("_n").over(ordered) - F.col("_n"))
-        .select(*keys, "_v", "_sub", "_before", "_total", F.min("_before").over(W.partitionBy(*keys, "_bin", "_v")).alias("_first"))
+        .select(*keys, "_v", "_sub", "_before", "_total", F.min("_before").over(W.partitionBy(*step, "_v")).alias("_first"))
     )
     local = W.partitionBy(*keys, "_v", "_sub").orderBy("_h", ident)
     return _null_safe_join(tagged, offsets, [*keys, "_v", "_sub"]).select(
@@ -130,7 +136,7 @@ def _null_safe_join(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> D
 
 
 def ordinals(df: DataFrame, keys: Sequence[str], order: str, ident: str, name: str = "ordinal") -> DataFrame:
-    """``row_number`` by a numeric order within groups of any size."""
+    """``row_number`` by a number, date, time or text within groups of any size."""
     return global_rank(df, order, ident, keys).withColumn(name, F.col("rank_position")).select(*df.columns, name)
 
 

@@ -201,6 +201,24 @@ def test_bucketed_pairs_equal_the_plain_predicate(spark):
     assert len(plain) > 300
 
 
+def test_ranks_of_text_nulls_and_odd_numbers(spark):
+    from cellsight.operators.ranking import global_rank, exact_quantiles
+
+    rng = random.Random(12)
+    odd = [None, None, float("nan"), float("inf"), float("-inf"), 0.0, -0.5, 1e-300, 4e9 + 1]
+    rows = [(i, rng.choice(odd) if i % 3 == 0 else 1e9 + rng.randrange(300) / 7, rng.choice(["", "a", "ab", "abcdefgh", "abcdefgi", "é", None, "zz"]), 2**53 + rng.randrange(5)) for i in range(300)]
+    df = spark.createDataFrame(rows, "id int, v double, s string, n long")
+    for name in ("v", "s", "n"):
+        got = {r.id: (r.rank_position, r.rank_min) for r in global_rank(df, name, "id").collect()}
+        plain = df.selectExpr("id", f"row_number() OVER (ORDER BY {name} NULLS LAST, md5(string(id)), id) AS p", f"rank() OVER (ORDER BY {name} NULLS LAST) AS m")
+        assert got == {r.id: (r.p, r.m) for r in plain.collect()}
+    known = sorted(r[1] for r in rows if r[1] is not None and not math.isnan(r[1]) and abs(r[1]) != math.inf)
+    (r,) = exact_quantiles(df.where("v IS NOT NULL AND NOT isnan(v) AND abs(v) < double('infinity')"), [], "v", [0.1, 0.5, 0.9], ["a", "b", "c"]).collect()
+    assert [r.a, r.b, r.c] == pytest.approx(np.quantile(known, [0.1, 0.5, 0.9]).tolist(), rel=1e-15)
+    (r,) = exact_quantiles(df, [], "v", [0.0, 1.0], ["low", "high"]).collect()
+    assert r.low == -math.inf and (math.isnan(r.high) or any(math.isnan(x[1]) for x in rows if x[1] is not None))
+
+
 def test_nearest_segment_of_far_points(spark):
     from cellsight.operators.nearest import nearest_segment
 
