@@ -1,7 +1,9 @@
 """Geometry as ``rings ARRAY<ARRAY<STRUCT<x, y>>>``: measures and canonical forms as Columns.
 
-A polygon's rings are closed; holes are simply further rings, because every inside test
-here is an even-odd test. Lines use the same type with open rings, points a one-point ring.
+A polygon's rings are closed; holes and further parts are simply further rings, because every
+inside test here is an even-odd test: a ring inside an odd number of the others bounds a hole,
+any other ring bounds a part. Lines use the same type with one open ring per part, points a
+one-point ring.
 """
 
 from __future__ import annotations
@@ -54,10 +56,44 @@ def ring_area(ring: Column) -> Column:
     return _total(F.transform(_steps(ring), lambda s: s["a"]["x"] * s["b"]["y"] - s["b"]["x"] * s["a"]["y"])) / 2
 
 
+def _once(value: Column, body) -> Column:
+    """``body(value)`` with the value evaluated once, not per element of inner functions."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def _holds(ring: Column, p: Column) -> Column:
+    """Even-odd test of a point against one ring."""
+    over = lambda s: (s["a"]["y"] > p["y"]) != (s["b"]["y"] > p["y"])
+    right = lambda s: p["x"] < s["a"]["x"] + (p["y"] - s["a"]["y"]) * (s["b"]["x"] - s["a"]["x"]) / (s["b"]["y"] - s["a"]["y"])
+    return F.size(F.filter(_steps(ring), lambda s: F.when(over(s), right(s)).otherwise(False))) % 2 == 1
+
+
+def _probe(ring: Column) -> Column:
+    """The middle of a ring's first edge: rings of one geometry touch in single points at most."""
+    a, b = F.get(ring, F.lit(0)), F.get(ring, F.lit(1))
+    return F.struct(((a["x"] + b["x"]) / 2).alias("x"), ((a["y"] + b["y"]) / 2).alias("y"))
+
+
+def ring_depths(rings: Column) -> Column:
+    """For each ring, how many other rings hold it: even for parts, odd for holes."""
+    return _once(rings, lambda all_: F.transform(all_, lambda ring, i: F.size(F.filter(all_, lambda other, j: (i != j) & _holds(other, _probe(ring))))))
+
+
 def planar_area(rings: Column) -> Column:
-    """First ring minus the following rings (one outer ring with holes)."""
-    sizes = F.transform(rings, lambda r: F.abs(ring_area(r)))
-    return F.when(F.size(rings) > 0, 2 * F.get(sizes, F.lit(0)) - _total(sizes)).otherwise(0.0)
+    """Area of all parts without their holes."""
+    sign = lambda depth: F.when(depth % 2 == 0, 1.0).otherwise(-1.0)
+    own = _once(rings, lambda all_: _total(F.zip_with(all_, ring_depths(all_), lambda r, d: F.abs(ring_area(r)) * sign(d))))
+    return F.when(F.size(rings) > 0, own).otherwise(0.0)
+
+
+def polygon_parts(rings: Column) -> Column:
+    """Rings by part: each outer ring followed by its own holes."""
+    def of(all_):
+        ringed = F.zip_with(all_, ring_depths(all_), lambda r, d: F.struct(r.alias("r"), d.alias("d")))
+        own = lambda outer, z: F.filter(z, lambda h: (h["d"] == outer["d"] + 1) & _holds(outer["r"], _probe(h["r"])))
+        return _once(ringed, lambda z: F.transform(F.filter(z, lambda o: o["d"] % 2 == 0), lambda o: F.concat(F.array(o["r"]), F.transform(own(o, z), lambda h: h["r"]))))
+
+    return _once(rings, of)
 
 
 def planar_length(rings: Column) -> Column:
@@ -120,7 +156,15 @@ def vertex_count(rings: Column) -> Column:
     return F.when((F.size(rings) > 0) & (F.array_min(counts) >= 3), F.aggregate(counts, F.lit(0), lambda a, n: a + n))
 
 
-def geojson_polygon(rings: Column) -> Column:
-    """GeoJSON geometry struct of a polygon."""
-    coordinates = F.transform(rings, lambda r: F.transform(r, lambda p: F.array(p["x"], p["y"])))
-    return F.struct(F.lit("Polygon").alias("type"), coordinates.alias("coordinates"))
+def _coordinates(rings: Column) -> Column:
+    return F.transform(rings, lambda r: F.transform(r, lambda p: F.array(p["x"], p["y"])))
+
+
+def geojson_polygon(parts: Column) -> Column:
+    """GeoJSON geometry struct of the only part of a polygon."""
+    return F.struct(F.lit("Polygon").alias("type"), _coordinates(F.get(parts, F.lit(0))).alias("coordinates"))
+
+
+def geojson_multipolygon(parts: Column) -> Column:
+    """GeoJSON geometry struct of a polygon with several parts."""
+    return F.struct(F.lit("MultiPolygon").alias("type"), F.transform(parts, _coordinates).alias("coordinates"))

@@ -121,23 +121,28 @@ def points_in_areas(points: DataFrame, areas: DataFrame, size: float, point: str
     return odd.select(point, area)
 
 
+def parts_inside(features: DataFrame, areas: DataFrame, size: float, ident: str, area: str, rings: str = "rings") -> DataFrame:
+    """Distinct (id, area) pairs where the first vertex of some ring of the feature lies inside the area."""
+    ring = features.select(F.col(ident).alias("_id"), F.posexplode(rings).alias("_part", "_ring"))
+    first = ring.select(F.struct("_id", "_part").alias("_vertex"), F.get("_ring", F.lit(0)).alias("p")).select("_vertex", F.col("p.x").alias("px"), F.col("p.y").alias("py"))
+    return points_in_areas(first, areas, size, "_vertex", area, rings).select(F.col("_vertex._id").alias(ident), area).distinct()
+
+
 def intersecting(areas: DataFrame, lines: DataFrame, size: float, area: str = "area_id", line: str = "line_id", rings: str = "rings") -> DataFrame:
-    """Distinct (area, line) pairs that intersect: a segment meets an edge, or a line vertex lies inside."""
+    """Distinct (area, line) pairs that intersect: a segment meets an edge, or a vertex of any part of the line lies inside."""
     a, b = paired_buckets(edges(areas, area, rings), line_segments(lines, line, rings), size)
     meets = a.alias("a").join(b.alias("b"), _same_bucket("a", "b")).where(segments_meet("a", "b"))
-    first = lines.select(line, F.get(F.get(rings, F.lit(0)), F.lit(0)).alias("p")).select(line, F.col("p.x").alias("px"), F.col("p.y").alias("py"))
-    inside = points_in_areas(first, areas, size, line, area, rings)
+    inside = parts_inside(lines, areas, size, line, area, rings)
     return meets.select(f"a.{area}", f"b.{line}").unionByName(inside.select(area, line)).distinct()
 
 
 def polygons_overlap(left: DataFrame, right: DataFrame, size: float, left_id: str, right_id: str) -> DataFrame:
-    """Distinct pairs of polygons that intersect: borders meet, or one holds a vertex of the other."""
+    """Distinct pairs of polygons that intersect: borders meet, or one holds a vertex of any ring of the other."""
     a, b = paired_buckets(edges(left, left_id), edges(right, right_id), size)
     meets = a.alias("a").join(b.alias("b"), _same_bucket("a", "b")).where(segments_meet("a", "b"))
-    vertex = lambda df, i: df.select(i, F.get(F.get("rings", F.lit(0)), F.lit(0)).alias("p")).select(i, F.col("p.x").alias("px"), F.col("p.y").alias("py"))
     found = meets.select(f"a.{left_id}", f"b.{right_id}")
-    found = found.unionByName(points_in_areas(vertex(left, left_id), right, size, left_id, right_id))
-    return found.unionByName(points_in_areas(vertex(right, right_id), left, size, right_id, left_id).select(left_id, right_id)).distinct()
+    found = found.unionByName(parts_inside(left, right, size, left_id, right_id))
+    return found.unionByName(parts_inside(right, left, size, right_id, left_id).select(left_id, right_id)).distinct()
 
 
 def ring_problems(features: DataFrame, size: float, ident: str = "area_id", rings: str = "rings") -> DataFrame:
@@ -231,10 +236,8 @@ def length_inside(lines: DataFrame, region: DataFrame, size: float, ident: str =
 
 
 def _oriented(features: DataFrame, rings: str = "rings") -> DataFrame:
-    """First ring counter-clockwise, further rings (holes) clockwise."""
-    turned = F.transform(
-        rings, lambda ring, i: F.when((G.ring_area(ring) > 0) == (i == 0), ring).otherwise(F.reverse(ring))
-    )
+    """Outer rings counter-clockwise, holes clockwise."""
+    turned = F.zip_with(rings, G.ring_depths(F.col(rings)), lambda ring, d: F.when((G.ring_area(ring) > 0) == (d % 2 == 0), ring).otherwise(F.reverse(ring)))
     return features.withColumn(rings, turned)
 
 

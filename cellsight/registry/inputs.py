@@ -19,13 +19,15 @@ GRID = Grid(0.0, 0.0, 1.0, 1.0, GRID_WIDTH, 1_000_000_000)
 INDICATORS = {"1-URGENT": "rainfall", "2-HIGH": "ndvi", "3-MEDIUM": "swi", "4-NOT SPECIFIED": "lst", "5-LOW": "wapor"}
 STATUSES = {"F": "development", "O": "degraded", "P": "validated"}
 
-# Polygon shapes as rings of (column, row) offsets: box, triangle, concave L, box with a hole.
+# Polygon shapes as rings of (column, row) offsets: box, triangle, concave L, box with a hole, two boxes.
 SHAPES = (
     (((0, 0), (6, 0), (6, 5), (0, 5), (0, 0)),),
     (((0, 0), (7, 0), (0, 6), (0, 0)),),
     (((0, 0), (6, 0), (6, 2), (3, 2), (3, 6), (0, 6), (0, 0)),),
     (((0, 0), (7, 0), (7, 6), (0, 6), (0, 0)), ((2, 2), (4, 2), (4, 4), (2, 4), (2, 2))),
+    (((0, 0), (3, 0), (3, 3), (0, 3), (0, 0)), ((4, 2), (7, 2), (7, 6), (4, 6), (4, 2))),
 )
+HOLED, TWO_PARTS = 3, 4
 CROSSED = (((0, 0), (5, 5), (5, 0), (0, 5), (0, 0)),)
 
 
@@ -97,7 +99,7 @@ class Tables:
             F.concat(F.lit("NATION_"), "s_nationkey").alias("district_en"),
             F.col("s_nationkey").alias("district_key"),
             F.when(key % 41 != 0, F.concat(F.lit("K"), key % 37)).alias("source_key"),
-            shape_rings(key % 4, x0, y0).alias("rings"),
+            shape_rings(F.when(key % 8 == 5, TWO_PARTS).otherwise(key % 4), x0, y0).alias("rings"),
         )
 
     def cells(self) -> DataFrame:
@@ -185,7 +187,7 @@ RUNS_SQL = """runs AS (
 AREAS_SQL = """areas AS (
   SELECT 'area-' || s_suppkey AS area_id, s_suppkey AS area_key, s_name AS name_en, 'NATION_' || s_nationkey AS district_en,
          s_nationkey AS district_key, CASE WHEN s_suppkey % 41 <> 0 THEN 'K' || (s_suppkey % 37) END AS source_key,
-         s_suppkey % 4 AS shape, (s_suppkey % 10) * 5 AS x0, (s_suppkey // 10) * 4 AS y0
+         CASE WHEN s_suppkey % 8 = 5 THEN 4 ELSE s_suppkey % 4 END AS shape, (s_suppkey % 10) * 5 AS x0, (s_suppkey // 10) * 4 AS y0
   FROM supplier)"""
 
 
@@ -199,7 +201,7 @@ def _edge_values(shapes) -> str:
 
 
 EDGES_SQL = f"""edges AS (
-  SELECT area_id, area_key, ring, seq, (x0 + px)::DOUBLE AS x1, (y0 + py)::DOUBLE AS y1, (x0 + qx)::DOUBLE AS x2, (y0 + qy)::DOUBLE AS y2
+  SELECT area_id, area_key, ring, seq, CASE WHEN s = {HOLED} AND ring = 1 THEN 1 ELSE 0 END AS hole, (x0 + px)::DOUBLE AS x1, (y0 + py)::DOUBLE AS y1, (x0 + qx)::DOUBLE AS x2, (y0 + qy)::DOUBLE AS y2
   FROM areas JOIN (VALUES {_edge_values(SHAPES)}) AS shapes(s, ring, seq, px, py, qx, qy) ON s = shape)"""
 
 CELLS_SQL = """cells AS (

@@ -268,7 +268,7 @@ def cropland_share(t):
     "population_density",
     with_(
         *BASE, TOUCHED_SQL,
-        """sizes AS (SELECT area_id, abs(sum(CASE WHEN ring = 0 THEN x1 * y2 - x2 * y1 ELSE 0 END)) / 2 - abs(sum(CASE WHEN ring > 0 THEN x1 * y2 - x2 * y1 ELSE 0 END)) / 2 AS km2 FROM edges GROUP BY area_id)""",
+        """sizes AS (SELECT area_id, abs(sum(CASE WHEN hole = 0 THEN x1 * y2 - x2 * y1 ELSE 0 END)) / 2 - abs(sum(CASE WHEN hole = 1 THEN x1 * y2 - x2 * y1 ELSE 0 END)) / 2 AS km2 FROM edges GROUP BY area_id)""",
         then=framed("area_id", """SELECT t.area_id, round(coalesce(sum(CASE WHEN cls % 5 <> 0 THEN value END), 0), 4) AS total, count(*) AS total_pixel_count, round(coalesce(sum(CASE WHEN cls % 5 <> 0 THEN value END), 0) / km2, 4) AS density_per_km2, 'ok' AS quality_status
         FROM touched t JOIN cells c ON c."row" = t."row" AND c.col = t.col JOIN sizes s ON s.area_id = t.area_id GROUP BY t.area_id, km2""",
             ["total", "total_pixel_count", "density_per_km2", "quality_status"], {"total": "0", "total_pixel_count": "0", "density_per_km2": "0", "quality_status": "'unavailable'"}),

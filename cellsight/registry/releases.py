@@ -19,9 +19,9 @@ PAGE_SQL = "CAST('0x' || substr(md5({id}), 1, 8) AS BIGINT) % greatest(CAST(ceil
     "geojson_documents",
     with_(
         AREAS_SQL, EDGES_SQL,
-        """rt AS (SELECT area_id, ring, '[' || string_agg('[' || x1 || ',' || y1 || ']', ',' ORDER BY seq) || ',' || min(CASE WHEN seq = 0 THEN '[' || x1 || ',' || y1 || ']' END) || ']' AS txt FROM edges GROUP BY 1, 2)""",
-        """ft AS (SELECT a.area_id, district_key, '{"type":"Feature","id":"' || a.area_id || '","geometry":{"type":"Polygon","coordinates":[' || g.txt || ']},"properties":{"area_id":"' || a.area_id || '","name_en":"' || name_en || '","source_key":' || coalesce('"' || source_key || '"', 'null') || '}}' AS feature
-          FROM areas a JOIN (SELECT area_id, string_agg(txt, ',' ORDER BY ring) AS txt FROM rt GROUP BY 1) g USING (area_id) WHERE district_key <> 3)""",
+        """rt AS (SELECT area_id, area_key, ring, '[' || string_agg('[' || x1 || ',' || y1 || ']', ',' ORDER BY seq) || ',' || min(CASE WHEN seq = 0 THEN '[' || x1 || ',' || y1 || ']' END) || ']' AS txt FROM edges GROUP BY 1, 2, 3)""",
+        """ft AS (SELECT a.area_id, district_key, '{"type":"Feature","id":"' || a.area_id || '","geometry":{"type":"' || CASE WHEN g.two THEN 'MultiPolygon' ELSE 'Polygon' END || '","coordinates":[' || g.txt || ']},"properties":{"area_id":"' || a.area_id || '","name_en":"' || name_en || '","source_key":' || coalesce('"' || source_key || '"', 'null') || '}}' AS feature
+          FROM areas a JOIN (SELECT area_id, any_value(area_key % 8 = 5) AS two, string_agg(CASE WHEN area_key % 8 = 5 THEN '[' || txt || ']' ELSE txt END, ',' ORDER BY ring) AS txt FROM rt GROUP BY 1) g USING (area_id) WHERE district_key <> 3)""",
         f"""pg AS (SELECT *, {PAGE_SQL.format(id='area_id', n='count(*) OVER (PARTITION BY district_key)', size=3)} AS page FROM ft)""",
         """dc AS (SELECT n_nationkey AS district_key, coalesce(page, 0) AS page, count(area_id) AS feature_count, '{"type":"FeatureCollection","features":[' || coalesce(string_agg(feature, ',' ORDER BY area_id), '') || ']}' AS document FROM nation LEFT JOIN pg ON district_key = n_nationkey GROUP BY 1, 2)""",
         then="SELECT district_key, page, CAST(feature_count AS INTEGER) AS feature_count, md5(document) AS document_md5 FROM dc",

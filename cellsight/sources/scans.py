@@ -57,7 +57,7 @@ def feature_collections(spark: SparkSession, path: str) -> DataFrame:
 
 
 def polygon_rings(geometry: Column) -> Column:
-    """Rings of a GeoJSON Polygon or MultiPolygon text."""
+    """Rings of a GeoJSON Polygon or MultiPolygon text; parts and holes follow from how the rings lie in one another."""
     to_ring = lambda ring: F.transform(ring, lambda p: F.struct(p[0].alias("x"), p[1].alias("y")))
     single = F.from_json(F.get_json_object(geometry, "$.coordinates"), "array<array<array<double>>>")
     multi = F.from_json(F.get_json_object(geometry, "$.coordinates"), "array<array<array<array<double>>>>")

@@ -8,7 +8,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cellsight.functions.geometry import geojson_polygon
+from cellsight.functions.geometry import geojson_multipolygon, geojson_polygon, polygon_parts
 from cellsight.session import shared_dir
 
 
@@ -78,14 +78,14 @@ def update_columns(target: DataFrame, values: DataFrame, key: Sequence[str], col
 
 
 def features_json(df: DataFrame, ident: str, properties: Sequence[str], rings: str = "rings") -> DataFrame:
-    """One GeoJSON Feature text per row; properties keep their order, NULLs are written out."""
-    body = F.struct(
-        F.lit("Feature").alias("type"),
-        F.col(ident).alias("id"),
-        geojson_polygon(F.col(rings)).alias("geometry"),
-        F.struct(*[F.col(p) for p in properties]).alias("properties"),
-    )
-    return df.withColumn("feature", F.to_json(body, {"ignoreNullFields": "false"}))
+    """One GeoJSON Feature text per row, a Polygon or MultiPolygon; properties keep their order, NULLs are written out."""
+    def text(geometry: Column) -> Column:
+        body = F.struct(F.lit("Feature").alias("type"), F.col(ident).alias("id"), geometry.alias("geometry"), F.struct(*[F.col(p) for p in properties]).alias("properties"))
+        return F.to_json(body, {"ignoreNullFields": "false"})
+
+    parted = df.withColumn("_parts", polygon_parts(F.col(rings)))
+    several = F.size("_parts") > 1
+    return parted.withColumn("feature", F.when(several, text(geojson_multipolygon(F.col("_parts")))).otherwise(text(geojson_polygon(F.col("_parts"))))).drop("_parts")
 
 
 def page_of(ident: Column, rows: Column, page_size: int) -> Column:
