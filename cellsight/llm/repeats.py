@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from cellsight.llm import hashing
 
-CELL_DOCUMENTS = 1000
+CELL_DOCUMENTS, PART_DOCUMENTS = 1000, 4000
 BLOCK = 1 << 22
 SAMPLE_DOCUMENTS = 2000
 FREQUENT = 20
@@ -231,10 +231,11 @@ def find(docs: DataFrame, text: str, spec: Spec, content, method, finish, schema
     base = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(MISSING_ID)).alias("did"), F.col(text).alias("text"))
     base = base.withColumn("rid", F.xxhash64("did", "text"))
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    cells = max(n, -(-base.count() // CELL_DOCUMENTS))
+    rows = base.count()
+    cells, parts_of_anchors = -(-rows // CELL_DOCUMENTS) or 1, -(-rows // PART_DOCUMENTS) or 1
     frequent = spark.sparkContext.broadcast(frequent_anchors(base, spec))
     celled = base.withColumn("cell", F.pmod("rid", F.lit(cells)).cast("long")).repartition(n, "cell")
-    parts = celled.groupBy("cell").applyInArrow(gathered(spec, frequent, 4 * n), "cell long, part long, rows binary")
+    parts = celled.groupBy("cell").applyInArrow(gathered(spec, frequent, parts_of_anchors), "cell long, part long, rows binary")
     flags = parts.groupBy("part").applyInArrow(flagged(spec), "cell long, rows binary")
     sent = celled.groupBy("cell").cogroup(flags.groupBy("cell")).applyInArrow(routed(spec, frequent, content), "h long, cell long, rid long, did long, lo long, hi long, reference boolean, content binary")
     marks = sent.repartition(n, "h").sortWithinPartitions("h", "did").mapInArrow(method, MARKS)
