@@ -22,9 +22,9 @@ PAGE_SQL = "CAST('0x' || substr(md5({id}), 1, 8) AS BIGINT) % greatest(CAST(ceil
         """rt AS (SELECT area_id, area_key, ring, '[' || string_agg('[' || x1 || ',' || y1 || ']', ',' ORDER BY seq) || ',' || min(CASE WHEN seq = 0 THEN '[' || x1 || ',' || y1 || ']' END) || ']' AS txt FROM edges GROUP BY 1, 2, 3)""",
         """ft AS (SELECT a.area_id, district_key, '{"type":"Feature","id":"' || a.area_id || '","geometry":{"type":"' || CASE WHEN g.two THEN 'MultiPolygon' ELSE 'Polygon' END || '","coordinates":[' || g.txt || ']},"properties":{"area_id":"' || a.area_id || '","name_en":"' || name_en || '","source_key":' || coalesce('"' || source_key || '"', 'null') || '}}' AS feature
           FROM areas a JOIN (SELECT area_id, any_value(area_key % 8 = 5) AS two, string_agg(CASE WHEN area_key % 8 = 5 THEN '[' || txt || ']' ELSE txt END, ',' ORDER BY ring) AS txt FROM rt GROUP BY 1) g USING (area_id) WHERE district_key <> 3)""",
-        f"""pg AS (SELECT *, {PAGE_SQL.format(id='area_id', n='count(*) OVER (PARTITION BY district_key)', size=3)} AS page FROM ft)""",
-        """dc AS (SELECT n_nationkey AS district_key, coalesce(page, 0) AS page, count(area_id) AS feature_count, '{"type":"FeatureCollection","features":[' || coalesce(string_agg(feature, ',' ORDER BY area_id), '') || ']}' AS document FROM nation LEFT JOIN pg ON district_key = n_nationkey GROUP BY 1, 2)""",
-        then="SELECT district_key, page, CAST(feature_count AS INTEGER) AS feature_count, md5(document) AS document_md5 FROM dc",
+        f"""pg AS (SELECT *, count(*) OVER (PARTITION BY district_key) AS total, {PAGE_SQL.format(id='area_id', n='count(*) OVER (PARTITION BY district_key)', size=3)} AS page FROM ft)""",
+        """dc AS (SELECT n_nationkey AS district_key, coalesce(page, 0) AS page, count(area_id) AS feature_count, coalesce(max(total), 0) AS feature_total, '{"type":"FeatureCollection","features":[' || coalesce(string_agg(feature, ',' ORDER BY area_id), '') || ']}' AS document FROM nation LEFT JOIN pg ON district_key = n_nationkey GROUP BY 1, 2)""",
+        then="SELECT district_key, page, CAST(feature_count AS INTEGER) AS feature_count, feature_total, md5(document) AS document_md5 FROM dc",
     ),
 )
 def geojson_documents(t):
@@ -32,7 +32,7 @@ def geojson_documents(t):
     features = sinks.features_json(t.areas().where("district_key <> 3"), "area_id", ["area_id", "name_en", "source_key"])
     groups = t.raw("nation").select(F.col("n_nationkey").alias("district_key"))
     docs = sinks.feature_collections(groups, features, "district_key", "area_id", page_size=3)
-    return docs.select("district_key", "page", "feature_count", F.md5("document").alias("document_md5"))
+    return docs.select("district_key", "page", "feature_count", "feature_total", F.md5("document").alias("document_md5"))
 
 
 @query(
@@ -41,17 +41,17 @@ def geojson_documents(t):
         EVIDENCE_SQL, RUNS_SQL,
         "kept AS (SELECT run_id, indicator, status FROM runs WHERE boundary_set_version = 'areas-v1')",
         "one AS (SELECT run_id, area_id, max(coverage_pct) AS coverage_pct, min(quality_status) AS quality_status FROM evidence GROUP BY 1, 2)",
-        f"""pg AS (SELECT *, {PAGE_SQL.format(id='area_id', n='count(*) OVER (PARTITION BY run_id)', size=2)} AS page FROM one)""",
-        """dc AS (SELECT k.run_id, coalesce(page, 0) AS page, '{"run":{"run_id":"' || k.run_id || '","indicator":"' || indicator || '","status":"' || status || '"},"rows":[' ||
+        f"""pg AS (SELECT *, count(*) OVER (PARTITION BY run_id) AS total, {PAGE_SQL.format(id='area_id', n='count(*) OVER (PARTITION BY run_id)', size=2)} AS page FROM one)""",
+        """dc AS (SELECT k.run_id, coalesce(page, 0) AS page, coalesce(max(total), 0) AS row_total, '{"run":{"run_id":"' || k.run_id || '","indicator":"' || indicator || '","status":"' || status || '"},"rows":[' ||
           coalesce(string_agg('{"area_id":"' || area_id || '","coverage_pct":' || coverage_pct || ',"quality_status":"' || quality_status || '"}', ',' ORDER BY area_id), '') || ']}' AS payload FROM kept k LEFT JOIN pg p ON p.run_id = k.run_id GROUP BY k.run_id, 2, indicator, status)""",
-        then="SELECT run_id, page, md5(payload) AS payload_md5 FROM dc",
+        then="SELECT run_id, page, row_total, md5(payload) AS payload_md5 FROM dc",
     ),
 )
 def row_payloads(t):
     runs = t.runs().where("boundary_set_version = 'areas-v1'").select("run_id", "indicator", "status")
     rows = t.evidence().groupBy("run_id", "area_id").agg(F.max("coverage_pct").alias("coverage_pct"), F.min("quality_status").alias("quality_status"))
     out = sinks.row_payloads(runs, rows, "run_id", "area_id", ["coverage_pct", "quality_status"], page_size=2)
-    return out.select("run_id", "page", F.md5("payload").alias("payload_md5"))
+    return out.select("run_id", "page", "row_total", F.md5("payload").alias("payload_md5"))
 
 
 @query("page_manifest", "SELECT page_id AS asset, strlen(html) AS byte_size, sha256(html) AS sha256 FROM pages")

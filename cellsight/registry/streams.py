@@ -28,7 +28,7 @@ def finished(stream, t, name):
 @query(
     "stream_daily_pentads",
     """WITH d AS (SELECT event_type, date_trunc('day', ts) AS day, sum(value) AS total, count(value) AS n FROM events GROUP BY 1, 2), closed AS (SELECT * FROM d WHERE day + INTERVAL 1 DAY <= (SELECT max(ts) - INTERVAL 2 DAY FROM events))
-    SELECT event_type, (year(day) * 12 + month(day) - 1) * 6 + least((day(day) - 1) // 5 + 1, 6) AS pentad_ordinal, round(sum(total), 6) AS total, CAST(sum(n) AS BIGINT) AS observations FROM closed GROUP BY 1, 2""",
+    SELECT event_type, (year(day) * 12 + month(day) - 1) * 6 + least((day(day) - 1) // 5 + 1, 6) AS pentad_ordinal, round(sum(total), 6) AS total, CAST(sum(n) AS BIGINT) AS observations, count(*) AS closed_days FROM closed GROUP BY 1, 2""",
 )
 def stream_daily_pentads(t):
     """Days that the watermark has closed, summed to calendar pentads."""

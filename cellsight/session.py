@@ -30,8 +30,8 @@ def build(master: str | None = None, shuffle_partitions: int | None = None, **ex
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's shared checkpoint folder; a local one only where none is configured."""
-    configured = spark.conf.get("spark.checkpoint.dir", None)
+    """The shared checkpoint folder of the configuration, else of the context; on a local master without either, a new one."""
+    configured = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if configured:
         return configured.rstrip("/")
     if not spark.sparkContext.master.startswith("local"):

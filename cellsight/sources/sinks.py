@@ -12,6 +12,9 @@ from cellsight.functions.geometry import geojson_multipolygon, geojson_polygon,
 from cellsight.session import shared_dir
 
 
+LISTED = 1000
+
+
 def write_artifact(rows: DataFrame, manifest: DataFrame, path: str) -> None:
     """CSV part files with a header, and the manifest as JSON beside them."""
     rows.write.mode("overwrite").option("header", True).csv(f"{path}/rows")
@@ -27,9 +30,19 @@ def exists(spark: SparkSession, path: str) -> bool:
     return target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(target)
 
 
+def _removed(spark: SparkSession, path: str) -> None:
+    """Deletes a staging folder of this module."""
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+
+
 def replace_partitions(df: DataFrame, path: str, partition: str) -> None:
-    """Replace the partitions present in ``df`` and leave all others as they are."""
-    df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(partition).parquet(path)
+    """Replace the partitions present in ``df`` and leave all others as they are.
+
+    Rows are rebalanced by partition first: few files per partition, and a partition that holds a third of all rows
+    is still written by several tasks.
+    """
+    df.hint("rebalance", F.col(partition)).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(partition).parquet(path)
 
 
 def merged(old: DataFrame, new: DataFrame, key: Sequence[str]) -> DataFrame:
@@ -40,9 +53,9 @@ def merged(old: DataFrame, new: DataFrame, key: Sequence[str]) -> DataFrame:
 def upsert(new: DataFrame, path: str, key: Sequence[str], partition: str = "run_id") -> None:
     """Insert or update by key.
 
-    Only partitions that occur in ``new`` are read (pruned by the semi-join). The merged rows are
-    written to the shared staging folder first, so the target is never read and written by one
-    job, and a lost executor or a failed job leaves the target whole.
+    Only partitions that occur in ``new`` are read: up to ``LISTED`` are named in the scan's partition filter, more
+    are left to the semi-join. The merged rows are written to the shared staging folder first, so the target is never
+    read and written by one job, and a lost executor or a failed job leaves the target whole.
     """
     spark = new.sparkSession
     if not exists(spark, path):
@@ -50,10 +63,13 @@ def upsert(new: DataFrame, path: str, key: Sequence[str], partition: str = "run_
         return
     touched = new.select(partition).distinct()
     # the schema is given: a run id that looks like a date or a number must stay text
-    old = spark.read.schema(new.schema).parquet(path).join(touched, partition, "left_semi")
+    old = spark.read.schema(new.schema).parquet(path)
+    listed = [r[0] for r in touched.limit(LISTED + 1).collect()]
+    old = old.join(touched, partition, "left_semi") if len(listed) > LISTED else old.where(F.col(partition).isin(listed))
     staged = _staging(spark, "upsert")
-    merged(old, new, key).write.partitionBy(partition).parquet(staged)
+    merged(old, new, key).write.parquet(staged)
     replace_partitions(spark.read.schema(new.schema).parquet(staged), path, partition)
+    _removed(spark, staged)
 
 
 def insert_absent(new: DataFrame, path: str, key: Sequence[str]) -> None:
@@ -66,6 +82,7 @@ def insert_absent(new: DataFrame, path: str, key: Sequence[str]) -> None:
     staged = _staging(spark, "insert")
     unique.write.parquet(staged)
     spark.read.schema(new.schema).parquet(staged).write.mode("append").parquet(path)
+    _removed(spark, staged)
 
 
 def update_columns(target: DataFrame, values: DataFrame, key: Sequence[str], columns: Sequence[str]) -> DataFrame:
@@ -98,26 +115,27 @@ def feature_collections(groups: DataFrame, features: DataFrame, key: str, ident:
     """FeatureCollection documents per group, paged; a group without features gets an empty one.
 
     A document never gathers more than about ``page_size`` features, so one group with a third of
-    all features becomes many documents and not one oversized row.
+    all features becomes many documents and not one oversized row. ``feature_total`` is the group's number of
+    features, so a reader can tell whether all pages are there.
     """
     sizes = features.groupBy(key).agg(F.count(F.lit(1)).alias("_rows"))
     paged = features.join(sizes, key).withColumn("page", page_of(F.col(ident), F.col("_rows"), page_size))
     ordered = F.transform(F.array_sort(F.collect_list(F.struct(F.col(ident).alias("i"), F.col(feature).alias("f")))), lambda s: s["f"])
     docs = paged.groupBy(key, "page").agg(ordered.alias("_f"))
-    whole = groups.select(key).join(docs, key, "left")
+    whole = groups.select(key).join(docs, key, "left").join(sizes, key, "left")
     text = F.concat(F.lit('{"type":"FeatureCollection","features":['), F.coalesce(F.concat_ws(",", "_f"), F.lit("")), F.lit("]}"))
-    return whole.select(key, F.coalesce("page", F.lit(0)).alias("page"), F.coalesce(F.size("_f"), F.lit(0)).alias("feature_count"), text.alias("document"))
+    return whole.select(key, F.coalesce("page", F.lit(0)).alias("page"), F.coalesce(F.size("_f"), F.lit(0)).alias("feature_count"), F.coalesce("_rows", F.lit(0)).alias("feature_total"), text.alias("document"))
 
 
 def row_payloads(run: DataFrame, rows: DataFrame, key: str, ident: str, fields: Sequence[str], page_size: int = 1000) -> DataFrame:
-    """``{run, rows[]}`` payloads per run, paged like the feature documents."""
+    """``{run, rows[]}`` payloads per run, paged like the feature documents; ``row_total`` is the run's number of rows."""
     sizes = rows.groupBy(key).agg(F.count(F.lit(1)).alias("_rows"))
     paged = rows.join(sizes, key).withColumn("page", page_of(F.col(ident), F.col("_rows"), page_size))
     packed = paged.groupBy(key, "page").agg(F.array_sort(F.collect_list(F.struct(ident, *[f for f in fields if f != ident]))).alias("rows"))
     header = F.struct(*[F.col(c) for c in run.columns])
-    joined = run.withColumn("run", header).select(key, "run").join(packed, key, "left")
+    joined = run.withColumn("run", header).select(key, "run").join(packed, key, "left").join(sizes, key, "left")
     body = F.struct("run", F.coalesce("rows", F.array().cast(packed.schema["rows"].dataType)).alias("rows"))
-    return joined.select(key, F.coalesce("page", F.lit(0)).alias("page"), F.to_json(body, {"ignoreNullFields": "false"}).alias("payload"))
+    return joined.select(key, F.coalesce("page", F.lit(0)).alias("page"), F.coalesce("_rows", F.lit(0)).alias("row_total"), F.to_json(body, {"ignoreNullFields": "false"}).alias("payload"))
 
 
 def write_documents(docs: DataFrame, path: str, partition: str, column: str = "document") -> None:
@@ -126,8 +144,14 @@ def write_documents(docs: DataFrame, path: str, partition: str, column: str = "d
 
 
 def asset_manifest(spark: SparkSession, path: str) -> DataFrame:
-    """Size and sha256 of every file below a release folder."""
+    """Size and sha256 of every file below a release folder.
+
+    A file is one row and must be below 2 GB; larger ones are refused before any content is read.
+    """
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
+    large = files.select("path", "length").where(F.col("length") >= 2**31 - 1).take(1)
+    if large:
+        raise ValueError(f"{large[0]['path']} has {large[0]['length']} bytes; files of 2 GB or more have no manifest row")
     name = F.element_at(F.split("path", "/"), -1)
     return files.select(name.alias("asset"), "path", F.col("length").alias("byte_size"), F.sha2("content", 256).alias("sha256"))
 

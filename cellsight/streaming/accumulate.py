@@ -30,9 +30,9 @@ def pentad_sums(df: DataFrame, keys: Sequence[str], event_time: str, value: str,
 
 
 def pentads_of_days(days: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Closed days to calendar pentads."""
+    """Closed days to calendar pentads; ``closed_days`` tells from how many days a pentad was summed."""
     grouped = with_pentad(days, "day").groupBy(*keys, "pentad_ordinal")
-    return grouped.agg(F.sum("total").alias("total"), F.sum("observations").alias("observations"))
+    return grouped.agg(F.sum("total").alias("total"), F.sum("observations").alias("observations"), F.count(F.lit(1)).alias("closed_days"))
 
 
 def tumbling_sums(df: DataFrame, keys: Sequence[str], event_time: str, value: str, width: str = "5 days", delay: str | None = None) -> DataFrame:
