@@ -5,8 +5,9 @@ from compare import duck, mismatch
 from conftest import SMALL
 
 import __spark_entry__ as entry
+from cellsight import registry
 
-QUERIES, SQL = entry.queries(), entry.oracle_sql()
+QUERIES, SQL = ({n: v for n, v in found.items() if n in registry.QUERIES} for found in (entry.queries(), entry.oracle_sql()))
 
 
 @pytest.fixture(scope="module")
