@@ -287,14 +287,14 @@ def run_inventory(t):
     "pinned_optional_joins",
     with_(
         AREAS_SQL,
-        "m AS (SELECT 'month-' || month(l_shipdate) AS run_id, 'area-' || l_suppkey AS area_id, avg(l_quantity) AS value FROM lineitem WHERE year(l_shipdate) = 1999 AND day(l_shipdate) < 4 GROUP BY 1, 2)",
-        then="SELECT a.area_id, x.value AS rainfall_value, y.value AS ndvi_value FROM areas a LEFT JOIN m x ON x.area_id = a.area_id AND x.run_id = 'month-6' LEFT JOIN m y ON y.area_id = a.area_id AND y.run_id = 'month-7'",
+        "m AS (SELECT 'month-' || year(l_shipdate) || '-' || month(l_shipdate) AS run_id, 'area-' || l_suppkey AS area_id, avg(l_quantity) AS value FROM lineitem GROUP BY 1, 2)",
+        then="SELECT a.area_id, x.value AS rainfall_value, y.value AS ndvi_value FROM areas a LEFT JOIN m x ON x.area_id = a.area_id AND x.run_id = 'month-1996-6' LEFT JOIN m y ON y.area_id = a.area_id AND y.run_id = 'month-1996-7'",
     ),
 )
 def pinned_optional_joins(t):
-    li = t.raw("lineitem").where("year(l_shipdate) = 1999 AND day(l_shipdate) < 4")
-    monthly = li.groupBy(F.concat(F.lit("month-"), F.month("l_shipdate")).alias("run_id"), F.concat(F.lit("area-"), "l_suppkey").alias("area_id")).agg(F.avg("l_quantity").alias("value"))
-    return U.with_optional(t.areas().select("area_id"), {"rainfall": (monthly, "month-6"), "ndvi": (monthly, "month-7")})
+    run = F.concat_ws("-", F.lit("month"), F.year("l_shipdate"), F.month("l_shipdate"))
+    monthly = t.raw("lineitem").groupBy(run.alias("run_id"), F.concat(F.lit("area-"), "l_suppkey").alias("area_id")).agg(F.avg("l_quantity").alias("value"))
+    return U.with_optional(t.areas().select("area_id"), {"rainfall": (monthly, "month-1996-6"), "ndvi": (monthly, "month-1996-7")})
 
 
 @query(
@@ -449,14 +449,14 @@ def retained_months(t):
     "availability_matrix",
     with_(
         RUNS_SQL,
-        "have AS (SELECT DISTINCT indicator, month(obs_end) AS month, year(obs_end) AS year FROM runs WHERE status = 'validated' AND day(obs_end) < 4 AND year(obs_end) BETWEEN 1995 AND 2001)",
-        "grid AS (SELECT indicator, m AS month, y AS year FROM (SELECT DISTINCT indicator FROM runs WHERE status = 'validated' AND day(obs_end) < 4) i CROSS JOIN range(1, 13) a(m) CROSS JOIN range(1995, 2002) b(y))",
+        "have AS (SELECT DISTINCT indicator, month(obs_end) AS month, year(obs_end) AS year FROM runs WHERE year(obs_end) BETWEEN 1995 AND 2001)",
+        "grid AS (SELECT indicator, m AS month, y AS year FROM (SELECT DISTINCT indicator FROM runs) i CROSS JOIN range(1, 13) a(m) CROSS JOIN range(1995, 2002) b(y))",
         "mm AS (SELECT g.indicator, g.month, string_agg(CASE WHEN h.year IS NOT NULL THEN CAST(g.year AS VARCHAR) END, ',' ORDER BY g.year) AS av, string_agg(CASE WHEN h.year IS NULL THEN CAST(g.year AS VARCHAR) END, ',' ORDER BY g.year) AS mi, count(h.year) = 7 AS complete FROM grid g LEFT JOIN have h USING (indicator, month, year) GROUP BY 1, 2)",
         then="SELECT indicator, CAST(month AS INTEGER) AS month, coalesce(av, '') AS years_available, coalesce(mi, '') AS years_missing, complete, CASE WHEN min(complete) OVER (PARTITION BY indicator) THEN 'candidate_coverage_complete' ELSE 'candidate_coverage_incomplete' END AS status FROM mm",
     ),
 )
 def availability_matrix(t):
-    records = t.runs().where("status = 'validated' AND day(obs_end) < 4").select("indicator", F.year("obs_end").alias("year"), F.month("obs_end").alias("month"))
+    records = t.runs().select("indicator", F.year("obs_end").alias("year"), F.month("obs_end").alias("month"))
     out = U.availability_matrix(records, ["indicator"], YEARS)
     text = lambda c: F.array_join(c, ",").alias(c)
     return out.select("indicator", "month", text("years_available"), text("years_missing"), "complete", "status")

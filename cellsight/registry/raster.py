@@ -514,8 +514,9 @@ def slope_classes(t):
 
 @query(
     "wide_bands",
-    """SELECT l_orderkey AS run_id, CAST(l_partkey // 50 AS INTEGER) AS "row", CAST(l_partkey % 50 AS INTEGER) AS col, max(CASE WHEN l_linenumber = 1 AND l_returnflag <> 'R' THEN l_quantity END) AS b1, max(CASE WHEN l_linenumber = 2 AND l_returnflag <> 'R' THEN l_quantity END) AS b2,
-      max(CASE WHEN l_linenumber = 3 AND l_returnflag <> 'R' THEN l_quantity END) AS b3 FROM lineitem WHERE l_linenumber IN (1, 2, 3) GROUP BY 1, 2, 3""",
+    """SELECT l_orderkey AS run_id, CAST(l_partkey // 50 AS INTEGER) AS "row", CAST(l_partkey % 50 AS INTEGER) AS col, """
+    + ", ".join(f"max(CASE WHEN l_linenumber = {k} AND l_returnflag <> 'R' THEN l_quantity END) AS b{k}" for k in range(1, 8))
+    + " FROM lineitem GROUP BY 1, 2, 3",
 )
 def wide_bands(t):
     """Long cells (run, band, row, col) to one row per cell."""
@@ -524,7 +525,7 @@ def wide_bands(t):
         F.col("l_orderkey").alias("run_id"), F.concat(F.lit("b"), "l_linenumber").alias("band"), F.floor(F.col("l_partkey") / 50).cast("int").alias("row"), (F.col("l_partkey") % 50).cast("int").alias("col"),
         F.col("l_quantity").alias("value"), (F.col("l_returnflag") == "R").alias("is_masked"),
     )
-    return Z.bands_wide(cells, ["b1", "b2", "b3"])
+    return Z.bands_wide(cells, [f"b{k}" for k in range(1, 8)])
 
 
 COMPOSITE_ROWS = COMPOSITE_SQL[: COMPOSITE_SQL.rindex("SELECT area_id, profile, round(mean")]

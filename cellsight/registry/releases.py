@@ -242,16 +242,16 @@ def update_columns(t):
     "resume_remaining",
     with_(
         AREAS_SQL, EVIDENCE_SQL,
-        then="""SELECT area_id, 'remaining' AS state FROM areas WHERE area_id NOT IN (SELECT area_id FROM evidence WHERE value = 50 AND coverage_pct = 98 AND run_id LIKE '%7')
-        UNION ALL SELECT area_id, 'duplicate' FROM evidence WHERE value = 50 AND coverage_pct = 98 AND run_id LIKE '%7' GROUP BY 1 HAVING count(*) > 1
-        UNION ALL SELECT DISTINCT area_id, 'unexpected' FROM evidence WHERE value = 50 AND coverage_pct = 98 AND run_id LIKE '%7' AND area_id NOT IN (SELECT area_id FROM areas WHERE area_key % 4 <> 1)""",
+        then="""SELECT area_id, 'remaining' AS state FROM areas WHERE area_id NOT IN (SELECT area_id FROM evidence WHERE value = 50 AND coverage_pct = 98)
+        UNION ALL SELECT area_id, 'duplicate' FROM evidence WHERE value = 50 AND coverage_pct = 98 GROUP BY 1 HAVING count(*) > 1
+        UNION ALL SELECT DISTINCT area_id, 'unexpected' FROM evidence WHERE value = 50 AND coverage_pct = 98 AND area_id NOT IN (SELECT area_id FROM areas WHERE source_key IS NOT NULL)""",
     ),
 )
 def resume_remaining(t):
-    done = t.evidence().where("value = 50 AND coverage_pct = 98 AND run_id LIKE '%7'")
-    areas = t.areas().select("area_id", "area_key")
+    done = t.evidence().where("value = 50 AND coverage_pct = 98")
+    areas = t.areas().select("area_id", "source_key")
     rest = scans.remaining(areas.select("area_id"), done).withColumn("state", F.lit("remaining"))
-    problems = scans.checkpoint_problems(done, areas.where("area_key % 4 <> 1").select("area_id"))
+    problems = scans.checkpoint_problems(done, areas.where("source_key IS NOT NULL").select("area_id"))
     return rest.unionByName(problems.withColumnRenamed("problem", "state"))
 
 
@@ -293,14 +293,14 @@ def manifest_violations(t):
     "geometry_joined_once",
     with_(
         AREAS_SQL, EVIDENCE_SQL,
-        "k AS (SELECT area_id, area_key FROM areas WHERE area_key % 7 <> 0)",
-        "e AS (SELECT area_id, count(*) AS n FROM evidence WHERE value > 49 GROUP BY 1)",
+        "k AS (SELECT area_id, area_key FROM areas WHERE source_key IS NOT NULL)",
+        "e AS (SELECT area_id, count(*) AS n FROM evidence WHERE quality_status = 'ok' GROUP BY 1)",
         then="SELECT k.area_id, coalesce(n, 0) AS rows, n IS NOT NULL AS has_rows FROM k LEFT JOIN e ON e.area_id = k.area_id",
     ),
 )
 def geometry_joined_once(t):
-    released = t.areas().where("area_key % 7 <> 0")
-    rows = t.evidence().where("value > 49").groupBy("area_id").agg(F.count(F.lit(1)).alias("rows"))
+    released = t.areas().where("source_key IS NOT NULL")
+    rows = t.evidence().where("quality_status = 'ok'").groupBy("area_id").agg(F.count(F.lit(1)).alias("rows"))
     everything = R.with_geometry(rows, released, keep_all_areas=True)
     inner = R.with_geometry(rows, released).select("area_id", F.lit(True).alias("has_rows"))
     return everything.join(inner, "area_id", "left").select("area_id", F.coalesce("rows", F.lit(0)).alias("rows"), F.coalesce("has_rows", F.lit(False)).alias("has_rows"))
