@@ -417,18 +417,25 @@ def region_mean(cells: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
 def slope(cells: DataFrame, cell_x: float, cell_y: float, value: str = "value") -> DataFrame:
     """Horn slope in degrees and percent from the 3x3 neighbourhood; border cells have none.
 
-    Each cell sends its value to its nine neighbours, and one aggregation per target cell puts
-    the stencil together: a single shuffle by cell, no self-join.
+    Cells go to square tiles, those on a tile's edge also to the neighbours they border on. One shuffle by tile, then
+    two ordered passes inside it: along the rows for the left and right neighbours, along the columns for the rest.
     """
-    # Horn weights as (row offset, column offset, weight in x, weight in y).
-    weights = ((-1, -1, -1, -1), (-1, 0, 0, -2), (-1, 1, 1, -1), (0, -1, -2, 0), (0, 0, 0, 0), (0, 1, 2, 0), (1, -1, -1, 1), (1, 0, 0, 2), (1, 1, 1, 1))
-    shots = F.explode(F.array(*[F.struct(F.lit(-r).alias("dr"), F.lit(-c).alias("dc"), F.lit(float(wx)).alias("wx"), F.lit(float(wy)).alias("wy")) for r, c, wx, wy in weights]))
-    sent = cells.where(F.col(value).isNotNull()).select("row", "col", F.col(value).cast("double").alias("z"), shots.alias("s"))
-    target = sent.groupBy((F.col("row") + F.col("s.dr")).alias("row"), (F.col("col") + F.col("s.dc")).alias("col")).agg(
-        F.sum(F.col("z") * F.col("s.wx")).alias("gx"), F.sum(F.col("z") * F.col("s.wy")).alias("gy"), F.count(F.lit(1)).alias("n")
-    )
+    edge = lambda c: F.array_distinct(F.array(F.floor((F.col(c) - 1) / TILE), F.floor(F.col(c) / TILE), F.floor((F.col(c) + 1) / TILE)))
+    known = cells.where(F.col(value).isNotNull()).select("row", "col", F.col(value).cast("double").alias("z"))
+    tiled = known.select("row", "col", "z", F.explode(edge("row")).alias("_tr"))
+    tiled = tiled.select("row", "col", "z", "_tr", F.explode(edge("col")).alias("_tc")).repartition("_tr", "_tc")
+    along = lambda line, order: W.partitionBy("_tr", "_tc", line).orderBy(order)
+    near = lambda c, line, order, step: F.sum(c).over(along(line, order).rangeBetween(step, step))
+    sides = tiled.withColumns({"_left": near("z", "row", "col", -1), "_right": near("z", "row", "col", 1)})
+    # Horn weights 1, 2, 1 across the other direction
+    sides = sides.withColumns({"_dx": F.col("_right") - F.col("_left"), "_sx": F.col("_left") + 2 * F.col("z") + F.col("_right")})
+    stencil = sides.withColumns({
+        "gx": near("_dx", "col", "row", -1) + 2 * F.col("_dx") + near("_dx", "col", "row", 1),
+        "gy": near("_sx", "col", "row", 1) - near("_sx", "col", "row", -1),
+    })
+    own = (F.floor(F.col("row") / TILE) == F.col("_tr")) & (F.floor(F.col("col") / TILE) == F.col("_tc"))
     rise = F.sqrt(F.pow(F.col("gx") / (8 * cell_x), 2) + F.pow(F.col("gy") / (8 * cell_y), 2))
-    return target.where("n = 9").select("row", "col", F.degrees(F.atan(rise)).alias("slope_deg"), (rise * 100).alias("slope_pct"))
+    return stencil.where(own & F.col("gx").isNotNull() & F.col("gy").isNotNull()).select("row", "col", F.degrees(F.atan(rise)).alias("slope_deg"), (rise * 100).alias("slope_pct"))
 
 
 def resample_nearest(target: DataFrame, source: DataFrame, source_grid: Grid, x: Column, y: Column) -> DataFrame:
