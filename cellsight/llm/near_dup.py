@@ -2,10 +2,12 @@
 
 A document's distinct 3-word shingles fall by hash into ``REGISTERS`` buckets; a register keeps the leading-zero count
 of the smallest hash of its bucket and the mantissa bits behind the leading one. Equal sets become one class first.
-Bands of registers give candidate classes; in each band's bucket every member is paired with the bucket's most central
+Bands of registers, empty ones filled from others, give candidate classes; in each band's bucket every member is paired with the bucket's most central
 member, and once these links have merged, members of different groups that still share a bucket are paired with each
-other, so no link between two groups is lost while a group of thousands needs one pair per member. A pair
-whose collision-corrected estimate is clearly too low is dropped; all others are compared on their full sets.
+other, so no link between two groups is lost while a group of thousands needs one pair per member. In crowded buckets, members
+that share a rare shingle are paired through it; what all others can share is bounded by their counts of rare shingles,
+which settles most of these pairs before they are made.
+A pair whose collision-corrected estimate is clearly too low is dropped; all others are compared on their full sets.
 """
 
 from __future__ import annotations
@@ -24,10 +26,12 @@ from cellsight.llm.common import SPACES, fresh, stored
 
 WIDTH = 3
 THRESHOLD_PCT = 85
-REGISTERS, BAND = 128, 4
-MANTISSA_BITS = 26
-SIGMAS = 6.0
-NONE = b"\xff" * (4 * BAND)
+REGISTERS, BAND = 256, 6  # 42 bands; a pair at the threshold shares 16 of them on average, fewer than SHARED once in a million
+SHARED = 3
+MANTISSA_BITS = 10
+EMPTY = 0xFFFF
+SIGMAS = 5.0
+CROWDED, RARE = 64, 16
 
 
 def shingles(text: str | None, width: int = WIDTH) -> np.ndarray:
@@ -41,7 +45,7 @@ def shingles(text: str | None, width: int = WIDTH) -> np.ndarray:
 
 
 def registers(hashes: np.ndarray) -> np.ndarray:
-    """Leading-zero count and mantissa of the least hash of every bucket, as 6 + 26 bits; all ones where a bucket is empty."""
+    """Leading-zero count and mantissa of the least hash of every bucket, as 6 + 10 bits; all ones where a bucket is empty."""
     bits = int(math.log2(REGISTERS))
     x = np.sort(hashing.mix(hashes ^ np.uint64(0x5851F42D4C957F2D)))
     bounds = np.arange(REGISTERS, dtype=np.uint64) << np.uint64(64 - bits)
@@ -58,12 +62,36 @@ def registers(hashes: np.ndarray) -> np.ndarray:
     below = rest & ((np.uint64(1) << (high - 1).astype(np.uint64)) - np.uint64(1))
     shift = high - 1 - MANTISSA_BITS
     mantissa = np.where(shift >= 0, below >> np.maximum(shift, 0).astype(np.uint64), below << np.maximum(-shift, 0).astype(np.uint64))
-    return np.where(there, (zeros << np.uint64(MANTISSA_BITS)) | mantissa, np.uint64(0xFFFFFFFF)).astype("<u4")
+    return np.where(there, (zeros << np.uint64(MANTISSA_BITS)) | mantissa, np.uint64(EMPTY)).astype("<u2")
+
+
+_donors = np.random.default_rng(17).integers(0, REGISTERS, (4 * REGISTERS, REGISTERS))
+
+
+def filled(r: np.ndarray) -> np.ndarray:
+    """Empty registers take the value of the first filled one of their own drawn sequence, so each register of two sets agrees with probability J."""
+    out, empty = r.copy(), np.flatnonzero(r == EMPTY)
+    for donors in _donors:
+        if not len(empty):
+            break
+        value = r[donors[empty]]
+        out[empty] = value
+        empty = empty[value == EMPTY]
+    return np.where(out == EMPTY, r.min(), out).astype("<u2")
+
+
+def band_keys(r: np.ndarray) -> np.ndarray:
+    """A 64-bit key of every band, different for every place."""
+    bands = filled(r)[: REGISTERS // BAND * BAND].reshape(-1, BAND).astype(np.uint64)
+    key = np.arange(len(bands), dtype=np.uint64)
+    for k in range(BAND):
+        key = hashing.mix(key * hashing.BASE + bands[:, k] + np.uint64(1))
+    return key.view(np.int64)
 
 
 def estimate(a: np.ndarray, b: np.ndarray, n: int, m: int) -> tuple[float, float]:
     """Collision-corrected Jaccard estimate from two rows of registers of sets with ``n`` and ``m`` elements, and its standard error."""
-    used = (a != 0xFFFFFFFF) | (b != 0xFFFFFFFF)
+    used = (a != EMPTY) | (b != EMPTY)
     total = int(used.sum())
     if not total:
         return 0.0, 1.0
@@ -97,24 +125,29 @@ def set_identity(h: np.ndarray) -> bytes:
 
 
 def band_rows(classes: DataFrame, threshold_pct: int) -> DataFrame:
-    """``key, set_id`` for every band with a filled register. Sets too small for any other set to reach the threshold have none."""
+    """``key, set_id, n_shingles`` for every band. Sets too small for any other set to reach the threshold have none."""
     least = math.ceil(threshold_pct / (100 - threshold_pct)) if threshold_pct < 100 else 1 << 60
-    band = lambda k: F.substring("registers", k * 4 * BAND + 1, F.lit(4 * BAND))
-    keys = F.transform(F.sequence(F.lit(0), F.lit(REGISTERS // BAND - 1)), lambda k: F.when(band(k) != F.lit(bytearray(NONE)), F.xxhash64(k, band(k))))
-    return classes.filter(F.col("n_shingles") >= least).select("set_id", F.explode(F.array_compact(keys)).alias("key"))
+
+    def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keys = [band_keys(np.frombuffer(r.as_py(), "<u2")) for r in batch.column(2)]
+            at = np.repeat(np.arange(batch.num_rows), REGISTERS // BAND)
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys) if keys else np.zeros(0, np.int64)), batch.column(0).take(pa.array(at)), batch.column(1).take(pa.array(at))], ["key", "set_id", "n_shingles"])
+
+    return classes.filter(F.col("n_shingles") >= least).select("set_id", "n_shingles", "registers").mapInArrow(of, "key long, set_id binary, n_shingles long")
 
 
 def _estimated(pairs: DataFrame, classes: DataFrame, threshold_pct: int) -> DataFrame:
     """Pairs ``a, b`` whose sizes and registers allow the threshold."""
     side = lambda s: classes.select(F.col("set_id").alias(s), F.col("n_shingles").alias(f"n_{s}"), F.col("registers").alias(f"r_{s}"))
-    both = pairs.join(side("a"), "a").join(side("b"), "b").filter(100 * F.least("n_a", "n_b") >= threshold_pct * F.greatest("n_a", "n_b"))
+    both = pairs.join(side("a"), "a").join(side("b"), "b")
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             a, b, n, m, r, s = (c.to_pylist() for c in batch.columns)
             found = []
             for i in range(len(a)):
-                j, error = estimate(np.frombuffer(r[i], "<u4"), np.frombuffer(s[i], "<u4"), n[i], m[i])
+                j, error = estimate(np.frombuffer(r[i], "<u2"), np.frombuffer(s[i], "<u2"), n[i], m[i])
                 found.append(j + SIGMAS * error >= threshold_pct / 100)
             yield pa.RecordBatch.from_arrays([pa.array([x for x, f in zip(v, found) if f], pa.binary()) for v in (a, b)], ["a", "b"])
 
@@ -142,9 +175,9 @@ def verified(pairs: DataFrame, texts: DataFrame, threshold_pct: int, width: int)
     return both.mapInArrow(keep, "a binary, b binary")
 
 
-def _texts(docs: DataFrame, text: str, classes: DataFrame, pairs: DataFrame, width: int) -> DataFrame:
-    """``set_id, text`` of the classes in ``pairs``: the text of the class's first document."""
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("set_id")).distinct().join(classes.select("set_id", "first_id"), "set_id")
+def _texts(docs: DataFrame, text: str, classes: DataFrame, ids: DataFrame, width: int) -> DataFrame:
+    """``set_id, text`` of the classes in ``ids``: the text of the class's first document."""
+    wanted = ids.distinct().join(classes.select("set_id", "first_id"), "set_id")
 
     def own(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:  # rows that share a doc_id but not the set are told apart here
@@ -154,6 +187,20 @@ def _texts(docs: DataFrame, text: str, classes: DataFrame, pairs: DataFrame, wid
     return stored(found.mapInArrow(own, "set_id binary, text string").dropDuplicates(["set_id"]), "texts")
 
 
+def rare_shingles(texts: DataFrame, width: int) -> tuple[DataFrame, DataFrame]:
+    """``set_id, rare`` (how many of a set's shingles at most ``RARE`` sets of ``texts`` have), and ``set_id, h`` of those that two or more have."""
+    def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i, t in zip(*batch.columns):
+                h = shingles(t.as_py(), width)
+                yield pa.RecordBatch.from_arrays([pa.array([i.as_py()] * len(h), pa.binary()), pa.array(h.view(np.int64))], ["set_id", "h"])
+
+    rows = texts.select("set_id", "text").mapInArrow(spread, "set_id binary, h long")
+    known = rows.groupBy("h").count().filter(F.col("count") <= RARE)
+    found = stored(rows.join(known, "h"), "rare")
+    return found.groupBy("set_id").agg(F.count(F.lit(1)).alias("rare")), found.filter("count > 1").select("set_id", "h")
+
+
 def components(links: DataFrame) -> DataFrame:
     """``set_id, group`` of every set in ``links`` (a, b): each set takes the least label around it, then the label of its label, until nothing moves."""
     edges = stored(links.select("a", "b").union(links.select("b", "a")).distinct(), "edges")
@@ -169,7 +216,7 @@ def components(links: DataFrame) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, text: str = "text", threshold_pct: int = THRESHOLD_PCT, width: int = WIDTH) -> DataFrame:
-    """Per row of ``docs``: ``doc_id, n_shingles, component_id, kept`` and ``text_hash``, which tells rows with one doc_id apart.
+    """Per row of ``docs``: ``doc_id, n_shingles, component_id, kept``, and ``text_hash`` and ``group``, which tell rows with one doc_id apart.
 
     Links join documents with 100 * common >= threshold * all shingles; ``component_id`` is the least doc_id reachable
     by links, ``kept`` marks the document that has it. Null texts and texts without words have no shingles, link with
@@ -181,29 +228,47 @@ def near_duplicates(docs: DataFrame, text: str = "text", threshold_pct: int = TH
     bands = band_rows(classes, threshold_pct)
     shared = bands.groupBy("key").count().filter("count > 1")
     bucketed = stored(bands.join(shared, "key"), "buckets")
+    near_size = 100 * F.least("n_a", "n_b") >= threshold_pct * F.greatest("n_a", "n_b")
+    often = lambda pairs: pairs.groupBy("a", "b").count().filter(F.col("count") >= SHARED).select("a", "b")
     central = bucketed.groupBy("set_id").agg(F.sum("count").alias("score"))
     scored = bucketed.join(central, "set_id")
-    leaders = scored.groupBy("key").agg(F.max(F.struct("score", "set_id")).alias("leader")).select("key", F.col("leader.set_id").alias("b"))
-    stars = bucketed.join(leaders, "key").filter("set_id <> b").select(F.col("set_id").alias("a"), "b").distinct()
+    leaders = scored.groupBy("key").agg(F.max(F.struct("score", "set_id", "n_shingles")).alias("leader")).select("key", F.col("leader.set_id").alias("b"), F.col("leader.n_shingles").alias("n_b"))
+    stars = bucketed.select("key", F.col("set_id").alias("a"), F.col("n_shingles").alias("n_a")).join(leaders, "key").filter(F.col("a") != F.col("b")).filter(near_size).select("a", "b").distinct()
     tried = stored(_estimated(stars, classes, threshold_pct), "pairs")
-    links = stored(verified(tried, _texts(docs, text, classes, tried, width), threshold_pct, width), "links")
+    links = stored(verified(tried, _texts(docs, text, classes, tried.select(F.col("a").alias("set_id")).union(tried.select("b")), width), threshold_pct, width), "links")
     groups = components(links)
 
-    grouped = bucketed.join(groups, "set_id", "left").select("key", "set_id", F.coalesce("group", "set_id").alias("group"))
+    grouped = bucketed.join(groups, "set_id", "left").select("key", "count", "set_id", "n_shingles", F.coalesce("group", "set_id").alias("group"))
     split = grouped.groupBy("key").agg(F.min("group").alias("low"), F.max("group").alias("high")).filter("low <> high").select("key")
     rest = stored(grouped.join(split, "key"), "rest")
-    other = rest.select("key", F.col("set_id").alias("b"), F.col("group").alias("other"))
-    crossing = rest.withColumnRenamed("set_id", "a").join(other, "key").filter("a < b AND group <> other").select("a", "b").distinct()
+    texts = _texts(docs, text, classes, rest.select("set_id"), width)
+    crowded = rest.filter(F.col("count") > CROWDED)
+    rare, shared_rare = rare_shingles(texts.join(crowded.select("set_id").distinct(), "set_id"), width)
+    sets = rest.select("set_id", "n_shingles", "group").distinct()
+    sides = lambda df, *cs: [df.select(*[F.col(c).alias(f"{c}_{s}") for c in cs]) for s in "ab"]
+    apart = (F.col("set_id_a") < F.col("set_id_b")) & (F.col("group_a") != F.col("group_b")) & (100 * F.least("n_shingles_a", "n_shingles_b") >= threshold_pct * F.greatest("n_shingles_a", "n_shingles_b"))
+    named = lambda pairs: pairs.select(F.col("set_id_a").alias("a"), F.col("set_id_b").alias("b"))
+    one, other = sides(shared_rare.join(sets, "set_id"), "h", "set_id", "n_shingles", "group")
+    through_rare = named(one.join(other, (F.col("h_a") == F.col("h_b")) & apart))
+    # without a common rare shingle: what the two can have in common against the least that they have together
+    bounded = crowded.join(rare, "set_id", "left").fillna(0, ["rare"]).filter(100 * (F.col("n_shingles") - F.col("rare")) >= threshold_pct * F.col("n_shingles"))
+    one, other = sides(stored(bounded, "bounded"), "key", "set_id", "n_shingles", "group", "rare")
+    common = F.least(F.col("n_shingles_a") - F.col("rare_a"), F.col("n_shingles_b") - F.col("rare_b"))
+    reachable = 100 * common >= threshold_pct * (F.col("n_shingles_a") + F.col("n_shingles_b") - common)
+    in_crowded = named(one.join(other, (F.col("key_a") == F.col("key_b")) & apart & reachable))
+    one, other = sides(rest.filter(F.col("count") <= CROWDED), "key", "set_id", "n_shingles", "group")
+    through_bands = often(named(one.join(other, (F.col("key_a") == F.col("key_b")) & apart)).union(in_crowded))
+    crossing = through_rare.union(through_bands).distinct()
     untried = crossing.join(tried.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), ["a", "b"], "left_anti")
     late = stored(_estimated(untried, classes, threshold_pct), "late")
-    links = links.union(verified(late, _texts(docs, text, classes, late, width), threshold_pct, width))
+    links = links.union(verified(late, texts, threshold_pct, width))
     groups = components(links)
 
     by_set = classes.select("set_id", "first_id").join(groups, "set_id", "left").select("set_id", "first_id", F.coalesce("group", "set_id").alias("group"))
     ids = by_set.groupBy("group").agg(F.min("first_id").alias("component_id"))
-    final = sketched.select("doc_id", "text_hash", "n_shingles", "set_id").join(by_set.join(ids, "group").select("set_id", "component_id"), "set_id", "left")
+    final = sketched.select("doc_id", "text_hash", "n_shingles", "set_id").join(by_set.join(ids, "group").select("set_id", "component_id", "group"), "set_id", "left")
     component = F.coalesce("component_id", "doc_id")
-    return final.select("doc_id", "n_shingles", component.alias("component_id"), (F.col("doc_id").eqNullSafe(component)).alias("kept"), "text_hash")
+    return final.select("doc_id", "n_shingles", component.alias("component_id"), (F.col("doc_id").eqNullSafe(component)).alias("kept"), "text_hash", "group")
 
 
 def deduplicate(docs: DataFrame, text: str = "text", **options) -> DataFrame:
@@ -213,7 +278,7 @@ def deduplicate(docs: DataFrame, text: str = "text", **options) -> DataFrame:
     """
     columns, hashed = docs.columns, fresh("text_hash", docs.columns)
     found = near_duplicates(docs, text, **options).filter("kept")
-    first = found.filter("n_shingles > 0").groupBy("doc_id", "component_id").agg(F.min("text_hash").alias(hashed)).select(F.col("doc_id").alias("_id"), hashed)
+    first = found.filter("n_shingles > 0").groupBy("group").agg(F.first("doc_id").alias("_id"), F.min("text_hash").alias(hashed)).select("_id", hashed)
     rows = docs.withColumn(hashed, F.xxhash64(text))
     chosen = rows.join(first.withColumnRenamed(hashed, "_hash"), F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col(hashed) == F.col("_hash")))
     chosen = chosen.dropDuplicates(["doc_id", hashed]).select(*columns)
@@ -222,4 +287,4 @@ def deduplicate(docs: DataFrame, text: str = "text", **options) -> DataFrame:
 
 
 def query(spark, sf_dir: str) -> DataFrame:
-    return near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")).drop("text_hash")
+    return near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")).drop("text_hash", "group")

@@ -34,6 +34,14 @@ def test_components(spark, rows):
     assert got == near_components(rows)
 
 
+def test_crowded_buckets_lose_no_link(spark, monkeypatch):
+    monkeypatch.setattr(N, "CROWDED", 2)
+    monkeypatch.setattr(N, "RARE", 3)
+    rows = families(3, groups=5, copies=30)
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in N.near_duplicates(table(spark, rows)).collect()}
+    assert got == near_components(rows)
+
+
 def test_odd_rows(spark):
     rows = [r for r in odd_rows() if r[0] is not None]
     out = N.near_duplicates(table(spark, rows)).collect()
