@@ -42,7 +42,10 @@ def framed(keys, sql, columns, defaults):
 
 
 def yearly(t):
-    return Z.frame(t.areas(), year=YEARS)
+    """Every area with the years of ``YEARS`` and with every other year that has cells."""
+    listed = t.spark.range(YEARS.start, YEARS.stop).select(F.col("id").cast("int").alias("year"))
+    years = listed.union(t.band_cells().select("year").where("year IS NOT NULL")).distinct()
+    return Z.frame(t.areas()).crossJoin(years)
 
 
 def monthly(t):
