@@ -1,6 +1,6 @@
 """Near-duplicate documents by HyperMinHash.
 
-A document's distinct 3-word shingles fall by hash into ``REGISTERS`` buckets; a register keeps the leading-zero count
+A document's distinct shingles (``width`` words each) fall by hash into ``REGISTERS`` buckets; a register keeps the leading-zero count
 of the smallest hash of its bucket and the mantissa bits behind the leading one. Equal sets become one class first.
 Bands of registers, empty ones filled from others, give candidate classes; in each band's bucket every member is paired with the bucket's most central
 member, and once these links have merged, members of different groups that still share a bucket are paired with each
@@ -26,8 +26,8 @@ from cellsight.llm.common import SPACES, fresh, stored
 
 WIDTH = 3
 THRESHOLD_PCT = 85
-REGISTERS, BAND = 256, 6  # 42 bands; a pair at the threshold shares 16 of them on average, fewer than SHARED once in a million
-SHARED = 3
+REGISTERS = 256
+SHARED, MISSED = 3, 1e-6
 MANTISSA_BITS = 10
 EMPTY = 0xFFFF
 SIGMAS = 5.0
@@ -80,11 +80,22 @@ def filled(r: np.ndarray) -> np.ndarray:
     return np.where(out == EMPTY, r.min(), out).astype("<u2")
 
 
-def band_keys(r: np.ndarray) -> np.ndarray:
-    """A 64-bit key of every band, different for every place."""
-    bands = filled(r)[: REGISTERS // BAND * BAND].reshape(-1, BAND).astype(np.uint64)
+def missed(threshold_pct: int, band: int) -> float:
+    """Probability that a pair at the threshold shares fewer than ``SHARED`` bands of ``band`` registers."""
+    p, n = (threshold_pct / 100) ** band, REGISTERS // band
+    return sum(math.comb(n, k) * p**k * (1 - p) ** (n - k) for k in range(SHARED))
+
+
+def band_size(threshold_pct: int) -> int:
+    """Registers of a band: as many as lose no more than ``MISSED`` of the pairs at the threshold (42 bands of 6 at 85 %, 51 of 5 at 80 %)."""
+    return max((b for b in range(1, 17) if missed(threshold_pct, b) <= MISSED), default=1)
+
+
+def band_keys(r: np.ndarray, band: int) -> np.ndarray:
+    """A 64-bit key of every band of ``band`` registers, different for every place."""
+    bands = filled(r)[: REGISTERS // band * band].reshape(-1, band).astype(np.uint64)
     key = np.arange(len(bands), dtype=np.uint64)
-    for k in range(BAND):
+    for k in range(band):
         key = hashing.mix(key * hashing.BASE + bands[:, k] + np.uint64(1))
     return key.view(np.int64)
 
@@ -127,11 +138,12 @@ def set_identity(h: np.ndarray) -> bytes:
 def band_rows(classes: DataFrame, threshold_pct: int) -> DataFrame:
     """``key, set_id, n_shingles`` for every band. Sets too small for any other set to reach the threshold have none."""
     least = math.ceil(threshold_pct / (100 - threshold_pct)) if threshold_pct < 100 else 1 << 60
+    band = band_size(threshold_pct)
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keys = [band_keys(np.frombuffer(r.as_py(), "<u2")) for r in batch.column(2)]
-            at = np.repeat(np.arange(batch.num_rows), REGISTERS // BAND)
+            keys = [band_keys(np.frombuffer(r.as_py(), "<u2"), band) for r in batch.column(2)]
+            at = np.repeat(np.arange(batch.num_rows), REGISTERS // band)
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys) if keys else np.zeros(0, np.int64)), batch.column(0).take(pa.array(at)), batch.column(1).take(pa.array(at))], ["key", "set_id", "n_shingles"])
 
     return classes.filter(F.col("n_shingles") >= least).select("set_id", "n_shingles", "registers").mapInArrow(of, "key long, set_id binary, n_shingles long")

@@ -12,6 +12,7 @@ from cellsight.llm import decontaminate, language_id, mixing, near_dup, token_fi
 from cellsight.llm.common import stored
 
 LEAST_SCORE = 0.5
+SHINGLE_WORDS, SIMILAR_PCT = 5, 80
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -22,7 +23,8 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return near_dup.deduplicate(docs)
+    """Documents that share at least ``SIMILAR_PCT`` percent of their runs of ``SHINGLE_WORDS`` words, directly or in a chain, become one."""
+    return near_dup.deduplicate(docs, width=SHINGLE_WORDS, threshold_pct=SIMILAR_PCT)
 
 
 def cut_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
