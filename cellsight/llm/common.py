@@ -35,6 +35,12 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def written_order() -> list[Column]:
+    """Columns of a table read from Parquet files that sort its rows as they were written: partition by partition, row by row."""
+    name = F.col("_metadata.file_name")
+    return [F.regexp_extract(name, r"^part-(\d+)", 1).cast("long"), name, F.col("_metadata.row_index")]
+
+
 def fresh(name: str, taken: list[str]) -> str:
     """``name``, lengthened until it clashes with no column of the caller's table."""
     lower = {t.lower() for t in taken}

@@ -1,6 +1,6 @@
 """Token ids in the Arrow file format: record batches of fixed-size lists, read back by memory map.
 
-Documents are range-sorted by id; each task encodes its range and writes one file of equal-length sequences with a
+Documents are range-sorted, by id or by a given order; each task encodes its range and writes one file of equal-length sequences with a
 mask. A file counts only if the task's rows reach the manifest, so a lost or repeated attempt leaves nothing but an
 unread file. Ids take 16 bits where the vocabulary allows.
 """
@@ -9,13 +9,13 @@ from __future__ import annotations
 
 import re
 import zlib
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
 from pyarrow import fs
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -165,10 +165,10 @@ class Sequences:
         self.source.close()
 
 
-def write(docs: DataFrame, out: str, text: str = "text", vocabulary: str = VOCABULARY, sequence: int = SEQUENCE, end: int = END) -> DataFrame:
+def write(docs: DataFrame, out: str, text: str = "text", vocabulary: str = VOCABULARY, sequence: int = SEQUENCE, end: int = END, order: Sequence[Column] | None = None) -> DataFrame:
     """Writes the sequences below the folder ``out`` and returns the manifest: ``doc_id, part, file, start, n_tokens`` (start within the file).
 
-    Ids stand in ascending doc_id order, nulls first, equal ids by text. A null or empty text gives the end id alone.
+    Ids stand in ascending doc_id order, nulls first, equal ids by text, or in the ascending ``order`` of columns of ``docs``. A null or empty text gives the end id alone.
     The last sequence of a file is padded with zeros and masked. No documents: no files. Other columns are not read.
     """
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -189,8 +189,10 @@ def write(docs: DataFrame, out: str, text: str = "text", vocabulary: str = VOCAB
             made.close()
 
     n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    tie = F.xxhash64("_text")
-    ordered = docs.select("doc_id", F.col(text).alias("_text")).repartitionByRange(n, F.col("doc_id"), tie).sortWithinPartitions("doc_id", "_text")
+    keys = {f"_order{i}": c for i, c in enumerate(order or [])}
+    rows = docs.select("doc_id", F.col(text).alias("_text"), *[c.alias(k) for k, c in keys.items()])
+    ranges, within = (list(keys), list(keys)) if keys else (["doc_id", F.xxhash64("_text")], ["doc_id", "_text"])
+    ordered = rows.repartitionByRange(n, *ranges).sortWithinPartitions(*within).select("doc_id", "_text")
     schema = T.StructType([T.StructField("doc_id", docs.schema["doc_id"].dataType), T.StructField("part", T.IntegerType()), T.StructField("file", T.StringType()), T.StructField("start", T.LongType()), T.StructField("n_tokens", T.LongType())])
     return stored(ordered.mapInArrow(encode, schema), "manifest")
 
@@ -223,8 +225,8 @@ def read_back(manifest: DataFrame) -> DataFrame:
     return read.join(files, read["file"] == files["_file"]).select("doc_id", (F.col("start") + F.col("_before")).alias("start"), "n_tokens", "ids_crc32")
 
 
-def write_and_check(docs: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
-    return read_back(write(docs, folder(docs.sparkSession, "tokens"), vocabulary=vocabulary))
+def write_and_check(docs: DataFrame, vocabulary: str = VOCABULARY, order: Sequence[Column] | None = None) -> DataFrame:
+    return read_back(write(docs, folder(docs.sparkSession, "tokens"), vocabulary=vocabulary, order=order))
 
 
 def query(spark, sf_dir: str) -> DataFrame:

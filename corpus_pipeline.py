@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cellsight.llm import decontaminate, language_id, mixing, near_dup, token_files
-from cellsight.llm.common import stored
+from cellsight.llm.common import stored, written_order
 
 LEAST_SCORE = 0.5
 SHINGLE_WORDS, SIMILAR_PCT = 5, 80
@@ -39,8 +39,8 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def write_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Arrow files of token ids; one row per document, read back from them."""
-    return token_files.write_and_check(docs)
+    """Arrow files of token ids in the order in which the mix was written; one row per document, read back from them."""
+    return token_files.write_and_check(docs, order=written_order())
 
 
 STAGES = [
