@@ -34,7 +34,7 @@ def normal_words(text: str | None) -> list[bytes]:
 class Automaton:
     """Generalised suffix automaton of word sequences that knows which items hold a window, or are shorter than one."""
 
-    def __init__(self, items: list[tuple[str, list[bytes]]], window: int) -> None:
+    def __init__(self, items: list[tuple[str | None, list[bytes]]], window: int) -> None:
         self.window = window
         self.vocabulary: dict[bytes, int] = {}
         self.next: list[dict[int, int]] = [{}]
@@ -44,8 +44,8 @@ class Automaton:
             last = 0
             for c in ids:
                 last = self._extend(last, c)
-        self.items_of: dict[int, set[str]] = {}
-        self.short: dict[int, list[tuple[int, str]]] = {}
+        self.items_of: dict[int, set[str | None]] = {}
+        self.short: dict[int, list[tuple[int, str | None]]] = {}
         for name, ids in coded:
             at = matched = 0
             size = min(window, len(ids))
@@ -106,9 +106,9 @@ class Automaton:
         return at, min(matched, size)
 
     def hits(self, words: list[bytes]) -> tuple[np.ndarray, set[str]]:
-        """Mask of the words inside an occurrence of a window, and the items whose windows occur."""
+        """Mask of the words inside an occurrence of a window, and the named items whose windows occur."""
         marks = np.zeros(len(words) + 1, np.int32)
-        found: set[str] = set()
+        found: set[str | None] = set()
         get = self.vocabulary.get
         ids = np.fromiter((get(w, 0) for w in words), np.int32, len(words))
         edges = np.flatnonzero(np.diff(np.concatenate(([0], (ids > 0).view(np.int8), [0]))))
@@ -131,7 +131,7 @@ class Automaton:
                             marks[e - n + 1] += 1
                             marks[e + 1] -= 1
                     s = self.next_short[self.link[s]]
-        return np.cumsum(marks[:-1]) > 0, found
+        return np.cumsum(marks[:-1]) > 0, found - {None}
 
 
 def _pieces(window: int):
@@ -153,11 +153,11 @@ def contaminated_spans(docs: DataFrame, benchmark: DataFrame, text: str = "text"
     """``docs`` with ``n_words``, ``spans`` (maximal hit runs as word positions from, until) and ``items`` (sorted ids as strings).
 
     A window is ``window`` consecutive words of an item; an item with fewer words, but not none, is one window. Null
-    and empty texts have no words; items without words match nothing; an empty benchmark leaves every document clean.
+    and empty texts have no words; an item without an id hits words but is not among ``items``; items without words match nothing; an empty benchmark leaves every document clean.
     Repeated rows and repeated items are judged one by one. Columns of ``docs`` with the result names are replaced.
     """
     docs = docs.drop(*[c for c in ("n_words", "spans", "items") if c in docs.columns])
-    named = benchmark.select(F.col("item_id").cast("string"), "text").filter("item_id IS NOT NULL")
+    named = benchmark.select(F.col("item_id").cast("string"), "text")
     pieces = stored(named.mapInArrow(_pieces(window), "item string, words binary, n long, piece string").dropDuplicates(["item", "piece"]), "pieces")
     total = pieces.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     blocks = max(1, -(-total // block_words))
