@@ -137,7 +137,7 @@ class Automaton:
 def _pieces(window: int):
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = [(name, ws[i : i + PIECE_WORDS + window - 1]) for name, text in zip(*(c.to_pylist() for c in batch.columns)) for ws in [normal_words(text)] for i in range(0, len(ws), PIECE_WORDS)]
+            out = [(name, ws[i : i + PIECE_WORDS + window - 1]) for name, text in zip(*(c.to_pylist() for c in batch.columns)) for ws in [normal_words(text)] if ws for i in range(0, max(1, len(ws) - window + 1), PIECE_WORDS)]
             out = [(name, ws, piece) for name, ws in out for piece in [hashlib.md5(repr((name, ws)).encode()).hexdigest()]]
             yield pa.RecordBatch.from_arrays([pa.array([o[0] for o in out], pa.string()), pa.array([b" ".join(o[1]) for o in out], pa.binary()), pa.array([len(o[1]) for o in out], pa.int64()), pa.array([o[2] for o in out], pa.string())], ["item", "words", "n", "piece"])
 
