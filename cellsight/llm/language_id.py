@@ -20,7 +20,6 @@ UNDETERMINED = "und"
 BUCKETS = 1 << 15
 ORDERS = (1, 2, 3)
 PER_LANGUAGE = 2000
-MAX_LANGUAGES = 500
 SHARPNESS = 8.0
 AMBIGUOUS = 0.6
 BLOCK_BYTES = 1 << 20
@@ -99,12 +98,12 @@ def held_out(doc_id: Column) -> Column:
 def train(docs: DataFrame, text: str = "text", lang: str = "lang", per_language: int = PER_LANGUAGE) -> Model:
     """Learns from ``docs`` with text and language, about ``per_language`` documents of each language, drawn by hash of the text.
 
-    N-grams are counted in the tasks and summed by (language, bucket); only that table, at most ``MAX_LANGUAGES``
-    times ``BUCKETS`` rows, comes to the driver. Rows without text or language teach nothing; without any such row
+    N-grams are counted in the tasks and summed by (language, bucket); only that table, at most ``BUCKETS`` rows
+    for each language, comes to the driver. Every language is learned. Rows without text or language teach nothing; without any such row
     the model answers ``und``.
     """
     rows = docs.filter(F.col(text).isNotNull() & F.col(lang).isNotNull()).select(F.col(lang).alias("lang"), F.col(text).alias("text"))
-    sizes = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().orderBy(F.desc("count")).limit(MAX_LANGUAGES).collect()}
+    sizes = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().collect()}
     if not sizes:
         return Model({})
     share = F.element_at(F.create_map(*[F.lit(v) for name, n in sizes.items() for v in (name, min(1.0, per_language / n))]), F.col("lang"))

@@ -16,8 +16,10 @@ SHINGLE_WORDS, SIMILAR_PCT = 5, 80
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents without a letter and those for which no language holds half of the odds."""
+    """Drops documents without a letter and those for which no language holds half of the odds. Where no row names a language, all are passed on."""
     model = language_id.train(docs)
+    if not model.languages:
+        return docs
     judged = language_id.identify(docs.select(F.struct(*docs.columns).alias("row"), "text"), model)
     return judged.filter((F.col("lang_pred") != language_id.UNDETERMINED) & (F.col("score") >= LEAST_SCORE)).select("row.*")
 
