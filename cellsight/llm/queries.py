@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from cellsight.llm import compression_quality, decontaminate, language_id, mixing, near_dup, quality_rules, substring_dedup, suffix_dedup, token_files, url_filters
+from cellsight.llm import compression_quality, decontaminate, importance, language_id, mixing, near_dup, quality_rules, substring_dedup, suffix_dedup, token_files, url_filters
 
 QUERIES = {
     "op1_quality_rules": quality_rules.query,
@@ -15,6 +15,7 @@ QUERIES = {
     "op8_url_filters": url_filters.query,
     "op9_near_dup": near_dup.query,
     "op10_compression_quality": compression_quality.query,
+    "op11_importance_resampling": importance.query,
 }
 SQL = {
     "op1_quality_rules": quality_rules.SQL,
@@ -22,4 +23,5 @@ SQL = {
     "op6_substring_dedup": substring_dedup.SQL,
     "op7_mix_sources": mixing.SQL,
     "op8_url_filters": url_filters.SQL,
+    "op11_importance_resampling": importance.SQL,
 }
