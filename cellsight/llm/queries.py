@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from cellsight.llm import compression_quality, decontaminate, importance, language_id, mixing, near_dup, quality_rules, substring_dedup, suffix_dedup, token_files, url_filters
+from cellsight.llm import compression_quality, decontaminate, divergence, importance, language_id, mixing, near_dup, quality_rules, substring_dedup, suffix_dedup, token_files, url_filters
 
 QUERIES = {
     "op1_quality_rules": quality_rules.query,
@@ -16,6 +16,7 @@ QUERIES = {
     "op9_near_dup": near_dup.query,
     "op10_compression_quality": compression_quality.query,
     "op11_importance_resampling": importance.query,
+    "op12_source_divergence": divergence.query,
 }
 SQL = {
     "op1_quality_rules": quality_rules.SQL,
@@ -24,4 +25,5 @@ SQL = {
     "op7_mix_sources": mixing.SQL,
     "op8_url_filters": url_filters.SQL,
     "op11_importance_resampling": importance.SQL,
+    "op12_source_divergence": divergence.SQL,
 }
