@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from cellsight.llm import compression_quality, decontaminate, divergence, importance, language_id, mixing, near_dup, quality_rules, substring_dedup, suffix_dedup, token_files, url_filters
+from cellsight.llm import compression_quality, decontaminate, digest, divergence, importance, language_id, mixing, near_dup, quality_rules, substring_dedup, suffix_dedup, token_files, url_filters
 
 QUERIES = {
     "op1_quality_rules": quality_rules.query,
@@ -17,6 +17,7 @@ QUERIES = {
     "op10_compression_quality": compression_quality.query,
     "op11_importance_resampling": importance.query,
     "op12_source_divergence": divergence.query,
+    "op13_fingerprints": digest.query,
 }
 SQL = {
     "op1_quality_rules": quality_rules.SQL,
