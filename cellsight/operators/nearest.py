@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from cellsight.operators.vector import bucket_segments
 
+BLOCK = 4096
 
 
 def point_segment_distance(px: Column, py: Column, x1: Column, y1: Column, x2: Column, y2: Column) -> Column:
@@ -71,8 +72,9 @@ def nearest_in_time(requests: DataFrame, items: DataFrame, request: str, wanted:
     """Item closest to the requested time within +-``days``; on a tie the first in (time, id) order.
 
     An as-of merge, linear in both sides: items and requests are ordered together inside narrow time slices, each
-    request takes the last item before it and the first one after it, and where its slice has none, the slice
-    tables (one row per slice with items) hand on the nearest item of the slices before and after.
+    request takes the last item before it and the first one after it. Where its slice has none, the border items of
+    slices are handed on in two steps, inside blocks of ``BLOCK`` slices and between blocks. All frames run from the start of their
+    order. A block is a fixed span of time, so the calendar bounds the one window over blocks.
     """
     micros = F.unix_micros
     slice_of = lambda t: F.floor(t / (86400e6 * days / slices))
@@ -85,11 +87,16 @@ def nearest_in_time(requests: DataFrame, items: DataFrame, request: str, wanted:
     ahead = W.partitionBy("_b").orderBy("_t", "_asks").rowsBetween(W.unboundedPreceding, 0)
     behind = W.partitionBy("_b").orderBy(F.desc("_t"), "_asks").rowsBetween(W.unboundedPreceding, 0)
     met = both.select(request, "_t", "_b", "_asks", F.last("_item", True).over(ahead).alias("_before"), F.last("_item", True).over(behind).alias("_after")).where("_asks")
-    edges = asked.select("_b").distinct().withColumns({"_low": F.lit(None).cast(offered.schema["_item"].dataType), "_high": F.lit(None).cast(offered.schema["_item"].dataType)})
+    border = offered.schema["_item"].dataType
+    edges = asked.select("_b").distinct().withColumns({"_low": F.lit(None).cast(border), "_high": F.lit(None).cast(border)})
     edges = edges.unionByName(offered.groupBy("_b").agg(F.min("_item").alias("_low"), F.max("_item").alias("_high")))
-    edges = edges.groupBy("_b").agg(F.max("_low").alias("_low"), F.max("_high").alias("_high"))
-    order = W.orderBy("_b")
-    carried = edges.select("_b", F.last("_high", True).over(order.rowsBetween(W.unboundedPreceding, -1)).alias("_earlier"), F.first("_low", True).over(order.rowsBetween(1, W.unboundedFollowing)).alias("_later"))
+    edges = edges.groupBy("_b").agg(F.max("_low").alias("_low"), F.max("_high").alias("_high")).withColumn("_g", F.floor(F.col("_b") / BLOCK))
+    up, down = (W.partitionBy("_g").orderBy(o).rowsBetween(W.unboundedPreceding, -1) for o in (F.asc("_b"), F.desc("_b")))
+    inside = edges.select("_b", "_g", F.last("_high", True).over(up).alias("_earlier"), F.last("_low", True).over(down).alias("_later"))
+    blocks = edges.groupBy("_g").agg(F.min("_low").alias("_low"), F.max("_high").alias("_high"))
+    up, down = (W.orderBy(o).rowsBetween(W.unboundedPreceding, -1) for o in (F.asc("_g"), F.desc("_g")))
+    between = blocks.select("_g", F.last("_high", True).over(up).alias("_past"), F.last("_low", True).over(down).alias("_next"))
+    carried = inside.join(between, "_g").select("_b", F.coalesce("_earlier", "_past").alias("_earlier"), F.coalesce("_later", "_next").alias("_later"))
     near = met.join(carried, "_b").withColumns({"_before": F.coalesce("_before", "_earlier"), "_after": F.coalesce("_after", "_later")})
     gap = lambda c: F.struct(F.abs(F.col("_t") - F.col(f"{c}._t")).alias("gap"), F.col(f"{c}._t").alias("at"), F.col(f"{c}._id").alias("id"))
     choice = F.array_min(F.array_compact(F.array(*[F.when(F.col(c).isNotNull(), gap(c)) for c in ("_before", "_after")])))

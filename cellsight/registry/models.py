@@ -275,14 +275,15 @@ def source_readiness(t):
         EVIDENCE_SQL, RUNS_SQL, READY_SQL,
         "latest AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY grp, source_id ORDER BY age_days, run_id DESC) AS rn FROM states) s WHERE rn = 1)",
         then="""SELECT grp, CASE WHEN bool_or(required AND state <> 'usable') THEN 'not_ready' ELSE 'draft_evidence_only' END AS status, NOT bool_or(required AND state <> 'usable') AS draft_matrix_allowed,
-        CASE WHEN bool_or(source_id IN ('ndvi', 'wapor') AND state <> 'usable') THEN 'Watch' ELSE 'Not evaluated' END AS maximum_class, count(*) FILTER (WHERE required AND state <> 'usable') AS required_failures FROM latest GROUP BY 1""",
+        CASE WHEN bool_or(source_id IN ('ndvi', 'wapor') AND state <> 'usable') THEN 'Watch' ELSE 'Not evaluated' END AS maximum_class, count(*) FILTER (WHERE required AND state <> 'usable') AS required_failures,
+        coalesce(string_agg(concat_ws(' ', source_id || ': ' || r1, source_id || ': ' || r2, source_id || ': ' || r3, source_id || ': ' || r4, source_id || ': ' || r5, source_id || ': ' || r6, source_id || ': ' || r7), ' ' ORDER BY source_id) FILTER (WHERE required AND state <> 'usable'), '') AS reasons FROM latest GROUP BY 1""",
     ),
 )
 def readiness_decision(t):
     from cellsight.operators.runs import latest_by
 
     latest = latest_by(source_states(t), ["grp", "source_id"], [-F.col("age_days"), F.col("run_id")])
-    return RD.decision(latest, ["ndvi", "wapor"], ["grp"]).drop("reasons")
+    return RD.decision(latest, ["ndvi", "wapor"], ["grp"]).withColumn("reasons", F.array_join("reasons", " "))
 
 
 @query(

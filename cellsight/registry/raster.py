@@ -30,7 +30,7 @@ def band_pairs(t):
 YEARS, MONTHS = range(1991, 2000), range(1, 13)
 FRAMES_SQL = {
     "area_id": "SELECT area_id FROM areas",
-    'area_id, "year"': f'SELECT area_id, y AS "year" FROM areas CROSS JOIN range({YEARS.start}, {YEARS.stop}) r(y)',
+    'area_id, "year"': f'SELECT area_id, y AS "year" FROM areas CROSS JOIN (SELECT CAST(range AS INTEGER) AS y FROM range({YEARS.start}, {YEARS.stop}) UNION SELECT "year" FROM band_cells WHERE "year" IS NOT NULL) r',
     'area_id, "month"': f'SELECT area_id, m AS "month" FROM areas CROSS JOIN range({MONTHS.start}, {MONTHS.stop}) r(m)',
 }
 
@@ -43,9 +43,9 @@ def framed(keys, sql, columns, defaults):
 
 def yearly(t):
     """Every area with the years of ``YEARS`` and with every other year that has cells."""
-    listed = t.spark.range(YEARS.start, YEARS.stop).select(F.col("id").cast("int").alias("year"))
-    years = listed.union(t.band_cells().select("year").where("year IS NOT NULL")).distinct()
-    return Z.frame(t.areas()).crossJoin(years)
+    found = t.band_cells().agg(F.collect_set("year")).scalar()
+    listed = F.array(*[F.lit(y) for y in YEARS])
+    return Z.frame(t.areas()).withColumn("years", F.array_union(listed, F.coalesce(found, F.array().cast("array<int>")))).select("area_id", F.explode("years").alias("year"))
 
 
 def monthly(t):

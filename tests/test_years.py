@@ -22,7 +22,7 @@ def test_no_area_and_year_of_the_cells_is_missing(spark, tables, name):
 @pytest.mark.parametrize("name", YEARLY)
 def test_rows_of_the_listed_years_equal_sql(spark, name):
     out = entry.queries()[name](spark, SMALL).where(F.col("year").isin(list(raster.YEARS)))
-    found = duck(SMALL).execute(entry.oracle_sql()[name])
+    found = duck(SMALL).execute(f'SELECT * FROM ({entry.oracle_sql()[name]}) WHERE "year" BETWEEN {min(raster.YEARS)} AND {max(raster.YEARS)}')
     names = [d[0] for d in found.description]
     close = lambda rows: [tuple(pytest.approx(v, rel=1e-8, abs=1e-9) if isinstance(v, float) else v for v in r) for r in rows]
     got, want = canonical(out.columns, [tuple(r) for r in out.collect()]), canonical(names, found.fetchall())
