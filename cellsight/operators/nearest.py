@@ -1,4 +1,4 @@
-"""Exact nearest feature by a pyramid of square buckets; nearest record in time."""
+"""Exact nearest feature by branch and bound over a pyramid of square buckets; nearest record in time."""
 
 from __future__ import annotations
 
@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from cellsight.operators.vector import bucket_segments
 
 BLOCK = 4096
+STEP, SLACK = 2, 1e-9
 
 
 def point_segment_distance(px: Column, py: Column, x1: Column, y1: Column, x2: Column, y2: Column) -> Column:
@@ -22,48 +23,56 @@ def point_segment_distance(px: Column, py: Column, x1: Column, y1: Column, x2: C
     return F.sqrt(F.pow(px - (x1 + t * dx), 2) + F.pow(py - (y1 + t * dy), 2))
 
 
+def _box_distance(level: int, size: float) -> Column:
+    """Distance of (px, py) to the box of bucket (bx, by) of a level: no segment point in the bucket is nearer."""
+    width = size * 2.0**level
+    off = lambda p, b: F.greatest(F.col(b) * width - F.col(p), F.col(p) - (F.col(b) + 1) * width, F.lit(0.0))
+    dx, dy = off("px", "bx"), off("py", "by")
+    return F.sqrt(dx * dx + dy * dy)
+
+
+def nearest_candidates(points: DataFrame, segments: DataFrame, size: float, point: str = "area_id", line: str = "line_id") -> DataFrame:
+    """(point, px, py, line, x1, y1, x2, y2): the segments that a branch-and-bound descent leaves for every point.
+
+    Buckets with segments form a pyramid from one to four buckets that hold everything down to buckets of ``size``. Each bucket knows one
+    true segment point. A step goes down ``STEP`` levels: of all buckets still open for a point, those farther (at their box) than the
+    nearest known segment point are closed. The open ones of a point lie in a ring about as wide as a bucket, at any distance.
+    """
+    fine = bucket_segments(segments.select(line, "x1", "y1", "x2", "y2"), size)
+    reach = segments.agg(*[f(g(a, b)).alias(n) for n, f, g, a, b in (("w", F.min, F.least, "x1", "x2"), ("e", F.max, F.greatest, "x1", "x2"), ("s", F.min, F.least, "y1", "y2"), ("n", F.max, F.greatest, "y1", "y2"))]).first()
+    west, east, south, north = (0 if v is None else math.floor(v / size) + d for v, d in zip(reach, (-1, 1, -1, 1)))
+    top = 0
+    while (east >> top) - (west >> top) > 1 or (north >> top) - (south >> top) > 1:
+        top += 1
+    # the point of the segment nearest to the middle of the bucket
+    cx, cy = (F.col("bx") + 0.5) * size, (F.col("by") + 0.5) * size
+    dx, dy = F.col("x2") - F.col("x1"), F.col("y2") - F.col("y1")
+    t = F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.coalesce(((cx - F.col("x1")) * dx + (cy - F.col("y1")) * dy) / F.nullif(dx * dx + dy * dy, F.lit(0.0)), F.lit(0.0))))
+    stands = fine.select("bx", "by", F.struct((F.col("x1") + t * dx).alias("mx"), (F.col("y1") + t * dy).alias("my")).alias("m"))
+    roots = [F.struct(F.lit(bx).cast("long").alias("bx"), F.lit(by).cast("long").alias("by")) for bx in range(west >> top, (east >> top) + 1) for by in range(south >> top, (north >> top) + 1)]
+    open_ = points.select(point, "px", "py", F.explode(F.array(*roots)).alias("b")).select(point, "px", "py", "b.*")
+    level = top
+    while level > 0:
+        step = min(STEP, level)
+        level -= step
+        held = stands.groupBy(F.shiftright("bx", level).alias("bx"), F.shiftright("by", level).alias("by")).agg(F.min("m").alias("m"))
+        below = held.select(F.shiftright("bx", step).alias("up_x"), F.shiftright("by", step).alias("up_y"), "bx", "by", "m")
+        above = open_.select(point, "px", "py", F.col("bx").alias("up_x"), F.col("by").alias("up_y"))
+        known = F.sqrt(F.pow(F.col("px") - F.col("m.mx"), 2) + F.pow(F.col("py") - F.col("m.my"), 2))
+        met = above.join(below, ["up_x", "up_y"]).select(point, "px", "py", "bx", "by", _box_distance(level, size).alias("low"), known.alias("known"))
+        bound = F.min("known").over(W.partitionBy(point))
+        open_ = met.withColumn("bound", bound).where(F.col("low") * (1 - SLACK) <= F.col("bound")).select(point, "px", "py", "bx", "by")
+    return open_.join(fine, ["bx", "by"]).drop("bx", "by")
+
+
 def nearest_segment(points: DataFrame, segments: DataFrame, size: float, point: str = "area_id", line: str = "line_id") -> DataFrame:
-    """(point, line, distance) of the nearest segment, ties to the smallest line id.
-
-    ``points`` has (point, px, py) and ``segments`` (line, x1, y1, x2, y2), planar units.
-    1. One middle point stands for all segments of a bucket, on every level. The finest level
-       whose bucket around the point is used gives a true upper bound for the distance.
-    2. The level whose buckets are at least that wide holds every nearer segment in the 3x3
-       block around the point. Only those candidates are measured.
-    No candidate is cut off and no point is too far: the number of levels follows the largest
-    coordinate (one aggregate), so the block of the coarsest level covers all segments. Without
-    segments there are no rows.
+    """(point, line, distance) of the nearest segment, ties to the smallest line id; without segments there are no rows.
+
+    ``points`` has (point, px, py), one row for each, and ``segments`` (line, x1, y1, x2, y2), planar units. Only the candidates of
+    ``nearest_candidates`` are measured; none is cut off and no point is too far.
     """
-    far = lambda df, *cs: df.agg(F.max(F.greatest(*[F.abs(F.col(c)) for c in cs])).alias("far"))
-    widest = far(points, "px", "py").unionByName(far(segments, "x1", "y1", "x2", "y2")).agg(F.max("far")).first()[0] or 0.0
-    levels = max(1, math.ceil(math.log2(max(widest / size, 1.0))) + 1)
-    width = lambda level: F.lit(size) * F.pow(F.lit(2.0), level)
-    level = F.explode(F.sequence(F.lit(0), F.lit(levels))).alias("level")
-    middle = segments.select(((F.col("x1") + F.col("x2")) / 2).alias("mx"), ((F.col("y1") + F.col("y2")) / 2).alias("my"))
-    finest = middle.groupBy(F.floor(F.col("mx") / size).alias("fx"), F.floor(F.col("my") / size).alias("fy")).agg(F.min(F.struct("mx", "my")).alias("m"))
-    spread = finest.select("fx", "fy", "m", level)
-    up = lambda c: F.floor(F.col(c) / F.pow(F.lit(2.0), F.col("level")))
-    stands = spread.groupBy("level", up("fx").alias("bx"), up("fy").alias("by")).agg(F.min("m").alias("m"))
-    seen = points.select(point, "px", "py", level).withColumn("bx", F.floor(F.col("px") / width(F.col("level")))).withColumn("by", F.floor(F.col("py") / width(F.col("level"))))
-    bound = seen.join(stands, ["level", "bx", "by"]).groupBy(point, "px", "py").agg(
-        F.min(F.sqrt(F.pow(F.col("px") - F.col("m.mx"), 2) + F.pow(F.col("py") - F.col("m.my"), 2))).alias("reach")
-    )
-    fit = F.greatest(F.lit(0), F.least(F.ceil(F.log2(F.greatest(F.col("reach"), F.lit(size)) / size)), F.lit(levels))).cast("int")
-    around = F.explode(F.sequence(F.lit(-1), F.lit(1)))
-    chosen = points.join(bound.select(point, "reach"), point, "left").withColumn("level", F.when(F.col("reach").isNotNull(), fit).otherwise(levels))
-    blocks = (
-        chosen.withColumn("ox", around)
-        .withColumn("oy", around)
-        .withColumn("bx", F.floor(F.col("px") / width(F.col("level"))) + F.col("ox"))
-        .withColumn("by", F.floor(F.col("py") / width(F.col("level"))) + F.col("oy"))
-        .select(point, "px", "py", "level", "bx", "by")
-    )
-    used = chosen.select("level").distinct()
-    leveled = segments.select(line, "x1", "y1", "x2", "y2", level).join(used, "level", "left_semi")
-    scaled = leveled.select(line, "level", *[F.col(c).alias(f"o{c}") for c in ("x1", "y1", "x2", "y2")], *[(F.col(c) / width(F.col("level"))).alias(c) for c in ("x1", "y1", "x2", "y2")])
-    placed = bucket_segments(scaled, 1.0)
-    pairs = blocks.join(placed, ["level", "bx", "by"])
-    distance = point_segment_distance(F.col("px"), F.col("py"), F.col("ox1"), F.col("oy1"), F.col("ox2"), F.col("oy2"))
+    pairs = nearest_candidates(points, segments, size, point, line)
+    distance = point_segment_distance(F.col("px"), F.col("py"), F.col("x1"), F.col("y1"), F.col("x2"), F.col("y2"))
     best = pairs.groupBy(point).agg(F.min(F.struct(distance.alias("d"), F.col(line).alias("line"))).alias("best"))
     return best.select(point, F.col("best.line").alias(line), F.col("best.d").alias("distance"))
 
