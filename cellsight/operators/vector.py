@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -14,6 +15,7 @@ from cellsight.operators.zonal import edges, line_segments
 from cellsight.session import cut
 
 MARGIN = 1e-9
+LEAF_PAIRS, DEPTH = 65_536, 20
 
 
 def extent(features: DataFrame, pad: float = 0.0, keys: Sequence[str] = (), rings: str = "rings") -> DataFrame:
@@ -128,19 +130,74 @@ def parts_inside(features: DataFrame, areas: DataFrame, size: float, ident: str,
     return points_in_areas(first, areas, size, "_vertex", area, rings).select(F.col("_vertex._id").alias(ident), area).distinct()
 
 
+def _reference_point(a: str, b: str) -> tuple[Column, Column]:
+    """One point that two meeting segments share: where they cross, or the least end of one that lies on the other."""
+    p = [F.col(f"{a}.{c}") for c in ("x1", "y1", "x2", "y2")]
+    q = [F.col(f"{b}.{c}") for c in ("x1", "y1", "x2", "y2")]
+    dx, dy, ex, ey = p[2] - p[0], p[3] - p[1], q[2] - q[0], q[3] - q[1]
+    det = dx * ey - dy * ex
+    t = F.greatest(F.lit(0.0), F.least(F.lit(1.0), ((q[0] - p[0]) * ey - (q[1] - p[1]) * ex) / det))
+    low = lambda s: F.least(F.struct(s[0].alias("x"), s[1].alias("y")), F.struct(s[2].alias("x"), s[3].alias("y")))
+    shared = F.greatest(low(p), low(q))
+    return F.when(det != 0, p[0] + t * dx).otherwise(shared["x"]), F.when(det != 0, p[1] + t * dy).otherwise(shared["y"])
+
+
+def _quarters(rows: DataFrame, size: float) -> DataFrame:
+    """Rows of a cell (bx, by) with each of its four quarters, of side ``size``, that their segment reaches (widened by the rounding margin)."""
+    x, y = F.col("q") % 2, F.floor(F.col("q") / 2)
+    spread = rows.withColumn("q", F.explode(F.sequence(F.lit(0), F.lit(3)))).withColumns({"bx": 2 * F.col("bx") + x, "by": 2 * F.col("by") + y}).drop("q")
+    u1, v1, u2, v2 = (F.col(c) / size for c in ("x1", "y1", "x2", "y2"))
+    cx, cy = F.col("bx") + 0.5, F.col("by") + 0.5
+    half = 0.5 + 4 * MARGIN * (F.greatest(F.abs(F.col("bx")), F.abs(F.col("by"))) + 2)
+    over = lambda a, b, c: (F.least(a, b) <= c + half) & (F.greatest(a, b) >= c - half)
+    aside = F.abs((u2 - u1) * (cy - v1) - (v2 - v1) * (cx - u1))
+    return spread.where(over(u1, u2, cx) & over(v1, v2, cy) & (aside <= half * (F.abs(u2 - u1) + F.abs(v2 - v1))))
+
+
+def quadtree_leaves(left: DataFrame, right: DataFrame, size: float, limit: int = LEAF_PAIRS, depth: int = DEPTH) -> tuple[DataFrame, DataFrame]:
+    """Both segment tables in the leaves (level, bx, by) of one quadtree that follows their density.
+
+    It starts from squares of ``size``. A square that one side doesn't reach is dropped; one whose counts allow more than ``limit`` pairs is quartered,
+    until none does or ``depth`` is reached (segments that all pass through one point can't be parted). One count decides every
+    level, and only rows of quartered squares are placed again.
+    """
+    cells = lambda df: df.groupBy("bx", "by").agg(F.count(F.lit(1)).alias("n"))
+    sides = [bucket_segments(df, size) for df in (left, right)]
+    leaves = []
+    for level in range(depth + 1):
+        n = cells(sides[0]).withColumnRenamed("n", "n_left").join(cells(sides[1]).withColumnRenamed("n", "n_right"), ["bx", "by"])
+        n = cut(n.select("bx", "by", (F.col("n_left") * F.col("n_right") > (limit if level < depth else 1 << 62)).alias("full")))
+        placed = [df.join(n, ["bx", "by"]).withColumn("level", F.lit(level)) for df in sides]
+        leaves.append([df.where("NOT full").drop("full") for df in placed])
+        if n.where("full").isEmpty():
+            break
+        sides = [cut(_quarters(df.where("full").drop("full", "level"), size / 2 ** (level + 1))) for df in placed]
+    return tuple(reduce(DataFrame.unionByName, side) for side in zip(*leaves))
+
+
+def meeting_segments(left: DataFrame, right: DataFrame, size: float, limit: int = LEAF_PAIRS) -> DataFrame:
+    """Pairs ``a.*``, ``b.*`` of segments that meet, each once: in the leaf that holds the pair's reference point."""
+    a, b = quadtree_leaves(left, right, size, limit)
+    here = [F.col(f"a.{c}") == F.col(f"b.{c}") for c in ("level", "bx", "by")]
+    side = F.lit(size) / F.pow(F.lit(2.0), F.col("a.level"))
+    x, y = _reference_point("a", "b")
+    own = (F.floor(x / side) == F.col("a.bx")) & (F.floor(y / side) == F.col("a.by"))
+    return a.alias("a").join(b.alias("b"), here[0] & here[1] & here[2]).where(segments_meet("a", "b") & own)
+
+
 def intersecting(areas: DataFrame, lines: DataFrame, size: float, area: str = "area_id", line: str = "line_id", rings: str = "rings") -> DataFrame:
-    """Distinct (area, line) pairs that intersect: a segment meets an edge, or a vertex of any part of the line lies inside."""
-    a, b = paired_buckets(edges(areas, area, rings), line_segments(lines, line, rings), size)
-    meets = a.alias("a").join(b.alias("b"), _same_bucket("a", "b")).where(segments_meet("a", "b"))
+    """Distinct (area, line) pairs that intersect: a segment meets an edge, or a vertex of any part of the line lies inside.
+
+    Pairs of segments come out once; what is left to make distinct is a pair that meets in several segments.
+    """
+    meets = meeting_segments(edges(areas, area, rings), line_segments(lines, line, rings), size)
     inside = parts_inside(lines, areas, size, line, area, rings)
     return meets.select(f"a.{area}", f"b.{line}").unionByName(inside.select(area, line)).distinct()
 
 
 def polygons_overlap(left: DataFrame, right: DataFrame, size: float, left_id: str, right_id: str) -> DataFrame:
     """Distinct pairs of polygons that intersect: borders meet, or one holds a vertex of any ring of the other."""
-    a, b = paired_buckets(edges(left, left_id), edges(right, right_id), size)
-    meets = a.alias("a").join(b.alias("b"), _same_bucket("a", "b")).where(segments_meet("a", "b"))
-    found = meets.select(f"a.{left_id}", f"b.{right_id}")
+    found = meeting_segments(edges(left, left_id), edges(right, right_id), size).select(f"a.{left_id}", f"b.{right_id}")
     found = found.unionByName(parts_inside(left, right, size, left_id, right_id))
     return found.unionByName(parts_inside(right, left, size, right_id, left_id).select(left_id, right_id)).distinct()
 

@@ -261,3 +261,43 @@ def test_ordinals_and_previous_values_equal_plain_windows(spark):
     known = df.where("k IS NOT NULL")
     got = {r.id: r.p for r in previous_value(known, ["k"], ["t"], "v", F.floor(F.col("t") / 100_000), "p").collect()}
     assert got == {r.id: r.o for r in known.select("id", F.lag("v").over(by).alias("o")).collect()}
+
+
+def _brute_meets(a, b):
+    side = lambda ax, ay, bx, by, px, py: (bx - ax) * (py - ay) - (by - ay) * (px - ax)
+    sign = lambda v: (v > 0) - (v < 0)
+    d1, d2, d3, d4 = (sign(side(*a, *b[:2])), sign(side(*a, *b[2:])), sign(side(*b, *a[:2])), sign(side(*b, *a[2:])))
+    over = lambda i: min(a[i], a[i + 2]) <= max(b[i], b[i + 2]) and min(b[i], b[i + 2]) <= max(a[i], a[i + 2])
+    return d1 * d2 <= 0 and d3 * d4 <= 0 and over(0) and over(1)
+
+
+@pytest.mark.parametrize("limit", [100, 10**9])
+def test_quadtree_pairs_come_once_and_all(spark, limit):
+    """Half of all segments crowd one bucket; some touch, some overlap along a line, some lie on cell borders."""
+    rng = random.Random(limit)
+    place = lambda dense: rng.uniform(8.0, 8.4) if dense else rng.uniform(-20, 20)
+    make = lambda k: [(i, *[place(i % 2) for _ in range(4)]) for i in range(k)]
+    grid = [(1000 + i, float(i % 5) * 4, 0.0, float(i % 5) * 4, 4.0 * (i % 3)) for i in range(12)] + [(2000 + i, i * 0.5, 4.0, i * 0.5 + 1.0, 4.0) for i in range(9)]
+    left, right = make(120) + grid, make(120) + [(i + 5000, *r) for i, *r in grid]
+    frame = lambda rows, n: spark.createDataFrame(rows, f"{n} long, x1 double, y1 double, x2 double, y2 double")
+    got = [(r.l, r.r) for r in V.meeting_segments(frame(left, "l"), frame(right, "r"), 4.0, limit).select("a.l", "b.r").collect()]
+    want = {(a[0], b[0]) for a in left for b in right if _brute_meets(a[1:], b[1:])}
+    assert len(got) == len(set(got)) and set(got) == want
+
+
+def test_quadtree_leaves_stay_small_where_it_is_crowded(spark):
+    n = 3000  # half of all segments lie in one bucket of the first level
+    spread = spark.range(n).selectExpr("id AS l", *[f"IF(id % 2 = 0, 1.0 + (id * {k} % 997) / 400.0, (id * {k} % 211) * 4.0) AS {c}" for k, c in ((37, "x1"), (53, "y1"))])
+    short = spread.selectExpr("l", "x1", "y1", "x1 + 0.01 AS x2", "y1 + 0.013 AS y2")
+    a, b = V.quadtree_leaves(short, short.withColumnRenamed("l", "r"), 4.0, 400)
+    counted = a.groupBy("level", "bx", "by").count().join(b.groupBy("level", "bx", "by").count().withColumnRenamed("count", "other"), ["level", "bx", "by"])
+    most = counted.selectExpr("max(count * other) AS m", "max(level) AS deep").first()
+    assert most.m <= 400 and most.deep >= 2
+
+
+def test_far_points_measure_few_segments(spark):
+    """Branch and bound: 1,000 points far outside meet a bounded share of 2,500 segments each."""
+    points = spark.range(1000).selectExpr("concat('p', id) AS area_id", "cos(id * 0.7) * 1e7 AS px", "sin(id * 0.7) * 1e7 AS py")
+    segments = spark.range(2500).selectExpr("concat('l', id) AS line_id", "(id % 50) * 1.0 AS x1", "floor(id / 50) * 1.0 AS y1", "(id % 50) + 0.4 AS x2", "floor(id / 50) + 0.3 AS y2")
+    counts = N.nearest_candidates(points, segments, 0.5).groupBy("area_id").count().agg(F.count("*"), F.avg("count"), F.max("count")).first()
+    assert counts[0] == 1000 and counts[1] < 25 and counts[2] < 250
