@@ -13,6 +13,7 @@ COLUMNS = {
     "op5_token_files": {"doc_id", "start", "n_tokens", "ids_crc32"},
     "op9_near_dup": {"doc_id", "n_shingles", "component_id", "kept"},
     "op10_compression_quality": {"doc_id", "held_out", "score", "predicted"},
+    "op13_fingerprints": {"doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"},
 }
 
 
@@ -29,7 +30,7 @@ def test_one_row_for_every_document(spark, name):
 
 
 def test_all_are_registered():
-    assert sorted(int(n[2:].split("_")[0]) for n in queries.QUERIES) == list(range(1, 11))
+    assert sorted(int(n[2:].split("_")[0]) for n in queries.QUERIES) == list(range(1, 14))
     assert set(queries.QUERIES) | {"pipeline"} <= set(entry.queries()) and set(queries.SQL) | set(COLUMNS) == set(queries.QUERIES)
 
 
