@@ -2,11 +2,11 @@
 
 A document's distinct shingles (``width`` words each) fall by hash into ``REGISTERS`` buckets; a register keeps the leading-zero count
 of the smallest hash of its bucket and the mantissa bits behind the leading one. Equal sets become one class first.
-Bands of registers, empty ones filled from others, give candidate classes; in each band's bucket every member is paired with the bucket's most central
-member, and once these links have merged, members of different groups that still share a bucket are paired with each
-other, so no link between two groups is lost while a group of thousands needs one pair per member. In crowded buckets, members
-that share a rare shingle are paired through it; what all others can share is bounded by their counts of rare shingles,
-which settles most of these pairs before they are made.
+Bands of registers, empty ones filled from others, give candidate classes. In ``ROUNDS`` rounds every set is paired with one set, the
+most central member of another group in the buckets that it is in; links merge groups, and a bucket with one group is done. Then members of different
+groups that still share a bucket are paired with each other, so no link between two groups is lost while a group of thousands needs
+a few pairs per member. In crowded buckets, members that share a rare shingle are paired through it; what all others can share is
+bounded by how many frequent shingles each has in ``PARTS`` parts of the hash range, which settles most of these pairs before they are made.
 A pair whose collision-corrected estimate is clearly too low is dropped; all others are compared on their full sets.
 """
 
@@ -14,6 +14,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -31,7 +32,7 @@ SHARED, MISSED = 3, 1e-6
 MANTISSA_BITS = 10
 EMPTY = 0xFFFF
 SIGMAS = 5.0
-CROWDED, RARE = 64, 16
+CROWDED, RARE, PARTS, ROUNDS = 64, 16, 64, 3
 
 
 def shingles(text: str | None, width: int = WIDTH) -> np.ndarray:
@@ -188,19 +189,20 @@ def verified(pairs: DataFrame, texts: DataFrame, threshold_pct: int, width: int)
 
 
 def _texts(docs: DataFrame, text: str, classes: DataFrame, ids: DataFrame, width: int) -> DataFrame:
-    """``set_id, text`` of the classes in ``ids``: the text of the class's first document."""
-    wanted = ids.distinct().join(classes.select("set_id", "first_id"), "set_id")
+    """``set_id, text`` of the classes in ``ids``: the text of the class's first row, told by doc_id (null or not) and text hash."""
+    wanted = ids.distinct().join(classes.select("set_id", "first.*"), "set_id").select("set_id", F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash"))
 
     def own(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:  # rows that share a doc_id but not the set are told apart here
+        for batch in batches:  # different texts under one id and hash are told apart here
             yield batch.filter(pa.array([set_identity(shingles(t.as_py(), width)) == s.as_py() for s, t in zip(*batch.columns)], pa.bool_()))
 
-    found = docs.select(F.col("doc_id").alias("first_id"), F.col(text).alias("text")).join(wanted, "first_id").select("set_id", "text")
+    rows = docs.select("doc_id", F.xxhash64(text).alias("_text_hash"), F.col(text).alias("text"))
+    found = rows.join(wanted, (F.col("_text_hash") == F.col("_hash")) & F.col("doc_id").eqNullSafe(F.col("_id"))).select("set_id", "text")
     return stored(found.mapInArrow(own, "set_id binary, text string").dropDuplicates(["set_id"]), "texts")
 
 
 def rare_shingles(texts: DataFrame, width: int) -> tuple[DataFrame, DataFrame]:
-    """``set_id, rare`` (how many of a set's shingles at most ``RARE`` sets of ``texts`` have), and ``set_id, h`` of those that two or more have."""
+    """``set_id, rare`` (those of a set's shingles that at most ``RARE`` sets of ``texts`` have), and ``set_id, h`` of those that two or more have."""
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i, t in zip(*batch.columns):
@@ -210,7 +212,20 @@ def rare_shingles(texts: DataFrame, width: int) -> tuple[DataFrame, DataFrame]:
     rows = texts.select("set_id", "text").mapInArrow(spread, "set_id binary, h long")
     known = rows.groupBy("h").count().filter(F.col("count") <= RARE)
     found = stored(rows.join(known, "h"), "rare")
-    return found.groupBy("set_id").agg(F.count(F.lit(1)).alias("rare")), found.filter("count > 1").select("set_id", "h")
+    return found.groupBy("set_id").agg(F.collect_list("h").alias("rare")), found.filter("count > 1").select("set_id", "h")
+
+
+def profiles(texts: DataFrame, rare: DataFrame, width: int) -> DataFrame:
+    """``set_id, profile``: how many shingles a set has in each of ``PARTS`` parts of the hash range, its rare ones left out."""
+    def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = []
+            for t, rare in zip(batch.column(1), batch.column(2)):
+                h = np.setdiff1d(shingles(t.as_py(), width), np.array(rare.as_py() or [], np.int64).view(np.uint64), assume_unique=True)
+                found.append(np.bincount((hashing.mix(h) % np.uint64(PARTS)).astype(np.int64), minlength=PARTS))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.list_(pa.int32()))], ["set_id", "profile"])
+
+    return texts.select("set_id", "text").join(rare, "set_id", "left").mapInArrow(of, "set_id binary, profile array<int>")
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -227,54 +242,79 @@ def components(links: DataFrame) -> DataFrame:
             return labels
 
 
+def _apart(scored: DataFrame, groups: DataFrame | None) -> DataFrame:
+    """Rows of the buckets that hold members of more than one group; before the first links every set is a group."""
+    if groups is None:
+        return scored.withColumn("group", F.col("set_id"))
+    grouped = scored.join(groups, "set_id", "left").withColumn("group", F.coalesce("group", "set_id"))
+    split = grouped.groupBy("key").agg(F.min("group").alias("low"), F.max("group").alias("high")).filter("low <> high").select("key")
+    return grouped.join(split, "key")
+
+
+def _stars(rest: DataFrame, threshold_pct: int) -> DataFrame:
+    """One pair ``a, b`` for each set at most: with the bucket leader, of another group, that it meets most often, then the most central one."""
+    leaders = rest.groupBy("key").agg(F.max(F.struct("score", "set_id", "n_shingles", "group")).alias("l"))
+    met = rest.select("key", "set_id", "n_shingles", "group").join(leaders, "key")
+    fit = (F.col("group") != F.col("l.group")) & (100 * F.least("n_shingles", "l.n_shingles") >= threshold_pct * F.greatest("n_shingles", "l.n_shingles"))
+    counted = met.filter(fit).groupBy(F.col("set_id").alias("a"), F.col("l.set_id").alias("b")).agg(F.count(F.lit(1)).alias("n"), F.first("l.score").alias("score"))
+    return counted.groupBy("a").agg(F.max(F.struct("n", "score", "b")).alias("best")).select("a", "best.b")
+
+
 def near_duplicates(docs: DataFrame, text: str = "text", threshold_pct: int = THRESHOLD_PCT, width: int = WIDTH) -> DataFrame:
     """Per row of ``docs``: ``doc_id, n_shingles, component_id, kept``, and ``text_hash`` and ``group``, which tell rows with one doc_id apart.
 
     Links join documents with 100 * common >= threshold * all shingles; ``component_id`` is the least doc_id reachable
     by links, ``kept`` marks the document that has it. Null texts and texts without words have no shingles, link with
-    nothing and are kept. Rows that repeat a doc_id are judged by their own text. Other columns are not read.
+    nothing and are kept. Rows that repeat a doc_id are judged by their own text. Rows with a null doc_id link like others; a
+    group of null ids alone has a null ``component_id``, and all its rows have ``kept``. Other columns are not read.
     """
     sketched = stored(sketches(docs, text, width), "sketches")
-    classes = sketched.filter("set_id IS NOT NULL").groupBy("set_id").agg(F.min("doc_id").alias("first_id"), F.first("n_shingles").alias("n_shingles"), F.first("registers").alias("registers"))
+    classes = sketched.filter("set_id IS NOT NULL").groupBy("set_id").agg(F.min("doc_id").alias("first_id"), F.min(F.struct("doc_id", "text_hash")).alias("first"), F.first("n_shingles").alias("n_shingles"), F.first("registers").alias("registers"))
     classes = stored(classes, "classes")
     bands = band_rows(classes, threshold_pct)
     shared = bands.groupBy("key").count().filter("count > 1")
     bucketed = stored(bands.join(shared, "key"), "buckets")
-    near_size = 100 * F.least("n_a", "n_b") >= threshold_pct * F.greatest("n_a", "n_b")
     often = lambda pairs: pairs.groupBy("a", "b").count().filter(F.col("count") >= SHARED).select("a", "b")
     central = bucketed.groupBy("set_id").agg(F.sum("count").alias("score"))
-    scored = bucketed.join(central, "set_id")
-    leaders = scored.groupBy("key").agg(F.max(F.struct("score", "set_id", "n_shingles")).alias("leader")).select("key", F.col("leader.set_id").alias("b"), F.col("leader.n_shingles").alias("n_b"))
-    stars = bucketed.select("key", F.col("set_id").alias("a"), F.col("n_shingles").alias("n_a")).join(leaders, "key").filter(F.col("a") != F.col("b")).filter(near_size).select("a", "b").distinct()
-    tried = stored(_estimated(stars, classes, threshold_pct), "pairs")
-    links = stored(verified(tried, _texts(docs, text, classes, tried.select(F.col("a").alias("set_id")).union(tried.select("b")), width), threshold_pct, width), "links")
-    groups = components(links)
-
-    grouped = bucketed.join(groups, "set_id", "left").select("key", "count", "set_id", "n_shingles", F.coalesce("group", "set_id").alias("group"))
-    split = grouped.groupBy("key").agg(F.min("group").alias("low"), F.max("group").alias("high")).filter("low <> high").select("key")
-    rest = stored(grouped.join(split, "key"), "rest")
+    scored = stored(bucketed.join(central, "set_id"), "scored")
+    found, groups, tried = [], None, None
+    rest = _apart(scored, None)
+    for _ in range(ROUNDS):
+        pairs = _stars(rest, threshold_pct)
+        pairs = stored(_estimated(pairs if tried is None else pairs.join(tried, ["a", "b"], "left_anti"), classes, threshold_pct), "pairs")
+        tried = pairs if tried is None else tried.unionByName(pairs)
+        ends = pairs.select(F.col("a").alias("set_id")).union(pairs.select("b"))
+        new = stored(verified(pairs, _texts(docs, text, classes, ends, width), threshold_pct, width), "links")
+        if found and new.isEmpty():
+            break
+        found.append(new)
+        groups = components(reduce(DataFrame.union, found))
+        rest = stored(_apart(scored, groups), "rest")
+
     texts = _texts(docs, text, classes, rest.select("set_id"), width)
     crowded = rest.filter(F.col("count") > CROWDED)
-    rare, shared_rare = rare_shingles(texts.join(crowded.select("set_id").distinct(), "set_id"), width)
+    packed = texts.join(crowded.select("set_id").distinct(), "set_id")
+    rare, shared_rare = rare_shingles(packed, width)
+    profiled = profiles(packed, rare, width)
     sets = rest.select("set_id", "n_shingles", "group").distinct()
     sides = lambda df, *cs: [df.select(*[F.col(c).alias(f"{c}_{s}") for c in cs]) for s in "ab"]
     apart = (F.col("set_id_a") < F.col("set_id_b")) & (F.col("group_a") != F.col("group_b")) & (100 * F.least("n_shingles_a", "n_shingles_b") >= threshold_pct * F.greatest("n_shingles_a", "n_shingles_b"))
     named = lambda pairs: pairs.select(F.col("set_id_a").alias("a"), F.col("set_id_b").alias("b"))
     one, other = sides(shared_rare.join(sets, "set_id"), "h", "set_id", "n_shingles", "group")
     through_rare = named(one.join(other, (F.col("h_a") == F.col("h_b")) & apart))
-    # without a common rare shingle: what the two can have in common against the least that they have together
-    bounded = crowded.join(rare, "set_id", "left").fillna(0, ["rare"]).filter(100 * (F.col("n_shingles") - F.col("rare")) >= threshold_pct * F.col("n_shingles"))
-    one, other = sides(stored(bounded, "bounded"), "key", "set_id", "n_shingles", "group", "rare")
-    common = F.least(F.col("n_shingles_a") - F.col("rare_a"), F.col("n_shingles_b") - F.col("rare_b"))
-    reachable = 100 * common >= threshold_pct * (F.col("n_shingles_a") + F.col("n_shingles_b") - common)
+    # without a common rare shingle: no more in common than the fewer of each part, against the least that they have together
+    held = F.aggregate("profile", F.lit(0), lambda n, k: n + k)
+    bounded = crowded.join(profiled, "set_id").filter(100 * held >= threshold_pct * F.col("n_shingles"))
+    one, other = sides(stored(bounded, "bounded"), "key", "set_id", "n_shingles", "group", "profile")
+    common = F.aggregate(F.zip_with("profile_a", "profile_b", lambda x, y: F.least(x, y)), F.lit(0), lambda n, k: n + k)
+    reachable = (100 + threshold_pct) * common >= threshold_pct * (F.col("n_shingles_a") + F.col("n_shingles_b"))
     in_crowded = named(one.join(other, (F.col("key_a") == F.col("key_b")) & apart & reachable))
     one, other = sides(rest.filter(F.col("count") <= CROWDED), "key", "set_id", "n_shingles", "group")
     through_bands = often(named(one.join(other, (F.col("key_a") == F.col("key_b")) & apart)).union(in_crowded))
     crossing = through_rare.union(through_bands).distinct()
     untried = crossing.join(tried.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), ["a", "b"], "left_anti")
     late = stored(_estimated(untried, classes, threshold_pct), "late")
-    links = links.union(verified(late, texts, threshold_pct, width))
-    groups = components(links)
+    groups = components(reduce(DataFrame.union, [*found, verified(late, texts, threshold_pct, width)]))
 
     by_set = classes.select("set_id", "first_id").join(groups, "set_id", "left").select("set_id", "first_id", F.coalesce("group", "set_id").alias("group"))
     ids = by_set.groupBy("group").agg(F.min("first_id").alias("component_id"))
