@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from cellsight.functions.numeric import array_quantile, deviation_pct, inclusive_pct, mid_rank_pct, py_round, upper_median
@@ -34,27 +35,43 @@ def seasonal_reference(rows: DataFrame, keys: Sequence[str] = ("area_id", "calen
 def leave_own_year_out(targets: DataFrame, rows: DataFrame, years: tuple[int, int], keys: Sequence[str] = ("area_id", "calendar_month"), minimum: int = MIN_ROWS) -> DataFrame:
     """Every target with the reference of its area and month, its own year taken out.
 
-    The reference of one area and month holds one value per retained run: at most the years of
-    the reference times the runs of one month. It travels once as a sorted array; the target's
-    own year is filtered out in place. No target-by-reference pairs are produced.
-    Fewer than ``minimum`` remaining rows leave the reference NULL.
+    Order statistics with deletion over counts of (key, year, value); no reference is gathered and no target-by-reference pairs are made.
+    Running counts over all years and over one year stand side by side on every row. With the own year placed last among equal
+    values, the k-th remaining value has rank k plus the own values whose count of others at or below is at most k; that rank is then looked up
+    in the running counts of all years. Fewer than ``minimum`` remaining rows leave the reference NULL.
     """
     keys = list(keys)
-    packed = rows.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("value", "year"))).alias("_ref"))
-    joined = targets.join(packed, keys, "left")
-    own = F.col("year")
-    inside = own.between(*years)
-    others = F.transform(F.filter("_ref", lambda r: ~inside | (r["year"] != own)), lambda r: r["value"])
-    kept = joined.withColumn("_others", others).withColumn("_n", F.coalesce(F.size("_others"), F.lit(0)))
+    columns = targets.columns
+    held = rows.where(F.col("value").isNotNull()).dropna(subset=keys).groupBy(*keys, "year", "value").agg(F.count(F.lit(1)).alias("_n"))
+    asked = targets.select(*keys, "year", "value", F.lit(0).cast("long").alias("_n"), F.struct(*columns).alias("_target"))
+    both = held.withColumn("_target", F.lit(None).cast(asked.schema["_target"].dataType)).unionByName(asked)
+    whole, one = W.partitionBy(*keys), W.partitionBy(*keys, "year")
+    upto = lambda w: F.sum("_n").over(w.orderBy("value").rangeBetween(W.unboundedPreceding, W.currentRow))
+    inside = F.col("year").between(*years)
+    own = lambda c: F.when(inside, c).otherwise(F.lit(0))
+    ranked = both.withColumns({"_below": upto(whole), "_own_below": own(upto(one)), "_left": F.sum("_n").over(whole) - own(F.sum("_n").over(one))})
+    for side, rank in (("_low", F.floor((F.col("_left") - 1) / 2)), ("_high", F.ceil((F.col("_left") - 1) / 2))):
+        passed = F.coalesce(F.sum(F.when(inside & (F.col("_below") - F.col("_own_below") <= rank), F.col("_n"))).over(one), F.lit(0))
+        ranked = ranked.withColumn(side, rank + passed)
+
+    wanted = ranked.where("_target IS NOT NULL AND _left > 0").groupBy(*keys, "year").agg(F.max("_low").alias("_low"), F.max("_high").alias("_high"))
+    sides = wanted.select(*keys, "year", F.explode(F.array("_low", "_high")).alias("_at"))
+    steps = ranked.where("_target IS NULL").groupBy(*keys, "value").agg((F.max("_below") - 1).alias("_at"))
+    found = steps.withColumn("year", F.lit(None).cast(sides.schema["year"].dataType)).unionByName(sides.withColumn("value", F.lit(None).cast(steps.schema["value"].dataType)))
+    down = whole.orderBy(F.desc("_at"), F.col("value").isNull()).rowsBetween(W.unboundedPreceding, W.currentRow)
+    looked = found.withColumn("_value", F.last("value", True).over(down)).where("value IS NULL")
+    middle = looked.groupBy(*keys, "year").agg((F.min("_value") + (F.max("_value") - F.min("_value")) * 0.5).alias("_median"))
+
+    near = ranked.where("_target IS NOT NULL").select("_target", "_left", (F.col("_below") - F.col("_own_below")).alias("_reached"))
+    kept = near.select("_target.*", "_left", "_reached").join(middle, [*keys, "year"], "left").withColumn("_n", F.coalesce("_left", F.lit(0)).cast("int"))
     enough = F.col("_n") >= minimum
-    at_or_below = F.size(F.filter("_others", lambda v: v <= F.col("value")))
     out = kept.withColumn("reference_count", F.when(enough, F.col("_n")))
-    out = out.withColumn("reference_median", F.when(enough, array_quantile(F.col("_others"), 0.5)))
-    out = out.withColumn("reference_percentile", F.when(enough & F.col("value").isNotNull(), inclusive_pct(at_or_below, F.col("_n"))))
+    out = out.withColumn("reference_median", F.when(enough, F.col("_median")))
+    out = out.withColumn("reference_percentile", F.when(enough & F.col("value").isNotNull(), inclusive_pct(F.col("_reached"), F.col("_n"))))
     out = out.withColumn("reference_deviation_pct", deviation_pct(F.col("value"), F.col("reference_median")))
     out = out.withColumn("baseline_status", F.when(enough, "candidate_review_required").otherwise("unavailable"))
     label = F.when(~enough, "Seasonal reference unavailable").when(inside, "same-month reference without own year").otherwise("same-month reference")
-    return out.withColumn("baseline_label", label).drop("_ref", "_others", "_n")
+    return out.withColumn("baseline_label", label).select(*columns, "reference_count", "reference_median", "reference_percentile", "reference_deviation_pct", "baseline_status", "baseline_label")
 
 
 def against_years(df: DataFrame, years: str, value: str = "depth") -> DataFrame:

@@ -298,35 +298,52 @@ def _oriented(features: DataFrame, rings: str = "rings") -> DataFrame:
     return features.withColumn(rings, turned)
 
 
+def _keyed(pieces: DataFrame, *names: str, back: bool = False) -> DataFrame:
+    """Ends of the pieces, rounded, as ``k0..k3`` (from the far end with ``back``), with the named columns."""
+    ends = ("x2", "y2", "x1", "y1") if back else ("x1", "y1", "x2", "y2")
+    return pieces.select(*names, *[(F.round(F.col(c), 9) + F.lit(0.0)).alias(f"k{i}") for i, c in enumerate(ends)])
+
+
+def _held_by(pieces: DataFrame, border: DataFrame, polygons: DataFrame, size: float, ident: str) -> DataFrame:
+    """(piece, polygon id) where the middle of the piece lies inside the polygon and the piece is no part of its ``border`` pieces, either way round."""
+    keys = ["k0", "k1", "k2", "k3"]
+    either = _keyed(border, F.col(ident).alias("_on")).unionByName(_keyed(border, F.col(ident).alias("_on"), back=True)).distinct()
+    on = _keyed(pieces, "piece").join(either, keys).select("piece", F.col("_on").alias(ident)).distinct()
+    return points_in_areas(pieces, polygons, size, "piece", ident).join(on, ["piece", ident], "left_anti")
+
+
 def area_inside(features: DataFrame, region: DataFrame, size: float, ident: str = "area_id", region_id: str = "region_id") -> DataFrame:
-    """Area of each polygon inside the region, by Green's theorem over cut borders.
+    """Area of each polygon inside the region, by Green's theorem over cut borders; polygons of the region may overlap and count once.
 
-    The border of the intersection consists of feature pieces inside the region, region pieces
-    inside the feature, and shared pieces of equal direction (counted once). No overlay polygon
-    is built. The polygons of the region must not overlap each other.
+    All borders are cut where they meet. What a cut piece bounds follows from the depth of the region on either side: polygons that hold
+    the piece, and polygons whose own border runs along it (their inside lies on its left). A region piece bounds the union if nothing of the region lies
+    on its right. The border of the intersection consists of such pieces inside the feature, and of feature pieces with some
+    of the region on their left. No overlay polygon is built.
     """
     features, region = _oriented(features), _oriented(region)
     fe, re = edges(features, ident), edges(region, region_id)
     term = (F.col("x1") * F.col("y2") - F.col("x2") * F.col("y1")) / 2
+    keys = ["k0", "k1", "k2", "k3"]
     # the features are cut at the pieces of the region, so shared border pieces have equal ends
     # both piece tables feed several branches: checkpointed, they are computed once
-    rp = cut(_middles(split_at_crossings(re, fe, size, region_id), region_id))
+    cutters = fe.select("x1", "y1", "x2", "y2").unionByName(re.select("x1", "y1", "x2", "y2"))
+    rp = cut(_middles(split_at_crossings(re, cutters, size, region_id), region_id))
     own = cut(_middles(split_at_crossings(fe, rp, size, ident), ident))
-    key = lambda *cs: [(F.round(F.col(c), 9) + F.lit(0.0)).alias(f"k{i}") for i, c in enumerate(cs)]
-    keys = ["k0", "k1", "k2", "k3"]
-    near = own.select("*", *key("x1", "y1", "x2", "y2"))
-
-    same = rp.select(*key("x1", "y1", "x2", "y2")).distinct().withColumn("same", F.lit(True))
-    back = rp.select(*key("x2", "y2", "x1", "y1")).distinct().withColumn("back", F.lit(True))
-    inside = points_in_areas(own, region, size, "piece", region_id).select("piece").distinct().withColumn("inside", F.lit(True))
-    marked = near.join(same, keys, "left").join(back, keys, "left").join(inside, "piece", "left")
-    kept = marked.where("same OR (back IS NULL AND inside)").select(ident, term.alias("part"))
-
-    holders = points_in_areas(rp, features, size, "piece", ident)
-    shared = near.select(ident, *keys).unionByName(own.select(ident, *key("x2", "y2", "x1", "y1"))).distinct()
-    foreign = rp.select("piece", "x1", "y1", "x2", "y2", *key("x1", "y1", "x2", "y2")).join(holders, "piece").join(shared, [ident, *keys], "left_anti")
-    parts = kept.unionByName(foreign.select(ident, term.alias("part")))
-    return parts.groupBy(ident).agg(F.sum("part").alias("inside"))
+
+    right = _keyed(rp, F.col(region_id).alias("_right"), back=True)  # polygons whose inside lies on the right of a piece
+    faced = _keyed(rp, "piece").join(right, keys).select("piece")
+    covered = faced.unionByName(_held_by(rp, rp, region, size, region_id).select("piece")).distinct()
+    union = rp.join(covered, "piece", "left_anti")
+    union = _keyed(union, "piece", "x1", "y1", "x2", "y2", "px", "py").dropDuplicates(keys)  # polygons that share a piece of border
+
+    left = _keyed(own, "piece").join(_keyed(rp).distinct(), keys).select("piece")
+    held = _held_by(own, rp, region, size, region_id).select("piece")
+    kept = own.join(left.unionByName(held).distinct(), "piece", "left_semi").select(ident, term.alias("part"))
+
+    shared = _keyed(own, ident).unionByName(_keyed(own, ident, back=True)).distinct()
+    holders = points_in_areas(union, features, size, "piece", ident)
+    foreign = union.join(holders, "piece").join(shared, [ident, *keys], "left_anti").select(ident, term.alias("part"))
+    return kept.unionByName(foreign).groupBy(ident).agg(F.sum("part").alias("inside"))
 
 
 def classify_layers(shares: DataFrame, overrides: DataFrame, threshold: float = 0.95) -> DataFrame:

@@ -301,3 +301,11 @@ def test_far_points_measure_few_segments(spark):
     segments = spark.range(2500).selectExpr("concat('l', id) AS line_id", "(id % 50) * 1.0 AS x1", "floor(id / 50) * 1.0 AS y1", "(id % 50) + 0.4 AS x2", "floor(id / 50) + 0.3 AS y2")
     counts = N.nearest_candidates(points, segments, 0.5).groupBy("area_id").count().agg(F.count("*"), F.avg("count"), F.max("count")).first()
     assert counts[0] == 1000 and counts[1] < 25 and counts[2] < 250
+
+
+def test_area_inside_overlapping_regions_count_once(spark):
+    box = lambda a, b, c, d: [closed([(a, b), (c, b), (c, d), (a, d)])]
+    shapes = {"across": box(0, 0, 3, 2), "within": box(0.5, 0.5, 2.5, 1.5), "overlap": box(1, 0, 2, 2), "outside": box(10, 0, 11, 1)}
+    region = {"p": box(0, 0, 2, 2), "q": box(1, 0, 3, 2), "copy": box(1, 0, 3, 2), "inner": box(0.25, 0.25, 0.5, 0.5)}
+    got = {r.area_id: r.inside for r in V.area_inside(areas(spark, shapes), areas(spark, region, "region_id"), 2.0).collect()}
+    assert got == pytest.approx({"across": 6.0, "within": 2.0, "overlap": 2.0})
