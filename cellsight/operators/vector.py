@@ -202,40 +202,63 @@ def polygons_overlap(left: DataFrame, right: DataFrame, size: float, left_id: st
     return found.unionByName(parts_inside(right, left, size, right_id, left_id).select(left_id, right_id)).distinct()
 
 
+def _solid_edges(features: DataFrame, ident: str, rings: str) -> DataFrame:
+    """Edges with a length and finite ends, numbered anew within their ring: ``_k`` of ``_of``."""
+    ends = ["x1", "y1", "x2", "y2"]
+    finite = F.forall(F.array(*ends), lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < float("inf")))
+    solid = edges(features, ident, rings).where(finite).where("x1 <> x2 OR y1 <> y2")
+    ring = W.partitionBy(ident, "ring")
+    return solid.withColumns({"_k": F.row_number().over(ring.orderBy("seq")), "_of": F.count(F.lit(1)).over(ring)})
+
+
 def ring_problems(features: DataFrame, size: float, ident: str = "area_id", rings: str = "rings") -> DataFrame:
-    """Per feature: empty, degenerate ring, open ring, place of the first self-crossing, and validity.
+    """Per feature: empty, coordinates that are no finite numbers, degenerate ring, open ring, places of faults, and validity.
 
-    Crossing edges are looked for only inside the same bucket, never over all edge pairs.
+    The borders of a feature form an arrangement, looked at only inside common buckets, never over all edge pairs. ``crossing`` is the
+    least place where edges cross or share a stretch: crossed rings, spikes, a border that runs back along itself, doubled rings.
+    ``touching`` is the least place where edges of one ring meet that are no neighbours in it. Rings of a feature may touch each other;
+    rings that pass through each other only at vertices of both are not told from such. Repeated points in a row are no fault.
     """
     r = F.col(rings)
     n = F.coalesce(F.size(F.flatten(r)), F.lit(-1))
+    off = lambda v: v.isNull() | F.isnan(v) | (F.abs(v) == float("inf"))
     shape = features.select(
         ident,
         (r.isNull() | (n <= 0)).alias("is_empty"),
+        F.exists(r, lambda ring: F.exists(ring, lambda p: off(p["x"]) | off(p["y"]))).alias("not_finite"),
         F.exists(r, lambda ring: G.ring_vertices(ring) < 3).alias("degenerate"),
         F.exists(r, lambda ring: F.get(ring, F.lit(0)) != F.get(ring, F.size(ring) - 1)).alias("open_ring"),
     )
-    seg = bucket_segments(edges(features, ident, rings), size)
+    seg = bucket_segments(_solid_edges(features, ident, rings), size)
     a, b = seg.alias("a"), seg.alias("b")
     same = [F.col(f"a.{c}") == F.col(f"b.{c}") for c in (ident, "bx", "by")]
-    order = F.struct("a.ring", "a.seq") < F.struct("b.ring", "b.seq")
-    crossing = a.join(b, same[0] & same[1] & same[2] & order).where(segments_meet("a", "b", proper=True))
-    det = (F.col("a.x2") - F.col("a.x1")) * (F.col("b.y2") - F.col("b.y1")) - (F.col("a.y2") - F.col("a.y1")) * (F.col("b.x2") - F.col("b.x1"))
-    t = ((F.col("b.x1") - F.col("a.x1")) * (F.col("b.y2") - F.col("b.y1")) - (F.col("b.y1") - F.col("a.y1")) * (F.col("b.x2") - F.col("b.x1"))) / det
-    place = F.struct((F.col("a.x1") + t * (F.col("a.x2") - F.col("a.x1"))).alias("x"), (F.col("a.y1") + t * (F.col("a.y2") - F.col("a.y1"))).alias("y"))
-    first = crossing.groupBy(F.col(f"a.{ident}").alias(ident)).agg(F.min(place).alias("crossing"))
+    order = F.struct("a.ring", "a._k") < F.struct("b.ring", "b._k")
+    met = a.join(b, same[0] & same[1] & same[2] & order).where(segments_meet("a", "b"))
+    p, q = ([F.col(f"{s}.{c}") for c in ("x1", "y1", "x2", "y2")] for s in "ab")
+    ends = lambda s: [F.struct(s[i].alias("x"), s[i + 1].alias("y")) for i in (0, 2)]
+    level = (_side(*p, q[0], q[1]) == 0) & (_side(*p, q[2], q[3]) == 0)
+    stretch = level & (F.greatest(F.least(*ends(p)), F.least(*ends(q))) < F.least(F.greatest(*ends(p)), F.greatest(*ends(q))))
+    neighbours = (F.col("b._k") - F.col("a._k") == 1) | ((F.col("a._k") == 1) & (F.col("b._k") == F.col("a._of")))
+    touch = (F.col("a.ring") == F.col("b.ring")) & ~neighbours
+    x, y = _reference_point("a", "b")
+    place = F.struct(x.alias("x"), y.alias("y"))
+    faults = met.select(F.col(f"a.{ident}").alias(ident), F.when(segments_meet("a", "b", proper=True) | stretch, place).alias("c"), F.when(touch, place).alias("t"))
+    first = faults.groupBy(ident).agg(F.min("c").alias("crossing"), F.min("t").alias("touching"))
     out = shape.join(first, ident, "left")
     flag = lambda c: F.coalesce(F.col(c), F.lit(False))
-    return out.withColumn("is_valid", ~flag("is_empty") & ~flag("degenerate") & ~flag("open_ring") & F.col("crossing").isNull())
+    sound = ~flag("is_empty") & ~flag("not_finite") & ~flag("degenerate") & ~flag("open_ring")
+    return out.withColumn("is_valid", sound & F.col("crossing").isNull() & F.col("touching").isNull())
 
 
 def invalid_reason() -> Column:
-    where = F.concat(F.lit("Self-intersection["), F.col("crossing.x").cast("string"), F.lit(" "), F.col("crossing.y").cast("string"), F.lit("]"))
+    at = lambda what, c: F.concat(F.lit(f"{what}["), F.col(f"{c}.x").cast("string"), F.lit(" "), F.col(f"{c}.y").cast("string"), F.lit("]"))
     return (
         F.when(F.col("is_empty"), "Empty geometry")
+        .when(F.col("not_finite"), "Invalid Coordinate")
         .when(F.col("degenerate"), "Too few points in geometry component")
         .when(F.col("open_ring"), "Ring is not closed")
-        .when(F.col("crossing").isNotNull(), where)
+        .when(F.col("crossing").isNotNull(), at("Self-intersection", "crossing"))
+        .when(F.col("touching").isNotNull(), at("Ring Self-intersection", "touching"))
     )
 
 

@@ -13,7 +13,7 @@ from cellsight.operators.nearest import nearest_segment
 from cellsight.operators.runs import identity_census, key_occurrences
 from cellsight.operators.search import district_boxes
 from cellsight.registry import query
-from cellsight.registry.inputs import AREAS_SQL, CROSSED, EDGES_SQL, ROADS_SQL, shape_rings, with_
+from cellsight.registry.inputs import AREAS_SQL, EDGES_SQL, FAULTY, ROADS_SQL, shape_rings, with_
 
 SIZE = 4.0
 POLY = (AREAS_SQL, EDGES_SQL)
@@ -266,20 +266,36 @@ def polygon_area_inside(t):
     return inside.where("inside > 1e-9").select("area_id", F.round("inside", 8).alias("inside"))
 
 
+FAULTY_EDGES = ", ".join(f"({5 + k},{r},{i},{a[0]},{a[1]},{b[0]},{b[1]})" for k, rings in enumerate(FAULTY) for r, ring in enumerate(rings) for i, (a, b) in enumerate(zip(ring, ring[1:])))
+LEVEL = "(p.x2 - p.x1) * (q.y1 - p.y1) = (p.y2 - p.y1) * (q.x1 - p.x1) AND (p.x2 - p.x1) * (q.y2 - p.y1) = (p.y2 - p.y1) * (q.x2 - p.x1)"
+ENDS = {s: (f"least(({s}.x1, {s}.y1), ({s}.x2, {s}.y2))", f"greatest(({s}.x1, {s}.y1), ({s}.x2, {s}.y2))") for s in "pq"}
+DET = "((p.x2 - p.x1) * (q.y2 - q.y1) - (p.y2 - p.y1) * (q.x2 - q.x1))"
+CUT_AT = f"((q.x1 - p.x1) * (q.y2 - q.y1) - (q.y1 - p.y1) * (q.x2 - q.x1)) / {DET}"
+
+
 @query(
     "ring_problems",
     with_(
-        AREAS_SQL.replace("CASE WHEN s_suppkey % 8 = 5", "CASE WHEN s_suppkey % 11 = 0 THEN 5 WHEN s_suppkey % 8 = 5"),
-        EDGES_SQL.replace(") AS shapes(", ", " + ", ".join(f"(5,0,{i},{a[0]},{a[1]},{b[0]},{b[1]})" for i, (a, b) in enumerate(zip(CROSSED[0], CROSSED[0][1:]))) + ") AS shapes("),
-        f"""bad AS (SELECT DISTINCT p.area_id FROM edges p JOIN edges q ON p.area_id = q.area_id AND (p.ring, p.seq) < (q.ring, q.seq) WHERE {CROSSES})""",
-        then="SELECT a.area_id, b.area_id IS NULL AS is_valid, CASE WHEN b.area_id IS NOT NULL THEN 'Self-intersection[' || (x0 + 2.5) || ' ' || (y0 + 2.5) || ']' END AS reason FROM areas a LEFT JOIN bad b ON b.area_id = a.area_id",
+        AREAS_SQL.replace("CASE WHEN s_suppkey % 8 = 5", f"CASE WHEN s_suppkey % 11 < {len(FAULTY)} THEN 5 + s_suppkey % 11 WHEN s_suppkey % 8 = 5"),
+        EDGES_SQL.replace(") AS shapes(", f", {FAULTY_EDGES}) AS shapes("),
+        "lens AS (SELECT area_id, ring, max(seq) AS last FROM edges GROUP BY 1, 2)",
+        f"""met AS (SELECT p.area_id, ({CROSSES}) AS crosses, {LEVEL} AND greatest({ENDS['p'][0]}, {ENDS['q'][0]}) < least({ENDS['p'][1]}, {ENDS['q'][1]}) AS stretch,
+          p.ring = q.ring AND q.seq - p.seq <> 1 AND NOT (p.seq = 0 AND q.seq = last) AS touch,
+          CASE WHEN {DET} <> 0 THEN (p.x1 + {CUT_AT} * (p.x2 - p.x1), p.y1 + {CUT_AT} * (p.y2 - p.y1)) ELSE greatest({ENDS['p'][0]}, {ENDS['q'][0]}) END AS place
+          FROM edges p JOIN edges q ON p.area_id = q.area_id AND (p.ring, p.seq) < (q.ring, q.seq) JOIN lens l ON l.area_id = p.area_id AND l.ring = p.ring WHERE {MEETS})""",
+        "bad AS (SELECT area_id, min(place) FILTER (crosses OR stretch) AS c, min(place) FILTER (touch) AS t FROM met GROUP BY 1)",
+        then="""SELECT a.area_id, a.area_key % 11 <> 6 AND c IS NULL AND t IS NULL AS is_valid, CASE WHEN a.area_key % 11 = 6 THEN 'Invalid Coordinate'
+          WHEN c IS NOT NULL THEN 'Self-intersection[' || c[1] || ' ' || c[2] || ']' WHEN t IS NOT NULL THEN 'Ring Self-intersection[' || t[1] || ' ' || t[2] || ']' END AS reason
+          FROM areas a LEFT JOIN bad b ON b.area_id = a.area_id""",
     ),
 )
 def ring_problems(t):
+    """Six in eleven areas have a faulty shape, a seventh a coordinate that is no number."""
     a = t.areas()
     key = F.col("area_key")
-    crossed = shape_rings(F.lit(0), (key % 10) * 5, F.floor(key / 10) * 4, (CROSSED,))
-    mixed = a.withColumn("rings", F.when(key % 11 == 0, crossed).otherwise(F.col("rings")))
+    faulty = shape_rings(key % 11, (key % 10) * 5, F.floor(key / 10) * 4, FAULTY)
+    lost = F.transform("rings", lambda ring: F.transform(ring, lambda p: F.struct(p["x"], F.when(p["y"] == F.floor(key / 10) * 4, float("nan")).otherwise(p["y"]).alias("y"))))
+    mixed = a.withColumn("rings", F.when(key % 11 < len(FAULTY), faulty).when(key % 11 == len(FAULTY), lost).otherwise(F.col("rings")))
     return V.ring_problems(mixed, SIZE).select("area_id", "is_valid", V.invalid_reason().alias("reason"))
 
 

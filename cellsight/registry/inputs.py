@@ -29,6 +29,14 @@ SHAPES = (
 )
 HOLED, TWO_PARTS = 3, 4
 CROSSED = (((0, 0), (5, 5), (5, 0), (0, 5), (0, 0)),)
+FAULTY = (
+    CROSSED,
+    (((0, 0), (4, 0), (4, 4), (2, 4), (2, 6), (2, 4), (0, 4), (0, 0)),),  # a spike
+    (((0, 0), (4, 0), (2, 2), (4, 4), (0, 4), (2, 2), (0, 0)),),  # touches itself
+    (((0, 0), (6, 0), (6, 4), (4, 4), (4, 0), (2, 0), (2, 4), (0, 4), (0, 0)),),  # runs back along its own edge
+    (((0, 0), (4, 0), (4, 4), (0, 4), (0, 0)), ((0, 0), (4, 0), (4, 4), (0, 4), (0, 0))),  # a ring twice
+    (((0, 0), (4, 0), (4, 4), (0, 4), (0, 0)), ((2, 2), (6, 2), (6, 3), (2, 3), (2, 2))),  # one ring crosses the other
+)
 
 
 def _pick(column: Column, table: dict[str, str]) -> Column:

@@ -212,6 +212,27 @@ def test_target_outside_the_reference_years_uses_all_rows(spark):
     assert (got.reference_count, got.reference_median, got.reference_percentile) == (6, 3.5, 50.0)
 
 
+def test_leave_own_year_out_equals_filtering_the_reference(spark):
+    """Ties inside and across years, years of nothing else, targets without a value or outside the years, repeated targets."""
+    rng = random.Random(8)
+    rows = [("a", m, y, float(rng.randint(0, 6))) for m in (1, 2) for y in range(2018, 2023) for _ in range(rng.randint(0, 4))]
+    rows += [("b", 1, 2019, 3.0)] * 9 + [("c", 1, y, None) for y in range(2018, 2022)] + [(None, 1, 2018, 1.0)]
+    targets = [(a, m, y, v) for a in ("a", "b", "c", "none", None) for m in (1, 2) for y in (2017, 2018, 2019, 2021, 2024) for v in (None, 2.5, 3.0)] + [("a", 1, 2019, 3.0)]
+    schema = "area_id string, calendar_month int, year int, value double"
+    got = B.leave_own_year_out(spark.createDataFrame(targets, schema), spark.createDataFrame(rows, schema), (2018, 2022), minimum=3)
+    want = []
+    for a, m, y, v in targets:
+        ref = sorted(r[3] for r in rows if a is not None and r[:2] == (a, m) and r[3] is not None and not (2018 <= y <= 2022 and r[2] == y))
+        n, k = len(ref), (len(ref) - 1) // 2
+        median = None if n < 3 else (ref[k] + ref[n // 2]) / 2
+        below = None if n < 3 or v is None else sum(x <= v for x in ref) / n * 100
+        want.append((a, m, y, v, n if n >= 3 else None, median, below))
+    columns = ["area_id", "calendar_month", "year", "value", "reference_count", "reference_median", "reference_percentile"]
+    key = lambda r: tuple((x is None, str(x)) for x in r)
+    close = lambda r: tuple(None if x is None else round(x, 6) if isinstance(x, float) else x for x in r)
+    assert sorted(map(close, got.select(*columns).collect()), key=key) == sorted(map(close, want), key=key)
+
+
 def test_reference_counts_rows_not_years(spark):
     rows = spark.createDataFrame([("a", 8, 2020, float(i)) for i in range(6)], "area_id string, calendar_month int, year int, value double")
     assert B.seasonal_reference(rows).first().valid_year_count == 6

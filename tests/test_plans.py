@@ -48,3 +48,15 @@ def test_observed_condition_reads_the_lines_once(spark, tables):
     text = plan(QUERIES["observed_rainfall_condition"](spark, SMALL))
     scans = set(re.findall(r"lineitem.parquet\]", text))
     assert scans and "l_extendedprice" not in text and "l_comment" not in text
+
+
+def test_leave_own_year_out_gathers_no_reference(spark):
+    text = plan(QUERIES["leave_own_year_out"](spark, SMALL))
+    assert "collect_list" not in text and "collect_set" not in text
+
+
+def test_nearest_in_time_has_no_window_over_all_slices(spark):
+    text = plan(QUERIES["nearest_in_time"](spark, SMALL))
+    alone = [i for i, line in enumerate(text.splitlines()) if "Exchange SinglePartition" in line]
+    below = [next(line for line in text.splitlines()[i + 1 :] if "Aggregate" in line) for i in alone]
+    assert below and all("keys=[_g#" in line for line in below)

@@ -161,6 +161,25 @@ def test_ring_problems(spark):
     assert not any(got[k][0] for k in ("thin", "empty", "open", "hole_crosses"))
 
 
+def test_ring_problems_of_the_arrangement(spark):
+    box = closed([(0, 0), (4, 0), (4, 4), (0, 4)])
+    shapes = {
+        "spike": [closed([(0, 0), (4, 0), (4, 4), (2, 4), (2, 6), (2, 4), (0, 4)])],
+        "touches_itself": [closed([(0, 0), (4, 0), (2, 2), (4, 4), (0, 4), (2, 2)])],
+        "vertex_on_edge": [closed([(0, 0), (6, 0), (6, 4), (3, 0), (0, 4)])],
+        "runs_back": [closed([(0, 0), (6, 0), (6, 4), (4, 4), (4, 0), (2, 0), (2, 4), (0, 4)])],
+        "twice": [box, box], "not_a_number": [closed([(0, 0), (4, 0), (float("nan"), 4)])], "infinite": [closed([(0, 0), (4, 0), (float("inf"), 4)])],
+        "hole_touches": [closed([(0, 0), (9, 0), (9, 9), (0, 9)]), closed([(0, 4), (4, 2), (4, 6)])],
+        "repeated_points": [closed([(0, 0), (0, 0), (4, 0), (4, 4), (4, 4), (4, 4), (0, 4)])], "two_parts": [box, closed([(4, 4), (8, 4), (8, 8)])],
+    }
+    got = {r.area_id: (r.is_valid, r.reason) for r in V.ring_problems(areas(spark, shapes), 2.0).withColumn("reason", V.invalid_reason()).collect()}
+    assert got == {
+        "spike": (False, "Self-intersection[2.0 4.0]"), "touches_itself": (False, "Ring Self-intersection[2.0 2.0]"), "vertex_on_edge": (False, "Ring Self-intersection[3.0 0.0]"),
+        "runs_back": (False, "Self-intersection[2.0 0.0]"), "twice": (False, "Self-intersection[0.0 0.0]"), "not_a_number": (False, "Invalid Coordinate"), "infinite": (False, "Invalid Coordinate"),
+        "hole_touches": (True, None), "repeated_points": (True, None), "two_parts": (True, None),
+    }
+
+
 def test_interior_points_are_inside(spark):
     rng = random.Random(6)
     shapes = {f"a{i}": [star(rng, 0, 0, 10, 12)] for i in range(20)}
