@@ -40,6 +40,22 @@ def literal_place_search(t):
     return S.search_places(places(t), "nation_1", S.literal_rank("NATION_1", F.col("name_en"), F.col("name_ti")))
 
 
+@query(
+    "batch_place_search",
+    "WITH " + PLACES_SQL + """, asked AS (SELECT DISTINCT substr(p_name, 2, 6) AS query FROM part UNION SELECT n_name FROM nation UNION SELECT unnest(['re', 'g', 'no such name', '', ' ', '_1'])),
+    r AS (SELECT query AS query_id, p.*, CASE WHEN lower(name_en) = lower(query) OR coalesce(lower(name_ti), '') = lower(query) THEN 1 WHEN starts_with(lower(name_en), lower(query)) OR starts_with(coalesce(lower(name_ti), ''), lower(query)) THEN 2
+      WHEN contains(lower(name_en), lower(query)) OR contains(coalesce(lower(name_ti), ''), lower(query)) THEN 3 END AS rank FROM asked CROSS JOIN places p WHERE trim(query) <> '')
+    SELECT query_id, type, id, name_en, name_ti, rank FROM r WHERE rank IS NOT NULL QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY rank, name_en, type, id) <= 15""",
+)
+def batch_place_search(t):
+    """Many search texts at once, through the rarest run of characters of each."""
+    asked = t.raw("part").select(F.substring("p_name", 2, 6).alias("query")).union(t.raw("nation").select("n_name"))
+    fixed = t.raw("nation").limit(1).select(F.explode(F.array(*[F.lit(q) for q in ("re", "g", "no such name", "", " ", "_1")])))
+    asked = asked.union(fixed).distinct().select(F.col("query").alias("query_id"), "query")
+    names = ["name_en", "name_ti"]
+    return S.search_many(places(t), S.postings(places(t), names), asked, names)
+
+
 @query(
     "scored_search",
     """WITH n AS (SELECT p_partkey, p_name, lower(p_name) AS nn, lower(p_type || ' ' || p_brand) AS al FROM part),

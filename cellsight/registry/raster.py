@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from cellsight.functions import classes as C
@@ -16,6 +18,8 @@ from cellsight.registry import query
 from cellsight.registry.inputs import (
     AREAS_SQL, BAND_CELLS_SQL, CELLS_SQL, EDGES_SQL, EVIDENCE_SQL, GRID, INSIDE_SQL, RUNS_SQL, SCENES_SQL, pyround, with_,
 )
+from cellsight.session import shared_dir
+from cellsight.sources import layout
 
 BASE = (AREAS_SQL, EDGES_SQL, CELLS_SQL, INSIDE_SQL)
 BAND_GRID = INSIDE_SQL.replace("FROM cells)", "FROM band_cells)")
@@ -64,6 +68,18 @@ def window_scan(t):
     return Z.window_scan(t.cells(), GRID, (10.4, 3.2, 35.0, 21.9)).select("row", "col", "value")
 
 
+@query(
+    "window_scan_layout",
+    with_(BAND_CELLS_SQL, then='SELECT "row", col, "year", "month", value, line, count(*) AS n FROM band_cells WHERE "row" BETWEEN 3 AND 21 AND col BETWEEN 10 AND 34 GROUP BY ALL'),
+)
+def window_scan_layout(t):
+    """The window from cells that were written along a Morton curve: a few key ranges reach the scan."""
+    path = f"{shared_dir(t.spark)}/layout/cells-{uuid.uuid4().hex}"
+    layout.write_cells(t.band_cells(), path)
+    found = layout.read_window(t.spark, path, *GRID.window(10.4, 3.2, 35.0, 21.9))
+    return found.groupBy("row", "col", "year", "month", "value", "line").agg(F.count(F.lit(1)).alias("n"))
+
+
 @query(
     "zonal_mask_centre",
     with_(*BASE, then='SELECT area_id, count(*) AS cells, min("row") AS first_row, max(col) AS last_col, CAST(sum(col) AS BIGINT) AS col_sum FROM inside GROUP BY area_id'),
