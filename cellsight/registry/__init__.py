@@ -24,4 +24,4 @@ def query(name: str, sql: str | None = None):
 
 
 def load_all() -> None:
-    from cellsight.registry import evidence, geometry, models, places, raster, releases, streams  # noqa: F401
+    from cellsight.registry import evidence, geometry, models, places, raster, releases, stores, streams  # noqa: F401
