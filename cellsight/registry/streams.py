@@ -59,11 +59,35 @@ def stream_idempotent_ingest(t):
     return t.spark.read.parquet(f"{base}/rows").select(F.col("run_id").cast("string").alias("run_id"), "area_id", "value")
 
 
-@query("stream_alerts")
+# Which of six deliveries brings an event: five days each, every fortieth event two deliveries late.
+DELIVERY_SQL = """slots AS (SELECT *, least(CAST(date_diff('day', DATE '2024-01-01', CAST(ts AS DATE)) // 5 AS INTEGER), 5) AS slot FROM events),
+delivered AS (SELECT *, CASE WHEN event_id % 40 = 0 THEN least(slot + 2, 5) ELSE slot END AS delivery FROM slots)"""
+
+
+def deliveries(t, name):
+    """The events as a stream of six deliveries, one batch each."""
+    e, base = t.raw("events"), f"{shared_dir(t.spark)}/streams/{name}-{uuid.uuid4().hex}"
+    slot = F.least(F.floor(F.datediff(F.to_date("ts"), F.lit("2024-01-01").cast("date")) / 5), F.lit(5))
+    dealt = e.withColumn("delivery", F.when(F.col("event_id") % 40 == 0, F.least(slot + 2, F.lit(5))).otherwise(slot))
+    for k in range(6):
+        dealt.where(F.col("delivery") == k).drop("delivery").repartition(2).write.mode("append").parquet(base)  # two files, read by one batch
+    return t.spark.readStream.schema(EVENT).option("maxFilesPerTrigger", 2).parquet(base)
+
+
+@query(
+    "stream_alerts",
+    "WITH " + DELIVERY_SQL + """, marks AS (SELECT d.delivery, max(b.ts) - INTERVAL 1 HOUR AS mark FROM (SELECT DISTINCT delivery FROM delivered) d LEFT JOIN delivered b ON b.delivery < d.delivery - 1 GROUP BY 1),
+    kept AS (SELECT DISTINCT user_id, ts, make_timestamp((epoch_us(ts) // 1000 + 86400000) * 1000) AS stale_after FROM delivered JOIN marks USING (delivery) WHERE (mark IS NULL OR ts > mark) AND ts <= (SELECT max(ts) - INTERVAL 1 HOUR FROM events)),
+    seen AS (SELECT *, lag(stale_after) OVER w AS before, lead(ts) OVER w AS next FROM kept WINDOW w AS (PARTITION BY user_id ORDER BY ts))
+    SELECT 'source-' || user_id AS source_key, 'current' AS state, strftime(ts, '%Y-%m-%d %H:%M:%S') AS at, strftime(ts, '%Y-%m-%d %H:%M:%S') AS observation_end FROM seen WHERE before IS NULL OR ts > before
+    UNION ALL SELECT 'source-' || user_id, 'stale', strftime(stale_after, '%Y-%m-%d %H:%M:%S'), strftime(ts, '%Y-%m-%d %H:%M:%S') FROM seen WHERE (next IS NULL OR next > stale_after) AND stale_after <= (SELECT max(ts) - INTERVAL 1 HOUR FROM events)""",
+)
 def stream_alerts(t):
-    """Change-only alerts per source with a one-day stale limit (state operator: no SQL twin)."""
-    observed = events(t).select(F.concat(F.lit("source-"), F.col("user_id")).alias("source_key"), F.col("ts").alias("observation_end"))
-    return finished(alerts.alert_stream(observed, F.lit(1), "1 hour"), t, "alerts")
+    """Change-only alerts per source with a one-day stale limit, over six deliveries; late observations are dropped once the watermark of the batch before has passed them."""
+    observed = deliveries(t, "alerts-in").select(F.concat(F.lit("source-"), F.col("user_id")).alias("source_key"), F.col("ts").alias("observation_end"))
+    out = finished(alerts.alert_stream(observed, F.lit(1), "1 hour"), t, "alerts")
+    shown = lambda c: F.date_format(c, "yyyy-MM-dd HH:mm:ss").alias(c)
+    return out.select("source_key", "state", shown("at"), shown("observation_end"))
 
 
 @query(

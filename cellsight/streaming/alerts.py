@@ -7,12 +7,11 @@ from collections.abc import Iterator, Sequence
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from cellsight.operators.runs import previous_value
 
 OUTPUT = "source_key string, state string, at timestamp, observation_end timestamp"
-STATE = "state string, observation_end timestamp, stale_after timestamp"
 
 
 def state_changes(checks: DataFrame, keys: Sequence[str], order: Sequence[str], state: str, bucket: Column) -> DataFrame:
@@ -21,38 +20,80 @@ def state_changes(checks: DataFrame, keys: Sequence[str], order: Sequence[str],
     return known.where(F.col("previous_state").isNull() | (F.col("previous_state") != F.col(state)))
 
 
-def _step(key: tuple, batches: Iterator[pd.DataFrame], held: GroupState) -> Iterator[pd.DataFrame]:
-    """Keep the newest observation of a source; report 'current' and 'stale' once per change."""
-    if held.hasTimedOut:
-        state, end, stale_after = held.get
-        out = pd.DataFrame({"source_key": [key[0]], "state": ["stale"], "at": [stale_after], "observation_end": [end]})
-        held.update(("stale", end, stale_after))
-        yield out.iloc[: 0 if state == "stale" else 1]
-        return
-    state, end, stale_after = held.get if held.exists else (None, None, None)
-    for batch in batches:
-        newest = batch.loc[batch["observation_end"].idxmax()]
-        if end is None or newest["observation_end"] > pd.Timestamp(end):
-            end, stale_after = newest["observation_end"].to_pydatetime(), newest["stale_after"].to_pydatetime()
-    now = held.getCurrentWatermarkMs()
-    fresh = pd.Timestamp(stale_after).value // 1_000_000
-    current = "stale" if now > fresh else "current"
-    held.update((current, end, stale_after))
-    if current == "current":
-        held.setTimeoutTimestamp(max(fresh, now + 1))
-    changed = 1 if current != state else 0
-    yield pd.DataFrame({"source_key": [key[0]], "state": [current], "at": [end], "observation_end": [end]}).iloc[:changed]
-
-
-def alert_stream(observations: DataFrame, stale_after_days: Column, delay: str = "1 day") -> DataFrame:
-    """(source_key, observation_end) stream to change-only alerts.
-
-    State per source is three values. The event-time timeout fires when the watermark passes the
-    stale date without a newer observation.
+class _Alerts(StatefulProcessor):
+    """One source: observations wait until the watermark has passed them and are then judged in the order of their times.
+
+    So alerts depend on the observations alone, not on how they are dealt over files and batches. An observation that comes in later than the watermark
+    is dropped by Spark. State is three values and the observations of the watermark's delay; one timer stands for what is due next.
+    """
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.held = handle.getValueState("held", "state string, seen timestamp, stale_after timestamp, timer long")
+        self.waiting = handle.getListState("waiting", "at timestamp, stale_after timestamp")
+
+    def _due(self, key: tuple, fresh: list[tuple], timerValues) -> Iterator[pd.DataFrame]:
+        now = pd.Timestamp(max(timerValues.getCurrentWatermarkInMs(), 0), unit="ms")
+        state, seen, stale_after, timer = self.held.get() if self.held.exists() else (None, None, None, None)
+        waiting = sorted({*(tuple(r) for r in self.waiting.get()), *fresh}) if self.waiting.exists() else sorted(set(fresh))
+        ready, later = [w for w in waiting if pd.Timestamp(w[0]) <= now], [w for w in waiting if pd.Timestamp(w[0]) > now]
+        out = []
+        for at, until in ready:
+            if seen is not None and at <= seen:
+                continue
+            if state == "current" and at > stale_after:
+                out.append((key[0], "stale", stale_after, seen))
+                state = "stale"
+            if state != "current":
+                out.append((key[0], "current", at, at))
+            state, seen, stale_after = "current", at, until
+        if state == "current" and pd.Timestamp(stale_after) <= now:
+            out.append((key[0], "stale", stale_after, seen))
+            state = "stale"
+        self.waiting.put(later) if later else self.waiting.clear()
+        due = [pd.Timestamp(later[0][0])] if later else []
+        due += [pd.Timestamp(stale_after)] if state == "current" else []
+        after = -(-min(due).value // 1_000_000) if due else None
+        if after != timer:
+            if timer is not None:
+                self.handle.deleteTimer(timer)
+            if after is not None:
+                self.handle.registerTimer(after)
+        if state is None and not later:
+            return
+        self.held.update((state, seen, stale_after, after))
+        if out:
+            yield pd.DataFrame(out, columns=["source_key", "state", "at", "observation_end"])
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        fresh = [(a.to_pydatetime(), b.to_pydatetime()) for batch in rows for a, b in zip(batch["observation_end"], batch["stale_after"])]
+        yield from self._due(key, fresh, timerValues)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        yield from self._due(key, [], timerValues)
+
+    def handleInitialState(self, key, initialState: pd.DataFrame, timerValues) -> None:
+        last = initialState.sort_values("observation_end").iloc[-1]
+        seen, until = last["observation_end"].to_pydatetime(), last["stale_after"].to_pydatetime()
+        due = max(-(-pd.Timestamp(until).value // 1_000_000), timerValues.getCurrentWatermarkInMs() + 1)
+        if last["state"] == "current":
+            self.handle.registerTimer(due)
+        self.held.update((last["state"], seen, until, due if last["state"] == "current" else None))
+
+    def close(self) -> None:
+        pass
+
+
+def alert_stream(observations: DataFrame, stale_after_days: Column, delay: str = "1 day", known: DataFrame | None = None) -> DataFrame:
+    """(source_key, observation_end) stream to change-only alerts: ``source_key, state, at, observation_end``.
+
+    A source is 'current' from an observation on and 'stale' from ``stale_after_days`` after its last one, if none came in between by event time; each change is
+    reported once, when the watermark (``delay``) has passed it. Observations later than the watermark are dropped. ``known``
+    (source_key, state, observation_end, stale_after) gives states to begin with.
     """
-    dated = observations.withColumn("stale_after", F.timestamp_millis((F.unix_millis("observation_end") + stale_after_days * 86_400_000).cast("long")))
-    return (
-        dated.withWatermark("observation_end", delay)
-        .groupBy("source_key")
-        .applyInPandasWithState(_step, OUTPUT, STATE, "append", GroupStateTimeout.EventTimeTimeout)
-    )
+    spark = observations.sparkSession
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")  # the operator needs it
+    dated = observations.where("observation_end IS NOT NULL").withColumn("stale_after", F.timestamp_millis((F.unix_millis("observation_end") + stale_after_days * 86_400_000).cast("long")))
+    grouped = dated.withWatermark("observation_end", delay).groupBy("source_key")
+    begin = known.groupBy("source_key") if known is not None else None
+    return grouped.transformWithStateInPandas(_Alerts(), OUTPUT, "Append", "eventTime", initialState=begin)
