@@ -25,18 +25,6 @@ def finished(stream, t, name):
     return t.spark.read.schema(stream.schema).parquet(f"{base}/rows")
 
 
-@query(
-    "stream_daily_pentads",
-    """WITH d AS (SELECT event_type, date_trunc('day', ts) AS day, sum(value) AS total, count(value) AS n FROM events GROUP BY 1, 2), closed AS (SELECT * FROM d WHERE day + INTERVAL 1 DAY <= (SELECT max(ts) - INTERVAL 2 DAY FROM events))
-    SELECT event_type, (year(day) * 12 + month(day) - 1) * 6 + least((day(day) - 1) // 5 + 1, 6) AS pentad_ordinal, round(sum(total), 6) AS total, CAST(sum(n) AS BIGINT) AS observations, count(*) AS closed_days FROM closed GROUP BY 1, 2""",
-)
-def stream_daily_pentads(t):
-    """Days that the watermark has closed, summed to calendar pentads."""
-    days = finished(accumulate.pentad_sums(events(t), ["event_type"], "ts", "value", "2 days"), t, "days")
-    out = accumulate.pentads_of_days(days, ["event_type"])
-    return out.withColumn("total", F.round("total", 6))
-
-
 @query(
     "stream_tumbling_sums",
     """WITH w AS (SELECT event_type, CAST(floor(epoch_us(ts) / 432000000000) AS BIGINT) AS b, sum(value) AS total, count(value) AS n FROM events GROUP BY 1, 2)
@@ -59,21 +47,36 @@ def stream_idempotent_ingest(t):
     return t.spark.read.parquet(f"{base}/rows").select(F.col("run_id").cast("string").alias("run_id"), "area_id", "value")
 
 
-# Which of six deliveries brings an event: five days each, every fortieth event two deliveries late.
-DELIVERY_SQL = """slots AS (SELECT *, least(CAST(date_diff('day', DATE '2024-01-01', CAST(ts AS DATE)) // 5 AS INTEGER), 5) AS slot FROM events),
-delivered AS (SELECT *, CASE WHEN event_id % 40 = 0 THEN least(slot + 2, 5) ELSE slot END AS delivery FROM slots)"""
+# Which of four deliveries brings an event: eight days each, every fortieth event two deliveries late.
+DELIVERY_SQL = """slots AS (SELECT *, least(CAST(date_diff('day', DATE '2024-01-01', CAST(ts AS DATE)) // 8 AS INTEGER), 3) AS slot FROM events),
+delivered AS (SELECT *, CASE WHEN event_id % 40 = 0 THEN least(slot + 2, 3) ELSE slot END AS delivery FROM slots)"""
 
 
 def deliveries(t, name):
-    """The events as a stream of six deliveries, one batch each."""
+    """The events as a stream of four deliveries, one batch each."""
     e, base = t.raw("events"), f"{shared_dir(t.spark)}/streams/{name}-{uuid.uuid4().hex}"
-    slot = F.least(F.floor(F.datediff(F.to_date("ts"), F.lit("2024-01-01").cast("date")) / 5), F.lit(5))
-    dealt = e.withColumn("delivery", F.when(F.col("event_id") % 40 == 0, F.least(slot + 2, F.lit(5))).otherwise(slot))
-    for k in range(6):
+    slot = F.least(F.floor(F.datediff(F.to_date("ts"), F.lit("2024-01-01").cast("date")) / 8), F.lit(3))
+    dealt = e.withColumn("delivery", F.when(F.col("event_id") % 40 == 0, F.least(slot + 2, F.lit(3))).otherwise(slot))
+    for k in range(4):
         dealt.where(F.col("delivery") == k).drop("delivery").repartition(2).write.mode("append").parquet(base)  # two files, read by one batch
     return t.spark.readStream.schema(EVENT).option("maxFilesPerTrigger", 2).parquet(base)
 
 
+@query(
+    "stream_daily_pentads",
+    "WITH " + DELIVERY_SQL + """, marks AS (SELECT d.delivery, max(b.ts) - INTERVAL 2 DAY AS mark FROM (SELECT DISTINCT delivery FROM delivered) d LEFT JOIN delivered b ON b.delivery < d.delivery - 1 GROUP BY 1),
+    kept AS (SELECT event_type, date_trunc('day', ts) AS day, value FROM delivered JOIN marks USING (delivery) WHERE mark IS NULL OR date_trunc('day', ts) + INTERVAL 1 DAY > mark),
+    placed AS (SELECT *, least((day(day) - 1) // 5 + 1, 6) AS p FROM kept),
+    ended AS (SELECT *, CASE WHEN p < 6 THEN date_trunc('month', day) + to_days(CAST(5 * p AS INTEGER)) ELSE date_trunc('month', day) + INTERVAL 1 MONTH END AS until FROM placed)
+    SELECT event_type, (year(day) * 12 + month(day) - 1) * 6 + p AS pentad_ordinal, round(sum(value), 6) AS total, CAST(count(value) AS BIGINT) AS observations, count(DISTINCT day) AS closed_days FROM ended
+    WHERE until <= (SELECT max(ts) - INTERVAL 2 DAY FROM events) GROUP BY 1, 2""",
+)
+def stream_daily_pentads(t):
+    """Whole calendar pentads over four deliveries, each once, when the watermark has passed its last day; rows of closed days that come late are dropped."""
+    out = finished(accumulate.whole_pentads(deliveries(t, "pentads-in"), ["event_type"], "ts", "value", "2 days"), t, "pentads")
+    return out.withColumn("total", F.round("total", 6))
+
+
 @query(
     "stream_alerts",
     "WITH " + DELIVERY_SQL + """, marks AS (SELECT d.delivery, max(b.ts) - INTERVAL 1 HOUR AS mark FROM (SELECT DISTINCT delivery FROM delivered) d LEFT JOIN delivered b ON b.delivery < d.delivery - 1 GROUP BY 1),
@@ -83,7 +86,7 @@ def deliveries(t, name):
     UNION ALL SELECT 'source-' || user_id, 'stale', strftime(stale_after, '%Y-%m-%d %H:%M:%S'), strftime(ts, '%Y-%m-%d %H:%M:%S') FROM seen WHERE (next IS NULL OR next > stale_after) AND stale_after <= (SELECT max(ts) - INTERVAL 1 HOUR FROM events)""",
 )
 def stream_alerts(t):
-    """Change-only alerts per source with a one-day stale limit, over six deliveries; late observations are dropped once the watermark of the batch before has passed them."""
+    """Change-only alerts per source with a one-day stale limit, over four deliveries; late observations are dropped once the watermark of the batch before has passed them."""
     observed = deliveries(t, "alerts-in").select(F.concat(F.lit("source-"), F.col("user_id")).alias("source_key"), F.col("ts").alias("observation_end"))
     out = finished(alerts.alert_stream(observed, F.lit(1), "1 hour"), t, "alerts")
     shown = lambda c: F.date_format(c, "yyyy-MM-dd HH:mm:ss").alias(c)
