@@ -11,6 +11,7 @@ from cellsight.session import shared_dir
 
 SPACES = " \t\n\x0b\x0c\r"
 SPACE_CLASS = r"[\x20\x09-\x0D]"
+BATCH_BYTES = 4 << 20
 
 
 def let(value: Column, body) -> Column:
@@ -23,6 +24,11 @@ def words(text: Column) -> Column:
     return F.filter(F.split(F.coalesce(text, F.lit("")), SPACE_CLASS + "+"), lambda w: w != "")
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Bounds what a Python worker holds at once by bytes, for this session: a batch of long texts is as large as one of short ones. No result depends on it."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+
+
 def folder(spark: SparkSession, name: str) -> str:
     """A new folder name inside the shared folder of the cluster."""
     return f"{shared_dir(spark)}/llm-{name}-{uuid.uuid4().hex[:12]}"

@@ -26,7 +26,7 @@ END = 2
 SEQUENCE = 2048
 BATCH_SEQUENCES = 64
 VOCABULARY = "word_bpe_49k.json"
-CACHED_WORDS = 600_000
+CACHED_WORDS = 200_000
 
 # The vocabulary's own word pattern, for texts whose characters all lie below U+0100.
 LETTERS, DIGITS, BLANKS = "a-zªµºß-öø-ÿ", "0-9²³¹¼-¾", r"\t-\r \x85\xa0"
