@@ -52,9 +52,9 @@ def shingle_set(text, width=3):
     return frozenset(zip(*(w[k:] for k in range(width)))) if len(w) >= width else frozenset([tuple(w)] if w else [])
 
 
-def near_components(rows, pct=85):
+def near_components(rows, pct=85, width=3):
     """doc_id -> (set size, component id) for unique ids."""
-    sets = {r[0]: shingle_set(r[1]) for r in rows}
+    sets = {r[0]: shingle_set(r[1], width) for r in rows}
     parent = {i: i for i in sets}
 
     def root(x):
@@ -128,10 +128,11 @@ def benchmark_hits(text, items, window=10):
     return w, hit, found
 
 
-def token_rows(rows, encode):
-    """(doc_id, start, n_tokens, crc) for rows in id order, then text order."""
+def token_rows(rows, encode, ordered=False):
+    """(doc_id, start, n_tokens, crc) for rows in id order, then text order, or as they are."""
     out, at = [], 0
-    for i, t in sorted(((r[0], r[1]) for r in rows), key=lambda r: (r[0] is not None, r[0] or 0, r[1] is not None, (r[1] or "").encode())):
+    pairs = [(r[0], r[1]) for r in rows]
+    for i, t in pairs if ordered else sorted(pairs, key=lambda r: (r[0] is not None, r[0] or 0, r[1] is not None, (r[1] or "").encode())):
         ids = (encode(t) if t else []) + [2]
         out.append((i, at, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes())))
         at += len(ids)

@@ -29,7 +29,7 @@ def corpus(spark, tmp_path_factory):
 def plain(model, rows, items):
     judged = dict(zip((r[0] for r in rows), model.predict([r[1] for r in rows])))
     rows = [r for r in rows if judged[r[0]][0] != "und" and judged[r[0]][1] >= P.LEAST_SCORE]
-    groups = near_components(rows)
+    groups = near_components(rows, P.SIMILAR_PCT, P.SHINGLE_WORDS)
     rows = [r for r in rows if groups[r[0]][1] == r[0]]
     clean = []
     for r in rows:
@@ -42,13 +42,19 @@ def plain(model, rows, items):
     size = lambda r: len(WORD.findall(r[1]))
     totals = [sum(size(r) for r in clean if r[2] == s) for s in sources]
     mixed = []
-    for s, total, target in zip(sources, totals, reshared(totals)):
-        start = 0
+    for rank, (s, total, target) in enumerate(zip(sources, totals, reshared(totals))):
+        start, slope = 0, (-0.5, 0.0, 0.5)[rank % 3]
         for r in sorted((r for r in clean if r[2] == s), key=lambda r: hashlib.md5(str(r[0]).encode()).hexdigest()):
-            mixed += [r] * sum(2 * (k * total + start) + size(r) <= 2 * target for k in range(3))
+            for k in range(3):
+                middle = 2 * (k * total + start) + size(r)
+                if middle <= 2 * target:
+                    share = middle / (2 * target) if target > 0 else 0.0
+                    time = share if slope == 0 else (((1 - slope) ** 2 + 4 * slope * share) ** 0.5 - (1 - slope)) / (2 * slope)
+                    mixed.append((time, r[0], r))
             start += size(r)
     tokenizer = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
-    return token_rows(mixed, lambda t: tokenizer.encode(t, add_special_tokens=False).ids)
+    ordered = [r for _, _, r in sorted(mixed, key=lambda m: m[:2])]
+    return token_rows(ordered, lambda t: tokenizer.encode(t, add_special_tokens=False).ids, ordered=True)
 
 
 def test_run_equals_the_plain_version(spark, corpus):
