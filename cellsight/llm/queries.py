@@ -21,10 +21,12 @@ QUERIES = {
 }
 SQL = {
     "op1_quality_rules": quality_rules.SQL,
+    "op2_suffix_dedup": suffix_dedup.SQL,
     "op3_decontaminate": decontaminate.SQL,
     "op6_substring_dedup": substring_dedup.SQL,
     "op7_mix_sources": mixing.SQL,
     "op8_url_filters": url_filters.SQL,
+    "op9_near_dup": near_dup.SQL,
     "op11_importance_resampling": importance.SQL,
     "op12_source_divergence": divergence.SQL,
 }

@@ -237,3 +237,18 @@ def drop_repeats(docs: DataFrame, text: str = "text") -> DataFrame:
 
 def query(spark, sf_dir: str) -> DataFrame:
     return drop_repeats(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))
+
+
+SQL = r"""WITH d AS (SELECT row_number() OVER () AS rid, doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+b AS (SELECT rid, unnest(range(0, len(h) // 2 - 199, 500)) AS b0, h FROM d WHERE len(h) >= 400),
+c AS (SELECT rid, b0, substr(h, 2 * b0 + 1, 1398) AS piece FROM b),
+p AS (SELECT rid, b0, piece, unnest(range(len(piece) // 2 - 199)) AS i FROM c),
+k AS (SELECT rid, b0 + i AS pos, md5(substr(piece, 2 * i + 1, 400)) AS m FROM p),
+hit AS (SELECT rid, pos FROM k JOIN (SELECT m FROM k GROUP BY m HAVING count(*) > 1) USING (m)),
+gaps AS (SELECT rid, pos, lag(pos) OVER (PARTITION BY rid ORDER BY pos) AS before FROM hit),
+runs AS (SELECT rid, pos, sum(CASE WHEN before IS NULL OR pos > before + 200 THEN 1 ELSE 0 END) OVER (PARTITION BY rid ORDER BY pos) AS run FROM gaps),
+spans AS (SELECT rid, run, min(pos) AS a, max(pos) + 200 AS b FROM runs GROUP BY ALL),
+kept AS (SELECT rid, a, b, coalesce(lag(b) OVER (PARTITION BY rid ORDER BY a), 0) AS last FROM (SELECT rid, a, b FROM spans UNION ALL SELECT rid, len(h) // 2, len(h) // 2 FROM d) z),
+text_ AS (SELECT rid, string_agg(substr(h, 2 * last + 1, 2 * (a - last)), '' ORDER BY a) AS rest FROM kept JOIN d USING (rid) GROUP BY rid)
+SELECT doc_id, (len(h) // 2)::BIGINT AS n_bytes, coalesce(n, 0)::BIGINT AS n_removed, coalesce(s, 0)::BIGINT AS n_spans, sha256(unhex(rest)) AS kept_sha256
+FROM d JOIN text_ USING (rid) LEFT JOIN (SELECT rid, sum(b - a) AS n, count(*) AS s FROM spans GROUP BY rid) USING (rid)"""

@@ -91,3 +91,30 @@ def test_estimate_is_near_the_truth():
         a, b = x[:n], np.concatenate([x[:common], x[n : 2 * n - common]])
         found, error = N.estimate(N.registers(a), N.registers(b), n, n)
         assert abs(found - j) < 5 * max(error, 0.02)
+
+
+def test_null_ids_link_like_others(spark):
+    """Three texts that are 97 % alike, two of them without an id; and two such texts without any id."""
+    words = [f"w{i}" for i in range(60)]
+    other = [f"v{i}" for i in range(60)]
+    rows = [(None, " ".join(words)), (None, " ".join([*words, "x"])), (5, " ".join(["y", *words])), (None, " ".join(other)), (None, " ".join([*other, "z"])), (9, "something else here")]
+    docs = table(spark, [(i, t, "en", "a") for i, t in rows])
+    got = sorted((r.n_shingles, r.doc_id is None, r.kept) for r in N.near_duplicates(docs).collect() if r.component_id == 5)
+    assert got == [(58, True, False), (59, False, True), (59, True, False)]
+    left = [r.text for r in N.deduplicate(docs).collect()]
+    assert len(left) == 3 and " ".join(["y", *words]) in left and "something else here" in left
+
+
+def test_large_group_of_independent_edits(spark):
+    """300 copies of one text, each with one to eight words of its own: every link between two groups is found."""
+    rng = random.Random(6)
+    base = [f"b{rng.randint(0, 10**6)}" for _ in range(150)]
+    rows = []
+    for i in range(300):
+        w = base.copy()
+        for _ in range(rng.randint(1, 8)):
+            w[rng.randrange(len(w))] = f"e{rng.randint(0, 10**6)}"
+        rows.append((i, " ".join(w), "en", "a"))
+    want = near_components(rows)
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in N.near_duplicates(table(spark, rows)).collect()}
+    assert got == want and len({c for _, c in want.values()}) > 20
