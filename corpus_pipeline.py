@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cellsight.llm import decontaminate, language_id, mixing, near_dup, token_files
-from cellsight.llm.common import stored, written_order
+from cellsight.llm.common import small_batches, stored, written_order
 
 LEAST_SCORE = 0.5
 SHINGLE_WORDS, SIMILAR_PCT = 5, 80
@@ -17,6 +17,7 @@ SHINGLE_WORDS, SIMILAR_PCT = 5, 80
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents without a letter and those for which no language holds half of the odds. Where no row names a language, all are passed on."""
+    small_batches(spark)
     model = language_id.train(docs)
     if not model.languages:
         return docs
@@ -26,11 +27,13 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that share at least ``SIMILAR_PCT`` percent of their runs of ``SHINGLE_WORDS`` words, directly or in a chain, become one."""
+    small_batches(spark)
     return near_dup.deduplicate(docs, width=SHINGLE_WORDS, threshold_pct=SIMILAR_PCT)
 
 
 def cut_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Cuts benchmark passages out of the texts; documents that are mostly such passages go."""
+    small_batches(spark)
     cleaned = decontaminate.decontaminate(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
     return cleaned.withColumn("n_chars", F.length("text").cast("long"))
 
@@ -42,6 +45,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def write_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Arrow files of token ids in the order in which the mix was written; one row per document, read back from them."""
+    small_batches(spark)
     return token_files.write_and_check(docs, order=written_order())
 
 
