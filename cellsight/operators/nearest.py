@@ -40,7 +40,7 @@ def nearest_candidates(points: DataFrame, segments: DataFrame, size: float, poin
     """
     fine = bucket_segments(segments.select(line, "x1", "y1", "x2", "y2"), size)
     reach = segments.agg(*[f(g(a, b)).alias(n) for n, f, g, a, b in (("w", F.min, F.least, "x1", "x2"), ("e", F.max, F.greatest, "x1", "x2"), ("s", F.min, F.least, "y1", "y2"), ("n", F.max, F.greatest, "y1", "y2"))]).first()
-    west, east, south, north = (0 if v is None else math.floor(v / size) + d for v, d in zip(reach, (-1, 1, -1, 1)))
+    west, east, south, north = (0 if v is None else math.floor(float(v) / size) + d for v, d in zip(reach, (-1, 1, -1, 1)))
     top = 0
     while (east >> top) - (west >> top) > 1 or (north >> top) - (south >> top) > 1:
         top += 1
