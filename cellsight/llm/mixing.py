@@ -106,7 +106,9 @@ def mix(docs: DataFrame, text: str = "text", **options) -> DataFrame:
 def query(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     sized = stored(docs.select("doc_id", "source", n_words(F.col("text")).alias("size")), "sizes")
-    return plan_mix(sized).select("doc_id", "size", "source_size", "target", "taken")
+    planned = plan_mix(sized).select("doc_id", "size", "source_size", "target", "taken", F.get("positions", F.lit(0)).alias("first_position"))
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    return planned.repartitionByRange(n, "first_position", "doc_id").sortWithinPartitions("first_position", "doc_id")
 
 
 SQL = f"""WITH d AS (SELECT row_number() OVER () AS rid, doc_id, source, len(list_filter(string_split_regex(coalesce(text, ''), '[\\x20\\x09-\\x0D]+'), lambda x: x <> ''))::BIGINT AS size FROM documents),
@@ -117,9 +119,11 @@ t AS (SELECT *, coalesce(sum(cap) OVER (o ROWS BETWEEN UNBOUNDED PRECEDING AND 1
       FROM c WINDOW o AS (ORDER BY cap * (10 // weight), rank)),
 u AS (SELECT *, cap * weights <= (total - before) * weight AS capped FROM t),
 v AS (SELECT (max(total) - coalesce(sum(cap) FILTER (capped), 0))::DOUBLE / (sum(weight) FILTER (NOT capped))::DOUBLE AS level FROM u),
-g AS (SELECT source, source_size, CASE WHEN capped THEN cap::DOUBLE ELSE level * weight::DOUBLE END AS target FROM u, v),
-p AS (SELECT d.doc_id, d.size, g.source_size, g.target,
+g AS (SELECT source, source_size, CASE WHEN capped THEN cap::DOUBLE ELSE level * weight::DOUBLE END AS target, ([-0.5, 0.0, 0.5])[(rank - 1) % 3 + 1]::DOUBLE AS slope FROM u, v),
+p AS (SELECT d.doc_id, d.size, g.source_size, g.target, g.slope,
              (coalesce(sum(d.size) OVER (PARTITION BY d.source ORDER BY md5(coalesce(d.doc_id::VARCHAR, '')), d.size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))::BIGINT AS start
-      FROM d JOIN g ON d.source IS NOT DISTINCT FROM g.source)
-SELECT doc_id, size, source_size, target,
-       size * len(list_filter(range({MAX_REPEATS}), lambda k: 2 * (k * source_size + start) + size <= 2 * target))::BIGINT AS taken FROM p"""
+      FROM d JOIN g ON d.source IS NOT DISTINCT FROM g.source),
+q AS (SELECT *, len(list_filter(range({MAX_REPEATS}), lambda k: 2 * (k * source_size + start) + size <= 2 * target)) AS copies,
+             CASE WHEN target > 0 THEN (2 * start + size)::DOUBLE / (2 * target) ELSE 0.0 END AS share FROM p)
+SELECT doc_id, size, source_size, target, (size * copies)::BIGINT AS taken,
+       CASE WHEN copies > 0 THEN CASE WHEN slope = 0 THEN share ELSE (sqrt((1 - slope) * (1 - slope) + 4 * slope * share) - (1 - slope)) / (2 * slope) END END AS first_position FROM q"""
