@@ -34,7 +34,7 @@ def test_odd_rows_equal_sql(spark, rows):
     if rows:
         con.executemany("INSERT INTO documents VALUES (?, ?, ?, ?)", rows)
     docs = table(spark, rows).withColumn("size", M.n_words(F.col("text")))
-    got = M.plan_mix(docs).select("doc_id", "size", "source_size", "target", "taken").collect()
+    got = M.plan_mix(docs).select("doc_id", "size", "source_size", "target", "taken", F.get("positions", F.lit(0))).collect()
     assert sorted(map(str, map(tuple, got))) == sorted(map(str, con.execute(M.SQL).fetchall()))
 
 
